@@ -68,7 +68,9 @@ def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     found = F.expr("sort_array(transform(filter(transform(_s, (x, j) -> CASE WHEN x.h <=> get(_s, j - 1).h OR x.h <=> get(_s, j + 1).h THEN x.i END), x -> x IS NOT NULL), x -> x))")
     rows = rows.select("*", found.alias("_p"))
     covered = F.expr("cast(aggregate(_p, struct(0 AS n, 0 AS e), (a, x) -> struct(a.n + x + 3 - greatest(x, a.e) AS n, x + 3 AS e), a -> a.n) AS bigint)")
-    return rows.select("doc_id", "stratum", *also, "word_chars", "n_symbols", "n_bangs", "n_capitals", "n_lines", "n_dup_lines", "n_words", covered.alias("n_repeat_words"))
+    # a filter on the measures must not be pushed below them: it would repeat their expressions inside the folds
+    wall = [F.monotonically_increasing_id().alias("_wall")] if whole else []
+    return rows.select("doc_id", "stratum", *also, "word_chars", "n_symbols", "n_bangs", "n_capitals", "n_lines", "n_dup_lines", "n_words", covered.alias("n_repeat_words"), *wall)
 
 
 def _tail(n: str, k: str, a: float) -> str:
@@ -130,7 +132,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     ids = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("_label")).distinct()
     known = docs.join(ids, F.col(id_col) == F.col("_label"), "left_semi")
     limits = _limits(materialize(measures(known, id_col=id_col, text_col=text_col), "labelled"), labels, rules, alpha, delta)
-    return _verdict(measures(docs, id_col=id_col, text_col=text_col, whole=True), limits, rules).where("kept").select("_row.*")
+    return _verdict(measures(docs, id_col=id_col, text_col=text_col, whole=True), limits, rules).where("kept AND _wall >= 0").select("_row.*")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

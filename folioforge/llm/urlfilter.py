@@ -97,12 +97,12 @@ def matched(urls: DataFrame, rules: tuple[Rule, ...], text_col: str, out: str) -
         return urls.withColumn(out, F.transform(tried, lambda r: r.dropFields("pattern")))
     spark = urls.sparkSession
     index = spark.createDataFrame([(t, *(getattr(rules[n], f) for f in ("name", "action", "weight", "pattern"))) for t, ns in filed.items() for n in ns], "t string, name string, action string, weight int, pattern string")
-    texts = urls.select(text_col).where(F.col(text_col).isNotNull()).distinct()
-    hits = texts.select(text_col, F.explode(tokens_of(F.col(text_col))).alias("t")).join(index, "t").where(F.regexp_like(text_col, F.col("pattern")))
-    hits = hits.groupBy(F.col(text_col).alias("_text")).agg(F.collect_set(F.struct("name", "action", "weight")).alias("_hits"))
+    texts = urls.select(F.col(text_col).alias("_url_text")).where("_url_text IS NOT NULL").distinct()
+    hits = texts.select("_url_text", F.explode(tokens_of(F.col("_url_text"))).alias("t")).join(index, "t").where(F.regexp_like("_url_text", F.col("pattern")))
+    hits = hits.groupBy("_url_text").agg(F.collect_set(F.struct("name", "action", "weight")).alias("_found"))
     plain = F.transform(F.filter(always, lambda r: F.regexp_like(F.col(text_col), r["pattern"])), lambda r: r.dropFields("pattern"))
-    joined = urls.join(hits, F.col(text_col) == F.col("_text"), "left")
-    return joined.withColumn(out, F.concat(plain, F.coalesce("_hits", F.slice(plain, 1, 0)))).drop("_text", "_hits")
+    joined = urls.join(hits, F.col(text_col) == F.col("_url_text"), "left")
+    return joined.withColumn(out, F.concat(plain, F.coalesce("_found", F.slice(plain, 1, 0)))).drop("_url_text", "_found")
 
 
 def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", host_rules: tuple[Rule, ...] = HOST_RULES, pattern_rules: tuple[Rule, ...] = WORD_RULES) -> DataFrame:

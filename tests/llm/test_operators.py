@@ -26,7 +26,7 @@ ODD = [None, "", " ", "\n", "a", "a  b", " lead", "trail ", "x\n\n y\t z\x0b\x0c
 
 def docs_of(spark, texts, start=0):
     rows = [(start + i, t, "en", "s", None, 1, "k", 2, 3) for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, DOC)
+    return materialize(spark.createDataFrame(rows, DOC), "docs")
 
 
 def texts_of(spark):
