@@ -287,7 +287,7 @@ def json_repair_dates(spark, sf):
     return fixture(spark, DATES, "id int, v string, is_end boolean").select("id", fix("v", "is_end").alias("repaired"))
 
 
-@query("SELECT * FROM (VALUES (1, 2.91, 4.0), (2, 3.5, NULL), (3, NULL, NULL), (4, 8.0, 10.0)) v(id, gpa, scale)")
+@query("SELECT id, CAST(gpa AS DOUBLE) AS gpa, CAST(scale AS DOUBLE) AS scale FROM (VALUES (1, 2.91, 4.0), (2, 3.5, NULL), (3, NULL, NULL), (4, 8.0, 10.0)) v(id, gpa, scale)")
 def gpa_parse(spark, sf):
     n = F.regexp_extract_all("v", F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))
     rows = fixture(spark, [(1, "2.91/4"), (2, "GPA 3.5"), (3, "good"), (4, "8 of 10")], "id int, v string")
@@ -318,7 +318,7 @@ def evidence_claims(spark, sf):
     return evidence.grounded(claims, held).select("quote", "grounded", "block_id")
 
 
-@query("SELECT * FROM (VALUES (1, 1.0), (2, 0.0), (3, 0.0), (4, 0.5)) v(id, overlap)")
+@query("SELECT id, CAST(overlap AS DOUBLE) AS overlap FROM (VALUES (1, 1.0), (2, 0.0), (3, 0.0), (4, 0.5)) v(id, overlap)")
 def bbox_overlap(spark, sf):
     rows = [(1, 0.0, 10.0, 0.0, 10.0), (2, 0.0, 10.0, 20.0, 30.0), (3, None, 1.0, 0.0, 1.0), (4, 0.0, 10.0, 5.0, 15.0)]
     return fixture(spark, rows, "id int, a0 double, a1 double, b0 double, b1 double").select("id", evidence.box_overlap(*(F.col(c) for c in ("a0", "a1", "b0", "b1"))).alias("overlap"))
@@ -370,7 +370,7 @@ def weighted_score(spark, sf):
 RUBRIC = [(1, "Bách Khoa", "Bachelor", "Computer Science", 5.0, 2, ["Python", "AWS", "a", "b", "c", "d", "e", "f"], ["IELTS 7"]), (2, None, None, None, None, 0, [], []), (3, "Town College", "Master", None, 1.5, 1, ["a", "b", "c", "d"], ["Safety"]), (4, "Town College", None, None, 0.5, 1, ["x"], None)]
 
 
-@query("SELECT * FROM (VALUES (1, 14.0, 33.5, 27.5, 13.0, 88.0), (2, 5.0, 5.0, 5.0, 0.0, 15.0), (3, 14.0, 21.9, 20.0, 8.0, 63.9), (4, 11.5, 14.0, 12.0, 0.0, 37.5)) v(id, education_score, experience_score, skill_score, certificate_score, total_score)")
+@query("SELECT id, CAST(a AS DOUBLE) AS education_score, CAST(b AS DOUBLE) AS experience_score, CAST(c AS DOUBLE) AS skill_score, CAST(d AS DOUBLE) AS certificate_score, CAST(e AS DOUBLE) AS total_score FROM (VALUES (1, 14.0, 33.5, 27.5, 13.0, 88.0), (2, 5.0, 5.0, 5.0, 0.0, 15.0), (3, 14.0, 21.9, 20.0, 8.0, 63.9), (4, 11.5, 14.0, 12.0, 0.0, 37.5)) v(id, a, b, c, d, e)")
 def rubric_scores(spark, sf):
     rows = fixture(spark, RUBRIC, "id int, institution string, degree string, field string, years double, n_jobs int, skills array<string>, certificates array<string>")
     return scoring.rubric(rows).select("id", "education_score", "experience_score", "skill_score", "certificate_score", "total_score")

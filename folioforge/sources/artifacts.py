@@ -10,7 +10,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 def read_results(spark: SparkSession, path: str, schema: StructType, *, recursive: bool = True) -> tuple[DataFrame, DataFrame]:
     """(good, bad): rows of the JSON files below `path` that fit `schema`, and the raw text of those that do not."""
     wide = StructType([*schema, StructField("_corrupt_record", StringType())])
-    rows = spark.read.schema(wide).option("recursiveFileLookup", str(recursive).lower()).option("multiLine", "true").option("mode", "PERMISSIVE").json(path).withColumn("source", F.input_file_name())
+    files = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    rows = files.select(F.input_file_name().alias("source"), F.from_json("value", wide, {"mode": "PERMISSIVE"}).alias("r")).select("source", "r.*")
     return rows.where("_corrupt_record IS NULL").drop("_corrupt_record"), rows.where("_corrupt_record IS NOT NULL").select("source", "_corrupt_record")
 
 

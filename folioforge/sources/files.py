@@ -20,7 +20,7 @@ PAGES = "path string, page_number int, text string, error string"
 
 
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
-    """PDF and DOCX files below `path`: path, modificationTime, length, content."""
+    """Files below `path`: path, modificationTime, length, content. Spark's reader passes over files without bytes."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(path)
 
 
