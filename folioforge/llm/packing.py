@@ -24,13 +24,14 @@ from .common import materialize, rank_in_group, table, text_or_empty
 
 CAPACITY = 4096
 END_ID = 1
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_000_000
+MARKS = frozenset(".,!?;:")
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 @lru_cache(maxsize=2)
 def _encoder(path: str):
-    """A function from a list of distinct white-space-free strings to their ids as bytes, and one for whole texts."""
+    """A function from texts to lists of ids, and a flag for each id: whether it ends a pre-token."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,7 +40,49 @@ def _encoder(path: str):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
     many = getattr(t, "encode_batch_fast", t.encode_batch)
-    return lambda texts: [np.array(e.ids, "<u4").tobytes() for e in many(texts, add_special_tokens=False)]
+    ends = np.zeros(t.get_vocab_size(with_added_tokens=True), bool)
+    suffix = getattr(t.model, "end_of_word_suffix", None)
+    if suffix:
+        for token, i in t.get_vocab(with_added_tokens=False).items():
+            ends[i] = token.endswith(suffix)
+    return (lambda texts: [e.ids for e in many(texts, add_special_tokens=False)]), ends
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+def _learn(new: list[str], memo: dict[str, bytes], path: str) -> None:
+    """Put the ids of the strings `new`, which hold no white space, into `memo`.
+
+    Runs of letters are one pre-token each, so many go through the tokenizer as one text whose ids are cut where
+    pre-tokens end; a mark after such a run is a pre-token of its own. All others are encoded one by one.
+    """
+    encode, ends = _encoder(path)
+    words, marked, rest = set(), [], []
+    for w in new:
+        if w.isalpha():
+            words.add(w)
+        elif w[-1] in MARKS and w[:-1].isalpha():
+            words.add(w[:-1])
+            words.add(w[-1])
+            marked.append(w)
+        else:
+            rest.append(w)
+    letters = list(words.difference(memo))
+    groups = [letters[k : k + 256] for k in range(0, len(letters), 256)]
+    for group, ids in zip(groups, encode([" ".join(g) for g in groups]), strict=True):
+        ids = np.array(ids, "<u4")
+        cuts = np.flatnonzero(ends[ids]) + 1
+        if len(cuts) == len(group) and cuts[-1] == len(ids):
+            flat, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+            memo.update(zip(group, [flat[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+        else:
+            rest += group
+    for k in range(0, len(rest), 10_000):
+        memo.update(zip(rest[k : k + 10_000], map(_bytes, encode(rest[k : k + 10_000])), strict=True))
+    for w in marked:
+        memo[w] = memo[w[:-1]] + memo[w[-1]]
 
 
 @lru_cache(maxsize=1)
@@ -59,21 +102,15 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
     The tokenizer drops white space and never merges across it, so each distinct string between white space is
     encoded once and kept, as long as the memo has room. Texts with rarer white space are encoded whole.
     """
-    encode, odd, memo, out = _encoder(path), _plain(), _memo.setdefault(path, {}), []
-    for t in texts:
-        if odd(t):
-            out.append(encode([t])[0])
-            continue
-        words = t.split()
-        new = list(set(words).difference(memo))
-        if new:
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = list(set(words))
-            for k in range(0, len(new), 10_000):
-                memo.update(zip(new[k : k + 10_000], encode(new[k : k + 10_000]), strict=True))
-        out.append(b"".join(map(memo.__getitem__, words)))
-    return out
+    odd, memo = _plain(), _memo.setdefault(path, {})
+    split = [None if odd(t) else t.split() for t in texts]
+    distinct = set().union(*(w for w in split if w))
+    new = distinct.difference(memo)
+    if new and len(memo) + 2 * len(new) > MEMO_WORDS:
+        memo.clear()
+        new = distinct
+    _learn(list(new), memo, path)
+    return [_bytes(_encoder(path)[0]([t])[0]) if w is None else b"".join(map(memo.__getitem__, w)) for t, w in zip(texts, split, strict=True)]
 
 
 def pieces(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int | None = END_ID, keep_ids: bool = False) -> DataFrame:
