@@ -6,8 +6,7 @@ are shuffled by word, each distinct word of the corpus is encoded once, its ids
 return to their blocks, where documents are put together by position. Decoding joins ids with the token-byte
 table, whose size is the vocabulary's.
 
-No text crosses the network a second time, no row holds more than a document, and the most frequent word has one
-row a block.
+Texts themselves are never shuffled, and the most frequent word has one row a block.
 """
 
 from __future__ import annotations
@@ -16,22 +15,23 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..cluster import map_arrow
-from .common import materialize, table, text_or_empty
+from .common import table, text_or_empty
 
 #: Unicode's White_Space, as the pattern's engine understands \s.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 BLOCK_CHARS = 1 << 25
 OUT_BYTES = 1 << 25
+MARKS = frozenset(".,!?;:")
 
 
 @lru_cache(maxsize=4)
@@ -75,23 +75,40 @@ def _odd_spaces():
 
 
 class _Numbers(dict):
-    """Numbers words 0, 1, ... in order of first use."""
+    """Numbers keys 0, 1, ... in order of first use."""
 
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
         return n
 
 
-class _Chunks(dict):
-    """Word numbers of what stands between two single spaces, each cut up once."""
-
-    def __init__(self, findall, numbers: _Numbers):
-        super().__init__()
-        self.findall, self.numbers = findall, numbers
-
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        self[chunk] = out = tuple(map(self.numbers.__getitem__, self.findall(" " + chunk)))
-        return out
+def _keys(text: str, findall, odd) -> list:
+    """What a text is made of: strings stand between two single spaces (the first of them belongs to it), a tuple
+    holds one pre-token as it is."""
+    if odd(text):
+        return [(t,) for t in findall(text)]
+    head, *tail = text.split(" ")
+    return [*((t,) for t in findall(head)), *tail]
+
+
+def _words(keys: _Numbers, findall) -> tuple[_Numbers, np.ndarray, np.ndarray]:
+    """The pre-tokens of all keys, numbered by first use; and of each key, in order, how many it has and their numbers."""
+    numbers, size, flat = _Numbers(), np.ones(len(keys), np.int64), []
+    number, put = numbers.__getitem__, flat.append
+    for k, key in enumerate(keys):
+        if type(key) is tuple:
+            put(number(key[0]))
+        elif key.isascii() and key.isalpha():  # what the pattern makes of letters, and of letters and one mark
+            put(number(" " + key))
+        elif key.isascii() and key[-1] in MARKS and key[:-1].isalpha():
+            put(number(" " + key[:-1]))
+            put(number(key[-1]))
+            size[k] = 2
+        else:
+            found = findall(" " + key)
+            flat.extend(map(number, found))
+            size[k] = len(found)
+    return numbers, size, np.array(flat, np.int64)
 
 
 def pack_ints(v: np.ndarray) -> bytes:
@@ -133,107 +150,172 @@ def gather(values: np.ndarray, starts: np.ndarray, which: np.ndarray) -> np.ndar
     return values[np.repeat(starts[which] - (ends - size), size) + np.arange(ends[-1])]
 
 
-ROW = "block long, kind int, n long, word string, doc_id long, payload binary"
-_ARROW = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("word", pa.string()), ("doc_id", pa.int64()), ("payload", pa.binary())])
+WORD_ROW = "word string, at long"
+PACK_ROW = "block long, kind int, n long, one binary, two binary"
+_PACK = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("one", pa.binary()), ("two", pa.binary())])
+#: Word numbers within a block take the low bits of `at`, its block the high ones.
+NUMBER_BITS = 30
+NUMBERS = (1 << NUMBER_BITS) - 1
+ROW_KEYS = 1 << 17
+
 
+def _pack(block: int, kind: int, n: int, one: bytes, two: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((block, kind, n, one, two), _PACK, strict=True)], schema=_PACK)
 
-def _rows(block: int, kind: int, n, words, docs, payload) -> pa.RecordBatch:
-    size = len(n)
-    cols = [pa.array(np.full(size, block, np.int64)), pa.array(np.full(size, kind, np.int32)), pa.array(n, pa.int64()), pa.array(words, pa.string()) if words else pa.nulls(size, pa.string()), pa.array(docs, pa.int64()) if docs else pa.nulls(size, pa.int64()), pa.array(payload, pa.binary()) if payload else pa.nulls(size, pa.binary())]
-    return pa.RecordBatch.from_arrays(cols, schema=_ARROW)
+
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int, place: bool) -> Iterator[tuple[int, list, list[np.ndarray], _Numbers]]:
+    """(block, ids, with `place` the key numbers of each text, the block's keys), block by block."""
+    findall, odd = splitter(pattern), _odd_spaces()
+    block, chars, keys, ids, seqs = None, 0, _Numbers(), [], []
+    number = keys.__getitem__
+    for b in batches:
+        if block is None and len(b):
+            block = b.column(2)[0].as_py() << 10
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            found = _keys(text, findall, odd)
+            if place:
+                ids.append(doc)
+                seqs.append(np.fromiter(map(number, found), np.int32, len(found)))
+            else:
+                for key in dict.fromkeys(found):
+                    number(key)
+            chars += len(text)
+            if chars >= block_chars:
+                yield block, ids, seqs, keys
+                block, chars, keys, ids, seqs = block + 1, 0, _Numbers(), [], []
+                number = keys.__getitem__
+    if block is not None:
+        yield block, ids, seqs, keys
+
+
+def checksum(numbered) -> int:
+    out, h = 0, xxhash.xxh3_64_intdigest
+    for n, word in numbered:
+        out ^= h(word, n)
+    return out
 
 
-def cut_into_words(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Blocks: rows of kind 1 hold a document's word numbers by position, rows of kind 0 a block's distinct words."""
+def distinct_words(docs: DataFrame, pattern: str, block_chars: int) -> DataFrame:
+    """(word, at): each block's distinct words, numbered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        findall, odd = splitter(pattern), _odd_spaces()
-        part, blocks, seen = TaskContext.get().partitionId(), 0, 0
-        numbers = _Numbers()
-        chunks = _Chunks(findall, numbers)
-        texts = 0
-        for b in batches:
-            ids, payload, held, n0 = [], [], 0, texts
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if odd(text):
-                    at = np.fromiter(map(numbers.__getitem__, findall(text)), np.int64)
-                else:
-                    head, *tail = text.split(" ")
-                    at = np.fromiter(chain(map(numbers.__getitem__, findall(head)), chain.from_iterable(map(chunks.__getitem__, tail))), np.int64)
-                ids.append(doc)
-                payload.append(pack_ints(at))
-                texts, seen, held = texts + 1, seen + len(text), held + len(payload[-1])
-                full = seen >= block_chars
-                if full or held >= OUT_BYTES:
-                    yield _rows(part << 32 | blocks, 1, range(n0, texts), None, ids, payload)
-                    ids, payload, held, n0 = [], [], 0, texts
-                if full:
-                    yield from words(part << 32 | blocks, numbers)
-                    numbers = _Numbers()
-                    chunks, blocks, seen = _Chunks(findall, numbers), blocks + 1, 0
-            if ids:
-                yield _rows(part << 32 | blocks, 1, range(n0, texts), None, ids, payload)
-        yield from words(part << 32 | blocks, numbers)
-
-    def words(block: int, numbers: _Numbers) -> Iterator[pa.RecordBatch]:
-        names = list(numbers)
-        for k in range(0, len(names), 50_000):
-            yield _rows(block, 0, range(k, min(k + 50_000, len(names))), names[k : k + 50_000], None, None)
-
-    return map_arrow(docs, run, ROW)
+        for block, _, _, keys in _blocks(batches, pattern, block_chars, False):
+            names = list(_words(keys, splitter(pattern))[0])
+            for k in range(0, len(names), 50_000):
+                part = names[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.arange(k, k + len(part)) + (block << NUMBER_BITS))], ["word", "at"])
+
+    return map_arrow(docs, run, WORD_ROW)
+
+
+def positions(docs: DataFrame, pattern: str, block_chars: int) -> DataFrame:
+    """Rows of kind 1: documents of a block, `one` their ids and lengths, `two` their word numbers by position.
+
+    A row of kind 2 has the number of the block's words and the XOR of the hashes of (number, word).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for block, ids, seqs, keys in _blocks(batches, pattern, block_chars, True):
+            numbers, size, flat = _words(keys, splitter(pattern))
+            starts = np.concatenate([[0], np.cumsum(size)])
+            yield _pack(block, 2, 0, len(numbers).to_bytes(8, "little"), checksum(enumerate(numbers)).to_bytes(8, "little"))
+            first = held = 0
+            for k, seq in enumerate(seqs):
+                held += len(seq)
+                if held >= ROW_KEYS or k == len(seqs) - 1:
+                    at = [gather(flat, starts, s) for s in seqs[first : k + 1]]
+                    head = np.array([(i or 0, i is None, len(x)) for i, x in zip(ids[first : k + 1], at, strict=True)], np.int64).T
+                    yield _pack(block, 1, first, head.tobytes(), squeeze(pack_ints(np.concatenate(at))))
+                    first, held = k + 1, 0
+
+    return map_arrow(docs, run, PACK_ROW)
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """Rows of `words`, which lie sorted by word, with the ids of each word; a word is encoded once."""
+    """Rows of kind 0: some words of a block, `one` a checksum and their numbers, `two` the lengths of their ids and the ids.
+
+    `words` lie sorted by word, so that all rows of a word are together and it is encoded once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last, ids = word_encoder(path), None, b""
+        encode, last, ids, n, h = word_encoder(path), None, [], 0, xxhash.xxh3_64_intdigest
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            at, size, flat, sums = (np.concatenate(x) for x in zip(*held, strict=True))
+            starts = np.concatenate([[0], np.cumsum(size)])
+            order = np.argsort(at, kind="stable")
+            blocks = at[order] >> NUMBER_BITS
+            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(order)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                some = order[s:e]
+                yield _pack(int(blocks[s]), 0, n, np.bitwise_xor.reduce(sums[some]).tobytes() + pack_ints(np.diff(at[some] & NUMBERS, prepend=0)), pack_ints(np.concatenate([size[some], gather(flat, starts, some)])))
+
+        rows = 0
         for b in batches:
-            payload = []
-            for w in b.column(3).to_pylist():
+            sizes, flat, sums = [], [], []
+            for w, k in zip(b.column(0).to_pylist(), (b.column(1).to_numpy() & NUMBERS).tolist(), strict=True):
                 if w != last:
-                    last, ids = w, np.array(encode(w), "<u4").tobytes()
-                payload.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.nulls(len(b), pa.string()), b.column(4), pa.array(payload, pa.binary())], schema=_ARROW)
+                    last, ids = w, encode(w)
+                sizes.append(len(ids))
+                flat.extend(ids)
+                sums.append(h(w, k))
+            held.append((b.column(1).to_numpy(), np.array(sizes, np.int64), np.array(flat, np.int64), np.array(sums, np.uint64)))
+            rows += len(b)
+            if rows >= 1 << 20:
+                yield from out()
+                held, rows, n = [], 0, n + 1
+        if held:
+            yield from out()
 
-    return map_arrow(words, run, ROW)
+    return map_arrow(words, run, PACK_ROW)
 
 
 def encode(docs: DataFrame, *, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(id_col long, ids binary): each row's ids as little-endian unsigned 32-bit integers.
 
     As tiktoken's encode_ordinary with the ranks at `path` and `pattern` would give; null and empty texts have no
-    ids. Rows with null or repeated ids each keep their own row. Other columns are not read.
+    ids. Rows with null or repeated ids each keep their own row. Other columns are not read. `docs` is read twice
+    and has to give the same rows in the same partitions both times, as a stored table does; each block's checksum
+    is compared, and a difference is an error, never a wrong result.
     """
-    rows = materialize(cut_into_words(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")), pattern, block_chars), "blocks")
-    words = encode_words(rows.where("kind = 0").repartition("word").sortWithinPartitions("word"), path)
-    both = words.unionByName(rows.where("kind = 1")).repartition("block").sortWithinPartitions("block", "kind", "n")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.spark_partition_id().alias("part"))
+    words = encode_words(distinct_words(source, pattern, block_chars).repartition("word").sortWithinPartitions("word"), path)
+    both = words.unionByName(positions(source, pattern, block_chars)).repartition("block").sortWithinPartitions("block", F.expr("CASE kind WHEN 0 THEN 0 WHEN 2 THEN 1 ELSE 2 END"), "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, parts, values, starts = None, [], None, None
+        expand = zstandard.ZstdDecompressor().decompress
+        block, parts, values, starts, total = None, [], None, None, 0
         for b in batches:
-            blocks, kinds = b.column(0).to_numpy(), b.column(1).to_numpy()
-            cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
-            for s, e in zip([0, *cuts], [*cuts, len(b)], strict=True):
-                if s == e:
-                    continue
-                if blocks[s] != block:
-                    block, parts, values = blocks[s], [], None
-                payload = b.column(5).slice(s, e - s).to_pylist()
-                if kinds[s] == 0:
-                    parts.extend(payload)
-                    continue
-                if values is None:
-                    values, starts = np.frombuffer(b"".join(parts), "<u4"), np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4)])
-                    parts = []
-                docs, out, held = b.column(4).slice(s, e - s).to_pylist(), [], 0
-                first = 0
-                for k, p in enumerate(payload):
-                    out.append(gather(values, starts, unpack_ints(p)).tobytes())
-                    held += len(out[-1])
-                    if held >= OUT_BYTES or k == len(payload) - 1:
-                        yield pa.RecordBatch.from_arrays([pa.array(docs[first : k + 1], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "ids"])
-                        out, held, first = [], 0, k + 1
+            for row in b.to_pylist():
+                if row["block"] != block:
+                    block, parts, values, total = row["block"], [], None, 0
+                if row["kind"] == 0:
+                    total ^= int.from_bytes(row["one"][:8], "little")
+                    at, data = np.cumsum(unpack_ints(row["one"][8:])), unpack_ints(row["two"])
+                    parts.append((at, data[: len(at)], data[len(at) :].astype("<u4")))
+                elif row["kind"] == 2:
+                    count = int.from_bytes(row["one"], "little")
+                    at, size, flat = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
+                    if len(at) != count or total != int.from_bytes(row["two"], "little"):
+                        raise RuntimeError("the documents changed between the two readings")
+                    order = np.argsort(at)
+                    values = gather(flat.astype("<u4"), np.concatenate([[0], np.cumsum(size)]), order)
+                    starts, parts = np.concatenate([[0], np.cumsum(size[order])]), []
+                else:
+                    ids, null, size = np.frombuffer(row["one"], np.int64).reshape(3, -1)
+                    seq = unpack_ints(expand(row["two"]))
+                    docs, out, held, at = [], [], 0, 0
+                    for doc, none, n in zip(ids.tolist(), null.tolist(), size.tolist(), strict=True):
+                        docs.append(None if none else doc)
+                        out.append(gather(values, starts, seq[at : at + n]).tobytes())
+                        at, held = at + n, held + len(out[-1])
+                        if held >= OUT_BYTES:
+                            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "ids"])
+                            docs, out, held = [], [], 0
+                    if docs:
+                        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
     return map_arrow(both, run, "doc_id long, ids binary").withColumnRenamed("doc_id", id_col)
 
