@@ -41,24 +41,53 @@ def covering_triples() -> list[tuple[int, int, int]]:
     return [tuple(sorted(t)) for t in found]
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Unsigned 64-bit SimHash of one text; see fingerprints()."""
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of each shingle of a text, repeats included, in parts of bounded size; nothing for a wordless text."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
-    joined, n = b" ".join(words), len(words)
-    hashes, h = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+        return
+    joined, n, h = b" ".join(words), len(words), xxhash.xxh64_intdigest
     if n <= shingle:
-        total, digests = 1, [np.array([h(joined, SEED)], ">u8")]
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, n)
-        ends = np.cumsum(sizes + 1) - 1
-        starts, ends = (ends - sizes)[: n - shingle + 1], ends[shingle - 1 :]
-        total = len(starts)
-        digests = (np.array([h(joined[a:b], SEED) for a, b in zip(starts[k : k + _STEP].tolist(), ends[k : k + _STEP].tolist(), strict=True)], ">u8") for k in range(0, total, _STEP))
-    for d in digests:
-        hashes += np.unpackbits(d.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(hashes * 2 > total).tobytes(), "big")
+        yield np.array([h(joined, SEED)], np.uint64)
+        return
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    ends = np.cumsum(sizes + 1) - 1
+    starts, ends = (ends - sizes)[: n - shingle + 1], ends[shingle - 1 :]
+    for k in range(0, len(starts), _STEP):
+        yield np.array([h(joined[a:b], SEED) for a, b in zip(starts[k : k + _STEP].tolist(), ends[k : k + _STEP].tolist(), strict=True)], np.uint64)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits, highest first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, total: int) -> int:
+    return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big")
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """Unsigned 64-bit SimHash of one text; see fingerprints()."""
+    ones, total = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, shingle):
+        ones, total = ones + _ones(h), total + len(h)
+    return _majority(ones, total)
+
+
+def wide_fingerprint(text: str | None, shingle: int, tables: int) -> bytes:
+    """`tables` SimHashes of 64 bits from as many mixes of each shingle's hash, as little-endian 64-bit integers.
+
+    A shingle that repeats counts once (within a part of 2^18 shingles), as in Jaccard's similarity.
+    """
+    ones, total = np.zeros((tables, 64), np.int64), 0
+    for h in shingle_hashes(text, shingle):
+        h = np.unique(h)
+        total += len(h)
+        for t in range(tables):
+            x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (t + 1) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            ones[t] += _ones(x ^ (x >> np.uint64(32)))
+    return np.array([_majority(o, total) for o in ones], "<u8").tobytes()
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -94,6 +123,12 @@ def _forest(fps: np.ndarray, block: np.ndarray, i: int, j: int, min_shared: int,
         if i != j:
             good &= block[a + k] != block[b]
         linked[a[good] + k, b[good]] = True
+    a, b = _spanning(linked)
+    return fps[a], fps[b]
+
+def _spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of chains through the components of a symmetric matrix of links."""
+    n = len(linked)
     np.fill_diagonal(linked, True)
     label = np.arange(n)
     while True:
@@ -104,7 +139,7 @@ def _forest(fps: np.ndarray, block: np.ndarray, i: int, j: int, min_shared: int,
         label = low
     order = np.argsort(label, kind="stable")
     same = label[order[1:]] == label[order[:-1]]
-    return fps[order[:-1]][same], fps[order[1:]][same]
+    return order[:-1][same], order[1:][same]
 
 
 def links(fps: DataFrame, *, max_bits: int = 4, list_rows: int = 256) -> DataFrame:
@@ -152,6 +187,73 @@ def links(fps: DataFrame, *, max_bits: int = 4, list_rows: int = 256) -> DataFra
     return map_arrow(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "a long, b long")
 
 
+def _cells(rows: DataFrame, list_rows: int) -> DataFrame:
+    """Rows of lists that have `blocks`, dealt to the pairs of blocks that they take part in, sorted by list and pair."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "fps")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def wide_links(nodes: DataFrame, *, tables: int, max_share: float, list_rows: int = 256) -> DataFrame:
+    """(a, b): edges of spanning forests of the links between `nodes` (node long, fps binary).
+
+    Two nodes are linked if at most `max_share` of all their bits differ and they share three bytes in place in some
+    table, at one of its indexed triples. Only ids go through the index; fingerprints join the rows of lists that
+    hold more than one.
+    """
+    limit = int(max_share * 64 * tables)
+
+    bytes_ = [F.element_at("_b", 8 * t + p + 1) for t in range(tables) for p in range(NBYTES)]
+    unpacked = nodes.select("node", F.split(F.regexp_replace(F.hex("fps"), "(..)", "$1 "), " ").alias("_h"))
+    unpacked = unpacked.select("node", F.transform(F.slice("_h", 1, 8 * tables), lambda h: F.conv(h, 16, 10).cast("long")).alias("_b"))
+    keys = []
+    for t in range(tables):
+        for k, (x, y, z) in enumerate(covering_triples()):
+            x, y, z = (bytes_[8 * t + p] for p in (x, y, z))
+            keys.append(F.shiftleft(F.lit(32 * t + k).cast("long"), 24).bitwiseOR(F.shiftleft(x, 16)).bitwiseOR(F.shiftleft(y, 8)).bitwiseOR(z))
+    postings = unpacked.select("node", F.explode(F.array(*keys)).alias("key"))
+    lists = materialize(postings.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / list_rows).cast("int").alias("blocks")), "wide_lists")
+    found = materialize(postings.join(lists, "key"), "wide_postings")
+    rows = _cells(found.join(nodes, "node"), list_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            rest = pa.concat_batches([rest, b]) if rest is not None else b
+            key, i, j = (rest.column(c).to_numpy() for c in range(3))
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            if len(cuts):
+                yield from groups(rest.slice(0, int(cuts[-1])), cuts[:-1])
+                rest = rest.slice(int(cuts[-1]))
+        if rest is not None and len(rest):
+            yield from groups(rest, np.zeros(0, np.int64))
+
+    def groups(b: pa.RecordBatch, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        i, j, block, node = (b.column(c).to_numpy() for c in range(1, 5))
+        fps = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint64).reshape(len(b), tables)
+        bounds, left, right = [0, *cuts.tolist(), len(b)], [], []
+        for s, e in zip(bounds, bounds[1:], strict=False):
+            if e - s < 2:
+                continue
+            f, linked = fps[s:e], np.zeros((e - s, e - s), bool)
+            for k in range(0, e - s, 64):
+                linked[k : k + 64] = np.bitwise_count(f[k : k + 64, None, :] ^ f[None, :, :]).sum(-1, dtype=np.int64) <= limit
+            if i[s] != j[s]:
+                linked &= block[s:e, None] != block[None, s:e]
+            x, y = _spanning(linked)
+            left.append(node[s:e][x])
+            right.append(node[s:e][y])
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+    return map_arrow(rows, run, "a long, b long")
+
+
+#: Share of differing bits that stands for a Jaccard similarity of 0.8 of shingle sets: the angle between the sets'
+#: vectors, whose cosine is 2 * 0.8 / 1.8, over a half turn.
+SIMILAR_SHARE = float(np.arccos(1.6 / 1.8) / np.pi)
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, list_rows: int = 256) -> DataFrame:
     """(id_col, fingerprint, component_id) for every row of `docs`, repeated rows included.
 
@@ -169,13 +271,36 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.withColumnRenamed("doc_id", id_col)
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 4) -> DataFrame:
+def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tables: int = 8, max_share: float = SIMILAR_SHARE, list_rows: int = 256) -> DataFrame:
+    """(id_col, component_id) of every row with an id: components of texts whose shingle sets are alike.
+
+    64 bits tell a Jaccard similarity of 0.8 by too few of their bits, and 4 differing ones find a fifth of such
+    pairs; so each text has `tables` fingerprints, the similarity is read off all their bits, and the byte index of
+    each table finds candidates. component_id is the smallest id reachable.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(t, shingle, tables) for t in b.column(1).to_pylist()], pa.binary())], ["node", "fps"])
+
+    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), text_or_empty(text_col).alias("text"))
+    prints = materialize(map_arrow(named, run, "node long, fps binary"), "wide")
+    nodes = materialize(prints.groupBy("fps").agg(F.min("node").alias("node")), "wide_nodes")
+    # rows of one fingerprint hang on its smallest id, so hot groups of copies stay out of the index
+    labels = materialize(connected_components(wide_links(nodes, tables=tables, max_share=max_share, list_rows=list_rows)), "wide_labels")
+    least = materialize(labels.groupBy("label").agg(F.min("node").alias("least")), "wide_least")
+    linked = materialize(labels.join(least, "label").select("node", "least"), "wide_components")
+    heads = materialize(nodes.join(linked, "node", "left").select("fps", F.coalesce("least", "node").alias("component_id")), "wide_heads")
+    return prints.join(heads, "fps").select(F.col("node").alias(id_col), "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tables: int = 8, max_share: float = SIMILAR_SHARE) -> DataFrame:
     """The rows of `docs`, whole, that stand for their component: those whose id is the component's smallest.
 
     Rows repeated under one id leave one row. Rows with a null id stay: nothing names them.
     """
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, max_bits=max_bits)
-    names = kept.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
+    found = similar_documents(docs, id_col=id_col, text_col=text_col, shingle=shingle, tables=tables, max_share=max_share)
+    names = materialize(found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct(), "kept")
     named = docs.join(names, docs[id_col] == F.col("_kept"), "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.where(F.col(id_col).isNull()))
 

@@ -89,13 +89,41 @@ def test_simhash(spark):
             break
         label = new
     assert [r.component_id for r in got] == [10 + x for x in label]
-    kept = simhash.keep_one(docs_of(spark, texts), shingle=4)
-    assert kept.columns == [c.split()[0] for c in DOC.split(", ")]
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
     null = spark.createDataFrame([(None, "q w e r t y"), (None, "q w e r t y"), (3, "other words here now ok")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in simhash.near_duplicates(null).collect()) == [(0, 0), (0, 0), (3, 3)]
-    assert simhash.keep_one(null).count() == 3
+
+
+def jaccard(a, b):
+    sets = []
+    for t in (a, b):
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_keep_one_of_similar_texts(spark):
+    rng, vocabulary = random.Random(11), [f"w{i}" for i in range(900)]
+    texts, origin = [], []
+    for k in range(40):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(80, 400))]
+        for edits in (0, 0, 1, 2, 3, 12):
+            w = list(base)
+            for _ in range(edits * len(w) // 200 + (edits > 0)):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            texts.append(" ".join(w))
+            origin.append(k)
+    same = [(i, j) for i in range(len(texts)) for j in range(i) if origin[i] == origin[j]]
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(spark, texts), list_rows=4).collect()}
+    close = [(i, j) for i, j in same if jaccard(texts[i], texts[j]) >= 0.8]
+    assert len(close) > 100 and sum(found[i] == found[j] for i, j in close) / len(close) >= 0.95
+    assert all(origin[i] == origin[c] for i, c in found.items())  # nothing of another origin
+    kept = simhash.keep_one(docs_of(spark, texts))
+    assert kept.columns == [c.split()[0] for c in DOC.split(", ")]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(found.values()))
+    null = spark.createDataFrame([(None, "q w e r t y"), (None, "q w e r t y"), (3, "x y z"), (3, "x y z"), (4, None), (5, "")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0) for r in simhash.keep_one(null).collect()) == [0, 0, 3, 4]
+    assert simhash.keep_one(null.limit(0)).count() == 0
 
 
 def test_bpe(spark):
@@ -206,7 +234,7 @@ def test_toxicity_held_out(spark):
 
 
 def test_automaton_and_context():
-    lex = toxicity.Lexicon(frozenset({"worthless", "moron", "scum"}), frozenset({"lostra", "vequ"}))
+    lex = toxicity.Lexicon(frozenset({"worthless", "moron", "scum", "pathetic"}), frozenset({"lostra", "vequ"}))
 
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -218,7 +246,7 @@ def test_automaton_and_context():
 
     rng = random.Random(2)
     for _ in range(1500):
-        w = list(rng.choice(["worthless", "moron", "lostraum"]))
+        w = list(rng.choice(["worthless", "pathetic", "lostraum"]))
         for _ in range(rng.randint(0, 3)):
             k = rng.randrange(len(w))
             rng.choice([lambda: w.insert(k, rng.choice("abmo")), lambda: w.__setitem__(k, rng.choice("xyst")), lambda: w.pop(k) if len(w) > 1 else None])()
@@ -228,7 +256,13 @@ def test_automaton_and_context():
     assert [lex.kind(w) for w in ("moron", "vequxyz", "m0ron", "mooooron", "wothles", "scvm", "table")] == [1, 2, 3, 3, 3, 0, 0]
     calm = toxicity.features('he said "moron" and left', lex, {})
     hot = toxicity.features("you moron are scum", lex, {})
-    assert calm[3] > 0 and calm[0] == 0 and hot[0] > 0 and hot[4] > 0
+    assert calm[3] > 0 and calm[0] == 0 and hot[0] == 1 and hot[4] > 0
+    bent = toxicity.features("what a mooron this is", lex, {})
+    assert bent[2] == 1 and toxicity.Lexicon(lex.words, lex.stems, frozenset({"mooron"})).kind("mooron") == 0
+    rows = [(1, toxicity.features("you are scum", lex, {}))] * 40 + [(0, None)] * 400
+    w = toxicity.fit(rows)
+    logit = lambda f: w[0] + float(np.dot(w[1:], f))
+    assert logit(hot) > 1 and logit(bent) > 1 and logit(calm) < -1
 
 
 def plain_measures(text):
