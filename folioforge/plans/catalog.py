@@ -440,3 +440,61 @@ def batch_report(spark, sf):
 def binding_metrics(spark, sf):
     rows = fixture(spark, [("correct", ["a", "b"], ["a"]), ("wrong", ["c"], []), ("correct", ["d"], ["d"])], "verdict string, bound array<string>, correct array<string>")
     return evaluate.block_metrics(rows).select(*(F.round(c, 9).alias(c) for c in ("entity_precision", "block_precision", "block_recall")))
+
+
+# ---- features, repair, reports
+
+MARKED = [(1, 1, "p1-b1", "## Experience"), (1, 2, "p1-b2", "- Cut build time by 40%"), (1, 3, "p1-b3", "- Wrote docs in Python"), (1, 4, "p1-b4", "PROJECTS"), (1, 5, "p1-b5", "- Parser in Rust with 12 users"), (1, 6, "p1-b6", "## Skills"), (1, 7, "p1-b7", "Python, Go, ann@example.org")]
+
+
+def marked_blocks(spark):
+    return fixture(spark, MARKED, "doc_id long, reading_order int, block_id string, text string")
+
+
+@query("SELECT CAST(1 AS BIGINT) AS doc_id, round(least(100.0, 40 + (23 + 22 + 30) / 3.0), 6)::DOUBLE AS description_score, CAST(2 AS BIGINT) AS achievements, 3 AS n_sections, true AS has_contact")
+def document_features(spark, sf):
+    from folioforge.operators import features
+
+    return features.document_features(marked_blocks(spark)).select("doc_id", F.round("description_score", 6).alias("description_score"), "achievements", "n_sections", "has_contact")
+
+
+@query("SELECT * FROM (VALUES ('Python', 'listed,work', 100.0::DOUBLE), ('Rust', 'project', 80.0::DOUBLE), ('Go', 'listed', 40.0::DOUBLE), ('Ada', 'listed', 40.0::DOUBLE)) v(skill, types, points)")
+def skill_evidence(spark, sf):
+    from folioforge.operators import features
+
+    skills = fixture(spark, [(1, s) for s in ("Python", "Rust", "Go", "Ada")], "doc_id long, skill string")
+    found = features.skill_evidence(skills, marked_blocks(spark))
+    return found.select("skill", F.array_join("types", ",").alias("types"), features.evidence_points(F.col("types")).alias("points"))
+
+
+QUALITY = [(1, 80.0, 100.0, True, 2, 5, "validated"), (2, None, None, None, 0, 1, "partial"), (3, 100.0, 100.0, True, 2, 5, "manual_review"), (4, 40.0, 40.0, False, 1, 3, "validated")]
+
+
+@query("SELECT id, CAST(q AS DOUBLE) AS quality_score, CAST(c AS DOUBLE) AS confidence FROM (VALUES (1, 94.0, 1.0), (2, round(0.1 * 20 / 0.3, 6), 0.28), (3, NULL, 0.25), (4, 38.0, 1.0)) v(id, q, c)")
+def quality_scores(spark, sf):
+    from folioforge.operators import features
+
+    rows = fixture(spark, QUALITY, "id int, description_score double, skill_evidence double, timeline_ok boolean, achievements long, n_sections int, status string")
+    return features.quality(rows).select("id", F.round("quality_score", 6).alias("quality_score"), F.round("confidence", 6).alias("confidence"))
+
+
+RESPONSES = [
+    (1, '```json\n{"experiences": [{"role": "Cook", "employer": "Inn", "startDate": "May 2020", "endDate": "present", "responsibilities": "Grill", "evidence": {"quote": "Cook", "page": 1, "block": "p1-b1"}}], "extra": 1}\n```'),
+    (2, "not json"), (3, "null, " * 9), (4, None), (5, "[1]"),
+]
+REPAIRED = '{"education": [], "experiences": [{"company": "Inn", "description": ["Grill"], "endDate": null, "evidence": [{"blockId": "p1-b1", "pageNumber": 1, "text": "Cook"}], "isCurrent": true, "jobTitle": "Cook", "startDate": "2020-05-01"}], "projects": [], "skills": []}'
+
+
+@query(f"SELECT * FROM (VALUES (1, {quoted(REPAIRED)}, NULL), (2, NULL, 'INVALID_JSON'), (3, NULL, 'DEGENERATE'), (4, NULL, 'EMPTY'), (5, NULL, 'NOT_AN_OBJECT')) v(id, repaired, repair_error)")
+def payload_repair(spark, sf):
+    from folioforge.operators import repair
+
+    return repair.repair(fixture(spark, RESPONSES, "id int, response string")).select("id", "repaired", "repair_error")
+
+
+@query(rf"WITH {_BLOCKS}, t AS (SELECT doc_id, sum(ceil(length(line) / 4.0)) AS a, sum(ceil(length(regexp_replace(line, '\s+', ' ', 'g')) / 4.0)) AS b FROM b GROUP BY doc_id) SELECT doc_id, CAST(round((a - b) / a * 100, 1) AS DOUBLE) AS saved_percent FROM t")
+def token_reduction(spark, sf):
+    from folioforge.operators import reports
+
+    sums = blocks.prune(blocks.blocks(table(spark, sf, "documents"))).groupBy("doc_id").agg(F.sum("tokens_before").alias("a"), F.sum("tokens_after").alias("b"))
+    return sums.select("doc_id", reports.reduction(F.col("a"), F.col("b")).alias("saved_percent"))
