@@ -42,25 +42,28 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def rank_in_group(df: DataFrame, group: Sequence[str], key: str, out: str, rows_per_chunk: int = 50_000) -> DataFrame:
+def rank_in_group(df: DataFrame, group: Sequence[str], key: str, out: str, most: int = 50_000) -> DataFrame:
     """A gapless 0-based rank of each row within `group`, in order of `key`, a long spread evenly over 64 bits.
 
-    A group of any size is cut into 2^b chunks by the high bits of `key`, b from the largest group's count, so
-    no task sorts a whole group. `df` has to be a stable table (see materialize). Rows that tie on `key` and on
-    every other column are interchangeable.
+    A group is cut into 2^b chunks by the high bits of `key`, b from the group's own count, so that no task sorts
+    much more than a thousandth of all rows (500 at least, `most` at most). `df` has to be a stable table (see
+    materialize). Rows that tie on `key` and on every other column are interchangeable.
     """
-    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    bits = max(0, (largest // rows_per_chunk).bit_length())
-    chunk = F.shiftrightunsigned(F.col(key).bitwiseXOR(F.lit(-(1 << 63))), 64 - bits) if bits else F.lit(0).cast("long")
-    rest = [c for c in df.columns if c not in (*group, key)]
-    cut = df.withColumn("_chunk", chunk)
-    sizes = cut.groupBy(*group, "_chunk").count()
+    sizes = df.groupBy(*group).count()
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    rows = max(500, min(most, total // 1000))
+    bits = materialize(sizes.select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)), F.greatest(F.lit(0), F.ceil(F.log2(F.col("count") / rows))).cast("int").alias("_bits")), "group_sizes")
+    same = [df[c].eqNullSafe(bits[f"_g{i}"]) for i, c in enumerate(group)]
+    spread = F.col(key).bitwiseXOR(F.lit(-(1 << 63)))
+    chunk = F.when(F.col("_bits") == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", spread, 64 - F.col("_bits")))
+    cut = df.join(bits, same, "left").withColumn("_chunk", chunk).select(*df.columns, "_chunk")
     before = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*group, "_chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*group, "_chunk").orderBy(key, *rest)
+    counted = cut.groupBy(*group, "_chunk").count()
+    starts = materialize(counted.select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)), F.col("_chunk").alias("_c"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start")), "starts")
+    inside = Window.partitionBy(*group, "_chunk").orderBy(key, *(c for c in df.columns if c not in (*group, key)))
     ranked = cut.withColumn("_n", F.row_number().over(inside) - 1)
-    same = [ranked[c].eqNullSafe(starts[c]) for c in (*group, "_chunk")]
-    return ranked.join(starts, same, "left").select(*(ranked[c] for c in df.columns), (F.col("_start") + F.col("_n")).cast("long").alias(out))
+    same = [ranked[c].eqNullSafe(starts[f"_g{i}"]) for i, c in enumerate(group)] + [ranked["_chunk"] == starts["_c"]]
+    return ranked.join(starts, same, "left").select(*df.columns, (F.col("_start") + F.col("_n")).cast("long").alias(out))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
