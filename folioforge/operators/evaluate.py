@@ -23,3 +23,19 @@ def block_metrics(reviews: DataFrame) -> DataFrame:
     hit = F.size(F.array_intersect("bound", "correct"))
     n = reviews.agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "correct").alias("good"), F.sum(F.size("bound")).alias("bound"), F.sum(F.size("correct")).alias("correct"), F.sum(hit).alias("hit"))
     return n.select(ratio(F.col("good"), F.col("n")).alias("entity_precision"), ratio(F.col("hit"), F.col("bound")).alias("block_precision"), ratio(F.col("hit"), F.col("correct")).alias("block_recall"))
+
+
+def entity_recall(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, kind, gold, hit, recall): gold entities whose title, in lower case and trimmed, is found as it is."""
+    key = F.lower(F.trim("title"))
+    g = gold.select("doc_id", "kind", key.alias("k")).distinct()
+    f = found.select("doc_id", "kind", key.alias("k"), F.lit(1).alias("hit")).distinct()
+    return g.join(f, ["doc_id", "kind", "k"], "left").groupBy("doc_id", "kind").agg(F.count("*").alias("gold"), F.count("hit").alias("hit")).withColumn("recall", ratio(F.col("hit"), F.col("gold")))
+
+
+def mismatches(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, kind, title, side): entities that are on one side only: missing or invented."""
+    on = ["doc_id", "kind", "_k"]
+    g, f = (d.withColumn("_k", F.lower(F.trim("title"))) for d in (gold, found))
+    missing = g.join(f.select(*on), on, "left_anti").select("doc_id", "kind", "title", F.lit("missing").alias("side"))
+    return missing.unionByName(f.join(g.select(*on), on, "left_anti").select("doc_id", "kind", "title", F.lit("invented").alias("side")))
