@@ -22,15 +22,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import map_arrow
-from .common import materialize, table, text_or_empty
+from .common import materialize, scratch, table, text_or_empty
 
 #: Labelled documents to fit on, of each class at most about this many (chosen by a hash of the id).
 MAX_LABELLED = 10_000
 #: Terms in the lexicon at most; those with the most toxic documents stay.
 MAX_TERMS = 2000
 STEMS = range(4, 9)
+#: Toxic texts that a stem needs, more than a word, since there are so many beginnings; or else its uses in each.
+MIN_STEM_DOCS, MIN_STEM_USES = 8, 2.5
 WORD = re.compile(r"[^\W_]+(?:[*@$][^\W_]+)*")
 WINDOW = 6
+_RUNS = re.compile(r"(.)\1+")
 THRESHOLD = 0.7
 MEMO_WORDS = 400_000
 LEET = str.maketrans("013457@$*", "oleast" + "as" + "*")
@@ -38,9 +41,11 @@ QUOTES = "\"“”„«»‘’"
 #: Words that report what somebody said, and words that address somebody; the same in every corpus.
 REPORTING = frozenset("said says quote quoted quotes word words term terms called wrote writes meaning means dit mot mots wort worte sagte hieß dijo palabra palabras".split())
 ADDRESS = frozenset("you your youre u ur tu vous ton votre du dich dein ihr usted vosotros".split())
-FEATURES = ("exact", "stem", "near", "quoted", "addressed", "density")
-PRIOR = np.array([-4.0, 3.0, 2.5, 1.2, -2.0, 0.7, 1.0])
-PRIOR_STRENGTH = np.array([0.05, 0.5, 0.5, 2.0, 2.0, 2.0, 2.0])
+FEATURES = ("hit", "count", "near_only", "quoted", "addressed", "density")
+#: Weights before any label is seen (bias first), and how firmly they are held. Misspellings count nearly as much as
+#: the terms themselves, quotations hardly, even where no labelled document has any.
+PRIOR = np.array([-4.0, 5.0, 1.0, -1.0, 0.3, 0.7, 0.5])
+PRIOR_STRENGTH = np.array([0.05, 0.05, 0.5, 2.0, 2.0, 2.0, 2.0])
 
 
 # ---- lexicon trie and automaton
@@ -98,26 +103,40 @@ class Levenshtein:
 
 def edits(term_length: int) -> int:
     """Edits allowed for a term: short ones would turn into other words."""
-    return 0 if term_length < 5 else 1 if term_length < 9 else 2
+    return 0 if term_length < 6 else 1 if term_length < 9 else 2
 
 
 @dataclass
 class Lexicon:
     words: frozenset[str]
     stems: frozenset[str]
+    #: Words that the automaton would take for misspelled terms, but which clean texts use.
+    safe: frozenset[str] = frozenset()
     trie: Trie = field(init=False, repr=False, compare=False)
-    pieces: frozenset[str] = field(init=False, repr=False, compare=False)
+    pieces: dict[str, list[tuple[int, int, int, int]]] = field(init=False, repr=False, compare=False)
 
     def __post_init__(self) -> None:
-        self.trie, pieces = Trie(), set()
+        self.trie, self.pieces = Trie(), {}
+        self.squeezed = frozenset(_RUNS.sub(r"\1", w) for w in self.words)
         self.sizes = tuple(sorted({len(s) for s in self.stems}))
-        for w in (*self.words, *self.stems):
+        for w in sorted({*self.words, *self.stems}):
             if k := edits(len(w)):
-                self.trie.add(w, w in self.stems)
+                stem = w in self.stems
+                self.trie.add(w, stem)
                 cut = [len(w) * i // (k + 1) for i in range(k + 2)]
-                pieces |= {w[a:b] for a, b in zip(cut, cut[1:], strict=False)}
-        self.pieces = frozenset(pieces)
-        self.piece_sizes = tuple(sorted({len(p) for p in pieces}))
+                for a, b in zip(cut, cut[1:], strict=False):
+                    self.pieces.setdefault(w[a:b], []).append((a, k, len(w) - k, len(w) + k if not stem else 1 << 30))
+        self.piece_sizes = tuple(sorted({len(p) for p in self.pieces}))
+
+    def may_be_near(self, word: str) -> bool:
+        """k edits leave one of k + 1 pieces of a term whole and at most k places off: without any, no edit finds it."""
+        n = len(word)
+        for size in self.piece_sizes:
+            for i in range(n - size + 1):
+                for at, k, least, most in self.pieces.get(word[i : i + size], ()):
+                    if -k <= i - at <= k and least <= n <= most:
+                        return True
+        return False
 
     def kind(self, word: str) -> int:
         """0 no term, 1 a term, 2 begins with a stem, 3 within the allowed edits of a term or stem."""
@@ -125,16 +144,13 @@ class Lexicon:
             return 1
         if any(word[:n] in self.stems for n in self.sizes):
             return 2
-        if len(word) < 4:
+        if len(word) < 4 or word in self.safe:
             return 0
         plain = word.translate(LEET) if not word.isalpha() else word
-        plain = re.sub(r"(.)\1{2,}", r"\1", plain)
-        if plain != word and (plain in self.words or any(plain[:n] in self.stems for n in self.sizes)):
-            return 3
-        # k edits leave one of k + 1 pieces of the term whole: without any piece the automaton can't end
-        if any(plain[i : i + n] in self.pieces for n in self.piece_sizes for i in range(len(plain) - n + 1)) and self.near(plain):
+        once = _RUNS.sub(r"\1", plain)
+        if plain in self.words or once in self.squeezed and once != word or plain != word and any(plain[:n] in self.stems for n in self.sizes):
             return 3
-        return 0
+        return 3 if self.may_be_near(plain) and self.near(plain) else 0
 
     def near(self, word: str) -> bool:
         """Whether the automaton of `word` and the trie have a string in common, at the edits that string allows."""
@@ -172,7 +188,7 @@ def sample(docs: DataFrame, chosen: DataFrame, *, most: int = MAX_LABELLED, id_c
     keep = F.lit(False)
     for y, n in sizes.items():
         keep = keep | ((F.col("y") == y) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, most / n))))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL").join(chosen.where(keep), "doc_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL").join(F.broadcast(chosen.where(keep)), "doc_id")  # 2 * most rows of two numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh3_64_intdigest
@@ -188,54 +204,66 @@ def sample(docs: DataFrame, chosen: DataFrame, *, most: int = MAX_LABELLED, id_c
 
 
 def term_counts(rows: DataFrame, stems: range = STEMS) -> DataFrame:
-    """(term, toxic, clean): in how many texts of each class each word, and each beginning of words (ends in *), occurs."""
+    """(term, toxic, clean, uses): in how many texts of each class each word, and each beginning of words (ends in *),
+    occurs, and how often in toxic texts."""
+    schema = pa.schema([("term", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64()), ("uses", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
+        seen, uses = (Counter(), Counter()), Counter()
 
         def out() -> pa.RecordBatch:
             terms = list(seen[0].keys() | seen[1].keys())
-            batch = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([seen[1][t] for t in terms], pa.int64()), pa.array([seen[0][t] for t in terms], pa.int64())], ["term", "toxic", "clean"])
-            seen[0].clear()
-            seen[1].clear()
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((terms, [seen[1][t] for t in terms], [seen[0][t] for t in terms], [uses[t] for t in terms]), schema, strict=True)], schema=schema)
+            for c in (*seen, uses):
+                c.clear()
             return batch
 
         for b in batches:
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = set(WORD.findall(t.lower()))
-                seen[y].update(words)
+                words = Counter(WORD.findall(t.lower()))
+                seen[y].update(words.keys())
                 seen[y].update({w[:n] + "*" for w in words for n in stems if len(w) > n})
+                if y:
+                    uses.update(words)
+                    for w, k in words.items():
+                        for n in stems:
+                            if len(w) > n:
+                                uses[w[:n] + "*"] += k
                 if len(seen[0]) + len(seen[1]) > 300_000:
                     yield out()
         yield out()
 
-    return map_arrow(rows.select("y", "text"), run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = map_arrow(rows.select("y", "text"), run, "term string, toxic long, clean long, uses long")
+    return counted.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "uses")))
 
 
-def learn_lexicon(rows: DataFrame, *, most: int = MAX_TERMS, min_docs: int = 3, min_ratio: float = 20.0) -> Lexicon:
-    """Terms `min_ratio` times likelier in toxic texts; beginnings count as stems if four terms share them."""
+def learn_lexicon(rows: DataFrame, *, most: int = MAX_TERMS, min_docs: int = 5, min_share: float = 0.007, min_ratio: float = 20.0) -> Lexicon:
+    """Terms in `min_docs` toxic texts and a share `min_share` of them at least, `min_ratio` times likelier there than in
+    clean ones; beginnings count as stems if four words that only toxic
+    texts use share them."""
     n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic:
         return Lexicon(frozenset(), frozenset())
-    need = max(min_docs, toxic // 500)
+    need = max(min_docs, int(toxic * min_share))
     ratio = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1))
-    found = term_counts(rows).where((F.col("toxic") >= need) & (ratio >= min_ratio)).orderBy(F.desc("toxic"), "term").limit(4 * most).collect()
+    counted = materialize(term_counts(rows), "terms")
+    wanted = F.when(F.endswith("term", F.lit("*")), 10 * min_ratio).otherwise(min_ratio)  # beginnings are many
+    found = counted.where((F.col("toxic") >= need) & (ratio >= wanted)).orderBy(F.desc("toxic"), "term").limit(4 * most).collect()
     words = {r["term"]: r["toxic"] for r in found if not r["term"].endswith("*")}
+    begun = {r["term"]: r["toxic"] for r in found if r["term"].endswith("*") and (r["toxic"] >= MIN_STEM_DOCS or r["uses"] >= MIN_STEM_USES * r["toxic"])}
+    longer = counted.where("clean = 0 AND NOT endswith(term, '*')").select(F.explode(F.transform(F.array(*map(F.lit, STEMS)), lambda n: F.concat(F.left("term", n), F.lit("*")))).alias("term"))
+    spread = {r["term"] for r in longer.where(F.col("term").isin(list(begun))).groupBy("term").count().where("count >= 4").collect()} if begun else set()
     stems: list[str] = []
-    for r in sorted((r for r in found if r["term"].endswith("*")), key=lambda r: (len(r["term"]), r["term"])):
-        s = r["term"][:-1]
-        if not s.startswith(tuple(stems)) and sum(w.startswith(s) for w in words) >= 4:
+    for s in sorted((t[:-1] for t in begun if t in spread), key=lambda t: (len(t), t)):
+        if not s.startswith(tuple(stems)):
             stems.append(s)
     whole = sorted((w for w in words if not w.startswith(tuple(stems)) and len(w) > 2), key=lambda w: (-words[w], w))
     return Lexicon(frozenset(whole[:most]), frozenset(stems[:most]))
 
 
-_kinds: dict[Lexicon, dict[str, int]] = {}
-
-
 def features(text: str, lexicon: Lexicon, memo: dict[str, int]) -> tuple[float, ...] | None:
-    """Logarithmic counts as in FEATURES of one text; None if no term occurs."""
+    """FEATURES of one text; None if no term occurs. Quoted occurrences are no hits."""
     lower = text.lower()
     words = WORD.findall(lower)
     distinct = set(words)
@@ -248,19 +276,20 @@ def features(text: str, lexicon: Lexicon, memo: dict[str, int]) -> tuple[float,
             memo[w] = lexicon.kind(w)
     if not any(map(memo.__getitem__, distinct)):
         return None
-    counts, quoted, addressed = [0, 0, 0, 0], 0, 0
+    sure = near_ = quoted = addressed = 0
     for at, m in enumerate(WORD.finditer(lower)):
         kind = memo[m[0]]
         if kind:
             near = words[max(0, at - WINDOW) : at] + words[at + 1 : at + 1 + WINDOW]
             marks = lower[max(0, m.start() - 40) : m.start()], lower[m.end() : m.end() + 40]
-            said = all(any(q in side for q in QUOTES) for side in marks) or not REPORTING.isdisjoint(near)
-            quoted += said
+            if all(any(q in side for q in QUOTES) for side in marks) or not REPORTING.isdisjoint(near):
+                quoted += 1
+                continue
             addressed += not ADDRESS.isdisjoint(near)
-            if not said:
-                counts[kind] += 1
-    log = [math.log1p(x) for x in (*counts[1:], quoted, addressed)]
-    return *log, math.log1p(100 * sum(counts) / len(words))
+            sure += kind < 3
+            near_ += kind == 3
+    hits = sure + near_
+    return float(hits > 0), math.log1p(hits), float(hits > 0 and not sure), math.log1p(quoted), math.log1p(addressed), math.log1p(100 * hits / len(words))
 
 
 def fit(rows: list[tuple[int, tuple[float, ...] | None]]) -> np.ndarray:
@@ -293,6 +322,18 @@ def _table(rows: DataFrame, lexicon: Lexicon) -> list[tuple[int, tuple[float, ..
     return [(r["y"], tuple(r["f"]) if r["f"] is not None else None) for r in map_arrow(rows.select("y", "text"), run, "y int, f array<double>").collect()]
 
 
+def safe_words(rows: DataFrame, lexicon: Lexicon) -> frozenset[str]:
+    """Words of clean texts of the bounded sample that the automaton takes for misspelled terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = set().union(*(WORD.findall(t.lower()) for t in b.column(1).to_pylist()))
+            near = [w for w in words if lexicon.kind(w) == 3]
+            yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], ["word"])
+
+    return frozenset(r["word"] for r in map_arrow(rows.where("y = 0").select("y", "text"), run, "word string").distinct().collect())
+
+
 @dataclass
 class Model:
     lexicon: Lexicon
@@ -302,13 +343,15 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, *, most: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
     rows = materialize(sample(docs, labelled(labels), most=most, id_col=id_col, text_col=text_col), "labelled")
     lexicon = learn_lexicon(rows)
+    lexicon = Lexicon(lexicon.words, lexicon.stems, safe_words(rows, lexicon))
     return Model(lexicon, fit(_table(rows, lexicon)))
 
 
 def _scorer(sent):
     """A function from a list of texts to their scores."""
-    words, stems, w = sent.value
-    lexicon, memo = Lexicon(words, stems), {}
+    scratch("toxicity")
+    *terms, w = sent.value
+    lexicon, memo = Lexicon(*terms), {}
 
     def run(texts: list[str | None]) -> np.ndarray:
         out = np.empty(len(texts))
@@ -322,8 +365,8 @@ def _scorer(sent):
 
 
 def _send(docs: DataFrame, model: Model):
-    """The model that goes to the executors: MAX_TERMS words and as many stems at most."""
-    return docs.sparkSession.sparkContext.broadcast((model.lexicon.words, model.lexicon.stems, model.weights))
+    """The model that goes to the executors: terms and exceptions of the bounded sample."""
+    return docs.sparkSession.sparkContext.broadcast((model.lexicon.words, model.lexicon.stems, model.lexicon.safe, model.weights))
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
