@@ -38,6 +38,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scratch: dict[str, dict] = {}
+
+
+def scratch(owner: str) -> dict:
+    """A dictionary that a Python worker keeps from task to task of one operator; those of other operators are let go."""
+    for other in [k for k in _scratch if k != owner]:
+        del _scratch[other]
+    return _scratch.setdefault(owner, {})
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..cluster import map_arrow
-from .common import materialize, rank_in_group, table, text_or_empty
+from .common import materialize, rank_in_group, scratch, table, text_or_empty
 
 CAPACITY = 4096
 END_ID = 1
@@ -93,16 +93,13 @@ def _plain():
     return re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff]").search
 
 
-_memo: dict[str, dict[str, bytes]] = {}
-
-
 def token_ids(texts: list[str], path: str) -> list[bytes]:
     """Ids (little-endian unsigned 32-bit) of whole texts.
 
     The tokenizer drops white space and never merges across it, so each distinct string between white space is
     encoded once and kept, as long as the memo has room. Texts with rarer white space are encoded whole.
     """
-    odd, memo = _plain(), _memo.setdefault(path, {})
+    odd, memo = _plain(), scratch(f"ids of {path}")
     split = [None if odd(t) else t.split() for t in texts]
     distinct = set().union(*(w for w in split if w))
     new = distinct.difference(memo)

@@ -41,7 +41,8 @@ def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Words are runs without ASCII white space. Windows of three words count as equal if their 64-bit hashes are; the
     sort by hash keeps the work of a text of n words at n log n. A word is repeated if a window that holds it occurs
     twice or more in the text. Null text: no words, all zeros. Other columns than id, text and lang are not read; with
-    `whole`, column _row holds the row of `docs` itself.
+    `whole`, column _row holds the row of `docs` itself. Write the result before filtering on it: a filter that is
+    pushed down repeats the measures' expressions inside their folds.
     """
     keep = [F.struct(*docs.columns).alias("_row")] if whole else []
     also = ["_row"] if whole else []
@@ -68,9 +69,7 @@ def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     found = F.expr("sort_array(transform(filter(transform(_s, (x, j) -> CASE WHEN x.h <=> get(_s, j - 1).h OR x.h <=> get(_s, j + 1).h THEN x.i END), x -> x IS NOT NULL), x -> x))")
     rows = rows.select("*", found.alias("_p"))
     covered = F.expr("cast(aggregate(_p, struct(0 AS n, 0 AS e), (a, x) -> struct(a.n + x + 3 - greatest(x, a.e) AS n, x + 3 AS e), a -> a.n) AS bigint)")
-    # a filter on the measures must not be pushed below them: it would repeat their expressions inside the folds
-    wall = [F.monotonically_increasing_id().alias("_wall")] if whole else []
-    return rows.select("doc_id", "stratum", *also, "word_chars", "n_symbols", "n_bangs", "n_capitals", "n_lines", "n_dup_lines", "n_words", covered.alias("n_repeat_words"), *wall)
+    return rows.select("doc_id", "stratum", *also, "word_chars", "n_symbols", "n_bangs", "n_capitals", "n_lines", "n_dup_lines", "n_words", covered.alias("n_repeat_words"))
 
 
 def _tail(n: str, k: str, a: float) -> str:
@@ -126,13 +125,11 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: dict = RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of `docs`, whole, that judge() keeps.
 
-    Cutoffs need measures of the labelled documents alone, so these are measured first; then every row is measured
-    where it lies and judged at once, and no text is shuffled.
+    Rows are written once with their measures, which serve both the cutoffs and the verdicts: texts are measured
+    once and never shuffled, at any size.
     """
-    ids = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("_label")).distinct()
-    known = docs.join(ids, F.col(id_col) == F.col("_label"), "left_semi")
-    limits = _limits(materialize(measures(known, id_col=id_col, text_col=text_col), "labelled"), labels, rules, alpha, delta)
-    return _verdict(measures(docs, id_col=id_col, text_col=text_col, whole=True), limits, rules).where("kept AND _wall >= 0").select("_row.*")
+    measured = materialize(measures(docs, id_col=id_col, text_col=text_col, whole=True), "measured")
+    return _verdict(measured, _limits(measured.drop("_row"), labels, rules, alpha, delta), rules).where("kept").select("_row.*")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

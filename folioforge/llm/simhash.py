@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import map_arrow
-from .common import connected_components, materialize, table, text_or_empty
+from .common import connected_components, materialize, scratch, table, text_or_empty
 
 NBYTES = 8
 SEED = 42
@@ -280,6 +280,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scratch("fingerprints")
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(t, shingle, tables) for t in b.column(1).to_pylist()], pa.binary())], ["node", "fps"])
 
@@ -301,7 +302,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     found = similar_documents(docs, id_col=id_col, text_col=text_col, shingle=shingle, tables=tables, max_share=max_share)
     names = materialize(found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct(), "kept")
-    named = docs.join(names, docs[id_col] == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    # one plan at every size: rows are sorted by id once, and repeats lie together
+    named = docs.join(names.hint("merge"), docs[id_col] == F.col("_kept"), "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.where(F.col(id_col).isNull()))
 
 

@@ -52,7 +52,7 @@ def word_rule(word: str) -> Rule:
 
 HOST_RULES = (host_rule("allow", "com/"), host_rule("block", "example.com/en/"), host_rule("allow", "www.example.com/en/"), host_rule("block", "net/es/"), host_rule("block", "net/fr/"))
 #: Words of hosts and paths whose pages are left out.
-WORDS = ("spam-farm", "link-farm", "casino", "poker", "betting", "viagra", "cialis", "porn", "xxx", "escort", "warez", "torrent", "phishing", "malware")
+WORDS = ("spam-farm", "link-farm", "ads-track", "casino", "poker", "betting", "viagra", "cialis", "porn", "xxx", "escort", "warez", "torrent", "phishing", "malware")
 WORD_RULES = tuple(word_rule(w) for w in WORDS)
 
 
