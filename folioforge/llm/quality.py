@@ -22,10 +22,10 @@ SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 #: Rules: SQL value, and cutoffs from lenient to strict. Fixed before any label is seen, as the guarantee asks.
 RULES = {
-    "noise": ("(n_symbols + n_bangs) / n_words", (2.0, 1.5, 1.0, 0.75, 0.5, 0.4, 0.3, 0.25, 0.2)),
-    "capitals": ("n_capitals / word_chars", (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4)),
-    "repeats": ("n_repeat_words / n_words", (0.5, 0.45, 0.4, 0.35, 0.3)),
-    "lines": ("n_dup_lines / n_lines", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4)),
+    "noise": ("(n_symbols + n_bangs) / nullif(n_words, 0)", (2.0, 1.5, 1.0, 0.75, 0.5, 0.4, 0.3, 0.25, 0.2)),
+    "capitals": ("n_capitals / nullif(word_chars, 0)", (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4)),
+    "repeats": ("n_repeat_words / nullif(n_words, 0)", (0.5, 0.45, 0.4, 0.35, 0.3)),
+    "lines": ("n_dup_lines / nullif(n_lines, 0)", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4)),
 }
 ALPHA, DELTA = 0.05, 0.05
 BASE = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
