@@ -41,8 +41,10 @@ def normalize_layout(c: Column) -> Column:
     """Line ends, bullets, broken e-mail addresses, URLs and domains, runs of blanks and blank lines. Composes nothing: see nfc."""
     v = F.translate(F.regexp_replace(c, "\r\n?", "\n"), BULLETS, "-" * len(BULLETS))
     part = r"[A-Za-z0-9-]+"
+    joined = v
     for _ in range(3):  # each pass joins one more label of a domain
-        v = F.regexp_replace(v, rf"([A-Za-z0-9._%+-]+)\s*@\s*((?:{part}\.)*{part})\s*\.\s*({part})", "$1@$2.$3")
+        joined = F.regexp_replace(joined, rf"([A-Za-z0-9._%+-]+)\s*@\s*((?:{part}\.)*{part})\s*\.\s*({part})", "$1@$2.$3")
+    v = F.when(F.contains(v, F.lit("@")), joined).otherwise(v)
     v = F.regexp_replace(v, r"(?i)\bhttps\s*:\s*/\s*/\s*", "https://")
     v = F.regexp_replace(v, r"(?i)\bhttp\s*:\s*/\s*/\s*", "http://")
     v = F.regexp_replace(v, r"(?i)\bwww\s*\.\s*", "www.")
