@@ -74,20 +74,47 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return _majority(ones, total)
 
 
-def wide_fingerprint(text: str | None, shingle: int, tables: int) -> bytes:
-    """`tables` SimHashes of 64 bits from as many mixes of each shingle's hash, as little-endian 64-bit integers.
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; empty for a wordless text."""
+    parts = [np.unique(h) for h in shingle_hashes(text, shingle)]
+    return np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.uint64)
+
+
+def set_name(shingles: np.ndarray) -> int:
+    """A signed 64-bit name of a shingle set: texts with equal sets are one node."""
+    return int(np.array(xxhash.xxh3_64_intdigest(shingles.tobytes(), SEED), np.uint64).view(np.int64))
+
+
+#: Rows in a band and bands of a MinHash signature. A pair with a Jaccard similarity of 0.8 misses every band with a
+#: chance of (1 - 0.8^5)^14 = 0.4 %.
+BAND_ROWS, BANDS = 5, 14
+_MIXES = np.array([xxhash.xxh64_intdigest(k.to_bytes(4, "little"), SEED) | 1 for k in range(2 * BAND_ROWS * BANDS)], np.uint64)
+
+
+def minhashes(shingles: np.ndarray) -> np.ndarray:
+    """BAND_ROWS * BANDS MinHashes of a set of hashes, as unsigned longs; all ones for an empty set."""
+    out, (flip, times) = np.full(BAND_ROWS * BANDS, 2**64 - 1, np.uint64), _MIXES.reshape(2, -1)
+    for k in range(0, len(shingles), 512):
+        x = (shingles[k : k + 512, None] ^ flip) * times
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        out = np.minimum(out, x.min(0))
+    return out
 
-    A shingle that repeats counts once (within a part of 2^18 shingles), as in Jaccard's similarity.
-    """
-    ones, total = np.zeros((tables, 64), np.int64), 0
-    for h in shingle_hashes(text, shingle):
-        h = np.unique(h)
-        total += len(h)
-        for t in range(tables):
-            x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (t + 1) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-            ones[t] += _ones(x ^ (x >> np.uint64(32)))
-    return np.array([_majority(o, total) for o in ones], "<u8").tobytes()
+
+def bands(mins: np.ndarray) -> list[int]:
+    """One key for each band, a signed long that tells the band and its MinHashes."""
+    rows = mins.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh3_64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64).tolist()
+
+
+def set_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard's similarity of two shingle sets; two empty ones are equal."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / (len(both) - shared)
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -187,71 +214,108 @@ def links(fps: DataFrame, *, max_bits: int = 4, list_rows: int = 256) -> DataFra
     return map_arrow(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "a long, b long")
 
 
-def _cells(rows: DataFrame, list_rows: int) -> DataFrame:
+def _cells(rows: DataFrame, *cols: str) -> DataFrame:
     """Rows of lists that have `blocks`, dealt to the pairs of blocks that they take part in, sorted by list and pair."""
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "fps")
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", *cols)
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
-def wide_links(nodes: DataFrame, *, tables: int, max_share: float, list_rows: int = 256) -> DataFrame:
-    """(a, b): edges of spanning forests of the links between `nodes` (node long, fps binary).
-
-    Two nodes are linked if at most `max_share` of all their bits differ and they share three bytes in place in some
-    table, at one of its indexed triples. Only ids go through the index; fingerprints join the rows of lists that
-    hold more than one.
-    """
-    limit = int(max_share * 64 * tables)
-
-    bytes_ = [F.element_at("_b", 8 * t + p + 1) for t in range(tables) for p in range(NBYTES)]
-    unpacked = nodes.select("node", F.split(F.regexp_replace(F.hex("fps"), "(..)", "$1 "), " ").alias("_h"))
-    unpacked = unpacked.select("node", F.transform(F.slice("_h", 1, 8 * tables), lambda h: F.conv(h, 16, 10).cast("long")).alias("_b"))
-    keys = []
-    for t in range(tables):
-        for k, (x, y, z) in enumerate(covering_triples()):
-            x, y, z = (bytes_[8 * t + p] for p in (x, y, z))
-            keys.append(F.shiftleft(F.lit(32 * t + k).cast("long"), 24).bitwiseOR(F.shiftleft(x, 16)).bitwiseOR(F.shiftleft(y, 8)).bitwiseOR(z))
-    postings = unpacked.select("node", F.explode(F.array(*keys)).alias("key"))
-    lists = materialize(postings.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / list_rows).cast("int").alias("blocks")), "wide_lists")
-    found = materialize(postings.join(lists, "key"), "wide_postings")
-    rows = _cells(found.join(nodes, "node"), list_rows)
+def _in_cells(rows: DataFrame, edges) -> DataFrame:
+    """(a, b): what `edges(cell, between)` gives for each cell of _cells(); only links of two blocks are wanted if `between`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest: list[pa.RecordBatch] = []
         for b in batches:
-            rest = pa.concat_batches([rest, b]) if rest is not None else b
-            key, i, j = (rest.column(c).to_numpy() for c in range(3))
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            if len(cuts):
-                yield from groups(rest.slice(0, int(cuts[-1])), cuts[:-1])
-                rest = rest.slice(int(cuts[-1]))
-        if rest is not None and len(rest):
-            yield from groups(rest, np.zeros(0, np.int64))
-
-    def groups(b: pa.RecordBatch, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        i, j, block, node = (b.column(c).to_numpy() for c in range(1, 5))
-        fps = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint64).reshape(len(b), tables)
-        bounds, left, right = [0, *cuts.tolist(), len(b)], [], []
-        for s, e in zip(bounds, bounds[1:], strict=False):
-            if e - s < 2:
+            key, i, j = (b.column(c).to_numpy() for c in range(3))
+            if not len(key):
                 continue
-            f, linked = fps[s:e], np.zeros((e - s, e - s), bool)
-            for k in range(0, e - s, 64):
-                linked[k : k + 64] = np.bitwise_count(f[k : k + 64, None, :] ^ f[None, :, :]).sum(-1, dtype=np.int64) <= limit
-            if i[s] != j[s]:
-                linked &= block[s:e, None] != block[None, s:e]
-            x, y = _spanning(linked)
-            left.append(node[s:e][x])
-            right.append(node[s:e][y])
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+            cuts = (np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist()
+            for s, e in zip([0, *cuts], [*cuts, len(b)], strict=True):
+                if rest and any(rest[0].column(c)[0].as_py() != x for c, x in enumerate((key[s], i[s], j[s]))):
+                    yield from cell(rest)
+                    rest = []
+                rest.append(b.slice(s, e - s))
+        if rest:
+            yield from cell(rest)
+
+    def cell(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = pa.concat_batches(parts) if len(parts) > 1 else parts[0]
+        if len(b) > 1:
+            x, y = edges(b, b.column(1)[0].as_py() != b.column(2)[0].as_py())
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
     return map_arrow(rows, run, "a long, b long")
 
 
-#: Share of differing bits that stands for a Jaccard similarity of 0.8 of shingle sets: the angle between the sets'
-#: vectors, whose cosine is 2 * 0.8 / 1.8, over a half turn.
-SIMILAR_SHARE = float(np.arccos(1.6 / 1.8) / np.pi)
+#: Jaccard similarity of five-word shingle sets from which two texts are near-duplicates.
+SIMILAR = 0.8
+#: By how much the share of equal MinHashes may fall short of the similarity before a pair is not looked at: over
+#: four standard deviations at 0.8.
+SLACK = 0.2
+
+
+def candidate_links(nodes: DataFrame, *, similarity: float = SIMILAR, list_rows: int = 256) -> DataFrame:
+    """(a, b): edges of spanning forests of the candidate pairs of `nodes` (node long, mins binary, bands array of longs).
+
+    Candidates share a band, and no smaller share of their MinHashes than `similarity` less SLACK. Only ids go through
+    the index; MinHashes join the rows of lists that hold more than one.
+    """
+    least = (similarity - SLACK) * BAND_ROWS * BANDS
+    postings = nodes.select("node", F.explode("bands").alias("key"))
+    lists = materialize(postings.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / list_rows).cast("int").alias("blocks")), "wide_lists")
+    found = materialize(postings.join(lists, "key"), "wide_postings")
+
+    def edges(b: pa.RecordBatch, between: bool) -> tuple[np.ndarray, np.ndarray]:
+        block, node = b.column(3).to_numpy(), b.column(4).to_numpy()
+        mins = np.frombuffer(b"".join(b.column(5).to_pylist()), "<u4").reshape(len(b), -1)
+        linked = np.zeros((len(b), len(b)), bool)
+        for k in range(0, len(b), 32):
+            linked[k : k + 32] = (mins[k : k + 32, None, :] == mins[None, :, :]).sum(-1) >= least
+        if between:
+            linked &= block[:, None] != block[None, :]
+        x, y = _spanning(linked)
+        return node[x], node[y]
+
+    return _in_cells(_cells(found.join(nodes.select("node", "mins"), "node"), "mins"), edges)
+
+
+def similar_links(texts: DataFrame, *, shingle: int, similarity: float = SIMILAR) -> DataFrame:
+    """(a, b): edges that connect nodes exactly as all pairs of one list whose shingle sets are `similarity` alike do.
+
+    `texts` has key, blocks, node, mins and text. Every pair of a list is compared by its whole sets but those already
+    connected, those whose sizes rule it out, and those that SLACK does. Texts whose set is not the node's are
+    passed over (rows that share an id with the node's own).
+    """
+    least = (similarity - SLACK) * BAND_ROWS * BANDS
+
+    def edges(b: pa.RecordBatch, between: bool) -> tuple[list[int], list[int]]:
+        named: dict[int, tuple[int, np.ndarray]] = {}
+        for k, (node, text) in enumerate(zip(b.column(4).to_pylist(), b.column(6).to_pylist(), strict=True)):
+            if node not in named and set_name(x := shingle_set(text, shingle)) == node:
+                named[node] = k, x
+        at = [k for k, _ in named.values()]
+        nodes, sets = list(named), [x for _, x in named.values()]
+        if len(nodes) < 2:
+            return [], []
+        block, sizes, label = b.column(3).to_numpy()[at], np.array([len(x) for x in sets]), np.arange(len(nodes))
+        all_ = b.column(5).to_pylist()
+        mins = np.frombuffer(b"".join(all_[k] for k in at), "<u4").reshape(len(nodes), -1)
+        left, right = [], []
+        for k in range(len(nodes) - 1):
+            ok = (mins[k + 1 :] == mins[k]).sum(1) >= least
+            ok &= np.minimum(sizes[k + 1 :], sizes[k]) >= similarity * np.maximum(sizes[k + 1 :], sizes[k])
+            if between:
+                ok &= block[k + 1 :] != block[k]
+            for m in (np.flatnonzero(ok) + k + 1).tolist():
+                if label[m] != label[k] and set_similarity(sets[k], sets[m]) >= similarity:
+                    left.append(nodes[k])
+                    right.append(nodes[m])
+                    label[label == label[m]] = label[k]
+        return left, right
+
+    return _in_cells(_cells(texts, "mins", "text"), edges)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, list_rows: int = 256) -> DataFrame:
@@ -271,36 +335,43 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.withColumnRenamed("doc_id", id_col)
 
 
-def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tables: int = 8, max_share: float = SIMILAR_SHARE, list_rows: int = 256) -> DataFrame:
-    """(id_col, component_id) of every row with an id: components of texts whose shingle sets are alike.
+def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILAR, list_rows: int = 256) -> DataFrame:
+    """(id_col, component_id) of every row with an id: components of texts whose shingle sets have a Jaccard similarity
+    of `similarity` at least. component_id is the smallest id reachable.
 
-    64 bits tell a Jaccard similarity of 0.8 by too few of their bits, and 4 differing ones find a fifth of such
-    pairs; so each text has `tables` fingerprints, the similarity is read off all their bits, and the byte index of
-    each table finds candidates. component_id is the smallest id reachable.
+    SimHash tells such a similarity too coarsely, at 512 bits still by a standard deviation of 0.02 and more; so
+    MinHash bands find the candidates, and pairs are linked by their sets of shingles alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scratch("fingerprints")
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(t, shingle, tables) for t in b.column(1).to_pylist()], pa.binary())], ["node", "fps"])
-
-    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), text_or_empty(text_col).alias("text"))
-    prints = materialize(map_arrow(named, run, "node long, fps binary"), "wide")
-    nodes = materialize(prints.groupBy("fps").agg(F.min("node").alias("node")), "wide_nodes")
-    # rows of one fingerprint hang on its smallest id, so hot groups of copies stay out of the index
-    labels = materialize(connected_components(wide_links(nodes, tables=tables, max_share=max_share, list_rows=list_rows)), "wide_labels")
-    least = materialize(labels.groupBy("label").agg(F.min("node").alias("least")), "wide_least")
+            sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
+            mins = [minhashes(x) for x in sets]
+            short = [(m >> np.uint64(32)).astype("<u4").tobytes() for m in mins]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(set_name, sets)), pa.int64()), pa.array(short, pa.binary()), pa.array(list(map(bands, mins)), pa.list_(pa.int64()))], ["id", "node", "mins", "bands"])
+
+    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    prints = materialize(map_arrow(named, run, "id long, node long, mins binary, bands array<long>"), "wide")
+    # rows of one set are one node, so hot groups of copies stay out of the index
+    nodes = materialize(prints.groupBy("node").agg(F.min("id").alias("rep"), F.min("mins").alias("mins"), F.min("bands").alias("bands")), "wide_nodes")
+    near = materialize(connected_components(candidate_links(nodes, similarity=similarity, list_rows=list_rows)), "wide_near")
+    lists = near.groupBy("label").agg(F.ceil(F.count("*") / list_rows).cast("int").alias("blocks"))
+    members = materialize(near.join(lists, "label").join(nodes, "node").select(F.col("label").alias("key"), "blocks", "node", "mins", "rep"), "wide_members")
+    texts = materialize(named.join(members, named["id"] == members["rep"]).select("key", "blocks", "node", "mins", "text"), "wide_texts")
+    labels = materialize(connected_components(similar_links(texts, shingle=shingle, similarity=similarity)), "wide_labels")
+    least = materialize(labels.join(nodes, "node").groupBy("label").agg(F.min("rep").alias("least")), "wide_least")
     linked = materialize(labels.join(least, "label").select("node", "least"), "wide_components")
-    heads = materialize(nodes.join(linked, "node", "left").select("fps", F.coalesce("least", "node").alias("component_id")), "wide_heads")
-    return prints.join(heads, "fps").select(F.col("node").alias(id_col), "component_id")
+    heads = materialize(nodes.join(linked, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id")), "wide_heads")
+    return prints.join(heads, "node").select(F.col("id").alias(id_col), "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tables: int = 8, max_share: float = SIMILAR_SHARE) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILAR) -> DataFrame:
     """The rows of `docs`, whole, that stand for their component: those whose id is the component's smallest.
 
     Rows repeated under one id leave one row. Rows with a null id stay: nothing names them.
     """
-    found = similar_documents(docs, id_col=id_col, text_col=text_col, shingle=shingle, tables=tables, max_share=max_share)
+    found = similar_documents(docs, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
     names = materialize(found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct(), "kept")
     # one plan at every size: rows are sorted by id once, and repeats lie together
     named = docs.join(names.hint("merge"), docs[id_col] == F.col("_kept"), "left_semi").dropDuplicates([id_col])
