@@ -102,6 +102,12 @@ def text_normalize(spark, sf):
     return docs.select("doc_id", T.normalize_layout(T.nfc("text")).alias("normalized"))
 
 
+@query()
+def text_normalize_all(spark, sf):
+    """Every document, those with e-mail addresses and URLs too, whose rules the SQL of text_normalize leaves out."""
+    return table(spark, sf, "documents").select("doc_id", T.normalize_layout(T.nfc("text")).alias("normalized"))
+
+
 @query(r"""WITH r AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda x: lower(regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'))), lambda x: x <> '') AS l FROM conversations),
 s AS (SELECT conv_id, count(*) AS pages FROM r GROUP BY conv_id), e AS (SELECT conv_id, unnest([l[1], l[-1]]) AS line FROM r WHERE len(l) > 0)
 SELECT conv_id AS doc_id, line, count(*) AS occurrences, any_value(pages) AS pages FROM e JOIN s USING (conv_id) WHERE length(line) <= 160 AND pages > 1 GROUP BY conv_id, line HAVING count(*) >= greatest(2, (3 * any_value(pages) + 4) // 5)""")
