@@ -103,7 +103,7 @@ class Levenshtein:
 
 def edits(term_length: int) -> int:
     """Edits allowed for a term: short ones would turn into other words."""
-    return 0 if term_length < 6 else 1 if term_length < 9 else 2
+    return 0 if term_length < 5 else 1 if term_length < 9 else 2
 
 
 @dataclass
@@ -120,8 +120,8 @@ class Lexicon:
         self.squeezed = frozenset(_RUNS.sub(r"\1", w) for w in self.words)
         self.sizes = tuple(sorted({len(s) for s in self.stems}))
         for w in sorted({*self.words, *self.stems}):
-            if k := edits(len(w)):
-                stem = w in self.stems
+            stem = w in self.stems
+            if (k := edits(len(w))) and not (stem and len(w) < 6):
                 self.trie.add(w, stem)
                 cut = [len(w) * i // (k + 1) for i in range(k + 2)]
                 for a, b in zip(cut, cut[1:], strict=False):

@@ -84,3 +84,11 @@ def test_similar_pairs_by_their_shingles(spark):
     apart = [found[a] == found[b] for a, b, s in pairs if 0.7 <= s < 0.8]
     assert len(close) > 40 and sum(close) >= 0.98 * len(close)
     assert len(apart) > 60 and not any(apart)
+
+
+def test_short_terms_are_found_misspelled():
+    lex = toxicity.Lexicon(frozenset("trash idiot loser moron clown".split()), frozenset())
+    bent = "idlot trsh clwn losr moorn morn moronn oron".split()
+    want = [3, 3, 3, 3, 0, 3, 3, 3]  # 'moorn' is two edits off
+    assert [lex.kind(w) for w in bent] == want
+    assert toxicity.Lexicon(lex.words, lex.stems, frozenset({"lower"})).kind("lower") == 0
