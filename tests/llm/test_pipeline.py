@@ -92,3 +92,18 @@ def test_short_terms_are_found_misspelled():
     want = [3, 3, 3, 3, 0, 3, 3, 3]  # 'moorn' is two edits off
     assert [lex.kind(w) for w in bent] == want
     assert toxicity.Lexicon(lex.words, lex.stems, frozenset({"lower"})).kind("lower") == 0
+
+
+def test_quotes_are_pairs_and_reporting_words_only_weigh():
+    lex = toxicity.Lexicon(frozenset({"idiot"}), frozenset())
+    w = toxicity.PRIOR
+
+    def logit(text):
+        return w[0] + sum(a * b for a, b in zip(w[1:], toxicity.features(text, lex, {}), strict=True))
+
+    for abuse in ("You’re an idiot and you don’t belong here", "mark my words, you idiot", 'he wrote 5" and you idiot took 7" of it'):
+        assert logit(abuse) > 0.8472978, abuse
+    for mention in ('the page has "idiot" in it', "la page «idiot» existe", "das Wort „idiot“ steht da", "the page has ‘an idiot’s guide’ in it"):
+        assert logit(mention) < 0, mention
+    plain, said = (toxicity.features(t, lex, {}) for t in ("an idiot came", "an idiot said"))
+    assert plain[:6] == said[:6] and said[6] > plain[6]
