@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..cluster import map_arrow
-from .common import table, text_or_empty
+from .common import Numbers, table, text_or_empty
 
 #: Unicode's White_Space, as the pattern's engine understands \s.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -58,13 +58,32 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(by_id), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in by_id])])
 
 
+#: The pattern for which texts are taken apart at single spaces and runs of letters need no pattern. Fixed value.
+COMMON_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 @lru_cache(maxsize=4)
 def splitter(pattern: str):
-    """A function from a text to its pre-tokens."""
+    """A function from a text to its pre-tokens; white space means what the library's engine takes for it."""
     import regex
 
-    pattern = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACE}\p{{L}}\p{{N}}]").replace(r"\s+(?!\S)|\s+", rf"[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-    return regex.compile(pattern).findall
+    out, inside, k = [], False, 0
+    while k < len(pattern):
+        two = pattern[k : k + 2]
+        if two == r"\s":
+            out.append(SPACE if inside else f"[{SPACE}]")
+        elif two == r"\S":
+            if inside:
+                raise ValueError(r"\S inside a character class is not supported")
+            out.append(f"[^{SPACE}]")
+        elif two[0] == "\\":
+            out.append(two)
+        else:
+            inside = two[0] == "[" or inside and two[0] != "]"
+            out.append(two[0])
+        k += 2 if two[0] == "\\" else 1
+    compiled = regex.compile("".join(out))
+    return lambda text: [m[0] for m in compiled.finditer(text)] if compiled.groups else compiled.findall(text)
 
 
 @lru_cache(maxsize=1)
@@ -74,26 +93,18 @@ def _odd_spaces():
     return regex.compile(rf"(?:\A|[{SPACE}]) | \Z").search
 
 
-class _Numbers(dict):
-    """Numbers keys 0, 1, ... in order of first use."""
-
-    def __missing__(self, key) -> int:
-        self[key] = n = len(self)
-        return n
-
-
 def _keys(text: str, findall, odd) -> list:
     """What a text is made of: strings stand between two single spaces (the first of them belongs to it), a tuple
-    holds one pre-token as it is."""
-    if odd(text):
+    holds one pre-token as it is. Patterns other than the common one (no `odd`) give pre-tokens alone."""
+    if odd is None or odd(text):
         return [(t,) for t in findall(text)]
     head, *tail = text.split(" ")
     return [*((t,) for t in findall(head)), *tail]
 
 
-def _words(keys: _Numbers, findall) -> tuple[_Numbers, np.ndarray, np.ndarray]:
+def _words(keys: Numbers, findall) -> tuple[Numbers, np.ndarray, np.ndarray]:
     """The pre-tokens of all keys, numbered by first use; and of each key, in order, how many it has and their numbers."""
-    numbers, size, flat = _Numbers(), np.ones(len(keys), np.int64), []
+    numbers, size, flat = Numbers(), np.ones(len(keys), np.int64), []
     number, put = numbers.__getitem__, flat.append
     for k, key in enumerate(keys):
         if type(key) is tuple:
@@ -153,8 +164,9 @@ def gather(values: np.ndarray, starts: np.ndarray, which: np.ndarray) -> np.ndar
 WORD_ROW = "word string, at long"
 PACK_ROW = "block long, kind int, n long, one binary, two binary"
 _PACK = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("one", pa.binary()), ("two", pa.binary())])
-#: Word numbers within a block take the low bits of `at`, its block the high ones.
-NUMBER_BITS = 30
+#: Word numbers within a block take the low bits of `at`, its block the high ones: partition, then block of the partition.
+NUMBER_BITS = 26
+BLOCK_BITS = 14
 NUMBERS = (1 << NUMBER_BITS) - 1
 ROW_KEYS = 1 << 17
 
@@ -163,14 +175,14 @@ def _pack(block: int, kind: int, n: int, one: bytes, two: bytes) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((block, kind, n, one, two), _PACK, strict=True)], schema=_PACK)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int, place: bool) -> Iterator[tuple[int, list, list[np.ndarray], _Numbers]]:
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int, place: bool) -> Iterator[tuple[int, list, list[np.ndarray], Numbers]]:
     """(block, ids, with `place` the key numbers of each text, the block's keys), block by block."""
-    findall, odd = splitter(pattern), _odd_spaces()
-    block, chars, keys, ids, seqs = None, 0, _Numbers(), [], []
+    findall, odd = splitter(pattern), _odd_spaces() if pattern == COMMON_PATTERN else None
+    block, chars, keys, ids, seqs = None, 0, Numbers(), [], []
     number = keys.__getitem__
     for b in batches:
         if block is None and len(b):
-            block = b.column(2)[0].as_py() << 10
+            block = first = b.column(2)[0].as_py() << BLOCK_BITS
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             found = _keys(text, findall, odd)
             if place:
@@ -182,7 +194,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int, p
             chars += len(text)
             if chars >= block_chars:
                 yield block, ids, seqs, keys
-                block, chars, keys, ids, seqs = block + 1, 0, _Numbers(), [], []
+                if block + 1 == first + (1 << BLOCK_BITS):
+                    raise ValueError(f"over {1 << BLOCK_BITS} blocks of {block_chars} characters in a partition")
+                block, chars, keys, ids, seqs = block + 1, 0, Numbers(), [], []
                 number = keys.__getitem__
     if block is not None:
         yield block, ids, seqs, keys
@@ -201,6 +215,8 @@ def distinct_words(docs: DataFrame, pattern: str, block_chars: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, _, keys in _blocks(batches, pattern, block_chars, False):
             names = list(_words(keys, splitter(pattern))[0])
+            if len(names) > NUMBERS:
+                raise ValueError(f"over {NUMBERS} distinct words in a block")
             for k in range(0, len(names), 50_000):
                 part = names[k : k + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.arange(k, k + len(part)) + (block << NUMBER_BITS))], ["word", "at"])
@@ -272,7 +288,14 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     return map_arrow(words, run, PACK_ROW)
 
 
-def encode(docs: DataFrame, *, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def partitions_for(docs: DataFrame, bytes_each: int = 1 << 27) -> tuple[int, ...]:
+    """How many partitions to ask of repartition(): none where the session's number will do (adaptive execution then joins
+    small ones), else one for each `bytes_each` that the optimizer expects of `docs`, since nothing splits them later."""
+    n = -(-int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // bytes_each)
+    return (min(n, 1 << 20),) if n > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else ()
+
+
+def encode(docs: DataFrame, *, path: str, pattern: str = COMMON_PATTERN, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(id_col long, ids binary): each row's ids as little-endian unsigned 32-bit integers.
 
     As tiktoken's encode_ordinary with the ranks at `path` and `pattern` would give; null and empty texts have no
@@ -281,8 +304,9 @@ def encode(docs: DataFrame, *, path: str, pattern: str, id_col: str = "doc_id",
     is compared, and a difference is an error, never a wrong result.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.spark_partition_id().alias("part"))
-    words = encode_words(distinct_words(source, pattern, block_chars).repartition("word").sortWithinPartitions("word"), path)
-    both = words.unionByName(positions(source, pattern, block_chars)).repartition("block").sortWithinPartitions("block", F.expr("CASE kind WHEN 0 THEN 0 WHEN 2 THEN 1 ELSE 2 END"), "n")
+    parts = partitions_for(docs)
+    words = encode_words(distinct_words(source, pattern, block_chars).repartition(*parts, "word").sortWithinPartitions("word"), path)
+    both = words.unionByName(positions(source, pattern, block_chars)).repartition(*parts, "block").sortWithinPartitions("block", F.expr("CASE kind WHEN 0 THEN 0 WHEN 2 THEN 1 ELSE 2 END"), "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress

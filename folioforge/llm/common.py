@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests, local mode)."""
+    """The folder named in spark.checkpoint.dir; a temporary one where that is unset, in local mode alone."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(spark, "_folioforge_dir", None) or tempfile.mkdtemp(prefix="folioforge-")
         spark._folioforge_dir = base
     return base.rstrip("/")
@@ -30,14 +33,50 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back.
 
-    Cuts lineage in a way that outlives executors: a later stage that is recomputed reads these files.
+    Cuts lineage in a way that outlives executors: a later stage that is recomputed reads these files. They stay until
+    the caller deletes them; see written_tables().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folioforge/{uuid.uuid4().hex}/{tag}"
     df.write.option("compression", "zstd").parquet(path)
+    for paths in _written:
+        paths.append(path.rsplit("/", 1)[0])
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[list[str]] = []
+
+
+@contextmanager
+def written_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that materialize() wrote within; results have to be stored by then."""
+    paths: list[str] = []
+    _written.append(paths)
+    try:
+        yield
+    finally:
+        _written.remove(paths)
+        for path in paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """`names`, with as many leading underscores as it takes to be no column of `df`."""
+    taken, before = {c.lower() for c in df.columns}, "_"
+    while taken & {f"{before}{n}".lower() for n in names}:
+        before += "_"
+    return [before + n for n in names]
+
+
+class Numbers(dict):
+    """Numbers keys 0, 1, ... in order of first use."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 _scratch: dict[str, dict] = {}
 
 
@@ -52,28 +91,30 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def rank_in_group(df: DataFrame, group: Sequence[str], key: str, out: str, most: int = 50_000) -> DataFrame:
-    """A gapless 0-based rank of each row within `group`, in order of `key`, a long spread evenly over 64 bits.
+def rank_in_group(df: DataFrame, group: Sequence[str], key: str, row: str, out: str, most: int = 50_000) -> DataFrame:
+    """A gapless 0-based rank of each row within `group`, in order of `key`, a long spread evenly over 64 bits, then `row`,
+    a number of its own for each row.
 
     A group is cut into 2^b chunks by the high bits of `key`, b from the group's own count, so that no task sorts
     much more than a thousandth of all rows (500 at least, `most` at most). `df` has to be a stable table (see
-    materialize). Rows that tie on `key` and on every other column are interchangeable.
+    materialize).
     """
-    sizes = df.groupBy(*group).count()
-    total = sizes.agg(F.sum("count")).first()[0] or 0
+    names = spare(df, "bits", "chunk", "c", "start", "n", *(f"g{i}" for i in range(len(group))))
+    bits_, chunk_, c_, start_, n_, *same_ = names
+    sizes = df.groupBy(*group).agg(F.count("*").alias(n_))
+    total = sizes.agg(F.sum(n_)).first()[0] or 0
     rows = max(500, min(most, total // 1000))
-    bits = materialize(sizes.select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)), F.greatest(F.lit(0), F.ceil(F.log2(F.col("count") / rows))).cast("int").alias("_bits")), "group_sizes")
-    same = [df[c].eqNullSafe(bits[f"_g{i}"]) for i, c in enumerate(group)]
+    bits = materialize(sizes.select(*(F.col(c).alias(g) for c, g in zip(group, same_, strict=True)), F.greatest(F.lit(0), F.ceil(F.log2(F.col(n_) / rows))).cast("int").alias(bits_)), "group_sizes")
+    same = [df[c].eqNullSafe(bits[g]) for c, g in zip(group, same_, strict=True)]
     spread = F.col(key).bitwiseXOR(F.lit(-(1 << 63)))
-    chunk = F.when(F.col("_bits") == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", spread, 64 - F.col("_bits")))
-    cut = df.join(bits, same, "left").withColumn("_chunk", chunk).select(*df.columns, "_chunk")
-    before = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counted = cut.groupBy(*group, "_chunk").count()
-    starts = materialize(counted.select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)), F.col("_chunk").alias("_c"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start")), "starts")
-    inside = Window.partitionBy(*group, "_chunk").orderBy(key, *(c for c in df.columns if c not in (*group, key)))
-    ranked = cut.withColumn("_n", F.row_number().over(inside) - 1)
-    same = [ranked[c].eqNullSafe(starts[f"_g{i}"]) for i, c in enumerate(group)] + [ranked["_chunk"] == starts["_c"]]
-    return ranked.join(starts, same, "left").select(*df.columns, (F.col("_start") + F.col("_n")).cast("long").alias(out))
+    chunk = F.when(F.col(bits_) == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", spread, 64 - F.col(bits_)))
+    cut = df.join(bits, same, "left").withColumn(chunk_, chunk).select(*df.columns, chunk_)
+    before = Window.partitionBy(*group).orderBy(chunk_).rowsBetween(Window.unboundedPreceding, -1)
+    counted = cut.groupBy(*group, chunk_).agg(F.count("*").alias(n_))
+    starts = materialize(counted.select(*(F.col(c).alias(g) for c, g in zip(group, same_, strict=True)), F.col(chunk_).alias(c_), F.coalesce(F.sum(n_).over(before), F.lit(0)).alias(start_)), "starts")
+    ranked = cut.withColumn(n_, F.row_number().over(Window.partitionBy(*group, chunk_).orderBy(key, row)) - 1)
+    same = [ranked[c].eqNullSafe(starts[g]) for c, g in zip(group, same_, strict=True)] + [ranked[chunk_] == starts[c_]]
+    return ranked.join(starts, same, "left").select(*df.columns, (F.col(start_) + F.col(n_)).cast("long").alias(out))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -12,102 +12,158 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..cluster import map_arrow
-from .common import materialize, rank_in_group, scratch, table, text_or_empty
+from .common import Numbers, materialize, rank_in_group, scratch, spare, table, text_or_empty
 
 CAPACITY = 4096
 END_ID = 1
 MEMO_WORDS = 1_000_000
-MARKS = frozenset(".,!?;:")
+#: Texts of about so many bytes are encoded at a time.
+GROUP_BYTES = 1 << 23
+#: ASCII marks that are one pre-token together; an apostrophe may begin one with letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 @lru_cache(maxsize=2)
 def _encoder(path: str):
-    """A function from texts to lists of ids, and a flag for each id: whether it ends a pre-token."""
+    """A function from texts to lists of ids, a flag for each id: whether it ends a pre-token, and the strings that the
+    tokenizer takes for one id wherever they stand."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     many = getattr(t, "encode_batch_fast", t.encode_batch)
     ends = np.zeros(t.get_vocab_size(with_added_tokens=True), bool)
     suffix = getattr(t.model, "end_of_word_suffix", None)
     if suffix:
         for token, i in t.get_vocab(with_added_tokens=False).items():
             ends[i] = token.endswith(suffix)
-    return (lambda texts: [e.ids for e in many(texts, add_special_tokens=False)]), ends
+    added = tuple(x.content for x in t.get_added_tokens_decoder().values())
+    return (lambda texts: [e.ids for e in many(texts, add_special_tokens=False)]), ends, added
 
 
-def _bytes(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
-
-
-def _learn(new: list[str], memo: dict[str, bytes], path: str) -> None:
-    """Put the ids of the strings `new`, which hold no white space, into `memo`.
+class Vocabulary:
+    """The ids of strings without white space, each learned once: `ids` end to end, where each string's start and how many.
 
     Runs of letters are one pre-token each, so many go through the tokenizer as one text whose ids are cut where
-    pre-tokens end; a mark after such a run is a pre-token of its own. All others are encoded one by one.
+    pre-tokens end; marks behind such a run are a pre-token of their own. All others are encoded one by one.
     """
-    encode, ends = _encoder(path)
-    words, marked, rest = set(), [], []
-    for w in new:
-        if w.isalpha():
-            words.add(w)
-        elif w[-1] in MARKS and w[:-1].isalpha():
-            words.add(w[:-1])
-            words.add(w[-1])
-            marked.append(w)
-        else:
-            rest.append(w)
-    letters = list(words.difference(memo))
-    groups = [letters[k : k + 256] for k in range(0, len(letters), 256)]
-    for group, ids in zip(groups, encode([" ".join(g) for g in groups]), strict=True):
-        ids = np.array(ids, "<u4")
-        cuts = np.flatnonzero(ends[ids]) + 1
-        if len(cuts) == len(group) and cuts[-1] == len(ids):
-            flat, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
-            memo.update(zip(group, [flat[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
-        else:
-            rest += group
-    for k in range(0, len(rest), 10_000):
-        memo.update(zip(rest[k : k + 10_000], map(_bytes, encode(rest[k : k + 10_000])), strict=True))
-    for w in marked:
-        memo[w] = memo[w[:-1]] + memo[w[-1]]
-
-
-@lru_cache(maxsize=1)
-def _plain():
-    """Texts whose only white space is what str.split and the tokenizer both take for white space."""
-    import re
-
-    return re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff]").search
-
-
-def token_ids(texts: list[str], path: str) -> list[bytes]:
-    """Ids (little-endian unsigned 32-bit) of whole texts.
+
+    def __init__(self, path: str):
+        self.encode, self.ends, _ = _encoder(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.ids, self.starts, self.sizes = Numbers(), np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The numbers of `words`, new ones learned."""
+        first = len(self.words)
+        out = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        if len(self.words) > first:
+            self._learn(first)
+        return out
+
+    def _since(self, first: int) -> list[str]:
+        return list(islice(reversed(self.words), len(self.words) - first))[::-1]
+
+    def _learn(self, first: int) -> None:
+        number, letters, rest, marked = self.words.__getitem__, [], [], []
+        whole = len(self.words)
+        for n, w in enumerate(self._since(first), first):
+            if w.isalpha():
+                letters.append((n, w))
+            elif (run := w.rstrip(MARKS)).isalpha() and (run.isascii() or normalize("NFC", run).lower().isalpha()):
+                marked.append((n, number(run), number(w[len(run) :])))
+            else:
+                rest.append((n, w))
+        for n, w in enumerate(self._since(whole), whole):
+            (letters if w.isalpha() else rest).append((n, w))
+        self.starts, self.sizes = (np.concatenate([x, np.zeros(len(self.words) - len(x), np.int64)]) for x in (self.starts, self.sizes))
+        groups = [letters[k : k + 256] for k in range(0, len(letters), 256)]
+        at, ids, sizes = [], [], []
+        for group, found in zip(groups, self.encode([" ".join([w for _, w in g]) for g in groups]), strict=True):
+            found = np.array(found, "<u4")
+            cuts = np.flatnonzero(self.ends[found]) + 1
+            if len(cuts) == len(group) and cuts[-1] == len(found):
+                at += [n for n, _ in group]
+                ids.append(found)
+                sizes.append(np.diff(cuts, prepend=0))
+            else:
+                rest += group
+        for (n, _), found in zip(rest, self.encode([w for _, w in rest]), strict=True):
+            at.append(n)
+            ids.append(np.array(found, "<u4"))
+            sizes.append([len(found)])
+        self._put(np.array(at, np.int64), ids, sizes)
+        if marked:
+            n, run, mark = np.array(marked, np.int64).T
+            self._put(n, [self.of(np.stack([run, mark], 1).ravel())], [self.sizes[run] + self.sizes[mark]])
+
+    def _put(self, at: np.ndarray, ids: list, sizes: list) -> None:
+        if len(at):
+            self.sizes[at] = size = np.concatenate(sizes)
+            self.starts[at] = len(self.ids) + np.cumsum(size) - size
+            self.ids = np.concatenate([self.ids, *ids])
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of the strings with these numbers, end to end."""
+        size = self.sizes[numbers]
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(self.starts[numbers] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+#: White space that Arrow and the tokenizer do not both take for white space, or that few texts hold.
+RARE_SPACE = r"[\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]"
+#: Beyond these characters the tokenizer's lower case, letter by letter after composition, may be another than Arrow's.
+BEYOND = r"[^\x00-\x{12f}\x{131}-\x{17f}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20ac}]"
+
+
+def token_ids(texts: pa.Array, path: str) -> Iterator[memoryview]:
+    """Ids (little-endian unsigned 32-bit) of whole texts, as the plain tokenizer gives them without special tokens.
 
     The tokenizer drops white space and never merges across it, so each distinct string between white space is
-    encoded once and kept, as long as the memo has room. Texts with rarer white space are encoded whole.
+    encoded once and kept, as long as the memo has room. Texts with rarer white space, and those that hold the name of
+    an added token (which is one id), are encoded whole. Case is folded first where that cannot change the ids.
     """
-    odd, memo = _plain(), scratch(f"ids of {path}")
-    split = [None if odd(t) else t.split() for t in texts]
-    distinct = set().union(*(w for w in split if w))
-    new = distinct.difference(memo)
-    if new and len(memo) + 2 * len(new) > MEMO_WORDS:
-        memo.clear()
-        new = distinct
-    _learn(list(new), memo, path)
-    return [_bytes(_encoder(path)[0]([t])[0]) if w is None else b"".join(map(memo.__getitem__, w)) for t, w in zip(texts, split, strict=True)]
+    encode, _, added = _encoder(path)
+    memo = scratch(f"ids of {path}")
+    if "words" not in memo:
+        memo["words"] = Vocabulary(path)
+    known, ends = memo["words"], np.cumsum(pc.binary_length(texts).to_numpy())
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(ends, GROUP_BYTES + (ends[first - 1] if first else 0), "right")))
+        some = texts.slice(first, last - first)
+        whole = pc.match_substring_regex(some, RARE_SPACE)
+        for name in added:
+            whole = pc.or_(whole, pc.match_substring(some, name))
+        split = pc.if_else(pc.match_substring_regex(some, BEYOND), some, pc.utf8_lower(some))
+        split = pc.ascii_split_whitespace(pc.if_else(whole, "", split))
+        words = split.flatten().dictionary_encode()
+        if len(known.words) > MEMO_WORDS:
+            known.clear()
+        names = words.dictionary.to_pylist()
+        numbers = known.numbers(names)[words.indices.to_numpy()]
+        cuts = split.offsets.to_numpy() - split.offsets[0].as_py()
+        sums = (4 * np.concatenate([[0], np.cumsum(known.sizes[numbers])])[cuts]).tolist()
+        data = memoryview(known.of(numbers).tobytes())
+        for k, alone in enumerate(whole.to_pylist()):
+            yield memoryview(np.array(encode([some[k].as_py()])[0], "<u4").tobytes()) if alone else data[sums[k] : sums[k + 1]]
+        first = last
 
 
 def pieces(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int | None = END_ID, keep_ids: bool = False) -> DataFrame:
@@ -120,11 +176,12 @@ def pieces(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for b in batches:
-            names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for k in range(0, len(names), 256):
+            names, texts = b.column(0).to_pylist(), b.column(1)
+            found = zip(names, token_ids(texts, path), strict=True)
+            for _ in range(0, len(names), 256):
                 cols: list[list] = [[], [], [], [], [], []]
-                for name, ids in zip(names[k : k + 256], token_ids(texts[k : k + 256], path), strict=True):
-                    ids += tail
+                for name, ids in islice(found, 256):
+                    ids = bytes(ids) + tail
                     for i, at in enumerate(range(0, max(len(ids), 1), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
                         for col, v in zip(cols, (name, i, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None), strict=True):
@@ -181,20 +238,25 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 def assign(parts: DataFrame, *, length_col: str = "length", capacity: int = CAPACITY, seed: int = 0) -> DataFrame:
     """`parts` with sequence_id and offset: as few sequences of at most `capacity` as best fit makes.
 
-    `parts` has to be a stable table (see materialize) with lengths from 1 to `capacity`. Runs of the plan number
-    in the tens of thousands at most, whatever the number of rows: each one uses up a length or a range of bins.
+    Lengths are from 1 to `capacity`; columns of `parts` must not be named sequence_id or offset, any others stay as
+    they are. Runs of the plan number in the tens of thousands at most, whatever the number of rows: each one uses up a
+    length or a range of bins.
     """
-    counts = {r[0]: r[1] for r in parts.groupBy(length_col).count().collect()}  # at most `capacity` rows
+    clash = {"sequence_id", "offset"} & {c.lower() for c in parts.columns}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} would be overwritten")
+    row, key, rank_ = spare(parts, "row", "key", "rank")
+    rest, fields = parts.columns, StructType([*parts.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    parts = materialize(parts.withColumn(row, F.monotonically_increasing_id()), "pieces")
+    counts = {r[0]: r[1] for r in parts.groupBy(length_col).agg(F.count("*")).collect()}  # at most `capacity` rows
     runs = plan(counts, capacity)
     whole = np.array(runs, np.int64).reshape(-1, 6)
     whole = whole[np.lexsort((whole[:, 1], whole[:, 0]))]
     names, first = np.unique(whole[:, 0], return_index=True)
     by_length = {int(n): r[:, 1:] for n, r in zip(names, np.split(whole, first[1:]), strict=True)} if len(runs) else {}
     sent = parts.sparkSession.sparkContext.broadcast(by_length)
-    rest = parts.columns
-    keyed = parts.withColumn("_key", F.xxhash64(F.lit(seed), *rest))
-    ranked = rank_in_group(keyed, [length_col], "_key", "_rank").drop("_key")
-    fields = StructType([*parts.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    keyed = parts.withColumn(key, F.xxhash64(F.lit(seed), row))
+    ranked = rank_in_group(keyed, [length_col], key, row, rank_).drop(key, row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs_of = sent.value
@@ -215,7 +277,7 @@ def assign(parts: DataFrame, *, length_col: str = "length", capacity: int = CAPA
 
 def pack(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int | None = END_ID, keep_ids: bool = False) -> DataFrame:
     """One row per piece of each row of `docs`: pieces() with its sequence_id and offset, gapless from 0."""
-    return assign(materialize(pieces(docs, path=path, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id, keep_ids=keep_ids), "pieces"), capacity=capacity)
+    return assign(pieces(docs, path=path, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id, keep_ids=keep_ids), capacity=capacity)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, rank_in_group, table, text_or_empty
+from .common import materialize, rank_in_group, spare, table, text_or_empty
 
 LOCAL = (1 << 33) - 1
 
@@ -61,22 +61,24 @@ def shuffle_into_shards(df: DataFrame, *, shards: int, seed: int = 0) -> DataFra
     """The rows of `df` with `shard` (int) and `slot` (long): a uniform random order, shard sizes at most one apart.
 
     Every row counts by itself: nulls, ties and repeated rows are dealt like any other; an empty table stays empty.
-    Columns of `df` must not be named shard or slot. What the driver gathers is one count per input partition.
+    Columns of `df` must not be named shard or slot; any others stay as they are. What the driver gathers is one count
+    per input partition.
     """
-    clash = {"shard", "slot"} & set(df.columns)
+    clash = {"shard", "slot"} & {c.lower() for c in df.columns}
     if clash:
         raise ValueError(f"columns {sorted(clash)} would be overwritten")
-    local = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_key", F.xxhash64(F.lit(seed), "_row"))
-    local = local.sortWithinPartitions("_key", "_row").withColumn("_rank", F.monotonically_increasing_id().bitwiseAND(F.lit(LOCAL)))
-    local = materialize(local.withColumn("_part", F.shiftright("_row", 33)), "permuted")
-    sizes = {r[0]: r[1] for r in local.groupBy("_part").count().collect()}
+    row, key, rank, part, cuts_, again = spare(df, "row", "key", "rank", "part", "cuts", "again")
+    local = df.withColumn(row, F.monotonically_increasing_id()).withColumn(key, F.xxhash64(F.lit(seed), row))
+    local = local.sortWithinPartitions(key, row).withColumn(rank, F.monotonically_increasing_id().bitwiseAND(F.lit(LOCAL)))
+    local = materialize(local.withColumn(part, F.shiftright(row, 33)), "permuted")
+    sizes = {r[0]: r[1] for r in local.groupBy(part).agg(F.count("*")).collect()}
     parts = sorted(sizes)
     matrix = communication_matrix([sizes[p] for p in parts], shards, seed)
-    cuts = df.sparkSession.createDataFrame([(int(p), [int(x) for x in np.cumsum(row)]) for p, row in zip(parts, matrix, strict=True)], "_part long, _cuts array<long>")
-    dealt = local.join(F.broadcast(cuts) if len(parts) <= 100_000 else cuts, "_part")
-    dealt = dealt.withColumn("shard", F.size(F.filter("_cuts", lambda c: c <= F.col("_rank"))).cast("int"))
-    dealt = dealt.withColumn("_again", F.xxhash64(F.lit(~seed), "_row")).select(*df.columns, "shard", "_again")
-    return rank_in_group(dealt, ["shard"], "_again", "slot").drop("_again")
+    cuts = df.sparkSession.createDataFrame([(int(p), [int(x) for x in np.cumsum(n)]) for p, n in zip(parts, matrix, strict=True)], f"{part} long, {cuts_} array<long>")
+    dealt = local.join(F.broadcast(cuts) if len(parts) <= 100_000 else cuts, part)
+    dealt = dealt.withColumn("shard", F.size(F.filter(cuts_, lambda c: c <= F.col(rank))).cast("int"))
+    dealt = dealt.withColumn(again, F.xxhash64(F.lit(~seed), row)).select(*df.columns, "shard", row, again)
+    return rank_in_group(dealt, ["shard"], again, row, "slot").drop(row, again)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
