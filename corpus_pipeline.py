@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.llm import packing, quality, simhash, toxicity
-from folioforge.llm.common import shared_dir, table
+from folioforge.llm.common import shared_dir, table, written_tables
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -38,7 +38,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/folioforge/{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{base}/{name}")
+        with written_tables(spark):  # a stage's own tables go once its result is stored
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{base}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{base}/{name}")
     return docs

@@ -5,7 +5,8 @@ least 4 bytes in place. A posting list per single positional byte would hold 1/2
 therefore kept on the 20 byte triples of a covering design: every set of 4 positions contains at least one of
 them, so each pair that reaches the 4 shared bytes meets in a list, and no other lists are needed. In a list the
 shared positional bytes of each pair are tallied, pairs under the guaranteed minimum go, the rest are verified by
-their differing bits. Lists over `list_rows` are cut into blocks, and each pair of blocks is its own group; from
+their differing bits. Long lists are keyed anew by a fourth byte, which every pair shares, and where that does not
+part them by half bytes. Lists over `list_rows` are cut into blocks, and each pair of blocks is its own group; from
 a group only the edges of a spanning forest leave, never all its pairs.
 """
 
@@ -19,9 +20,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..cluster import map_arrow
-from .common import connected_components, materialize, scratch, table, text_or_empty
+from .common import connected_components, materialize, scratch, spare, table, text_or_empty
 
 NBYTES = 8
 SEED = 42
@@ -85,27 +87,29 @@ def set_name(shingles: np.ndarray) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(shingles.tobytes(), SEED), np.uint64).view(np.int64))
 
 
-#: Rows in a band and bands of a MinHash signature. A pair with a Jaccard similarity of 0.8 misses every band with a
-#: chance of (1 - 0.8^5)^14 = 0.4 %.
+#: Positional bytes of a wide fingerprint: BANDS runs of BAND_ROWS, each byte the lowest of a MinHash of the shingle set. Two
+#: texts share a byte with a chance of their Jaccard similarity (and 1/256 of the rest), so a pair at 0.8 shares no whole
+#: run with a chance of (1 - 0.8^5)^14 = 0.4 %.
 BAND_ROWS, BANDS = 5, 14
 _MIXES = np.array([xxhash.xxh64_intdigest(k.to_bytes(4, "little"), SEED) | 1 for k in range(2 * BAND_ROWS * BANDS)], np.uint64)
 
 
-def minhashes(shingles: np.ndarray) -> np.ndarray:
-    """BAND_ROWS * BANDS MinHashes of a set of hashes, as unsigned longs; all ones for an empty set."""
+def position_bytes(shingles: np.ndarray) -> np.ndarray:
+    """The wide fingerprint of a set of hashes: BAND_ROWS * BANDS bytes; all 255 for an empty set."""
     out, (flip, times) = np.full(BAND_ROWS * BANDS, 2**64 - 1, np.uint64), _MIXES.reshape(2, -1)
     for k in range(0, len(shingles), 512):
         x = (shingles[k : k + 512, None] ^ flip) * times
         x ^= x >> np.uint64(32)
         x *= np.uint64(0x9E3779B97F4A7C15)
         out = np.minimum(out, x.min(0))
-    return out
+    return out.astype(np.uint8)
 
 
-def bands(mins: np.ndarray) -> list[int]:
-    """One key for each band, a signed long that tells the band and its MinHashes."""
-    rows = mins.reshape(BANDS, BAND_ROWS)
-    return np.array([xxhash.xxh3_64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64).tolist()
+def runs(positions: np.ndarray) -> list[int]:
+    """One key for each run of positions: its number and its bytes, as a long."""
+    rows = np.zeros((BANDS, 8), np.uint8)
+    rows[:, :BAND_ROWS], rows[:, BAND_ROWS] = positions.reshape(BANDS, BAND_ROWS), np.arange(BANDS)
+    return rows.view("<i8").ravel().tolist()
 
 
 def set_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -153,6 +157,7 @@ def _forest(fps: np.ndarray, block: np.ndarray, i: int, j: int, min_shared: int,
     a, b = _spanning(linked)
     return fps[a], fps[b]
 
+
 def _spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ends of chains through the components of a symmetric matrix of links."""
     n = len(linked)
@@ -169,20 +174,63 @@ def _spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[:-1][same], order[1:][same]
 
 
-def links(fps: DataFrame, *, max_bits: int = 4, list_rows: int = 256) -> DataFrame:
+def _byte(p: int):
+    return F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255).cast("long"))
+
+
+def _by_triple(fps: DataFrame) -> DataFrame:
+    """(key, used, fp): the postings of the 20 triples; `used` has a bit for each position in the key."""
+    keys = [F.struct(F.shiftleft(F.lit(k).cast("long"), 24).bitwiseOR(F.shiftleft(_byte(x), 16)).bitwiseOR(F.shiftleft(_byte(y), 8)).bitwiseOR(_byte(z)).alias("key"), F.lit(1 << x | 1 << y | 1 << z).alias("used")) for k, (x, y, z) in enumerate(covering_triples())]
+    return fps.select("fp", F.explode(F.array(*keys)).alias("x")).select("x.key", "x.used", "fp")
+
+
+def _by_fourth(hot: DataFrame) -> DataFrame:
+    """Pairs share four bytes at least, so those of a triple's list meet again under one of its five other bytes."""
+    mask = [F.when(F.col("used").bitwiseAND(F.lit(1 << p)) != 0, F.lit((255 << 8 * p) - (1 << 64 if p == 7 else 0)).cast("long")).otherwise(F.lit(0).cast("long")) for p in range(NBYTES)]
+    more = hot.select("fp", "used", F.explode(F.array(*map(F.lit, range(NBYTES)))).alias("p"))
+    more = more.where(F.expr("used & shiftleft(1, p) = 0")).select("fp", F.expr("used | shiftleft(1, p)").alias("used"))
+    masked = F.col("fp").bitwiseAND(F.aggregate(F.array(*mask), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
+    return more.select(F.xxhash64("used", masked).alias("key"), "used", "fp").distinct()
+
+
+def _by_halves(hot: DataFrame) -> DataFrame:
+    """Under four equal bytes, the eight half bytes of the others differ in four places at most: triples of those."""
+    at = F.filter(F.array(*map(F.lit, range(NBYTES))), lambda p: F.expr("used").bitwiseAND(F.call_function("shiftleft", F.lit(1), p)) == 0)
+    rest = F.aggregate(at, F.lit(0).cast("long"), lambda a, p: F.shiftleft(a, 8).bitwiseOR(F.call_function("shiftrightunsigned", F.col("fp"), 8 * p).bitwiseAND(F.lit(255).cast("long"))))
+    half = [F.shiftright("_rest", 4 * p).bitwiseAND(F.lit(15).cast("long")) for p in range(NBYTES)]
+    keys = F.array(*(F.xxhash64("key", F.lit(k), half[x], half[y], half[z]) for k, (x, y, z) in enumerate(covering_triples())))
+    return hot.withColumn("_rest", rest).select(F.explode(keys).alias("key"), "used", "fp")
+
+
+#: Fingerprints in a list from which it is keyed anew instead of compared.
+HOT_ROWS = 1024
+
+
+def links(fps: DataFrame, *, max_bits: int = 4, list_rows: int = 256, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(a, b): edges that connect the distinct fingerprints `fps` (a table with column fp) exactly as all pairs of
-    at most `max_bits` (4 at most) differing bits do."""
+    at most `max_bits` (4 at most) differing bits do.
+
+    Lists over `hot_rows` are keyed anew by a fourth byte, those still over it by half bytes; what then remains shares 44
+    of 64 bits, so it is bounded, and is compared in blocks.
+    """
     if not 0 <= max_bits <= 4:
         raise ValueError("the index guarantees recall for 0 to 4 differing bits")
-    min_shared = NBYTES - max_bits
-
-    def byte(p: int):
-        return F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255).cast("long"))
-
-    keys = [F.shiftleft(F.lit(k).cast("long"), 24).bitwiseOR(F.shiftleft(byte(x), 16)).bitwiseOR(F.shiftleft(byte(y), 8)).bitwiseOR(byte(z)) for k, (x, y, z) in enumerate(covering_triples())]
-    postings = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    lists = materialize(postings.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / list_rows).cast("int").alias("blocks")), "lists")
-    rows = postings.join(lists, "key").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+    min_shared, found, postings = NBYTES - max_bits, [], _by_triple(fps)
+    for again in (_by_fourth, _by_halves, None):
+        lists = materialize(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lists")
+        met = postings.join(lists, "key")
+        if again is None:
+            found.append(met)
+            break
+        found.append(met.where(F.col("n") <= hot_rows))
+        hot = materialize(met.where(F.col("n") > hot_rows), "hot")
+        if hot.isEmpty():
+            break
+        postings = again(hot)
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / list_rows).cast("int")).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,40 +299,40 @@ def _in_cells(rows: DataFrame, edges) -> DataFrame:
 
 #: Jaccard similarity of five-word shingle sets from which two texts are near-duplicates.
 SIMILAR = 0.8
-#: By how much the share of equal MinHashes may fall short of the similarity before a pair is not looked at: over
+#: By how much the share of equal positional bytes may fall short of the similarity before a pair is not looked at: over
 #: four standard deviations at 0.8.
 SLACK = 0.2
 
 
 def candidate_links(nodes: DataFrame, *, similarity: float = SIMILAR, list_rows: int = 256) -> DataFrame:
-    """(a, b): edges of spanning forests of the candidate pairs of `nodes` (node long, mins binary, bands array of longs).
+    """(a, b): edges of spanning forests of the candidate pairs of `nodes` (node long, bytes binary, runs array of longs).
 
-    Candidates share a band, and no smaller share of their MinHashes than `similarity` less SLACK. Only ids go through
-    the index; MinHashes join the rows of lists that hold more than one.
+    Candidates share a run of bytes, and no smaller share of all positional bytes than `similarity` less SLACK: the tally
+    of a pair. Only ids go through the index; the bytes join the rows of lists that hold more than one.
     """
     least = (similarity - SLACK) * BAND_ROWS * BANDS
-    postings = nodes.select("node", F.explode("bands").alias("key"))
+    postings = nodes.select("node", F.explode("runs").alias("key"))
     lists = materialize(postings.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / list_rows).cast("int").alias("blocks")), "wide_lists")
     found = materialize(postings.join(lists, "key"), "wide_postings")
 
     def edges(b: pa.RecordBatch, between: bool) -> tuple[np.ndarray, np.ndarray]:
         block, node = b.column(3).to_numpy(), b.column(4).to_numpy()
-        mins = np.frombuffer(b"".join(b.column(5).to_pylist()), "<u4").reshape(len(b), -1)
+        held = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(len(b), -1)
         linked = np.zeros((len(b), len(b)), bool)
         for k in range(0, len(b), 32):
-            linked[k : k + 32] = (mins[k : k + 32, None, :] == mins[None, :, :]).sum(-1) >= least
+            linked[k : k + 32] = (held[k : k + 32, None, :] == held[None, :, :]).sum(-1, dtype=np.uint8) >= least
         if between:
             linked &= block[:, None] != block[None, :]
         x, y = _spanning(linked)
         return node[x], node[y]
 
-    return _in_cells(_cells(found.join(nodes.select("node", "mins"), "node"), "mins"), edges)
+    return _in_cells(_cells(found.join(nodes.select("node", "bytes"), "node"), "bytes"), edges)
 
 
 def similar_links(texts: DataFrame, *, shingle: int, similarity: float = SIMILAR) -> DataFrame:
     """(a, b): edges that connect nodes exactly as all pairs of one list whose shingle sets are `similarity` alike do.
 
-    `texts` has key, blocks, node, mins and text. Every pair of a list is compared by its whole sets but those already
+    `texts` has key, blocks, node, bytes and text. Every pair of a list is compared by its whole sets but those already
     connected, those whose sizes rule it out, and those that SLACK does. Texts whose set is not the node's are
     passed over (rows that share an id with the node's own).
     """
@@ -301,10 +349,10 @@ def similar_links(texts: DataFrame, *, shingle: int, similarity: float = SIMILAR
             return [], []
         block, sizes, label = b.column(3).to_numpy()[at], np.array([len(x) for x in sets]), np.arange(len(nodes))
         all_ = b.column(5).to_pylist()
-        mins = np.frombuffer(b"".join(all_[k] for k in at), "<u4").reshape(len(nodes), -1)
+        held = np.frombuffer(b"".join(all_[k] for k in at), np.uint8).reshape(len(nodes), -1)
         left, right = [], []
         for k in range(len(nodes) - 1):
-            ok = (mins[k + 1 :] == mins[k]).sum(1) >= least
+            ok = (held[k + 1 :] == held[k]).sum(1) >= least
             ok &= np.minimum(sizes[k + 1 :], sizes[k]) >= similarity * np.maximum(sizes[k + 1 :], sizes[k])
             if between:
                 ok &= block[k + 1 :] != block[k]
@@ -315,7 +363,7 @@ def similar_links(texts: DataFrame, *, shingle: int, similarity: float = SIMILAR
                     label[label == label[m]] = label[k]
         return left, right
 
-    return _in_cells(_cells(texts, "mins", "text"), edges)
+    return _in_cells(_cells(texts, "bytes", "text"), edges)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, list_rows: int = 256) -> DataFrame:
@@ -335,47 +383,68 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.withColumnRenamed("doc_id", id_col)
 
 
-def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILAR, list_rows: int = 256) -> DataFrame:
-    """(id_col, component_id) of every row with an id: components of texts whose shingle sets have a Jaccard similarity
-    of `similarity` at least. component_id is the smallest id reachable.
-
-    SimHash tells such a similarity too coarsely, at 512 bits still by a standard deviation of 0.02 and more; so
-    MinHash bands find the candidates, and pairs are linked by their sets of shingles alone.
-    """
+def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, list_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables: (id, node) of every row with an id, and of every node the smallest (rep, node) of its component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scratch("fingerprints")
         for b in batches:
             sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
-            mins = [minhashes(x) for x in sets]
-            short = [(m >> np.uint64(32)).astype("<u4").tobytes() for m in mins]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(set_name, sets)), pa.int64()), pa.array(short, pa.binary()), pa.array(list(map(bands, mins)), pa.list_(pa.int64()))], ["id", "node", "mins", "bands"])
+            wide = [position_bytes(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(set_name, sets)), pa.int64()), pa.array([w.tobytes() for w in wide], pa.binary()), pa.array(list(map(runs, wide)), pa.list_(pa.int64()))], ["id", "node", "bytes", "runs"])
 
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    prints = materialize(map_arrow(named, run, "id long, node long, mins binary, bands array<long>"), "wide")
+    prints = materialize(map_arrow(named, run, "id long, node long, bytes binary, runs array<long>"), "wide")
     # rows of one set are one node, so hot groups of copies stay out of the index
-    nodes = materialize(prints.groupBy("node").agg(F.min("id").alias("rep"), F.min("mins").alias("mins"), F.min("bands").alias("bands")), "wide_nodes")
+    nodes = materialize(prints.groupBy("node").agg(F.min("id").alias("rep"), F.min("bytes").alias("bytes"), F.min("runs").alias("runs")), "wide_nodes")
     near = materialize(connected_components(candidate_links(nodes, similarity=similarity, list_rows=list_rows)), "wide_near")
     lists = near.groupBy("label").agg(F.ceil(F.count("*") / list_rows).cast("int").alias("blocks"))
-    members = materialize(near.join(lists, "label").join(nodes, "node").select(F.col("label").alias("key"), "blocks", "node", "mins", "rep"), "wide_members")
-    texts = materialize(named.join(members, named["id"] == members["rep"]).select("key", "blocks", "node", "mins", "text"), "wide_texts")
+    members = materialize(near.join(lists, "label").join(nodes, "node").select(F.col("label").alias("key"), "blocks", "node", "bytes", "rep"), "wide_members")
+    texts = materialize(named.join(members, named["id"] == members["rep"]).select("key", "blocks", "node", "bytes", "text"), "wide_texts")
     labels = materialize(connected_components(similar_links(texts, shingle=shingle, similarity=similarity)), "wide_labels")
-    least = materialize(labels.join(nodes, "node").groupBy("label").agg(F.min("rep").alias("least")), "wide_least")
+    least = materialize(labels.join(nodes, "node").groupBy("label").agg(F.min(F.struct("rep", "node")).alias("least")), "wide_least")
     linked = materialize(labels.join(least, "label").select("node", "least"), "wide_components")
-    heads = materialize(nodes.join(linked, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id")), "wide_heads")
-    return prints.join(heads, "node").select(F.col("id").alias(id_col), "component_id")
+    heads = nodes.join(linked, "node", "left").select("node", F.coalesce("least", F.struct("rep", "node")).alias("head"))
+    return prints.select("id", "node"), materialize(heads, "wide_heads")
+
+
+def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILAR, list_rows: int = 256) -> DataFrame:
+    """(id_col, component_id) of every row with an id: components of texts whose shingle sets have a Jaccard similarity
+    of `similarity` at least. component_id is the smallest id reachable.
+
+    SimHash tells such a similarity too coarsely, at 512 bits still by a standard deviation of 0.02 and more. So the
+    inverted index of byte positions, the tally and the verification stand on bytes that agree as often as the sets do,
+    and pairs are linked by their sets of shingles alone.
+    """
+    prints, heads = _similar(docs, id_col, text_col, shingle, similarity, list_rows)
+    return prints.join(heads, "node").select(F.col("id").alias(id_col), F.col("head.rep").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILAR) -> DataFrame:
-    """The rows of `docs`, whole, that stand for their component: those whose id is the component's smallest.
+    """The rows of `docs`, whole, that stand for their component: of each one row, of those with its smallest id.
 
-    Rows repeated under one id leave one row. Rows with a null id stay: nothing names them.
+    Rows repeated under one id leave one row for each component among them. Rows with a null id stay: nothing names them.
     """
-    found = similar_documents(docs, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
-    names = materialize(found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct(), "kept")
-    # one plan at every size: rows are sorted by id once, and repeats lie together
-    named = docs.join(names.hint("merge"), docs[id_col] == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    prints, heads = _similar(docs, id_col, text_col, shingle, similarity, 256)
+    chosen = heads.where("head.node = node").select(F.col("head.rep").alias("_kept"), F.col("node").alias("_of"))
+    many = materialize(prints.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("_many")), "repeated")
+    alone = materialize(chosen.join(many, chosen["_kept"] == many["_many"], "left_anti").select("_kept"), "kept")
+    # one plan at every size: a join on ids that occur once
+    out = docs.join(alone.hint("merge"), docs[id_col] == F.col("_kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    if many.isEmpty():
+        return out
+    (node,) = spare(docs, "node")
+    again = docs.join(many, docs[id_col] == F.col("_many"), "left_semi")
+    fields, at = StructType([*docs.schema, StructField(node, LongType())]), docs.columns.index(text_col)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = [set_name(shingle_set(t, shingle)) for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.int64())], fields.names)
+
+    rows = map_arrow(again, named, fields)
+    rows = rows.join(chosen, (rows[id_col] == chosen["_kept"]) & (rows[node] == chosen["_of"]), "left_semi")
+    return out.unionByName(rows.dropDuplicates([id_col, node]).drop(node))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

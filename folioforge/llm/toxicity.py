@@ -26,8 +26,8 @@ from .common import materialize, scratch, table, text_or_empty
 
 #: Labelled documents to fit on, of each class at most about this many (chosen by a hash of the id).
 MAX_LABELLED = 10_000
-#: Terms in the lexicon at most; those with the most toxic documents stay.
-MAX_TERMS = 2000
+#: How much likelier a term has to be in toxic texts, and the share of terms that may be in the lexicon by chance.
+MIN_RATIO, BY_CHANCE = 20.0, 0.1
 STEMS = range(4, 9)
 #: Toxic texts that a stem needs, more than a word, since there are so many beginnings; or else its uses in each.
 MIN_STEM_DOCS, MIN_STEM_USES = 8, 2.5
@@ -238,19 +238,39 @@ def term_counts(rows: DataFrame, stems: range = STEMS) -> DataFrame:
     return counted.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "uses")))
 
 
-def learn_lexicon(rows: DataFrame, *, most: int = MAX_TERMS, min_docs: int = 5, min_share: float = 0.007, min_ratio: float = 20.0) -> Lexicon:
-    """Terms in `min_docs` toxic texts and a share `min_share` of them at least, `min_ratio` times likelier there than in
-    clean ones; beginnings count as stems if four words that only toxic
-    texts use share them."""
+def _bar(surprises: DataFrame, by_chance: float) -> float:
+    """The surprise from which on at most a share `by_chance` of terms is there by chance (Benjamini and Hochberg), from a
+    histogram of tenths; infinite if there is none."""
+    bins = sorted((r["bin"], r["n"]) for r in surprises.groupBy(F.floor(F.col("surprise") * 10).alias("bin")).agg(F.count("*").alias("n")).collect())
+    total, above, bar = sum(n for _, n in bins), 0, math.inf
+    for at, n in reversed(bins):
+        above += n
+        if total * math.exp(-at / 10) <= by_chance * above:
+            bar = at / 10
+    return bar
+
+
+def learn_lexicon(rows: DataFrame, *, min_ratio: float = MIN_RATIO, by_chance: float = BY_CHANCE) -> Lexicon:
+    """Terms `min_ratio` times likelier in toxic texts than in clean ones, at most a share `by_chance` of them by chance.
+
+    A term's surprise is Chernoff's bound on the binomial probability that so many of its texts are toxic ones, were toxic
+    and clean texts alike. The bar follows from all terms' surprises, so a term needs few texts where toxic ones are
+    rare, and no larger share of a larger sample. Beginnings count as stems if four words that only toxic texts use
+    share them. Terms number no more than the bounded sample can bear out.
+    """
     n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic:
         return Lexicon(frozenset(), frozenset())
-    need = max(min_docs, int(toxic * min_share))
+    share = (toxic + 0.5) / (toxic + clean + 1)
+    of, stem = F.col("toxic") + F.col("clean"), F.endswith("term", F.lit("*"))
+    surprise = F.col("toxic") * F.log(F.col("toxic") / of / share) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / of / (1 - share))).otherwise(0.0)
+    surprise = F.when(F.col("toxic") > share * of, surprise).otherwise(0.0)
+    counted = materialize(term_counts(rows).withColumn("surprise", surprise).withColumn("stem", stem), "terms")
+    bar = F.when(F.col("stem"), _bar(counted.where("stem"), by_chance)).otherwise(_bar(counted.where("NOT stem"), by_chance))
     ratio = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1))
-    counted = materialize(term_counts(rows), "terms")
-    wanted = F.when(F.endswith("term", F.lit("*")), 10 * min_ratio).otherwise(min_ratio)  # beginnings are many
-    found = counted.where((F.col("toxic") >= need) & (ratio >= wanted)).orderBy(F.desc("toxic"), "term").limit(4 * most).collect()
+    wanted = F.when(F.col("stem"), 10 * min_ratio).otherwise(min_ratio)  # beginnings are many
+    found = counted.where((F.col("surprise") >= bar) & (ratio >= wanted)).collect()
     words = {r["term"]: r["toxic"] for r in found if not r["term"].endswith("*")}
     begun = {r["term"]: r["toxic"] for r in found if r["term"].endswith("*") and (r["toxic"] >= MIN_STEM_DOCS or r["uses"] >= MIN_STEM_USES * r["toxic"])}
     longer = counted.where("clean = 0 AND NOT endswith(term, '*')").select(F.explode(F.transform(F.array(*map(F.lit, STEMS)), lambda n: F.concat(F.left("term", n), F.lit("*")))).alias("term"))
@@ -259,8 +279,8 @@ def learn_lexicon(rows: DataFrame, *, most: int = MAX_TERMS, min_docs: int = 5,
     for s in sorted((t[:-1] for t in begun if t in spread), key=lambda t: (len(t), t)):
         if not s.startswith(tuple(stems)):
             stems.append(s)
-    whole = sorted((w for w in words if not w.startswith(tuple(stems)) and len(w) > 2), key=lambda w: (-words[w], w))
-    return Lexicon(frozenset(whole[:most]), frozenset(stems[:most]))
+    whole = (w for w in words if not w.startswith(tuple(stems)) and len(w) > 2)
+    return Lexicon(frozenset(whole), frozenset(stems))
 
 
 def features(text: str, lexicon: Lexicon, memo: dict[str, int]) -> tuple[float, ...] | None:

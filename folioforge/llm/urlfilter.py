@@ -3,6 +3,7 @@
 Each rule is a regular expression with the literal tokens (letter and digit runs) that any matching URL holds. How
 often these tokens occur is counted over all URLs, each rule is filed under its rarest one, and a URL's tokens
 fetch the rules filed under them; only those are tried as regular expressions. Rules without a token are always tried.
+Few rules stand in the expression itself; any number of them is a table, which URLs meet in a join on tokens.
 """
 
 from __future__ import annotations
@@ -13,22 +14,30 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Above this many rules, tokens fetch them by a join; below, from a map held in the expression.
+#: Above this many rules, tokens fetch them by a join; below, from a map held in the expression. Rules without a token,
+#: which every URL tries, number no more than this either.
 INLINE_RULES = 200
+#: URLs that meet the rules of one token in one task, about.
+ROWS_PER_SALT = 1_000_000
+RULES = "name string, action string, pattern string, tokens array<string>, weight int, host boolean"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """`pattern` is searched in host + path; each of `tokens` is a whole token of every match. Higher `weight` wins."""
+    """`pattern` is searched in host + path; each of `tokens` is a whole token of every match.
+
+    Of fitting `host` rules the one of highest `weight` decides, of others the first by name.
+    """
 
     name: str
     action: str
     pattern: str
     tokens: tuple[str, ...]
     weight: int = 0
+    host: bool = False
 
 
 def host_rule(action: str, rule: str) -> Rule:
@@ -38,7 +47,7 @@ def host_rule(action: str, rule: str) -> Rule:
     """
     host, _, path = rule.partition("/")
     tokens = re.findall("[a-z0-9]+", f"{host}/".lower()) + [t.lower() for t in re.findall("[A-Za-z0-9]+(?=[^A-Za-z0-9])", f"/{path}")]
-    return Rule(rule, action, rf"(?s)^(?:[^/]*\.)?{_java(host)}/{_java(path)}", tuple(dict.fromkeys(tokens)), len(rule))
+    return Rule(rule, action, rf"(?s)^(?:[^/]*\.)?{_java(host)}/{_java(path)}", tuple(dict.fromkeys(tokens)), len(rule), True)
 
 
 def _java(text: str) -> str:
@@ -77,48 +86,81 @@ def rarest(rules: tuple[Rule, ...], counts: dict[str, int]) -> dict[str | None,
     return out
 
 
-def matched(urls: DataFrame, rules: tuple[Rule, ...], text_col: str, out: str) -> DataFrame:
-    """`urls` with `out`: an array of the structs (name, action, weight) of all rules found in `text_col`."""
+def _best(found: Column) -> tuple[Column, Column]:
+    """Of an array of rules found, the deciding host rule and the deciding other one."""
+    longest = F.array_max(F.transform(F.filter(found, lambda r: r["host"]), lambda r: F.struct(r["weight"].alias("w"), r["name"].alias("name"), r["action"].alias("action"))))
+    first = F.array_min(F.transform(F.filter(found, lambda r: ~r["host"]), lambda r: F.struct(r["name"].alias("name"), r["action"].alias("action"))))
+    return longest, first
+
+
+def _tried(rules: tuple[Rule, ...], fetched: Column, text: Column) -> Column:
+    """The rules (without their patterns) of `fetched`, and of `rules` themselves, that are found in `text`."""
+    tried = F.filter(F.concat(_structs(rules), fetched) if rules else fetched, lambda r: F.regexp_like(text, r["pattern"]))
+    return F.transform(tried, lambda r: r.dropFields("pattern"))
+
+
+def _structs(rules: tuple[Rule, ...]) -> Column:
+    fields = ("name", "action", "weight", "host", "pattern")
+    return F.array(*(F.struct(*(F.lit(getattr(r, f)).alias(f) for f in fields)) for r in rules)).cast("array<struct<name:string,action:string,weight:int,host:boolean,pattern:string>>")
+
+
+def matched(urls: DataFrame, rules: tuple[Rule, ...], text_col: str) -> DataFrame:
+    """`urls` with _rule and _other, the deciding rules found in `text_col`; the rules stand in the expression."""
     known = sorted({t for r in rules for t in r.tokens})
     there = urls.select(F.explode(F.array_intersect(tokens_of(F.col(text_col)), F.array(*map(F.lit, known)))).alias("t")) if known else None
-    counts = {r["t"]: r["count"] for r in there.groupBy("t").count().collect()} if known else {}  # one row per token of a rule
+    counts = {r["t"]: r["n"] for r in there.groupBy("t").agg(F.count("*").alias("n")).collect()} if known else {}  # one row per token of a rule
     filed = rarest(rules, counts)
-    kind = "array<struct<name:string,action:string,weight:int,pattern:string>>"
-
-    def structs(numbers: list[int]) -> Column:
-        return F.array(*(F.struct(F.lit(rules[n].name).alias("name"), F.lit(rules[n].action).alias("action"), F.lit(rules[n].weight).alias("weight"), F.lit(rules[n].pattern).alias("pattern")) for n in numbers)).cast(kind)
-
-    always = structs(filed.get(None, []))
-    filed.pop(None, None)
-    if len(rules) <= INLINE_RULES:
-        index = F.create_map(*(x for t, n in filed.items() for x in (F.lit(t), structs(n)))) if filed else None
-        fetched = F.flatten(F.transform(F.array_intersect(tokens_of(F.col(text_col)), F.array(*map(F.lit, filed))), lambda t: F.element_at(index, t))) if filed else structs([])
-        tried = F.filter(F.concat(always, fetched), lambda r: F.regexp_like(F.col(text_col), r["pattern"]))
-        return urls.withColumn(out, F.transform(tried, lambda r: r.dropFields("pattern")))
-    spark = urls.sparkSession
-    index = spark.createDataFrame([(t, *(getattr(rules[n], f) for f in ("name", "action", "weight", "pattern"))) for t, ns in filed.items() for n in ns], "t string, name string, action string, weight int, pattern string")
-    texts = urls.select(F.col(text_col).alias("_url_text")).where("_url_text IS NOT NULL").distinct()
-    hits = texts.select("_url_text", F.explode(tokens_of(F.col("_url_text"))).alias("t")).join(index, "t").where(F.regexp_like("_url_text", F.col("pattern")))
-    hits = hits.groupBy("_url_text").agg(F.collect_set(F.struct("name", "action", "weight")).alias("_found"))
-    plain = F.transform(F.filter(always, lambda r: F.regexp_like(F.col(text_col), r["pattern"])), lambda r: r.dropFields("pattern"))
-    joined = urls.join(hits, F.col(text_col) == F.col("_url_text"), "left")
-    return joined.withColumn(out, F.concat(plain, F.coalesce("_found", F.slice(plain, 1, 0)))).drop("_url_text", "_found")
-
-
-def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", host_rules: tuple[Rule, ...] = HOST_RULES, pattern_rules: tuple[Rule, ...] = WORD_RULES) -> DataFrame:
-    """(page_id, host, path, rule, verdict, pattern_rule) for each row.
-
-    The longest fitting host rule decides; without one, a pattern rule (the first by name) blocks; without either
-    the page is allowed. Null, empty and malformed URLs have empty host and path, fit no rule and are allowed.
-    Every row stands for itself, ids may be null or repeat; columns other than the two named are not read.
+    always = tuple(rules[n] for n in filed.pop(None, []))
+    fetched = _structs(())
+    if filed:
+        index = F.create_map(*(x for t, ns in filed.items() for x in (F.lit(t), _structs(tuple(rules[n] for n in ns)))))
+        fetched = F.flatten(F.transform(F.array_intersect(tokens_of(F.col(text_col)), F.array(*map(F.lit, filed))), lambda t: F.element_at(index, t)))
+    rows = urls.withColumn("_hits", _tried(always, fetched, F.col(text_col)))
+    longest, first = _best(F.col("_hits"))
+    return rows.withColumn("_rule", longest).withColumn("_other", first).drop("_hits")
+
+
+def matched_by_table(urls: DataFrame, rules: DataFrame, text_col: str) -> DataFrame:
+    """As matched(), with the rules a table of RULES that the driver never sees.
+
+    A token of many URLs is dealt over salts, to each of which the rules filed under it go; hits come back to the
+    number of a URL's row, so repeated URLs are no hot key.
+    """
+    few = rules.where("size(coalesce(tokens, array())) = 0").limit(INLINE_RULES + 1).collect()
+    if len(few) > INLINE_RULES:
+        raise ValueError(f"more than {INLINE_RULES} rules have no token: every URL would try them all")
+    always = tuple(Rule(r["name"], r["action"], r["pattern"], (), r["weight"] or 0, bool(r["host"])) for r in few)
+    rows = materialize(urls.withColumn("_n", F.monotonically_increasing_id()), "urls")
+    met = rows.where(F.col(text_col).isNotNull()).select("_n", F.col(text_col).alias("_text_"), F.explode(tokens_of(F.col(text_col))).alias("t"))
+    held = rules.where("size(tokens) > 0").select("name", "action", "pattern", F.coalesce("weight", F.lit(0)).alias("weight"), F.coalesce("host", F.lit(False)).alias("host"), "tokens")
+    names = held.select(F.explode("tokens").alias("t")).distinct()
+    counts = materialize(names.join(met.groupBy("t").agg(F.count("*").alias("k")), "t", "left").select("t", F.coalesce("k", F.lit(0)).alias("k")), "tokens")
+    one = held.select(F.struct("name", "action", "pattern", "weight", "host").alias("r"), F.explode("tokens").alias("t")).join(counts, "t")
+    filed = one.groupBy("r").agg(F.min(F.struct("k", "t")).alias("x")).select("x.t", "x.k", "r.*")
+    salts = F.ceil((F.col("k") + 1) / ROWS_PER_SALT).cast("int")
+    filed = materialize(filed.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))), "filed")
+    dealt = met.join(filed.select("t", salts.alias("_salts")).distinct(), "t").withColumn("salt", F.pmod(F.xxhash64("_n"), "_salts").cast("int"))
+    hits = dealt.join(filed, ["t", "salt"]).where(F.regexp_like("_text_", F.col("pattern")))
+    best = hits.groupBy("_n").agg(
+        F.max(F.when(F.col("host"), F.struct(F.col("weight").alias("w"), "name", "action"))).alias("_h"), F.min(F.when(~F.col("host"), F.struct("name", "action"))).alias("_o")
+    )
+    longest, first = _best(_tried(always, _structs(()), F.col(text_col)))
+    out = rows.join(best.withColumnRenamed("_n", "_n2"), F.col("_n") == F.col("_n2"), "left")
+    return out.withColumn("_rule", F.greatest("_h", longest)).withColumn("_other", F.least("_o", first)).select(*urls.columns, "_rule", "_other")
+
+
+def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] | DataFrame = HOST_RULES + WORD_RULES) -> DataFrame:
+    """(page_id, host, path, rule, verdict, pattern_rule) for each row. `rules`: Rule tuples, or a table of RULES of any size.
+
+    The longest fitting host rule decides; without one, the first other rule by name; without either the page is
+    allowed. Null, empty and malformed URLs have empty host and path, fit no rule and are allowed. Every row stands for
+    itself, ids may be null or repeat; columns other than the two named are not read.
     """
     host, path = split_url(F.col("_url"))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("_url")).select("page_id", host.alias("host"), path.alias("path"), F.concat(host, path).alias("_text"))
-    rows = matched(rows, (*host_rules, *pattern_rules), "_text", "_hits")
-    own = F.array(*map(F.lit, (r.name for r in pattern_rules)))
-    longest = F.array_max(F.transform(F.filter("_hits", lambda r: ~F.array_contains(own, r["name"])), lambda r: F.struct(r["weight"].alias("w"), r["name"].alias("name"), r["action"].alias("action"))))
-    other = F.array_min(F.transform(F.filter("_hits", lambda r: F.array_contains(own, r["name"])), lambda r: F.struct(r["name"].alias("name"), r["action"].alias("action"))))
-    rows = rows.withColumn("_rule", longest).withColumn("_other", other)
+    if isinstance(rules, tuple) and len(rules) > INLINE_RULES:
+        rules = pages.sparkSession.createDataFrame([(r.name, r.action, r.pattern, list(r.tokens), r.weight, r.host) for r in rules], RULES)
+    rows = matched(rows, rules, "_text") if isinstance(rules, tuple) else matched_by_table(rows, rules, "_text")
     return rows.select(F.col("page_id").alias(id_col), "host", "path", F.col("_rule.name").alias("rule"), F.coalesce("_rule.action", "_other.action", F.lit("allow")).alias("verdict"), F.col("_other.name").alias("pattern_rule"))
 
 

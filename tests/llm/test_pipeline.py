@@ -52,7 +52,6 @@ def test_stages(spark):
 
     packed = pack(spark, single, SF).collect()
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     total = defaultdict(int)
     for r in packed:
         total[r.doc_id] += r.length
