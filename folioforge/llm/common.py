@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,8 +84,13 @@ _scratch: dict[str, dict] = {}
 
 def scratch(owner: str) -> dict:
     """A dictionary that a Python worker keeps from task to task of one operator; those of other operators are let go."""
-    for other in [k for k in _scratch if k != owner]:
+    others = [k for k in _scratch if k != owner]
+    for other in others:
         del _scratch[other]
+    if others:
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # other C libraries keep what they like
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
     return _scratch.setdefault(owner, {})
 
 

@@ -27,9 +27,9 @@ from .common import Numbers, materialize, rank_in_group, scratch, spare, table,
 
 CAPACITY = 4096
 END_ID = 1
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 700_000
 #: Texts of about so many bytes are encoded at a time.
-GROUP_BYTES = 1 << 23
+GROUP_BYTES = 1 << 22
 #: ASCII marks that are one pre-token together; an apostrophe may begin one with letters.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -93,21 +93,23 @@ class Vocabulary:
         for n, w in enumerate(self._since(whole), whole):
             (letters if w.isalpha() else rest).append((n, w))
         self.starts, self.sizes = (np.concatenate([x, np.zeros(len(self.words) - len(x), np.int64)]) for x in (self.starts, self.sizes))
-        groups = [letters[k : k + 256] for k in range(0, len(letters), 256)]
         at, ids, sizes = [], [], []
-        for group, found in zip(groups, self.encode([" ".join([w for _, w in g]) for g in groups]), strict=True):
-            found = np.array(found, "<u4")
-            cuts = np.flatnonzero(self.ends[found]) + 1
-            if len(cuts) == len(group) and cuts[-1] == len(found):
-                at += [n for n, _ in group]
-                ids.append(found)
-                sizes.append(np.diff(cuts, prepend=0))
-            else:
-                rest += group
-        for (n, _), found in zip(rest, self.encode([w for _, w in rest]), strict=True):
-            at.append(n)
-            ids.append(np.array(found, "<u4"))
-            sizes.append([len(found)])
+        for k in range(0, len(letters), 4096):  # what the tokenizer returns is large
+            groups = [letters[j : j + 256] for j in range(k, min(k + 4096, len(letters)), 256)]
+            for group, found in zip(groups, self.encode([" ".join([w for _, w in g]) for g in groups]), strict=True):
+                found = np.array(found, "<u4")
+                cuts = np.flatnonzero(self.ends[found]) + 1
+                if len(cuts) == len(group) and cuts[-1] == len(found):
+                    at += [n for n, _ in group]
+                    ids.append(found)
+                    sizes.append(np.diff(cuts, prepend=0))
+                else:
+                    rest += group
+        for k in range(0, len(rest), 4096):
+            for (n, _), found in zip(rest[k : k + 4096], self.encode([w for _, w in rest[k : k + 4096]]), strict=True):
+                at.append(n)
+                ids.append(np.array(found, "<u4"))
+                sizes.append([len(found)])
         self._put(np.array(at, np.int64), ids, sizes)
         if marked:
             n, run, mark = np.array(marked, np.int64).T
@@ -160,7 +162,7 @@ def token_ids(texts: pa.Array, path: str) -> Iterator[memoryview]:
         numbers = known.numbers(names)[words.indices.to_numpy()]
         cuts = split.offsets.to_numpy() - split.offsets[0].as_py()
         sums = (4 * np.concatenate([[0], np.cumsum(known.sizes[numbers])])[cuts]).tolist()
-        data = memoryview(known.of(numbers).tobytes())
+        data = memoryview(known.of(numbers)).cast("B")
         for k, alone in enumerate(whole.to_pylist()):
             yield memoryview(np.array(encode([some[k].as_py()])[0], "<u4").tobytes()) if alone else data[sums[k] : sums[k + 1]]
         first = last
