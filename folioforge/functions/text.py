@@ -41,20 +41,40 @@ def lines(c: Column) -> Column:
     return F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut)
 
 
+#: Labels of a domain that are joined: a domain name has no more than 127, and one with more broken ones than this is none.
+LABELS = 12
+
+
 def normalize_layout(c: Column) -> Column:
-    """Line ends, bullets, broken e-mail addresses, URLs and domains, runs of blanks and blank lines. Composes nothing: see nfc."""
-    v = F.translate(F.regexp_replace(c, "\r\n?", "\n"), BULLETS, "-" * len(BULLETS))
+    """Line ends, bullets, broken e-mail addresses, URLs and domains, runs of blanks and blank lines. Composes nothing: see nfc.
+
+    Each step asks first whether the text holds what it looks for.
+    """
+
+    def where(v: Column, mark: str, then: Column) -> Column:
+        return F.when(F.contains(v, F.lit(mark)), then).otherwise(v)
+
+    v = F.translate(where(c, "\r", F.regexp_replace(c, "\r\n?", "\n")), BULLETS, "-" * len(BULLETS))
     part = r"[A-Za-z0-9-]+"
     joined = v
-    for _ in range(3):  # each pass joins one more label of a domain
+    for _ in range(LABELS):  # each pass joins one more label of a domain
         joined = F.regexp_replace(joined, rf"([A-Za-z0-9._%+-]+)\s*@\s*((?:{part}\.)*{part})\s*\.\s*({part})", "$1@$2.$3")
-    v = F.when(F.contains(v, F.lit("@")), joined).otherwise(v)
-    v = F.regexp_replace(v, r"(?i)\bhttps\s*:\s*/\s*/\s*", "https://")
-    v = F.regexp_replace(v, r"(?i)\bhttp\s*:\s*/\s*/\s*", "http://")
-    v = F.regexp_replace(v, r"(?i)\bwww\s*\.\s*", "www.")
+    v = where(v, "@", joined)
+    v = where(v, "/", F.regexp_replace(F.regexp_replace(v, r"(?i)\bhttps\s*:\s*/\s*/\s*", "https://"), r"(?i)\bhttp\s*:\s*/\s*/\s*", "http://"))
+    v = F.when(F.contains(F.lower(v), F.lit("www")), F.regexp_replace(v, r"(?i)\bwww\s*\.\s*", "www.")).otherwise(v)
     v = F.regexp_replace(v, r"(?<=[A-Za-z0-9])\s*\.\s*(?=[A-Za-z]{2,}(?:\b|/))", ".")
     v = F.array_join(F.transform(lines(v), lambda x: strip(F.regexp_replace(x, r"[^\S\n]+", " "))), "\n")
-    return strip(F.regexp_replace(v, "\n{3,}", "\n\n"))
+    return strip(where(v, "\n\n\n", F.regexp_replace(v, "\n{3,}", "\n\n")))
+
+
+def composed(c: Column) -> Column:
+    """nfc, which only texts with characters beyond Latin letters and common signs need: those alone go through Python."""
+    plain = F.regexp_like(c, F.lit(r"\A[\x00-\u02ff\u2010-\u2027\u2030-\u205e\u20ac\u2022\u25aa\u25cf\u25e6]*\z"))
+    return F.coalesce(nfc(F.when(~plain, c)), c)
+
+
+def normalized(c: Column) -> Column:
+    return normalize_layout(composed(c))
 
 
 def clean(c: Column) -> Column:

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioforge.functions.text import strip
+from folioforge.functions.text import lines, strip
 
 from .sections import section_lines
 
+#: Patterns of dates, schools, degrees, titles and companies. Fixed values.
 PRESENT = "present|current|now|hiện tại"
 DATE = r"(?:[0-9]{1,2}[./-])?[0-9]{4}"
 DATE_RANGE = rf"(?iu)({DATE})\s*(?:-|–|—|to|đến)\s*({PRESENT}|{DATE})"
@@ -19,6 +20,9 @@ INSTITUTION = r"(?iU)\b(?:university|college|institute|academy|đại học|cao
 DEGREE = r"(?iU)\b(?:bachelor|master|engineer|bsc|msc|phd|cử nhân|kỹ sư|thạc sĩ|tiến sĩ)\b"
 TITLE = r"(?iU)\b(?:engineer|developer|scientist|analyst|manager|intern|architect|consultant|specialist|lead|trưởng|kỹ sư|lập trình|phân tích)\b"
 COMPANY = r"(?iU)\b(?:company|corporation|corp|inc|ltd|llc|jsc|công ty|tập đoàn)\b"
+MEASURED = r"\b\d+(?:[.,]\d+)?%|\b\d+\+?\b"
+BIRTH = r"(?i)(?:date\s+of\s+birth|dob|ngày\s+sinh)\s*[:\-]?\s*(\d{1,2})[./-](\d{1,2})[./-](\d{4})"
+LEVELS = ("beginner", "intermediate", "advanced", "expert", "junior", "senior")
 FIELD = r"(?iU)(?:\bof\b|\bin\b|chuyên\s+ngành)\s*[:\-]?\s*(.+)$"
 SPLIT = r"(?iU)^(.*?)(?:\s*[|@]\s*|\s+at\s+|\s+tại\s+)(.*)$"
 
@@ -43,11 +47,12 @@ def _body(docs: DataFrame, section: str) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_number")))
 
 
-def experiences(docs: DataFrame) -> DataFrame:
-    """(doc_id, entry, job_title, company, start_date, end_date, is_current, description): one row per range of dates.
+def roles(docs: DataFrame) -> DataFrame:
+    """(doc_id, entry from 1, job_title, company, start_date, end_date, is_current, description, achievements, confidence, warning).
 
-    The line before a range describes the role ("title | company", "title at company"); failing that the two lines
-    before are title and company. What follows up to the next role is description. Reversed and impossible ranges go.
+    One row per line with a range of dates. The line before it describes the role ("title | company", "title at company");
+    failing that the two lines before are title and company; a company may also stand on the line of dates itself. What follows up to
+    the next role is description, its lines with a number achievements. warning: INVALID_TIMELINE for reversed and impossible ranges.
     """
     rows = _body(docs, "experience")
     by = Window.partitionBy("doc_id").orderBy("n")
@@ -58,11 +63,13 @@ def experiences(docs: DataFrame) -> DataFrame:
     split = F.regexp_like(descriptor, F.lit(SPLIT))
     two = F.col("up2").isNotNull() & (F.regexp_like("up2", F.lit(TITLE)) | F.regexp_like(descriptor, F.lit(COMPANY)))
     alone = F.regexp_like(descriptor, F.lit(COMPANY))
+    beside = F.nullif(strip(F.regexp_replace(strip(F.regexp_replace("line", DATE_RANGE, ""), "|•-"), r"(?i)^(?:email|phone|address|contact|github|linkedin)\s*", ""), "|•-"), F.lit(""))
+    title = F.when(split, F.regexp_extract(descriptor, SPLIT, 1)).when(two, F.col("up2")).when(alone, F.lit("Intern / Developer")).otherwise(descriptor)
+    company = F.when(split, F.regexp_extract(descriptor, SPLIT, 2)).when(two | alone, descriptor)
+    there = company.isNull() & F.regexp_like("line", F.lit(COMPANY)) & beside.isNotNull()
     anchors = anchors.select(
-        "doc_id", "n", "next", "total",
-        F.row_number().over(by).alias("entry"),
-        F.when(split, F.regexp_extract(descriptor, SPLIT, 1)).when(two, F.col("up2")).when(alone, F.lit("Intern / Developer")).otherwise(descriptor).alias("job_title"),
-        F.when(split, F.regexp_extract(descriptor, SPLIT, 2)).when(two | alone, descriptor).alias("company"),
+        "doc_id", "n", "next", "total", F.row_number().over(by).alias("entry"),
+        F.when(there, "Intern / Developer").otherwise(title).alias("job_title"), F.when(there, beside).otherwise(company).alias("company"),
         start.alias("start_date"), end.alias("end_date"), current.alias("is_current"),
     )
     ends = rows.select("doc_id", (F.col("n") + 1).alias("before"), F.regexp_like("line", F.lit(TITLE)).alias("titled"))
@@ -73,8 +80,25 @@ def experiences(docs: DataFrame) -> DataFrame:
     told = anchors.join(body, (F.col("doc_id") == F.col("_d")) & (F.col("_n") > F.col("n")) & (F.col("_n") <= F.col("last")), "left")
     keys = ("doc_id", "entry", "job_title", "company", "start_date", "end_date", "is_current")
     told = told.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("_n", "line")))).alias("_l"))
-    told = told.withColumn("description", F.array_join(F.array_distinct(F.transform("_l", lambda x: x["line"])), "\n")).drop("_l")
-    return told.where("start_date IS NOT NULL AND (is_current OR end_date >= start_date)")
+    told = told.withColumn("description", unique(F.transform("_l", lambda x: x["line"])))
+    good = F.col("start_date").isNotNull() & (F.col("is_current") | (F.col("end_date") >= F.col("start_date")))
+    measured = F.filter("description", lambda x: F.regexp_like(x, F.lit(MEASURED)))
+    return told.select(*keys, "description", measured.alias("achievements"), F.when(F.col("company").isNotNull(), 0.85).otherwise(0.7).alias("confidence"), F.when(~F.coalesce(good, F.lit(False)), "INVALID_TIMELINE").alias("warning"))
+
+
+def unique(values: Column) -> Column:
+    """Texts trimmed, blank ones out, of those alike in lower case the first."""
+    bare = F.filter(F.transform(values, lambda x: strip(x)), lambda x: x != "")
+    low = F.transform(bare, lambda x: F.lower(x))
+    return F.filter(bare, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+
+
+def experiences(docs: DataFrame) -> DataFrame:
+    """(doc_id, entry, job_title, company, start_date, end_date, is_current, description): the roles() without a warning, each
+    title, company and period once."""
+    same = Window.partitionBy("doc_id", F.lower("job_title"), F.lower(F.coalesce("company", F.lit(""))), "start_date", "end_date").orderBy("entry")
+    rows = roles(docs).where("warning IS NULL").withColumn("_r", F.row_number().over(same)).where("_r = 1")
+    return rows.select("doc_id", "entry", "job_title", "company", "start_date", "end_date", "is_current", F.array_join("description", "\n").alias("description"))
 
 
 def education(docs: DataFrame) -> DataFrame:
@@ -92,30 +116,103 @@ def education(docs: DataFrame) -> DataFrame:
 
 
 def candidate_name(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, candidate_name): the first of the first 12 lines that reads like a name: 2 to 7 words of letters."""
+    """(doc_id, candidate_name, confidence): the first of the first 12 lines that reads like a name: 2 to 7 words with a letter each.
+
+    0.95 for one of the first three lines in capitals, 0.8 for one of the first five, else 0.65.
+    """
+    from .privacy import PHONE
     from .sections import heading_kind
 
-    rows = docs.select(F.col(doc).alias("doc_id"), F.posexplode(F.slice(F.filter(F.transform(F.split(F.col(text), "\n"), lambda x: strip(x, "|•-")), lambda x: x != ""), 1, 12)).alias("n", "v"))
-    like = F.regexp_like("v", F.lit(r"(?U)^[^\d@\s]+(?:\s+[^\d@\s]+){1,6}$")) & F.length("v").between(3, 70) & ~F.regexp_like("v", F.lit(COMPANY)) & ~F.regexp_like("v", F.lit(r"(?i)https?://|www\.")) & heading_kind(F.col("v")).isNull()
-    letters = ~F.regexp_like("v", F.lit(r"(?:^|\s)[^\p{L}\s]+(?:\s|$)"))
-    return rows.where(like & letters).groupBy("doc_id").agg(F.min_by("v", "n").alias("candidate_name"))
+    kept = F.slice(F.filter(lines(F.col(text)), lambda x: strip(x) != ""), 1, 12)
+    rows = docs.select(F.col(doc).alias("doc_id"), F.posexplode(kept).alias("n", "_v")).withColumn("v", strip(F.col("_v"), "|•-"))
+    words = F.split("v", r"(?U)\s+")
+    like = F.size(words).between(2, 7) & F.length("v").between(3, 70) & F.forall(words, lambda w: F.regexp_like(w, F.lit(r"\p{L}"))) & ~F.regexp_like("v", F.lit(r"(?U)[@\d]"))
+    like = like & ~F.regexp_like("v", F.lit(COMPANY)) & ~F.regexp_like("v", F.lit(PHONE)) & ~F.regexp_like("v", F.lit(r"(?i)\b(?:https?://|www\.)")) & heading_kind(F.col("v")).isNull()
+    sure = F.when((F.col("n") <= 2) & (F.upper("v") == F.col("v")), 0.95).when(F.col("n") <= 4, 0.8).otherwise(0.65)
+    return rows.where(like).groupBy("doc_id").agg(F.min_by("v", "n").alias("candidate_name"), F.min_by(sure, "n").alias("confidence"))
+
+
+def section_items(sections_: DataFrame, kind: str, out: str) -> DataFrame:
+    """(doc_id, out): the different items of all sections of a kind, cut at commas, semicolons, bars and line ends."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_id", "text"))), lambda x: x["text"]), "\n")
+    return sections_.where(F.col("section") == kind).groupBy("doc_id").agg(text.alias("_t")).select("doc_id", unique(F.split("_t", r"[,;|\n]+")).alias(out))
+
+
+def birth_date(text: Column) -> Column:
+    """The day behind a label of birth, day before month; null if there is no such day."""
+    parts = [F.regexp_extract(text, BIRTH, k) for k in (1, 2, 3)]
+    return F.when(parts[2] != "", F.try_to_date(F.concat(parts[2], F.lit("-"), F.lpad(parts[1], 2, "0"), F.lit("-"), F.lpad(parts[0], 2, "0"))))
+
+
+def skills_of(docs: DataFrame, sections_: DataFrame, table: DataFrame) -> DataFrame:
+    """(doc_id, canonical_name, name, years, level, evidence, section, confidence): skills of the skills section (0.95), and of the
+    whole text those that it lacks (0.75). Short names (C, R, Go) count in the section alone.
+
+    Of a skill's spellings the longest counts, at its first place; years and level stand within 30 letters of it.
+    """
+    from .taxonomy import SHORT_SKILLS
+
+    own = sections_.where("section = 'skills'").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_id", "text"))), lambda x: x["text"]), "\n").alias("text")).withColumn("section", F.lit("skills"))
+    sources = own.unionByName(docs.select("doc_id", "text", F.lit(None).cast("string").alias("section"))).withColumn("_at", F.struct("doc_id", "section"))
+    keyed = sources.where("text IS NOT NULL")
+    found = _spellings(keyed, table).where(F.col("section").isNotNull() | ~F.col("canonical").isin(*SHORT_SKILLS))
+    first = Window.partitionBy("doc_id", "canonical").orderBy(F.col("section").isNull(), F.desc(F.length("alias")), "alias")
+    found = found.withColumn("_r", F.row_number().over(first)).where("_r = 1")
+    pattern = F.concat(F.lit(r"(?<![\w+#.])"), F.regexp_replace("alias", r"([^\p{L}\p{N}\s_])", r"\\$1"), F.lit(r"(?![\w+#.])"))
+
+    def cut(before: str, after: str) -> Column:
+        return F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(f"(?siU)({before}"), pattern, F.lit(f"{after})")), F.lit(1))
+
+    near, spelled = cut(".{0,30}", ".{0,30}"), cut("", "")
+    line = strip(F.left(F.substring_index(cut("", ".{0,180}"), "\n", 1), F.lit(180)))
+    level = F.lit(None).cast("string")
+    for word in reversed(LEVELS):
+        level = F.when(F.regexp_like("_near", F.lit(rf"(?i)\b{word}\b")), F.lit(word)).otherwise(level)
+    rows = found.withColumn("_near", near)
+    return rows.select("doc_id", F.col("canonical").alias("canonical_name"), spelled.alias("name"), F.nullif(F.regexp_extract("_near", r"(?i)(\d+(?:\.\d+)?)\s*(?:years?|yrs?|năm)", 1), F.lit("")).cast("double").alias("years"), level.alias("level"), line.alias("evidence"), "section", F.when(F.col("section").isNotNull(), 0.95).otherwise(0.75).alias("confidence"))
+
+
+def _spellings(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """`rows` (doc_id, text, section) with each alias that stands in them under the strict rule; the canonical name itself is none unless listed."""
+    from .taxonomy import alias_hits
+
+    return alias_hits(rows, table, ("doc_id", "section", "text"), edge="+#.")
 
 
 def profiles(docs: DataFrame, skills: DataFrame, *, as_of: date) -> DataFrame:
-    """One row per document: name, contact, skills, jobs, schools and years of work."""
+    """One row per document, all that rules can read: document.PROFILE's fields as far as there are, and sections' counts.
+
+    candidate_name, email, phone, urls, address, date_of_birth, headline, summary, skills (names), skill_details, n_jobs,
+    first_start, n_schools, institution, languages, certifications, years, field_confidence, warnings.
+    """
     from .privacy import contacts
-    from .taxonomy import skill_mentions
-    from .timeline import merged_years, primary_only
+    from .sections import detect_sections
+    from .timeline import merged_years
 
+    found = detect_sections(docs)
+    told = roles(docs)
     jobs = experiences(docs)
-    years = merged_years(primary_only(jobs, key="doc_id", title="job_title", company="company"), key="doc_id", start="start_date", end="end_date", as_of=as_of).select("doc_id", "years")
-    known = skill_mentions(docs, skills, strict=True).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("canonical")), ", ").alias("skills"))
+    years = merged_years(jobs, key="doc_id", start="start_date", end="end_date", as_of=as_of).select("doc_id", "years")
+    detail = F.struct("canonical_name", "name", "years", "level", "evidence", "section", "confidence")
+    known = skills_of(docs, found, skills).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.lower("canonical_name").alias("k"), detail.alias("s")))).alias("_s"))
+    known = known.select("doc_id", F.array_join(F.transform("_s", lambda x: x["s"]["canonical_name"]), ", ").alias("skills"), F.transform("_s", lambda x: x["s"]).alias("skill_details"))
     worked = jobs.groupBy("doc_id").agg(F.count("*").alias("n_jobs"), F.min("start_date").alias("first_start"))
+    broken = told.where("warning IS NOT NULL").groupBy("doc_id").agg(F.sort_array(F.collect_list("warning")).alias("_broken"))
     schools = education(docs).groupBy("doc_id").agg(F.count("*").alias("n_schools"), F.min("institution").alias("institution"))
-    out = contacts(docs).select("doc_id", "email", "phone", "address")
-    for part in (candidate_name(docs), known, worked, schools, years):
+    joined = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == kind, F.struct("section_id", "text")))), lambda x: x["text"]), "\n")
+    parts = found.groupBy("doc_id").agg(F.nullif(strip(joined("summary")), F.lit("")).alias("summary"), F.max(F.when(F.col("section") == "header", F.col("text"))).alias("_header"), F.bool_or(F.col("section") == "skills").alias("_listed"), F.bool_or(F.col("section") == "education").alias("_schooled"))
+    out = contacts(docs).select("doc_id", F.lower("email").alias("email"), "phone", "urls", "address")
+    out = out.join(docs.select("doc_id", "text", birth_date(F.col("text")).alias("date_of_birth")), "doc_id", "left")
+    for part in (candidate_name(docs), known, worked, broken, schools, years, parts, section_items(found, "languages", "languages"), section_items(found, "certifications", "certifications")):
         out = out.join(part, "doc_id", "left")
-    return out
+    kept = F.filter(lines(F.coalesce("_header", F.array_join(F.slice(F.filter(lines(F.col("text")), lambda x: strip(x) != ""), 1, 5), "\n"))), lambda x: F.regexp_like(x, F.lit(TITLE)) & ~strip(x).eqNullSafe(F.col("candidate_name")))
+    has = lambda c, v: F.when(c, v).otherwise(0.0)
+    confidence = F.create_map(
+        F.lit("candidateName"), F.coalesce("confidence", F.lit(0.0)), F.lit("email"), has(F.col("email").isNotNull(), 0.98), F.lit("phone"), has(F.col("phone").isNotNull(), 0.9),
+        F.lit("skills"), F.when(F.coalesce("_listed", F.lit(False)), 0.9).otherwise(0.7), F.lit("experience"), has(F.coalesce("n_jobs", F.lit(0)) > 0, 0.85), F.lit("education"), has(F.coalesce("_schooled", F.lit(False)), 0.85),
+    )
+    warnings = F.concat(F.coalesce("_broken", F.array().cast("array<string>")), F.array_compact(F.array(F.when(F.col("candidate_name").isNull(), "LOW_CONFIDENCE_NAME"), F.when(F.col("email").isNull() & F.col("phone").isNull(), "MISSING_CONTACT"))))
+    return out.withColumn("headline", strip(F.get(kept, F.lit(0)))).withColumn("field_confidence", confidence).withColumn("warnings", warnings).drop("text", "confidence", "_header", "_listed", "_schooled", "_broken")
 
 
 def recover_education(blocks: DataFrame) -> DataFrame:

@@ -30,20 +30,25 @@ def matches(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(f"({pattern})" if not pattern.startswith("(?i)") else f"(?i)({pattern[4:]})"), F.lit(1))
 
 
-def contacts(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, email, phone, n_urls, first_url, address): the first of each in reading order; no shuffle."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def contact_columns(text: Column) -> dict[str, Column]:
+    """email, phone, urls, n_urls, first_url and address of one text, the first of each in reading order; each pattern runs
+    only where the text holds a sign of it."""
+    t = F.coalesce(text, F.lit(""))
+    none = F.array().cast("array<string>")
+    some = F.contains(t, F.lit("://")) | F.contains(F.lower(t), F.lit("www."))
     urls = F.array_distinct(F.transform(matches(t, URL), lambda u: F.regexp_replace(u, "[.,;:)]+$", "")))
-    urls = F.transform(urls, lambda u: F.when(F.regexp_like(u, F.lit("^(?i)https?://")), u).otherwise(F.concat(F.lit("https://"), u)))
+    urls = F.when(some, F.transform(urls, lambda u: F.when(F.regexp_like(u, F.lit("^(?i)https?://")), u).otherwise(F.concat(F.lit("https://"), u)))).otherwise(none)
     labelled = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_extract(F.trim(x), ADDRESS, 1))), lambda x: x != "")
-    return docs.select(
-        F.col(doc).alias("doc_id"),
-        F.get(matches(t, EMAIL), F.lit(0)).alias("email"),
-        F.get(F.filter(matches(t, PHONE), is_phone), F.lit(0)).alias("phone"),
-        F.size(urls).cast("int").alias("n_urls"),
-        F.get(urls, F.lit(0)).alias("first_url"),
-        F.get(labelled, F.lit(0)).alias("address"),
-    )
+    return {
+        "email": F.when(F.contains(t, F.lit("@")), F.get(matches(t, EMAIL), F.lit(0))),
+        "phone": F.get(F.filter(matches(t, PHONE), is_phone), F.lit(0)),
+        "urls": urls, "n_urls": F.size(urls).cast("int"), "first_url": F.get(urls, F.lit(0)), "address": F.get(labelled, F.lit(0)),
+    }
+
+
+def contacts(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, email, phone, urls, n_urls, first_url, address) of each row; no shuffle."""
+    return docs.select(F.col(doc).alias("doc_id"), *(c.alias(n) for n, c in contact_columns(F.col(text)).items()))
 
 
 _EMAIL, _PHONE, _URL, _DATES, _DOI = (re.compile(p) for p in (EMAIL, PHONE, URL, DATES, DOI))

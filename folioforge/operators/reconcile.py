@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from datetime import date
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.cluster import ship
+from folioforge.functions.text import collapse
 
 IMPACT = r"(?iU)\b(?:processed|supported|managed|handled|improved|reduced|increased|grew|saved|built|developed|optimized|tăng|giảm|cải thiện|quản lý|đạt)\b"
 QUANTITY = r"(?i)\b[0-9]+(?:[.,][0-9]+)?\s*(?:%|[kmb]\b|\+|/|users|records|events|requests|queries|pages|percent|ms|seconds|minutes|hours|days|years?|members|people|projects)"
 EXCLUDED = r"(?i)\+?[0-9][0-9\s-]{8,}|\b(?:19|20)[0-9]{2}\b|\bv?[0-9]+\.[0-9]+(?:\.[0-9]+)?\b"
 #: Words of rank that titles may differ in, and words of trade that two parts of one role share. Fixed values.
-RANKS = ("senior", "junior", "lead", "principal", "staff", "associate", "assistant", "intern", "manager", "director")
-TRADES = frozenset("data engineer scientist analyst developer architect researcher ml ai nlp backend frontend fullstack platform cloud devops sre".split())
+RANKS = r"(?iU)\b(?:senior|junior|lead|principal|staff|associate|assistant|intern|manager|director|head\s+of)\b"
+TRADES = r"(?iU)\b(data|engineer|scientist|analyst|developer|architect|researcher|ml|ai|nlp|backend|frontend|fullstack|platform|cloud|devops|sre|kỹ|sư|nhà|lập|trình|phân|tích)\b"
 
 
 def is_achievement(line: Column) -> Column:
@@ -23,52 +22,30 @@ def is_achievement(line: Column) -> Column:
     return F.regexp_like(line, F.lit(IMPACT)) & F.regexp_like(line, F.lit(QUANTITY)) & ~F.regexp_like(line, F.lit(EXCLUDED))
 
 
-def plain_title(title: str | None) -> str:
-    return " ".join(w for w in (title or "").lower().replace("head of", " ").split() if w not in RANKS)
+def plain_title(title: Column) -> Column:
+    """A title in lower case without words of rank; empty for null."""
+    return collapse(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), RANKS, ""))
 
 
-def same_role(a: str | None, b: str | None) -> bool:
+def same_role(a: Column, b: Column) -> Column:
+    """Whether one title holds the other, ranks aside, or both share a word of trade."""
     x, y = plain_title(a), plain_title(b)
-    return bool(x and y and (x in y or y in x)) or bool(TRADES & set((a or "").lower().split()) & set((b or "").lower().split()))
-
-
-ENTRY = "doc_id long, entry int, job_title string, company string, start_date date, end_date date, merged int"
+    words = lambda t: F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(TRADES), F.lit(1))
+    return ((x != "") & (y != "") & (F.contains(y, x) | F.contains(x, y))) | F.arrays_overlap(words(a), words(b))
 
 
 def merge_roles(entries: DataFrame, *, as_of: date, least: float = 0.8) -> DataFrame:
-    """Entries of one document and company that are one role told twice, merged from left to right.
-
-    Both dated: under `least` of the shorter interval shared, never; all of it, always; between, if the titles agree.
-    Without dates the titles alone decide. The scan compares with each head as it stood before it took others in.
-    The order within a document matters, hence a group per document, whose size is that of one profile.
-    """
-    ship(entries.sparkSession)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("entry").to_dict("records")
-        heads: list[tuple[dict, dict]] = []
-        for r in rows:
-            r["start_date"], r["end_date"] = (None if pd.isna(v) else v for v in (r["start_date"], r["end_date"]))
-            for head, out in heads:
-                mine, theirs = (r["company"] or "").lower().strip(), (head["company"] or "").lower().strip()
-                if mine and mine == theirs and _one_role(head, r, as_of, least):
-                    a, b = out["job_title"] or "", r["job_title"] or ""
-                    out["job_title"] = a if b.lower() in a.lower() else b if a.lower() in b.lower() else f"{a} / {b}"
-                    out["start_date"] = min((d for d in (out["start_date"], r["start_date"]) if d), default=None)
-                    out["end_date"] = None if out["end_date"] is None or r["end_date"] is None else max(out["end_date"], r["end_date"])
-                    out["merged"] += 1
-                    break
-            else:
-                heads.append((dict(r), r | {"merged": 1}))
-        return pd.DataFrame([out for _, out in heads])[["doc_id", "entry", "job_title", "company", "start_date", "end_date", "merged"]]
-
-    return entries.groupBy("doc_id").applyInPandas(run, ENTRY)
-
-
-def _one_role(a: dict, b: dict, as_of: date, least: float) -> bool:
-    if not a["start_date"] or not b["start_date"]:
-        return same_role(a["job_title"], b["job_title"])
-    a1, b1 = a["end_date"] or as_of, b["end_date"] or as_of
-    shared, shorter = (min(a1, b1) - max(a["start_date"], b["start_date"])).days, min((a1 - a["start_date"]).days, (b1 - b["start_date"]).days)
-    part = shared / shorter if shared > 0 and shorter > 0 else 0.0
-    return part >= least and (part >= 1.0 or same_role(a["job_title"], b["job_title"]))
+    """(doc_id, entry, job_title, company, start_date, end_date, merged): entries of one document and company that are one
+    role told twice, merged from left to right; see reconciliation.merge_experiences. The entries of one document meet in
+    one row, whose size is that of one profile."""
+    from .document import EXPERIENCE
+    from .reconciliation import groups_of_roles, merged
+
+    null = {c: F.lit(None) for c in ("location", "description", "achievements", "skills", "evidence", "confidence")}
+    names = ("job_title", "company", "location", "start_date", "end_date", "is_current", "description", "achievements", "skills", "evidence", "confidence")
+    given = {"is_current": F.lit(False)} | null
+    one = F.struct(*(given.get(n, F.col(n)).alias(n) for n in names)).cast(EXPERIENCE)
+    rows = entries.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("entry", one.alias("e")))).alias("x")).withColumn("l", F.transform("x", lambda x: x["e"])).withColumn("g", groups_of_roles(F.col("l"), as_of, least))
+    out = F.transform("g", lambda g: F.struct(F.aggregate(F.reverse(g["more"]), g["head"], lambda a, b: merged(a, b, as_of).cast(EXPERIENCE)).alias("e"), g["at"].alias("at"), (F.size(g["more"]) + 1).alias("merged")))
+    rows = rows.select("doc_id", "x", F.explode(out).alias("o"))
+    return rows.select("doc_id", F.get("x", F.col("o.at") - 1)["entry"].alias("entry"), *(F.col(f"o.e.{c}").alias(c) for c in ("job_title", "company", "start_date", "end_date")), "o.merged")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,7 +38,7 @@ def heading_kind(line: Column) -> Column:
     long = [(a, k) for a, k in ALIASES if len(a) >= 4]
     table = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(k).alias("k")) for a, k in long))
     partly = F.element_at(F.filter(table, lambda t: F.startswith(key, F.concat(t["a"], F.lit(" "))) | F.endswith(key, F.concat(F.lit(" "), t["a"]))), 1)["k"]
-    some = F.regexp_like(key, F.lit("|".join(a.replace("&", "&") for a in dict.fromkeys(a for a, _ in long))))  # most lines hold no alias at all
+    some = F.regexp_like(key, F.lit("|".join(re.escape(a).replace("\\ ", " ") for a in dict.fromkeys(a for a, _ in long))))  # most lines hold no alias at all
     # what can be no heading is told by counting its letters, before any pattern runs
     letters = F.length(F.translate(line, " \t#-–—•|:.)0123456789", ""))
     return F.when(letters <= LONGEST_HEADING, F.when(F.length(key) <= LONGEST_HEADING, F.coalesce(exact, F.when(some, partly))))

@@ -81,30 +81,49 @@ def skills_from_json(path: str) -> dict[str, tuple[str, ...]]:
 
 
 def skill_table(spark: SparkSession, skills: dict | None = None) -> DataFrame:
-    """(alias, canonical, words): one row per spelling in lower case, the canonical name's own included."""
+    """(alias, canonical, words, key): one row per spelling in lower case, the canonical name's own included; `key` is the
+    spelling as the words of a text are taken."""
     rows = {}
     for name, aliases in (skills or SKILLS).items():
         for a in (*aliases, name):
-            rows.setdefault(a.lower(), (a.lower(), name, len(a.split())))
-    return spark.createDataFrame(list(rows.values()), "alias string, canonical string, words int")
+            key = [w for w in (x.strip(".") for x in re.split(r"[^\w+#.]+", a.lower())) if w]
+            rows.setdefault(a.lower(), (a.lower(), name, len(key), " ".join(key)))
+    return spark.createDataFrame(list(rows.values()), "alias string, canonical string, words int, key string")
 
 
 def canonical_skills(names: DataFrame, table: DataFrame, *, name: str = "name") -> DataFrame:
     """`names` with canonical: the skill of which the name is a spelling, else the name itself, trimmed."""
-    keyed = names.withColumn("_k", F.lower(strip(F.col(name)))).join(table.select(F.col("alias").alias("_k"), "canonical"), "_k", "left")
-    return keyed.withColumn("canonical", F.coalesce("canonical", strip(F.col(name)))).drop("_k")
+    keyed = names.withColumn("_k", F.lower(strip(F.col(name)))).join(table.select(F.col("alias").alias("_k"), F.col("canonical").alias("_c")), "_k", "left")
+    return keyed.withColumn("canonical", F.coalesce("_c", strip(F.col(name)))).drop("_k", "_c")
 
 
-def skill_mentions(docs: DataFrame, table: DataFrame, *, doc: str = "doc_id", text: str = "text", strict: bool = False, longest: int = 4) -> DataFrame:
-    """(doc_id, canonical, mentions): skills spelled out in the texts, between characters other than letters, digits, _, + and #.
+def alias_hits(rows: DataFrame, table: DataFrame, keep: tuple[str, ...], *, edge: str = "+#", text: str = "text") -> DataFrame:
+    """(*keep, alias, canonical), once for each place: spellings that stand in `text` between characters other than letters, digits, _ and `edge`.
 
-    Runs of words of the text up to `longest` words long meet the table's spellings in an equi-join. `strict` leaves
-    out the names in SHORT_SKILLS, which are words of running text as well.
+    Runs of words of the text, as long as the table's spellings are, meet these in an equi-join; a run that meets one is
+    kept if the spelling stands there letter by letter.
     """
+    sizes = [r["words"] for r in table.select("words").distinct().collect() if r["words"]]  # as many as spellings have lengths
     w = F.filter(F.split(F.lower(F.col(text)), r"(?U)[^\w+#.]+"), lambda x: x != "")
-    bare = F.transform(w, lambda x: F.regexp_replace(x, r"^\.+|\.+$", ""))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.filter(F.sequence(F.lit(0), F.size(bare)), lambda i: i + n <= F.size(bare)), lambda i: F.array_join(F.slice(bare, i + 1, n), " "))))
-    rows = docs.select(F.col(doc).alias("doc_id"), F.explode(grams).alias("alias")).join(table, "alias")
+    bare = F.filter(F.transform(w, lambda x: F.regexp_replace(x, r"^\.+|\.+$", "")), lambda x: x != "")
+    rows = rows.select(*keep, F.lower(F.col(text)).alias("_t"), bare.alias("_w"))
+
+    def runs(n: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_w"), F.lit(1))), lambda i: i + (n - 1) <= F.size("_w"))
+        return F.transform(starts, lambda i: F.array_join(F.slice("_w", i, n), " "))
+
+    grams = F.concat(*map(runs, sizes)) if sizes else F.array().cast("array<string>")
+    rows = rows.select(*keep, "_t", F.explode(grams).alias("key")).join(table.select("key", "alias", "canonical"), "key")
+    quoted = F.regexp_replace("alias", r"([^\p{L}\p{N}\s_])", r"\\$1")
+    return rows.where(F.regexp_like("_t", F.concat(F.lit(rf"(?U)(?<![\w{edge}])"), quoted, F.lit(rf"(?![\w{edge}])")))).drop("_t", "key")
+
+
+def skill_mentions(docs: DataFrame, table: DataFrame, *, doc: str = "doc_id", text: str = "text", strict: bool = False) -> DataFrame:
+    """(doc_id, canonical, mentions): skills spelled out in the texts; see alias_hits. `doc` may be any column that groups rows.
+
+    `strict`: not next to dots either, and without the names in SHORT_SKILLS, which are words of running text as well.
+    """
+    rows = alias_hits(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")), table, ("doc_id",), edge="+#." if strict else "+#")
     if strict:
         rows = rows.where(~F.col("canonical").isin(*SHORT_SKILLS))
     return rows.groupBy("doc_id", "canonical").agg(F.count("*").alias("mentions"))
@@ -119,6 +138,21 @@ def job_titles(text: Column) -> Column:
     return F.array_compact(F.array(*(F.when(F.regexp_like(F.lower(text), F.lit("|".join(map(_bounded, a)))), F.lit(k)) for k, a in JOB_TITLES.items())))
 
 
+def profile_titles(headline: Column, titles: Column, roles: Column) -> Column:
+    """Canonical titles of a headline, of job titles and of project roles; the different ones as they are, if none is known."""
+    told = F.filter(F.concat(F.array(headline), titles, roles), lambda t: F.coalesce(strip(t), F.lit("")) != "")
+    known = job_titles(F.array_join(told, " "))
+    bare = F.transform(told, lambda t: strip(t))
+    low = F.transform(bare, lambda t: F.lower(t))
+    return F.when(F.size(known) > 0, known).otherwise(F.filter(bare, lambda t, i: F.array_position(low, F.lower(t)) == i + 1))
+
+
+def place_of(address: Column, places: Column) -> Column:
+    """The province of an address, else of the first of `places` that there is; null without either."""
+    first = F.get(F.filter(places, lambda p: F.coalesce(strip(p), F.lit("")) != ""), F.lit(0))
+    return F.coalesce(province(address), province(first))
+
+
 def province(text: Column) -> Column:
     """The province whose longest spelling stands in `text`; else the text itself, trimmed."""
     spelled = sorted(((v, k) for k, vs in PROVINCES.items() for v in vs), key=lambda x: -len(x[0]))

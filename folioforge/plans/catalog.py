@@ -55,7 +55,7 @@ def values(rows: list[tuple]) -> str:
 
 _L = r"list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '\r\n|\r', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
 _HEADING_IN = ", ".join(quoted(a) for a, _ in sections.ALIASES)
-_HEADING_RE = "|".join(a.replace("&", "&") for a, _ in sections.ALIASES if len(a) >= 4)
+_HEADING_RE = "|".join(a for a, _ in sections.ALIASES if len(a) >= 4)
 _KEY = r"regexp_replace(trim(regexp_replace(trim(regexp_replace(trim(lower(line)), '^[#\-–—•|:]+|[#\-–—•|:]+$', '', 'g')), '^[0-9]{1,2}[.)\s-]+', '')), '\s+', ' ', 'g')"
 _IS_HEADING = f"(length({_KEY}) <= 60 AND ({_KEY} IN ({_HEADING_IN}) OR regexp_matches({_KEY}, '^(?:{_HEADING_RE}) | (?:{_HEADING_RE})$')))"
 _BLOCKS = f"b AS (SELECT doc_id, unnest({_L}) AS line, unnest(generate_series(1, len({_L}))) AS n FROM documents)"
@@ -72,8 +72,7 @@ i AS (SELECT *, concat_ws(',', CASE WHEN char_count < 80 THEN 'TEXT_TOO_SHORT' E
 
 @query(_DIAGNOSE + " SELECT doc_id, char_count, block_count, heading_count, status, issues FROM i")
 def doc_diagnostics(spark, sf):
-    docs = table(spark, sf, "documents")
-    return blocks.diagnose(blocks.blocks(docs), docs)
+    return blocks.with_diagnosis(table(spark, sf, "documents")).select("doc_id", "char_count", "block_count", "heading_count", "status", "issues")
 
 
 _E, _P, _U = privacy.EMAIL, privacy.PHONE, r"(?:[hH][tT][tT][pP][sS]?://|[wW][wW][wW]\.)[^\s<>{}\[\]]+"
@@ -89,23 +88,26 @@ def contact_extract(spark, sf):
 
 @query(_DIAGNOSE.replace("WITH ", f"WITH {_CONTACTS}, ", 1) + " SELECT i.*, email IS NOT NULL AS has_email, phone IS NOT NULL AS has_phone, n_urls, CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS tokens FROM i JOIN k USING (doc_id) JOIN documents USING (doc_id)")
 def doc_profile(spark, sf):
-    """The flagship: every document's blocks, diagnostics, contacts and tokens in one row."""
+    """The flagship: every document's blocks, diagnostics, contacts and tokens in one row, from one scan without a shuffle."""
     docs = table(spark, sf, "documents")
-    seen = privacy.contacts(docs).select("doc_id", F.col("email").isNotNull().alias("has_email"), F.col("phone").isNotNull().alias("has_phone"), "n_urls")
-    sized = docs.select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
-    return blocks.diagnose(blocks.blocks(docs), docs).join(seen, "doc_id").join(sized, "doc_id")
+    seen = privacy.contact_columns(F.col("text"))
+    rows = blocks.with_diagnosis(docs)
+    more = {"has_email": seen["email"].isNotNull(), "has_phone": seen["phone"].isNotNull(), "n_urls": seen["n_urls"], "tokens": T.estimate_tokens(F.col("text"))}
+    return rows.select("doc_id", "char_count", "block_count", "heading_count", "status", "issues", *(c.alias(n) for n, c in more.items()))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(translate(nfc_normalize(text), '•●▪◦‣∙', '------'), '([A-Za-z0-9])\s*\.\s*([A-Za-z]{2,}(?:[^\p{L}\p{N}_]|$))', '\1.\2', 'g'), '([A-Za-z0-9])(?:\s+\.\s*|\.\s+)([A-Za-z]{2,}(?:[^\p{L}\p{N}_]|$))', '\1.\2', 'g'), chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \t\f\v]+', ' ', 'g'), '^\s+|\s+$', '', 'g')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS normalized FROM documents WHERE NOT regexp_matches(text, '@|://|www')""")
-def text_normalize(spark, sf):
-    docs = table(spark, sf, "documents").where(~F.regexp_like("text", F.lit("@|://|www")))
-    return docs.select("doc_id", T.normalize_layout(T.nfc("text")).alias("normalized"))
+_EMAILS = r"regexp_replace({}, '([A-Za-z0-9._%+-]+)\s*@\s*((?:[A-Za-z0-9-]+\.)*[A-Za-z0-9-]+)\s*\.\s*([A-Za-z0-9-]+)', '\1@\2.\3', 'g')"
+_JOINED = "nfc_normalize(translate(regexp_replace(text, '\r\n?', chr(10), 'g'), '•●▪◦‣∙', '------'))"
+for _ in range(T.LABELS):
+    _JOINED = _EMAILS.format(_JOINED)
+_JOINED = rf"regexp_replace(regexp_replace(regexp_replace({_JOINED}, '\b[hH][tT][tT][pP][sS]\s*:\s*/\s*/\s*', 'https://', 'g'), '\b[hH][tT][tT][pP]\s*:\s*/\s*/\s*', 'http://', 'g'), '\b[wW][wW][wW]\s*\.\s*', 'www.', 'g')"
+_DOMAINS = r"regexp_replace(regexp_replace({}, '([A-Za-z0-9])\s*\.\s*([A-Za-z]{{2,}}(?:[^\p{{L}}\p{{N}}_]|$))', '\1.\2', 'g'), '([A-Za-z0-9])(?:\s+\.\s*|\.\s+)([A-Za-z]{{2,}}(?:[^\p{{L}}\p{{N}}_]|$))', '\1.\2', 'g')"
 
 
-@query()
-def text_normalize_all(spark, sf):
-    """Every document, those with e-mail addresses and URLs too, whose rules the SQL of text_normalize leaves out."""
-    return table(spark, sf, "documents").select("doc_id", T.normalize_layout(T.nfc("text")).alias("normalized"))
+@query(rf"""SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split({_DOMAINS.format(_JOINED)}, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \t\f\v]+', ' ', 'g'), '^\s+|\s+$', '', 'g')), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS normalized FROM documents""")
+def text_normalize(spark, sf):
+    """Every document: e-mail addresses, URLs, domains, bullets, blanks and blank lines."""
+    return table(spark, sf, "documents").select("doc_id", T.normalized(F.col("text")).alias("normalized"))
 
 
 @query(r"""WITH r AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda x: lower(regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'))), lambda x: x <> '') AS l FROM conversations),
@@ -210,7 +212,7 @@ def golden_education(spark, sf):
     return dated(extract.education(resume(spark)).drop("doc_id"))
 
 
-@query("SELECT 'ROBIN EXAMPLE' AS candidate_name, 'robin@example.com' AS email, '+84 912 000 111' AS phone, 'Docker, PostgreSQL, Python, SQL, Spark' AS skills, 2 AS n_jobs, 1 AS n_schools, 6.0::DOUBLE AS years")
+@query("SELECT 'ROBIN EXAMPLE' AS candidate_name, 'robin@example.com' AS email, '+84 912 000 111' AS phone, 'Docker, Go, PostgreSQL, Python, Spark, SQL' AS skills, 2 AS n_jobs, 1 AS n_schools, 6.0::DOUBLE AS years")
 def golden_profile(spark, sf):
     p = extract.profiles(resume(spark), taxonomy.skill_table(spark), as_of=AS_OF)
     return p.select("candidate_name", "email", "phone", "skills", "n_jobs", "n_schools", "years")
@@ -219,7 +221,7 @@ def golden_profile(spark, sf):
 MENTIONS = [(1, "Python and C++ with react.js; I go to work"), (2, "k8s, Amazon Web Services. Machine  learning"), (3, "pythonic, sqlite"), (4, "CV: computer vision, R"), (5, None)]
 
 
-@query("SELECT * FROM (VALUES (1, 'Python', 1), (1, 'C++', 1), (1, 'React', 1), (1, 'Go', 1), (2, 'Kubernetes', 1), (2, 'AWS', 1), (2, 'Machine Learning', 1), (4, 'Computer Vision', 2), (4, 'R', 1)) v(doc_id, canonical, mentions)")
+@query("SELECT * FROM (VALUES (1, 'Python', 1), (1, 'C++', 1), (1, 'React', 1), (1, 'Go', 1), (2, 'Kubernetes', 1), (2, 'AWS', 1), (4, 'Computer Vision', 2), (4, 'R', 1)) v(doc_id, canonical, mentions)")
 def skill_mentions(spark, sf):
     return taxonomy.skill_mentions(fixture(spark, MENTIONS, "doc_id long, text string"), taxonomy.skill_table(spark))
 
@@ -310,17 +312,16 @@ def evidence_grounding(spark, sf):
 
 @query(f"WITH {_BLOCKS} SELECT a.doc_id, CAST(a.n AS INTEGER) AS anchor, CAST(b.n AS INTEGER) AS near FROM b a JOIN b ON a.doc_id = b.doc_id AND b.n BETWEEN a.n - 4 AND a.n + 4 AND a.n <> b.n")
 def evidence_band_join(spark, sf):
-    found = blocks.blocks(table(spark, sf, "documents"))
-    return evidence.context_pairs(found, found)
+    return evidence.context_pairs(table(spark, sf, "documents"))
 
 
-CLAIMS = [(1, 1, "p1-b1", "Data Engineer", True), (1, 1, "p1-b1", "data engineer", False), (1, 1, "p1-b9", "Data", False), (1, 2, "p1-b1", "Data", False), (1, 1, "p1-b2", " Acme ", True)]
+CLAIMS = [(1, 1, "p1-b1", "Data Engineer", True), (1, 1, "p1-b1", "data engineer", False), (1, 1, "p1-b9", "Data", False), (1, 2, "p1-b1", "Data", False), (1, 1, "p1-b2", " Acme ", True), (1, 1, "p1-b1", "", False), (1, 1, "p1-b1", None, False), (1, 1, "p1-b3", "Senior Data", True), (1, 1, "p1-b3", "Senior  Data ", True)]
 
 
 @query(f"SELECT q AS quote, g AS grounded, block_id FROM (VALUES {values(CLAIMS)}) v(d, p, block_id, q, g)")
 def evidence_claims(spark, sf):
     claims = fixture(spark, [c[:4] for c in CLAIMS], "doc_id long, page_number int, block_id string, quote string")
-    held = fixture(spark, [(1, 1, "p1-b1", "Senior Data Engineer"), (1, 1, "p1-b2", "at Acme")], "doc_id long, page_number int, block_id string, text string")
+    held = fixture(spark, [(1, 1, "p1-b1", "Senior Data Engineer"), (1, 1, "p1-b2", "at Acme"), (1, 1, "p1-b3", "Senior  Data\u200b  Chief")], "doc_id long, page_number int, block_id string, text string")
     return evidence.grounded(claims, held).select("quote", "grounded", "block_id")
 
 
@@ -339,7 +340,7 @@ def two_column_rows(spark, sf):
     return layout.place(rows).select("block_id", "side", "row")
 
 
-TIERS = [(1, True, True, False, False, 1, "GROUNDED"), (2, False, True, False, True, 2, "EVIDENCE_SECTION_INFERRED"), (3, True, False, False, False, 0, "ROLE_NOT_SUPPORTED_BY_EVIDENCE"), (4, True, True, True, False, 0, "PROJECT_ONLY_EVIDENCE"), (5, False, False, False, False, 0, "EVIDENCE_NOT_GROUNDED")]
+TIERS = [(1, True, True, False, False, 1, "VERIFIED"), (2, False, True, False, True, 2, "SECTION_INFERRED"), (3, True, False, False, False, 0, "ROLE_NOT_SUPPORTED_BY_EVIDENCE"), (4, True, True, True, False, 0, "PROJECT_ONLY_EVIDENCE"), (5, False, False, False, False, 0, "EVIDENCE_NOT_GROUNDED")]
 
 
 @query(f"SELECT id, tier, reason_code FROM (VALUES {values(TIERS)}) v(id, a, b, c, d, tier, reason_code)")
@@ -450,33 +451,10 @@ def binding_metrics(spark, sf):
 
 # ---- features, repair, reports
 
-MARKED = [(1, 1, "p1-b1", "## Experience"), (1, 2, "p1-b2", "- Cut build time by 40%"), (1, 3, "p1-b3", "- Wrote docs in Python"), (1, 4, "p1-b4", "PROJECTS"), (1, 5, "p1-b5", "- Parser in Rust with 12 users"), (1, 6, "p1-b6", "## Skills"), (1, 7, "p1-b7", "Python, Go, ann@example.org")]
-
-
-def marked_blocks(spark):
-    return fixture(spark, MARKED, "doc_id long, reading_order int, block_id string, text string")
-
-
-@query("SELECT CAST(1 AS BIGINT) AS doc_id, round(least(100.0, 40 + (23 + 22 + 30) / 3.0), 6)::DOUBLE AS description_score, CAST(2 AS BIGINT) AS achievements, 3 AS n_sections, true AS has_contact")
-def document_features(spark, sf):
-    from folioforge.operators import features
-
-    return features.document_features(marked_blocks(spark)).select("doc_id", F.round("description_score", 6).alias("description_score"), "achievements", "n_sections", "has_contact")
-
-
-@query("SELECT * FROM (VALUES ('Python', 'listed,work', 100.0::DOUBLE), ('Rust', 'project', 80.0::DOUBLE), ('Go', 'listed', 40.0::DOUBLE), ('Ada', 'listed', 40.0::DOUBLE)) v(skill, types, points)")
-def skill_evidence(spark, sf):
-    from folioforge.operators import features
-
-    skills = fixture(spark, [(1, s) for s in ("Python", "Rust", "Go", "Ada")], "doc_id long, skill string")
-    found = features.skill_evidence(skills, marked_blocks(spark))
-    return found.select("skill", F.array_join("types", ",").alias("types"), features.evidence_points(F.col("types")).alias("points"))
-
-
 QUALITY = [(1, 80.0, 100.0, True, 2, 5, "validated"), (2, None, None, None, 0, 1, "partial"), (3, 100.0, 100.0, True, 2, 5, "manual_review"), (4, 40.0, 40.0, False, 1, 3, "validated")]
 
 
-@query("SELECT id, CAST(q AS DOUBLE) AS quality_score, CAST(c AS DOUBLE) AS confidence FROM (VALUES (1, 94.0, 1.0), (2, round(0.1 * 20 / 0.3, 6), 0.28), (3, NULL, 0.25), (4, 38.0, 1.0)) v(id, q, c)")
+@query("SELECT id, CAST(q AS DOUBLE) AS quality_score, CAST(c AS DOUBLE) AS confidence FROM (VALUES (1, 94.0, 1.0), (2, 6.67, 0.28), (3, NULL, 0.25), (4, 38.0, 1.0)) v(id, q, c)")
 def quality_scores(spark, sf):
     from folioforge.operators import features
 
@@ -488,7 +466,7 @@ RESPONSES = [
     (1, '```json\n{"experiences": [{"role": "Cook", "employer": "Inn", "startDate": "May 2020", "endDate": "present", "responsibilities": "Grill", "evidence": {"quote": "Cook", "page": 1, "block": "p1-b1"}}], "extra": 1}\n```'),
     (2, "not json"), (3, "null, " * 9), (4, None), (5, "[1]"),
 ]
-REPAIRED = '{"education": [], "experiences": [{"company": "Inn", "description": ["Grill"], "endDate": null, "evidence": [{"blockId": "p1-b1", "pageNumber": 1, "text": "Cook"}], "isCurrent": true, "jobTitle": "Cook", "startDate": "2020-05-01"}], "projects": [], "skills": []}'
+REPAIRED = '{"experiences": [{"achievements": [], "company": "Inn", "description": ["Grill"], "endDate": null, "evidence": [{"blockId": "p1-b1", "pageNumber": 1, "text": "Cook"}], "isCurrent": true, "jobTitle": "Cook", "skills": [], "startDate": "2020-05-01"}], "extra": 1}'
 
 
 @query(f"SELECT * FROM (VALUES (1, {quoted(REPAIRED)}, NULL), (2, NULL, 'INVALID_JSON'), (3, NULL, 'DEGENERATE'), (4, NULL, 'EMPTY'), (5, NULL, 'NOT_AN_OBJECT')) v(id, repaired, repair_error)")
@@ -504,3 +482,6 @@ def token_reduction(spark, sf):
 
     sums = blocks.prune(blocks.blocks(table(spark, sf, "documents"))).groupBy("doc_id").agg(F.sum("tokens_before").alias("a"), F.sum("tokens_after").alias("b"))
     return sums.select("doc_id", reports.reduction(F.col("a"), F.col("b")).alias("saved_percent"))
+
+
+from folioforge.plans import resumes  # noqa: E402, F401  (its queries register themselves)

@@ -42,8 +42,8 @@ def test_grades(value, want):
 
 def test_repair_details():
     fixed = json.loads(repair.payload(json.dumps({"education": [{"school": "U", "startDate": "2022", "endDate": "2018"}], "skills": ["Go", 5], "projects": {"name": "x"}}))[0])
-    assert fixed["education"][0] == {"institution": "U", "startDate": "2018-01-01", "endDate": "2022-01-01"}
-    assert fixed["skills"] == [{"name": "Go"}] and fixed["projects"] == []
+    assert fixed["education"][0] == {"institution": "U", "startDate": "2018-01-01", "endDate": "2022-01-01", "coursework": []}
+    assert fixed["skills"] == [{"name": "Go", "evidence": []}] and fixed["projects"] == {"name": "x"}
     assert repair.strings([None, {"x": 1, "y": "z"}, 3]) == ["z", "3"]
     assert repair.evidence([{"text": "a", "page": 1}, {"snippet": "a", "pageNumber": 1, "block_id": "b"}]) == [{"text": "a", "pageNumber": 1, "blockId": "b"}]
 

@@ -3,6 +3,8 @@
 import re
 import unicodedata
 
+from pyspark.sql import functions as F
+
 from folioforge.functions import text as T
 from folioforge.plans import catalog
 
@@ -15,7 +17,7 @@ def plain(text):
         return None
     v = re.sub("\r\n?", "\n", unicodedata.normalize("NFC", text)).translate({ord(c): "-" for c in T.BULLETS})
     part = "[A-Za-z0-9-]+"
-    for _ in range(3):
+    for _ in range(T.LABELS):
         v = re.sub(rf"([A-Za-z0-9._%+-]+){S}*@{S}*((?:{part}\.)*{part}){S}*\.{S}*({part})", r"\1@\2.\3", v)
     v = re.sub(rf"(?i)\bhttps{S}*:{S}*/{S}*/{S}*", "https://", v)
     v = re.sub(rf"(?i)\bhttp{S}*:{S}*/{S}*/{S}*", "http://", v)
@@ -30,11 +32,11 @@ def test_whole_texts(spark):
     odd = [(-1, "write to  jo . e @ mail . example . org\nor www . example . com"), (-2, "https : / / a.b/c  \n\n\n\n• x"), (-3, None)]
     texts = {**{r.doc_id: r.text for r in docs.collect()}, **dict(odd)}
     rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
-    got = {r.doc_id: r.n for r in rows.select("doc_id", T.normalize_layout(T.nfc("text")).alias("n")).collect()}
+    got = {r.doc_id: r.n for r in rows.select("doc_id", T.normalized(F.col("text")).alias("n")).collect()}
     assert sum(bool(t and re.search("@|://|www", t)) for t in texts.values()) > 5
     assert got == {k: plain(t) for k, t in texts.items()}
 
 
 def test_query_keeps_every_document(spark):
-    rows = catalog.QUERIES["text_normalize_all"](spark, SF)
+    rows = catalog.QUERIES["text_normalize"](spark, SF)
     assert rows.count() == spark.read.parquet(f"{SF}/documents.parquet").count()

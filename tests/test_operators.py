@@ -73,9 +73,9 @@ def test_extraction_edges(spark):
 
 
 def test_taxonomy_strict_and_file(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "I go to work in C"), (2, "Go Go python.")], DOCS)
+    docs = spark.createDataFrame([(1, "I go to work in C"), (2, "Go Go python, sql.")], DOCS)
     table = taxonomy.skill_table(spark)
-    assert {(r.doc_id, r.canonical): r.mentions for r in taxonomy.skill_mentions(docs, table).collect()} == {(1, "Go"): 1, (1, "C"): 1, (2, "Go"): 2, (2, "Python"): 1}
+    assert {(r.doc_id, r.canonical): r.mentions for r in taxonomy.skill_mentions(docs, table).collect()} == {(1, "Go"): 1, (1, "C"): 1, (2, "Go"): 2, (2, "Python"): 1, (2, "SQL"): 1}
     assert [(r.doc_id, r.canonical) for r in taxonomy.skill_mentions(docs, table, strict=True).collect()] == [(2, "Python")]
     (tmp_path / "s.json").write_text(json.dumps({"skills": {"Rust": ["rust"]}}))
     assert taxonomy.skills_from_json(str(tmp_path / "s.json")) == {"Rust": ("rust",)}
@@ -96,7 +96,7 @@ def test_layout_single_column(spark):
 def test_merge_keeps_heads(spark):
     rows = [(1, 1, "Data Engineer", "A", date(2020, 1, 1), date(2021, 1, 1)), (1, 2, "Engineer", "A", date(2020, 1, 1), None), (1, 3, "Chef", "B", date(2020, 1, 1), date(2021, 1, 1))]
     got = reconcile.merge_roles(spark.createDataFrame(rows, "doc_id long, entry int, job_title string, company string, start_date date, end_date date"), as_of=date(2022, 1, 1)).orderBy("entry").collect()
-    assert [(r.entry, r.end_date, r.merged) for r in got] == [(1, None, 2), (3, date(2021, 1, 1), 1)]
+    assert [(r.entry, r.end_date, r.merged) for r in got] == [(1, date(2021, 1, 1), 2), (3, date(2021, 1, 1), 1)]
 
 
 def test_scores(spark):
