@@ -22,6 +22,13 @@ def nfc(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield v.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFC", s))
 
 
+@F.pandas_udf(StringType())
+def decomposed(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Canonical decomposition: accents apart from their letters."""
+    for v in values:
+        yield v.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFD", s))
+
+
 #: Unicode's white space.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 

@@ -39,3 +39,81 @@ def mismatches(gold: DataFrame, found: DataFrame) -> DataFrame:
     g, f = (d.withColumn("_k", F.lower(F.trim("title"))) for d in (gold, found))
     missing = g.join(f.select(*on), on, "left_anti").select("doc_id", "kind", "title", F.lit("missing").alias("side"))
     return missing.unionByName(f.join(g.select(*on), on, "left_anti").select("doc_id", "kind", "title", F.lit("invented").alias("side")))
+
+
+def binding_counts(reviews: DataFrame) -> DataFrame:
+    """Of `reviews` (verdict, bound, correct): entities reviewed, correct, incorrect, uncertain and pending, and block_metrics of those reviewed."""
+    done = F.col("verdict") != "pending"
+    n = reviews.agg(F.count_if(done).alias("reviewed"), *(F.count_if(F.col("verdict") == v).alias(v) for v in ("correct", "incorrect", "uncertain", "pending")))
+    return n.crossJoin(block_metrics(reviews.where(done)))  # one row each
+
+
+def binding_packet(gold: DataFrame, bound: DataFrame) -> DataFrame:
+    """`gold` (doc_id, kind, title) with the blocks that binding gave (bound: doc_id, kind, title, blocks) and a verdict that is pending."""
+    key = F.lower(F.trim("title"))
+    b = bound.select("doc_id", "kind", key.alias("_k"), "blocks")
+    empty = F.array().cast(bound.schema["blocks"].dataType)
+    return gold.withColumn("_k", key).join(b, ["doc_id", "kind", "_k"], "left").select("doc_id", "kind", "title", F.coalesce("blocks", empty).alias("blocks"), F.lit("pending").alias("verdict"))
+
+
+def initial_entities(gold: DataFrame, initial: DataFrame, dto: DataFrame, corrected: DataFrame, final: DataFrame) -> DataFrame:
+    """Seven counters over tables of (doc_id, kind, title): gold, first answer, those of it with a title, matched titles, valid first ones,
+    valid corrected ones, final ones."""
+    key = F.lower(F.trim("title"))
+    hit = initial.select("doc_id", "kind", key.alias("k")).distinct().join(gold.select("doc_id", "kind", key.alias("k")).distinct(), ["doc_id", "kind", "k"], "left_semi")
+    n = lambda d, name: d.agg(F.count("*").alias(name))
+    out = n(gold, "gold")
+    for d, name in ((initial, "initial"), (initial.where("trim(coalesce(title, '')) <> ''"), "with_title"), (hit, "matched"), (dto, "initial_valid"), (corrected, "corrected_valid"), (final, "final")):
+        out = out.crossJoin(n(d, name))  # one row each
+    return out
+
+
+def field_coverage(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, covered, asked, coverage): gold fields (doc_id, entity, field, value) that are found with the same value, in lower case and trimmed."""
+    v = F.lower(F.trim("value"))
+    g = gold.select("doc_id", "entity", "field", v.alias("v")).distinct()
+    f = found.select("doc_id", "entity", "field", v.alias("v"), F.lit(1).alias("hit")).distinct()
+    return g.join(f, ["doc_id", "entity", "field", "v"], "left").groupBy("doc_id").agg(F.count("hit").alias("covered"), F.count("*").alias("asked")).withColumn("coverage", ratio(F.col("covered"), F.col("asked")))
+
+
+def page_overlap(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, overlap): of gold evidence pages (doc_id, entity, page) the share that is cited."""
+    g = gold.select("doc_id", "entity", "page").distinct()
+    f = found.select("doc_id", "entity", "page", F.lit(1).alias("hit")).distinct()
+    return g.join(f, ["doc_id", "entity", "page"], "left").groupBy("doc_id").agg(ratio(F.count("hit"), F.count("*")).alias("overlap"))
+
+
+#: Headings of reviewers' notes by the kind of entity that they open. Fixed values.
+NOTE_KINDS = (("employment", "employment"), ("project", "project"), ("education", "education"), ("skill", "skill"), ("certification", "certification"), ("language", "language"))
+
+
+def annotation_intake(notes: DataFrame) -> DataFrame:
+    """(source, layout, fact, kind, fields, page, state) of reviewers' Markdown notes (source, text), one row per fact.
+
+    `### Employment ...` opens a kind; `1. **Field:** value` a fact of it, `* **Field:** value` another field of the fact, and `* text`
+    a fact of its own. state: ambiguous only if the field that names the fact is.
+    """
+    rows = notes.select("source", F.posexplode(F.split("text", "\n")).alias("n", "line"), "text")
+    heading = F.lower(F.regexp_extract("line", r"^###\s+(.*)$", 1))
+    kind = F.lit(None).cast("string")
+    for word, name in reversed(NOTE_KINDS):
+        kind = F.when(F.contains(heading, F.lit(word)), name).otherwise(kind)
+    from pyspark.sql.window import Window
+
+    upto = Window.partitionBy("source").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    field, value = F.trim(F.regexp_extract("line", r"^\s*(?:\d+\.|\*)\s+\*\*(.+?):\*\*\s*(.*)$", 1)), F.trim(F.regexp_extract("line", r"^\s*(?:\d+\.|\*)\s+\*\*(.+?):\*\*\s*(.*)$", 2))
+    item = F.trim(F.regexp_extract("line", r"^\s*\*\s+([^*].*)$", 1))
+    rows = rows.withColumn("_h", F.when(F.startswith("line", F.lit("#")), F.coalesce(kind, F.lit("")))).withColumn("kind", F.last("_h", True).over(upto)).withColumn("field", field).withColumn("value", value).withColumn("item", F.when(field == "", item).otherwise(""))
+    rows = rows.where("kind <> '' AND (field <> '' OR item <> '')").withColumn("_new", (F.regexp_like("line", F.lit(r"^\s*\d+\.")) | (F.col("item") != "")).cast("int"))
+    rows = rows.withColumn("fact", F.sum("_new").over(upto)).withColumn("field", F.when(F.col("item") != "", "Item").otherwise(F.col("field"))).withColumn("value", F.when(F.col("item") != "", F.col("item")).otherwise(F.col("value")))
+    layout = F.when(F.regexp_like(F.lower("text"), F.lit(r"layout observations:[^\n]*single[- ]column")), "single_column").when(F.regexp_like(F.lower("text"), F.lit(r"layout observations:[^\n]*(?:two|multi)[- ]column")), "multi_column").otherwise("unknown")
+    out = rows.groupBy("source", "fact", "kind").agg(F.max(layout).alias("layout"), F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("n", "field", "value"))), lambda x: F.struct(x["field"], x["value"]))).alias("fields"), F.min_by("value", "n").alias("_first"))
+    page = F.nullif(F.regexp_extract(F.element_at("fields", "Page"), r"(\d+)", 1), F.lit("")).cast("int")
+    state = F.when(F.startswith(F.lower("_first"), F.lit("ambiguous")), "ambiguous").otherwise("verified")
+    return out.select("source", "layout", "fact", "kind", "fields", page.alias("page"), state.alias("state"))
+
+
+def smoke_report(parsed: DataFrame) -> DataFrame:
+    """(file, ok, characters, error) of parsed pages (path, text, error): files by a hash, no text and no paths."""
+    one = parsed.groupBy("path").agg(F.max("error").alias("error"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("characters"))
+    return one.select(F.substring(F.sha2("path", 256), 1, 16).alias("file"), F.col("error").isNull().alias("ok"), "characters", "error")

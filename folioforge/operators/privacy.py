@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.cluster import ship
-
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 PHONE = r"\+?[0-9][0-9 ().-]{7,}[0-9]"
 URL = r"(?i)(?:https?://|www\.)[^\s<>{}\[\]]+"
@@ -51,62 +45,121 @@ def contacts(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(doc).alias("doc_id"), *(c.alias(n) for n, c in contact_columns(F.col(text)).items()))
 
 
-_EMAIL, _PHONE, _URL, _DATES, _DOI = (re.compile(p) for p in (EMAIL, PHONE, URL, DATES, DOI))
-
-
-def _phone(value: str) -> bool:
-    return 9 <= sum(c.isdigit() for c in value) <= 15 and not _DATES.search(value) and not _DOI.search(value.strip())
-
-
-def mask_text(text: str | None, name: str | None = None) -> tuple[str | None, list[tuple[str, str]]]:
-    """Masked text, and (token, original) in order of first use: a known name, then e-mails, phones and URLs."""
-    found: dict[str, str] = {}
-    counts = dict.fromkeys(KINDS, 0)
-
-    def token(kind: str, value: str) -> str:
-        if value not in found:
-            counts[kind] += 1
-            found[value] = f"[ANON_{kind}_{counts[kind]}]"
-        return found[value]
-
-    if text is None:
-        return None, []
-    if name:
-        found[name] = "[ANON_NAME]"
-        text = re.sub(re.escape(name), "[ANON_NAME]", text, flags=re.I)
-    text = _EMAIL.sub(lambda m: token("EMAIL", m[0]), text)
-    text = _PHONE.sub(lambda m: token("PHONE", m[0]) if _phone(m[0]) else m[0], text)
-    text = _URL.sub(lambda m: token("URL", m[0]), text)
-    return text, [(t, v) for v, t in found.items()]
-
-
-def restore_text(text: str | None, mapping: list[tuple[str, str]]) -> str | None:
-    for token, original in mapping:
-        text = None if text is None else text.replace(token, original)
-    return text
+#: What looks like a token of ours in a text that nobody has masked yet: it is masked itself, so that restoring is exact.
+TOKEN = r"\[ANON_[A-Z]+(?:_[0-9]+)?\]"
+HEADER_MARK = "[HEADER_REDACTED]"
+MAPPING = "array<struct<token:string,original:string>>"
+HEADER_MODES = ("selective", "blanket-legacy")
 
 
-MASKED = "masked string, mapping array<struct<token:string,original:string>>"
+def _replaced(rows: DataFrame, column: str, kind: str, pattern: str, keep=None) -> DataFrame:
+    """`rows` with the matches of a pattern in `column` replaced by tokens numbered in order of first use, and _kind: those matches."""
+    found = matches(F.col(column), pattern)
+    good = F.filter(found, keep) if keep is not None else found
+    rows = rows.withColumn("_found", found).withColumn(f"_{kind}", F.array_distinct(good))
+    token = lambda m: F.concat(F.lit(f"[ANON_{kind}_"), F.array_position(f"_{kind}", m).cast("string"), F.lit("]"))
+    shown = F.transform("_found", lambda m: F.when(F.array_contains(f"_{kind}", m), token(m)).otherwise(m))
+    flags, bare = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+    between = F.split(F.col(column), f"{flags}(?:{bare})", -1)
+    joined = F.array_join(F.zip_with(between, shown, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    return rows.withColumn(column, F.when(F.size("_found") > 0, joined).otherwise(F.col(column))).drop("_found")
 
 
 def mask(docs: DataFrame, *, text: str = "text", name: str | None = None) -> DataFrame:
-    """`docs` with masked and mapping. The mapping is personal data: keep it apart from what leaves the cluster."""
-    ship(docs.sparkSession)
+    """`docs` with masked and mapping (token, original): a known name in any case, then e-mails, phones and URLs.
+
+    Tokens are numbered by kind in order of first use; all of it is expressions. What looks like a token already is masked
+    as well. Null text stays null, without a mapping. The mapping is personal data: keep it apart from what leaves the cluster.
+    """
+    rows = docs.withColumn("_m", F.col(text))
+    given = F.nullif(F.col(name), F.lit("")) if name else F.lit(None).cast("string")
+    rows = _replaced(rows, "_m", "TOKEN", TOKEN)
+    if name:
+        quoted = F.concat(F.lit(r"(?iu)"), F.regexp_replace(given, r"([^\p{L}\p{N}\s])", r"\\\\$1"))
+        rows = rows.withColumn("_m", F.when(given.isNotNull(), F.call_function("regexp_replace", F.col("_m"), quoted, F.lit("[ANON_NAME]"))).otherwise(F.col("_m")))
+    for kind, pattern, keep in (("EMAIL", EMAIL, None), ("PHONE", PHONE, is_phone), ("URL", URL, None)):
+        rows = _replaced(rows, "_m", kind, pattern, keep)
+    own = F.when(given.isNotNull() & F.contains("_m", F.lit("[ANON_NAME]")), F.array(F.struct(F.lit("[ANON_NAME]").alias("token"), given.alias("original")))).otherwise(F.array().cast(MAPPING))
+    listed = map(_pairs, (*KINDS, "TOKEN"))  # literal tokens are put back last
+    mapping = F.coalesce(F.concat(own, *listed), F.array().cast(MAPPING)).cast(MAPPING)
+    return rows.select(*docs.columns, F.col("_m").alias("masked"), mapping.alias("mapping"))
 
-    @F.pandas_udf(MASKED)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, names in batches:
-            out = [mask_text(t, n) for t, n in zip(texts, names, strict=True)]
-            yield pd.DataFrame({"masked": [m for m, _ in out], "mapping": [[{"token": a, "original": b} for a, b in p] for _, p in out]})
 
-    return docs.withColumn("_m", run(F.col(text), F.col(name) if name else F.lit(None).cast("string"))).select(*docs.columns, "_m.masked", "_m.mapping")
+def _pairs(kind: str) -> Column:
+    return F.transform(f"_{kind}", lambda m, i: F.struct(F.concat(F.lit(f"[ANON_{kind}_"), (i + 1).cast("string"), F.lit("]")).alias("token"), m.alias("original")))
 
 
 def restore(text: Column, mapping: Column) -> Column:
-    """Tokens replaced by what they stand for; the longest numbers first, so that token 1 is not found in token 12."""
+    """Tokens replaced by what they stand for, in the order of the mapping."""
     return F.aggregate(mapping, text, lambda t, m: F.replace(t, m["token"], m["original"]))
 
 
+_BREAK = "\n\x1e\n"
+
+
+def mask_blocks(blocks: DataFrame, identities: DataFrame | None = None, *, mode: str = "selective", header: int = 8) -> DataFrame:
+    """(doc_id, blocks, mapping): each document's blocks (page_number, reading_order, block_id, text) masked with one numbering.
+
+    `identities` (doc_id, name, source, confidence): the name is masked too. Unless it is a sure header identity (see
+    identity.trusted), or with mode blanket-legacy, the first `header` blocks of the first page are blanked and count for nothing.
+    """
+    from .identity import trusted
+
+    if mode not in HEADER_MODES:
+        raise ValueError(f"mode has to be one of {HEADER_MODES}")
+    one = F.struct(F.col("page_number").cast("int").alias("page_number"), F.col("reading_order").cast("int").alias("reading_order"), "block_id", "text")
+    rows = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("_b"))
+    known = identities if identities is not None else blocks.sparkSession.createDataFrame([], "doc_id long, name string, source string, confidence double")
+    rows = rows.join(known.select("doc_id", F.col("name").alias("_name"), trusted(F.col("source"), F.col("confidence")).alias("_sure")), "doc_id", "left")
+    blank = (F.lit(mode != "selective") | ~F.coalesce("_sure", F.lit(False)))
+    first = F.size(F.filter("_b", lambda b: b["page_number"] == F.element_at("_b", 1)["page_number"]))
+    held = F.when(blank, F.least(F.lit(header), first)).otherwise(0)
+    shown = F.transform("_b", lambda b, i: F.when(i < F.col("_h"), F.lit(HEADER_MARK)).otherwise(F.coalesce(b["text"], F.lit(""))))
+    rows = rows.withColumn("_h", held).withColumn("_t", F.array_join(shown, _BREAK))
+    done = mask(rows, text="_t", name="_name").withColumn("_p", F.split("masked", _BREAK, -1))
+    out = F.zip_with("_b", "_p", lambda b, t: b.withField("text", t))
+    return done.select("doc_id", out.alias("blocks"), "mapping")
+
+
+def restore_profiles(profiles: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Profiles (document.PROFILE) with every text restored; a missing e-mail or phone is the first one that was masked.
+
+    `mappings` (doc_id, mapping) go through the profile as JSON, so nested texts are restored as well.
+    """
+    names = [c for c in profiles.columns if c != "doc_id"]
+    kind = profiles.select(*names).schema
+    rows = profiles.join(mappings.select("doc_id", "mapping"), "doc_id", "left")
+    text = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    safe = F.transform("mapping", lambda m: m.withField("original", F.replace(F.replace(m["original"], F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))))
+    back = F.from_json(F.coalesce(restore(text, safe), text), kind)
+    rows = rows.withColumn("_p", back).select("doc_id", "_p.*", "mapping")
+    first = lambda k: F.get(F.filter("mapping", lambda m: F.startswith(m["token"], F.lit(f"[ANON_{k}"))), F.lit(0))["original"]
+    if "email" in names:
+        rows = rows.withColumn("email", F.coalesce(F.nullif("email", F.lit("")), first("EMAIL")))
+    if "phone" in names:
+        rows = rows.withColumn("phone", F.coalesce(F.nullif("phone", F.lit("")), first("PHONE")))
+    return rows.drop("mapping")
+
+
+def apply_identity(profiles: DataFrame, identities: DataFrame) -> DataFrame:
+    """Profiles with the name, its confidence and its reference (evidence, may be null) of a local identity, where there is one."""
+    have = [c for c in identities.columns if c == "evidence"]
+    rows = profiles.join(identities.select("doc_id", F.col("name").alias("_n"), F.col("confidence").alias("_c"), *(F.col(c).alias("_e") for c in have)), "doc_id", "left")
+    one = F.col("_n").isNotNull()
+    name = F.lit("candidateName")
+    put = lambda c, v: F.map_concat(F.map_filter(F.coalesce(c, F.expr("map()").cast(profiles.schema[c].dataType)), lambda k, x: k != name), F.create_map(name, v).cast(profiles.schema[c].dataType))
+    rows = rows.withColumn("candidate_name", F.when(one, F.col("_n")).otherwise(F.col("candidate_name"))).withColumn("field_confidence", F.when(one, put("field_confidence", F.col("_c"))).otherwise(F.col("field_confidence")))
+    if have:
+        rows = rows.withColumn("field_evidence", F.when(one & F.col("_e").isNotNull(), put("field_evidence", F.array("_e"))).otherwise(F.col("field_evidence")))
+    return rows.drop("_n", "_c", "_e")
+
+
+def apply_contact(profiles: DataFrame, found: DataFrame) -> DataFrame:
+    """Profiles with email, phone, urls and address from the document alone (see contacts), null where it has none."""
+    mine = ("email", "phone", "urls", "address")
+    return profiles.drop(*mine).join(found.select("doc_id", *mine), "doc_id", "left").select(*profiles.columns)
+
+
 def mask_counts(masked: DataFrame) -> DataFrame:
     def of(kind: str) -> Column:
         return F.size(F.filter("mapping", lambda m: F.startswith(m["token"], F.lit(f"[ANON_{kind}_"))))

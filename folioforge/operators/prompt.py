@@ -26,6 +26,11 @@ def sanitize(text: Column) -> Column:
     return collapse(F.regexp_replace(v, rf"(?iU)\b(?:{DROPPED_WORDS})\b", " "))
 
 
+def sanitize_lines(text: Column) -> Column:
+    """Each line sanitized, lines kept apart; lines that were nothing else go."""
+    return F.array_join(F.filter(F.transform(lines(text), sanitize), lambda x: x != ""), "\n")
+
+
 def page_text(blocks: DataFrame) -> DataFrame:
     """(doc_id, page_number, transcript): `[page|block] text` lines in reading order."""
     line = F.concat(F.lit("["), F.col("page_number").cast("string"), F.lit("|"), "block_id", F.lit("] "), "text")

@@ -6,6 +6,7 @@ reconcile() runs them in order. Open ends run to `as_of`, never to the clock.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioforge.functions.text import clean, fingerprint, strip
+from folioforge.storage import materialize
 
 from .document import EDUCATION, EVIDENCE, EXPERIENCE, SKILL, all_grounded, as_profiles, grounded, has_section, holds, in_experience_section, no_evidence, section_kinds, supports, with_blocks
 from .evidence import tiered
@@ -271,14 +273,14 @@ def recover_education(profiles: DataFrame) -> DataFrame:
     return out.withColumn("education", F.when(found, F.array(one)).otherwise(F.col("education"))).drop("_f", "_i", "_s", "_e")
 
 
-def recover_experiences(profiles: DataFrame) -> DataFrame:
+def recover_experiences(profiles: DataFrame, stage: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
     """experiences of profiles that have none though their document has such a section: those that the rules of
     extract.experiences find in it; and missing_expected: a section of experiences or projects gave no entry."""
     from .extract import experiences
 
     missing = (has_section("experience") & (F.size("experiences") == 0)) | (has_section("projects") & (F.size("projects") == 0))
     out = profiles.withColumn("_m", has_section("experience") & (F.size("experiences") == 0)).withColumn("missing_expected", missing)
-    texts = out.where("_m").select("doc_id", F.array_join(F.transform("blocks", lambda b: b["text"]), "\n").alias("text"))
+    texts = stage(out.where("_m").select("doc_id", F.array_join(F.transform("blocks", lambda b: b["text"]), "\n").alias("text")), "recovered_texts")
     empty = F.array().cast("array<string>")
     one = F.struct("entry", F.struct("job_title", "company", F.lit(None).cast("string").alias("location"), "start_date", "end_date", "is_current", F.split("description", "\n").alias("description"), empty.alias("achievements"), empty.alias("skills"), no_evidence().alias("evidence"), F.when(F.col("company").isNotNull(), 0.85).otherwise(0.7).alias("confidence")).cast(EXPERIENCE).alias("e"))
     found = experiences(texts).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["e"]).alias("_x"))
@@ -331,16 +333,20 @@ def usable(blocks: Column) -> Column:
     return (F.aggregate(blocks, F.lit(0), lambda n, b: n + F.length(b["text"])) >= 80) & (F.size(blocks) >= 2) & (F.sort_array(F.array_distinct(order)) == order)
 
 
-def reconcile(profiles: DataFrame, blocks: DataFrame, table: DataFrame, *, provider: str, as_of: date, fallback: bool = True) -> DataFrame:
+def reconcile(profiles: DataFrame, blocks: DataFrame, table: DataFrame, *, provider: str, as_of: date, fallback: bool = True, stage: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """Profiles as they stand after all of the above, with total_experience_years, validation_status, issues and dispositions.
 
     Status: manual_review if the document is not usable, the name is a place or has an ungrounded reference, an entry was
     dropped or kept by its section alone; else partial with the local provider, an experience without references, an
-    ungrounded reference or a section that gave no entry; else validated.
+    ungrounded reference or a section that gave no entry; else validated. `stage` takes a table and a name and gives the table back:
+    it is written between steps (by default in the shared folder), which keeps plans small and lets work that an executor
+    loses begin at the last of them.
     """
+    stage = stage or materialize
     p = with_blocks(as_profiles(profiles), blocks)
-    for step in (lambda x: settle_name(x, fallback=fallback), settle_headline, count_ungrounded, validate_experiences, lambda x: merge_experiences(x, as_of=as_of), validate_projects, tidy_entries, recover_education, recover_experiences, keep_grounded):
+    for step in (lambda x: settle_name(x, fallback=fallback), settle_headline, count_ungrounded, validate_experiences, lambda x: merge_experiences(x, as_of=as_of), validate_projects, tidy_entries, recover_education, keep_grounded):
         p = step(p)
+    p = stage(recover_experiences(stage(p, "validated"), stage), "recovered")
     p = enrich_skills(p, blocks, table)
     tiers = F.transform("experience_verdicts", lambda v: v["tier"])
     inferred, dropped = F.array_contains(tiers, 2), F.array_contains(tiers, 0)

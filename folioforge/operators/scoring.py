@@ -33,6 +33,7 @@ def has_word(c: Column, words: str) -> Column:
     return F.coalesce(F.regexp_like(c, F.lit(rf"(?iU)\b(?:{words})\b")), F.lit(False))
 
 
+#: The ladders of points below are fixed values.
 def rubric(profiles: DataFrame) -> DataFrame:
     """`profiles` (institution, degree, field, years, n_jobs, skills array, certificates array) with the four scores and their sum."""
     degree, field = F.lower(F.coalesce("degree", F.lit(""))), F.lower(F.coalesce("field", F.lit("")))
@@ -65,6 +66,16 @@ def completeness_parts(skills: Column, jobs: Column, schools: Column, name: Colu
     }
 
 
+def cache_key(parts: dict[str, Column]) -> Column:
+    """The SHA-256 of the parts (texts) as compact JSON with sorted keys; a part that is null counts as null."""
+    shown = []
+    for name in sorted(parts):
+        one = F.to_json(F.struct(parts[name].alias("x")))
+        quoted = F.when(parts[name].isNull(), "null").otherwise(F.substr(one, F.lit(6), F.length(one) - 6))
+        shown.append(F.concat(F.lit(f'"{name}":'), quoted))
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *shown), F.lit("}")), 256)
+
+
 def missing_scores(keyed: DataFrame, cache: DataFrame, key: str = "score_key") -> tuple[DataFrame, DataFrame]:
     """Rows with a cached score, and those that have to be computed."""
     return keyed.join(cache, key), keyed.join(cache, key, "left_anti")

@@ -1,23 +1,61 @@
-"""Exact vector search for one query, and which documents still lack an embedding."""
+"""Exact vector search, with what a reader wants to see of each match, and embeddings that are still missing."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioforge.functions.vectors import cosine
 
+#: Queries that are asked in one pass over the vectors: a bounded broadcast.
+QUERIES_AT_ONCE = 256
+
 
-def top_matches(query: DataFrame, vectors: DataFrame, *, id_col: str, vector_col: str, k: int) -> DataFrame:
-    """(id, similarity, rank): the k nearest of `vectors` to the single vector of `query` by cosine; ties by id."""
+def top_matches(query: DataFrame, vectors: DataFrame, *, id_col: str, vector_col: str, k: int, query_id: str | None = None) -> DataFrame:
+    """(id, similarity, rank): the k nearest of `vectors` by cosine; ties by id.
+
+    Without `query_id` the query is one vector, and more are an error; with it every row of `query` is asked, and the result
+    has its id first. Queries of the same id are one, the smallest vector. Queries go out in groups of bounded size, chosen by a hash.
+    """
     if k < 1:
         raise ValueError("k has to be 1 at least")
-    one = query.select(F.col(vector_col).cast("array<double>").alias("_q")).limit(1)
-    scored = vectors.select(id_col, F.col(vector_col).cast("array<double>").alias("_v")).crossJoin(F.broadcast(one)).withColumn("similarity", cosine(F.col("_v"), F.col("_q"))).where("similarity IS NOT NULL")
-    best = scored.select(id_col, "similarity").orderBy(F.desc("similarity"), id_col).limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), id_col)))  # k rows
+    if query_id is None:
+        if len(query.limit(2).collect()) > 1:
+            raise ValueError("several queries need query_id")
+        asked = query.select(F.lit(0).alias("_id"), F.col(vector_col).cast("array<double>").alias("_q"))
+        groups = 1
+    else:
+        asked = query.groupBy(F.col(query_id).alias("_id")).agg(F.min(F.col(vector_col).cast("array<double>")).alias("_q"))
+        groups = max(1, -(-asked.count() // QUERIES_AT_ONCE))
+    found = None
+    for g in range(groups):
+        some = asked.where(F.pmod(F.xxhash64("_id"), F.lit(groups)) == g) if groups > 1 else asked
+        scored = vectors.select(id_col, F.col(vector_col).cast("array<double>").alias("_v")).crossJoin(F.broadcast(some)).withColumn("similarity", cosine(F.col("_v"), F.col("_q"))).where("similarity IS NOT NULL").select("_id", id_col, "similarity")
+        found = scored if found is None else found.unionByName(scored)
+    rank = F.row_number().over(Window.partitionBy("_id").orderBy(F.desc("similarity"), id_col))
+    out = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return out.drop("_id") if query_id is None else out.select(F.col("_id").alias("query_id"), id_col, "similarity", "rank")
 
 
 def without_embedding(docs: DataFrame, vectors: DataFrame, *, doc: str, vec: str) -> DataFrame:
     return docs.join(vectors.select(F.col(vec).alias(doc)), doc, "left_anti")
+
+
+def backfilled(profiles: DataFrame, vectors: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(all vectors, new ones): those of `vectors` (doc_id, vector), and what `embed` makes of profiles that have none.
+
+    `embed` takes profiles and gives (doc_id, vector); the new ones are the caller's to append to the stored table.
+    """
+    new = embed(without_embedding(profiles, vectors, doc="doc_id", vec="doc_id")).select("doc_id", "vector")
+    return vectors.select("doc_id", "vector").unionByName(new), new
+
+
+def search_results(query: DataFrame, profiles: DataFrame, vectors: DataFrame, *, k: int) -> DataFrame:
+    """(rank, doc_id, candidate_name, similarity, top_skills) for the one vector of `query` (vector): unknown names said so, five skills."""
+    best = top_matches(query, vectors, id_col="doc_id", vector_col="vector", k=k)
+    name = F.coalesce(F.nullif("candidate_name", F.lit("")), F.lit("Unknown candidate"))
+    shown = F.slice(F.transform("skills", lambda s: s["canonical_name"]), 1, 5)
+    return F.broadcast(best).join(profiles.select("doc_id", name.alias("candidate_name"), shown.alias("top_skills")), "doc_id").select("rank", "doc_id", "candidate_name", "similarity", "top_skills")

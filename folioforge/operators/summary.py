@@ -37,6 +37,27 @@ def summarize(profiles: DataFrame) -> DataFrame:
 
 def profile_text(headline: Column, skills: Column, jobs: Column, schools: Column) -> Column:
     """The text that stands for a profile in search: no name, no contact data, each skill once."""
+    from .prompt import sanitize_lines
+
     parts = [F.concat(F.lit(f"{label}: "), F.nullif(c, F.lit(""))) for label, c in (("Headline", headline), ("Skills", F.array_join(F.array_distinct(skills), ", ")), ("Experience", F.array_join(jobs, "; ")), ("Education", F.array_join(schools, "; ")))]
-    text = F.concat_ws("\n", *parts)
-    return F.regexp_replace(F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", ""), r"(?i)(?:https?://|www\.)\S+", "")
+    return sanitize_lines(F.concat_ws("\n", *parts))
+
+
+def text_of_profile(profiles: DataFrame, *, plain: bool = False) -> Column:
+    """profile_text of a whole profile (document.PROFILE): headline, summary, skills, jobs, projects, schools, certifications, languages.
+
+    Name and contact data are no part of it. `plain`: the older form, not sanitized, without project roles and achievements.
+    """
+    from .prompt import sanitize_lines
+
+    lines_of = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), "; ")
+    job = lambda e: F.concat_ws(" | ", e["job_title"], e["company"], F.nullif(lines_of(e["description"]), F.lit("")), F.nullif(lines_of(e["achievements"]), F.lit("")))
+    project = lambda p: F.concat_ws(" | ", *([p["title"]] if plain else [p["title"], p["role"]]), F.nullif(lines_of(p["description"]), F.lit("")), F.nullif(lines_of(p["skills"]), F.lit("")), *([] if plain else [F.nullif(lines_of(p["achievements"]), F.lit(""))]))
+    school = lambda s: F.concat_ws(" | ", s["degree"], s["field_of_study"], s["institution"])
+    parts = {
+        "Headline": F.col("headline"), "Summary": F.col("summary"), "Skills": F.array_join(F.array_distinct(F.transform("skills", lambda s: s["canonical_name"])), ", "),
+        "Experience": F.array_join(F.transform("experiences", job), "\n"), "Projects": F.array_join(F.transform("projects", project), "\n"), "Education": F.array_join(F.transform("education", school), "\n"),
+        "Certifications": F.array_join("certifications", ", "), "Languages": F.array_join("languages", ", "),
+    }
+    text = F.concat_ws("\n", *(F.concat(F.lit(f"{n}: "), F.nullif(c, F.lit(""))) for n, c in parts.items()))
+    return text if plain else sanitize_lines(text)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
 from folioforge.functions import vectors as V
-from folioforge.operators import blocks, evaluate, evidence, extract, layout, privacy, reconcile, scoring, search, sections, summary, taxonomy, timeline
+from folioforge.operators import blocks, evaluate, evidence, extract, layout, privacy, reconcile, repair, reports, scoring, search, sections, summary, taxonomy, timeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,7 +127,18 @@ def prune_blocks(spark, sf):
     return blocks.prune(blocks.blocks(table(spark, sf, "documents")))
 
 
-@query()
+def _masked(source: str, out: str, kind: str, pattern: str, keep: str = "true") -> str:
+    """SQL: a step that replaces the matches of a pattern in t by numbered tokens."""
+    number = "list_position(f, x)"
+    return f"""{out}0 AS (SELECT *, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS p FROM {source}),
+{out}1 AS (SELECT *, list_filter(m, lambda x, i: {keep} AND list_position(m, x) = i) AS f FROM {out}0),
+{out} AS (SELECT doc_id, n + len(f) AS n, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || coalesce(list_transform([m[i]], lambda x: CASE WHEN x IS NULL THEN '' WHEN {number} > 0 THEN '[ANON_{kind}_' || {number} || ']' ELSE x END)[1], '')), '') AS t FROM {out}1)"""
+
+
+_VALID = f"length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 9 AND 15 AND NOT regexp_matches(x, '{privacy.DATES}') AND NOT regexp_matches(trim(x), '{privacy.DOI}')"
+
+
+@query(f"WITH s AS (SELECT doc_id, 0 AS n, text AS t FROM documents), {_masked('s', 'a', 'EMAIL', _E)}, {_masked('a', 'b', 'PHONE', _P, _VALID)}, {_masked('b', 'c', 'URL', _U)} SELECT doc_id, t AS masked, CAST(n AS INTEGER) AS n_tokens FROM c")
 def pii_mask(spark, sf):
     return privacy.mask(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "masked", F.size("mapping").alias("n_tokens"))
 
@@ -288,18 +299,12 @@ DATES = [(1, "July 2023", False), (2, "09/2018", False), (3, "2018 - 2022", Fals
 
 @query("SELECT * FROM (VALUES (1, '2023-07-01'), (2, '2018-09-01'), (3, '2018-01-01'), (4, '2022-01-01'), (5, '2024-09-01'), (6, NULL), (7, '2020-03-01'), (8, 'soon'), (9, '2021-03-01'), (10, NULL)) v(id, repaired)")
 def json_repair_dates(spark, sf):
-    from folioforge.cluster import ship
-
-    ship(spark)
-    fix = F.pandas_udf(lambda v, e: v.combine(e, lambda a, b: timeline.repair_date(None if a is None or a != a else a, bool(b))), "string")
-    return fixture(spark, DATES, "id int, v string, is_end boolean").select("id", fix("v", "is_end").alias("repaired"))
+    return repair.repaired_dates(fixture(spark, DATES, "id int, v string, is_end boolean"), "v", "is_end").select("id", "repaired")
 
 
 @query("SELECT id, CAST(gpa AS DOUBLE) AS gpa, CAST(scale AS DOUBLE) AS scale FROM (VALUES (1, 2.91, 4.0), (2, 3.5, NULL), (3, NULL, NULL), (4, 8.0, 10.0)) v(id, gpa, scale)")
 def gpa_parse(spark, sf):
-    n = F.regexp_extract_all("v", F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))
-    rows = fixture(spark, [(1, "2.91/4"), (2, "GPA 3.5"), (3, "good"), (4, "8 of 10")], "id int, v string")
-    return rows.select("id", F.get(n, F.lit(0)).cast("double").alias("gpa"), F.get(n, F.lit(1)).cast("double").alias("scale"))
+    return repair.grades(fixture(spark, [(1, "2.91/4"), (2, "GPA 3.5"), (3, "good"), (4, "8 of 10")], "id int, v string"), "v").select("id", "gpa", "scale")
 
 
 # ---- evidence and layout
@@ -420,9 +425,9 @@ def embedding_backfill(spark, sf):
     return search.without_embedding(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "embeddings"), doc="doc_id", vec="vec_id")
 
 
-@query("SELECT doc_id, sha256('v1|' || doc_id || '|' || coalesce(text, '')) AS score_key, doc_id % 3 = 0 AS cached FROM documents")
+@query("""SELECT doc_id, sha256('{"id":"' || doc_id || '","text":' || coalesce('"' || sha256(text) || '"', 'null') || ',"version":"v1"}') AS score_key, doc_id % 3 = 0 AS cached FROM documents""")
 def score_cache_lookup(spark, sf):
-    keyed = table(spark, sf, "documents").select("doc_id", F.sha2(F.concat(F.lit("v1|"), F.col("doc_id").cast("string"), F.lit("|"), F.coalesce("text", F.lit(""))), 256).alias("score_key"))
+    keyed = table(spark, sf, "documents").select("doc_id", scoring.cache_key({"text": F.sha2("text", 256), "version": F.lit("v1"), "id": F.col("doc_id").cast("string")}).alias("score_key"))
     hit, miss = scoring.missing_scores(keyed, keyed.where("doc_id % 3 = 0").select("score_key").distinct())
     return hit.withColumn("cached", F.lit(True)).unionByName(miss.withColumn("cached", F.lit(False)))
 
@@ -439,8 +444,7 @@ def evaluation_prf(spark, sf):
 
 @query("SELECT count(*) AS files, count(*) FILTER (length(text) >= 80) AS succeeded, count(*) FILTER (text IS NULL OR length(text) < 80) AS failed FROM documents")
 def batch_report(spark, sf):
-    ok = F.coalesce(F.length("text") >= 80, F.lit(False))
-    return table(spark, sf, "documents").agg(F.count("*").alias("files"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"))
+    return reports.batch_report(table(spark, sf, "documents"), ~F.coalesce(F.length("text") >= 80, F.lit(False)))
 
 
 @query("SELECT round(2.0 / 3, 9) AS entity_precision, 0.5::DOUBLE AS block_precision, 1.0::DOUBLE AS block_recall")
@@ -471,15 +475,11 @@ REPAIRED = '{"experiences": [{"achievements": [], "company": "Inn", "description
 
 @query(f"SELECT * FROM (VALUES (1, {quoted(REPAIRED)}, NULL), (2, NULL, 'INVALID_JSON'), (3, NULL, 'DEGENERATE'), (4, NULL, 'EMPTY'), (5, NULL, 'NOT_AN_OBJECT')) v(id, repaired, repair_error)")
 def payload_repair(spark, sf):
-    from folioforge.operators import repair
-
     return repair.repair(fixture(spark, RESPONSES, "id int, response string")).select("id", "repaired", "repair_error")
 
 
 @query(rf"WITH {_BLOCKS}, t AS (SELECT doc_id, sum(ceil(length(line) / 4.0)) AS a, sum(ceil(length(regexp_replace(line, '\s+', ' ', 'g')) / 4.0)) AS b FROM b GROUP BY doc_id) SELECT doc_id, CAST(round((a - b) / a * 100, 1) AS DOUBLE) AS saved_percent FROM t")
 def token_reduction(spark, sf):
-    from folioforge.operators import reports
-
     sums = blocks.prune(blocks.blocks(table(spark, sf, "documents"))).groupBy("doc_id").agg(F.sum("tokens_before").alias("a"), F.sum("tokens_after").alias("b"))
     return sums.select("doc_id", reports.reduction(F.col("a"), F.col("b")).alias("saved_percent"))
 

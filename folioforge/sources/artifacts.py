@@ -22,13 +22,13 @@ def write_results(results: DataFrame, path: str, *, failed: str = "error_code IS
 
 
 def payloads(profiles: DataFrame) -> DataFrame:
-    """(doc_id, extracted, scored, embedded): the three JSON bodies that go out for a document; embedded says failed without a vector."""
-    vector = F.col("vector")
-    done = F.to_json(F.struct(F.col("doc_id").alias("cvId"), F.lit("success").alias("status"), vector.alias("embedding")))
-    failed = F.to_json(F.struct(F.col("doc_id").alias("cvId"), F.lit("failed").alias("status")))
-    return profiles.select(
-        "doc_id",
-        F.to_json(F.struct(F.col("doc_id").alias("cvId"), "skills", "titles", "location")).alias("extracted"),
-        F.to_json(F.struct(F.col("doc_id").alias("cvId"), F.col("total_score").alias("totalScore"))).alias("scored"),
-        F.when(F.size(F.coalesce(vector, F.array().cast("array<double>"))) > 0, done).otherwise(failed).alias("embedded"),
-    )
+    """(doc_id, extracted, scored, embedded): see publish.callback_payloads."""
+    from folioforge.operators.publish import callback_payloads
+
+    return callback_payloads(profiles)
+
+
+def write_debug(tables: dict[str, DataFrame], path: str) -> None:
+    """Debug tables (raw text, normalized text, profile, blocks: each with sha256) as JSON, a folder per document's hash."""
+    for name, rows in tables.items():
+        rows.write.mode("errorifexists").partitionBy("sha256").json(f"{path}/{name}")

@@ -24,6 +24,29 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(path)
 
 
+def scan_all(spark: SparkSession, path: str) -> DataFrame:
+    """scan_files() and the files without bytes, which Spark's reader passes over; names and sizes are listed on the driver, as
+    Spark itself lists them. A path that is not there is an error of the listing; a folder given as a file is listed whole."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(conf)
+    if not fs.exists(where):
+        raise FileNotFoundError(f"PATH_NOT_FOUND: {path}")
+    found, empty = fs.listFiles(where, True), []
+    while found.hasNext():
+        f = found.next()
+        if f.getLen() == 0:
+            empty.append((f.getPath().toString(), 0, b""))
+    rows = scan_files(spark, path).select("path", "length", "content")
+    return rows.unionByName(spark.createDataFrame(empty, "path string, length long, content binary")) if empty else rows
+
+
+def named_files(names: DataFrame, scanned: DataFrame) -> DataFrame:
+    """`names` (path) with length and content of `scanned`, and missing: no such regular file."""
+    rows = names.join(scanned.select("path", "length", "content"), "path", "left")
+    return rows.withColumn("missing", F.col("length").isNull())
+
+
 @F.pandas_udf(BooleanType())
 def is_docx(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """A zip archive, undamaged, that holds the two parts of a document."""
@@ -42,14 +65,15 @@ def is_docx(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def validate(files: DataFrame, *, max_bytes: int = MAX_BYTES) -> DataFrame:
     """`files` with extension, sha256 and error_code: null, or the first check that failed.
 
-    Order: extension, empty, size, then the format: a PDF has its mark in the first 1024 bytes and its end in the last
+    Order: missing (of named_files), extension, empty, size, then the format: a PDF has its mark in the first 1024 bytes and its end in the last
     4096, and no encryption in either; a DOCX is a sound archive with its two parts.
     """
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     latin = F.decode("content", "ISO-8859-1")
     head, tail = F.left(latin, F.lit(HEAD)), F.right(latin, F.lit(TAIL))
+    missing = F.col("missing") if "missing" in files.columns else F.lit(False)
     code = (
-        F.when(~ext.isin(".pdf", ".docx"), "UNSUPPORTED_EXTENSION")
+        F.when(missing, "FILE_NOT_FOUND").when(~ext.isin(".pdf", ".docx"), "UNSUPPORTED_EXTENSION")
         .when(F.col("length") == 0, "EMPTY_FILE")
         .when(F.col("length") > max_bytes, "FILE_TOO_LARGE")
         .when((ext == ".pdf") & (~F.contains(head, F.lit("%PDF-")) | ~F.contains(tail, F.lit("%%EOF"))), "CORRUPT_FILE")
@@ -107,3 +131,52 @@ def parse(files: DataFrame, parsers: dict[str, Callable[[bytes], list[str]]] | N
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole text files."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
+def read_descriptions(spark: SparkSession, path: str, parsers: dict[str, Callable[[bytes], list[str]]] | None = None) -> DataFrame:
+    """(path, text, error) of job descriptions: text files as UTF-8, others through their parser; one without text is EMPTY_TEXT."""
+    rows = scan_all(spark, path)
+    plain = rows.where(F.lower("path").endswith(".txt")).select("path", F.decode("content", "UTF-8").alias("text"), F.lit(None).cast("string").alias("error"))
+    pages = parse(validate(rows.where(~F.lower("path").endswith(".txt"))), parsers)
+    other = pages.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda p: p["text"]), "\n").alias("text"), F.max("error").alias("error"))
+    every = plain.unionByName(other)
+    return every.withColumn("error", F.coalesce("error", F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "EMPTY_TEXT")))
+
+
+def with_fallbacks(docs: DataFrame, extractors: list[tuple[str, Callable[[DataFrame], DataFrame]]], good: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Blocks of `docs` by the first extractor that does well on each document: (doc_id, extractor, and its columns).
+
+    `extractors`: (name, documents to blocks), in order: layout model, text recognition, markdown, plain pages. `good` gives, of
+    blocks, the (doc_id) that need no other; the last extractor keeps what is left. Each sees only documents that those before it
+    did not settle.
+    """
+    left, out = docs, None
+    for k, (name, extract) in enumerate(extractors):
+        found = extract(left).withColumn("extractor", F.lit(name))
+        if k < len(extractors) - 1:
+            fine = good(found).select("doc_id").distinct()
+            found = found.join(fine, "doc_id", "left_semi")
+            left = left.join(fine, "doc_id", "left_anti")
+        out = found if out is None else out.unionByName(found, allowMissingColumns=True)
+    return out
+
+
+def markdown_pages(markdown: DataFrame) -> DataFrame:
+    """Pages (doc_id, page_number, text) of documents' markdown: one page of its lines, image marks out."""
+    from folioforge.operators.prompt import effective_text
+
+    return markdown.select("doc_id", F.lit(1).alias("page_number"), effective_text(F.col("markdown")).alias("text"))
+
+
+def weights_from_json(path: str, *, sensitive: tuple[str, ...] = ("name", "email", "phone", "address", "birth", "gender")) -> dict[str, dict[str, float]]:
+    """Score weights of a file on the driver ({group: {part: weight}}): each group's sum is 1, and no part is a sensitive field."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        found = {k: v for k, v in json.load(f).items() if isinstance(v, dict)}
+    for group, parts in found.items():
+        if abs(sum(parts.values()) - 1) > 1e-9:
+            raise ValueError(f"weights of {group} do not sum to 1")
+        if group == "quality" and any(s in p.lower() for p in parts for s in sensitive):
+            raise ValueError(f"{group} weighs a sensitive field")
+    return found
