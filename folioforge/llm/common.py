@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager, suppress
+from collections.abc import Sequence
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import materialize, shared_dir, written_tables  # noqa: F401
+
 #: Signed 64-bit constants that reorder node numbers in each contraction round.
 ROUND_MASKS = tuple((0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 63) for k in range(61))
 
@@ -21,48 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one where that is unset, in local mode alone."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = getattr(spark, "_folioforge_dir", None) or tempfile.mkdtemp(prefix="folioforge-")
-        spark._folioforge_dir = base
-    return base.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` once as Parquet in the shared folder and read it back.
-
-    Cuts lineage in a way that outlives executors: a later stage that is recomputed reads these files. They stay until
-    the caller deletes them; see written_tables().
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folioforge/{uuid.uuid4().hex}/{tag}"
-    df.write.option("compression", "zstd").parquet(path)
-    for paths in _written:
-        paths.append(path.rsplit("/", 1)[0])
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_written: list[list[str]] = []
-
-
-@contextmanager
-def written_tables(spark: SparkSession) -> Iterator[None]:
-    """Deletes, at its end, the tables that materialize() wrote within; results have to be stored by then."""
-    paths: list[str] = []
-    _written.append(paths)
-    try:
-        yield
-    finally:
-        _written.remove(paths)
-        for path in paths:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def spare(df: DataFrame, *names: str) -> list[str]:
     """`names`, with as many leading underscores as it takes to be no column of `df`."""
     taken, before = {c.lower() for c in df.columns}, "_"
