@@ -58,20 +58,28 @@ def normalize_layout(c: Column) -> Column:
     Each step asks first whether the text holds what it looks for.
     """
 
-    def where(v: Column, mark: str, then: Column) -> Column:
-        return F.when(F.contains(v, F.lit(mark)), then).otherwise(v)
+    def where(v: Column, mark: str, then) -> Column:
+        return bind(v, lambda x: F.when(F.contains(x, F.lit(mark)), then(x)).otherwise(x))
 
-    v = F.translate(where(c, "\r", F.regexp_replace(c, "\r\n?", "\n")), BULLETS, "-" * len(BULLETS))
     part = r"[A-Za-z0-9-]+"
-    joined = v
-    for _ in range(LABELS):  # each pass joins one more label of a domain
-        joined = F.regexp_replace(joined, rf"([A-Za-z0-9._%+-]+)\s*@\s*((?:{part}\.)*{part})\s*\.\s*({part})", "$1@$2.$3")
+
+    def joined(v: Column) -> Column:
+        for _ in range(LABELS):  # each pass joins one more label of a domain
+            v = F.regexp_replace(v, rf"([A-Za-z0-9._%+-]+)\s*@\s*((?:{part}\.)*{part})\s*\.\s*({part})", "$1@$2.$3")
+        return v
+
+    v = F.translate(where(c, "\r", lambda x: F.regexp_replace(x, "\r\n?", "\n")), BULLETS, "-" * len(BULLETS))
     v = where(v, "@", joined)
-    v = where(v, "/", F.regexp_replace(F.regexp_replace(v, r"(?i)\bhttps\s*:\s*/\s*/\s*", "https://"), r"(?i)\bhttp\s*:\s*/\s*/\s*", "http://"))
-    v = F.when(F.contains(F.lower(v), F.lit("www")), F.regexp_replace(v, r"(?i)\bwww\s*\.\s*", "www.")).otherwise(v)
+    v = where(v, "/", lambda x: F.regexp_replace(F.regexp_replace(x, r"(?i)\bhttps\s*:\s*/\s*/\s*", "https://"), r"(?i)\bhttp\s*:\s*/\s*/\s*", "http://"))
+    v = bind(v, lambda x: F.when(F.contains(F.lower(x), F.lit("www")), F.regexp_replace(x, r"(?i)\bwww\s*\.\s*", "www.")).otherwise(x))
     v = F.regexp_replace(v, r"(?<=[A-Za-z0-9])\s*\.\s*(?=[A-Za-z]{2,}(?:\b|/))", ".")
-    v = F.array_join(F.transform(lines(v), lambda x: strip(F.regexp_replace(x, r"[^\S\n]+", " "))), "\n")
-    return strip(where(v, "\n\n\n", F.regexp_replace(v, "\n{3,}", "\n\n")))
+    v = F.array_join(F.transform(bind(v, lines), lambda x: strip(F.regexp_replace(x, r"[^\S\n]+", " "))), "\n")
+    return strip(where(v, "\n\n\n", lambda x: F.regexp_replace(x, "\n{3,}", "\n\n")))
+
+
+def bind(value: Column, f) -> Column:
+    """f(value), with the value made once however often f uses it: a branch would make it again."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
 
 
 def composed(c: Column) -> Column:

@@ -10,6 +10,8 @@ from folioforge.functions.text import clean
 from .blocks import kept_lines
 
 GRAM, MOST_SIGNS = 5, 100
+#: Keys of passages up to this number, 16 bytes each, go to every executor; more are joined by shuffles.
+SMALL = 200_000
 
 
 def grounded(claims: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -32,7 +34,7 @@ def passages_in(docs: DataFrame, passages: DataFrame, *, doc: str = "doc_id", te
 
     A passage is keyed by a run of its inner words, which stand whole wherever it does: five from the second on, or all there
     are between the first and the last. Runs of those lengths of the documents, as hashes with the row's number alone, meet
-    the keys in an equi-join on hash and salt, so a common run is dealt over tasks; the few rows that meet one go back to
+    the keys in an equi-join, by broadcast if the keys are few, else on hash and salt, so a common run is dealt over tasks; the few rows that meet one go back to
     their texts. Passages of one or two words have no inner word: their longest run of letters and digits stands within some
     run of the document, so it is looked up among the different runs of all documents, by its first three letters.
     """
@@ -51,8 +53,12 @@ def passages_in(docs: DataFrame, passages: DataFrame, *, doc: str = "doc_id", te
     ids = F.xxhash64("doc_id", "_t")
     if sizes:
         out = rows.select(ids.alias("_id"), F.explode(F.array_distinct(F.concat(*map(grams, sizes)))).alias("_key"))
-    salted = keyed.select("passage_id", "_key").distinct().withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = out.withColumn("_s", F.pmod("_id", F.lit(salts)).cast("int")).join(salted, ["_key", "_s"]).select("_id", "passage_id").distinct()
+    keys = keyed.select("passage_id", "_key").distinct()
+    if keys.count() <= SMALL:
+        met = out.join(F.broadcast(keys), "_key").select("_id", "passage_id").distinct()
+    else:
+        salted = keys.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = out.withColumn("_s", F.pmod("_id", F.lit(salts)).cast("int")).join(salted, ["_key", "_s"]).select("_id", "passage_id").distinct()
     found = d.withColumn("_id", ids).join(met, "_id").join(p.select("passage_id", "_p"), "passage_id").where(F.contains("_t", F.col("_p"))).select("passage_id", "doc_id")
     parts = F.regexp_extract_all("_p", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     short = p.where("size(_w) < 3").withColumn("_k", F.array_max(F.transform(parts, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]).withColumn("_g", F.substring("_k", 1, 3))
