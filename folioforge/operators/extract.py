@@ -213,22 +213,3 @@ def profiles(docs: DataFrame, skills: DataFrame, *, as_of: date) -> DataFrame:
     )
     warnings = F.concat(F.coalesce("_broken", F.array().cast("array<string>")), F.array_compact(F.array(F.when(F.col("candidate_name").isNull(), "LOW_CONFIDENCE_NAME"), F.when(F.col("email").isNull() & F.col("phone").isNull(), "MISSING_CONTACT"))))
     return out.withColumn("headline", strip(F.get(kept, F.lit(0)))).withColumn("field_confidence", confidence).withColumn("warnings", warnings).drop("text", "confidence", "_header", "_listed", "_schooled", "_broken")
-
-
-def recover_education(blocks: DataFrame) -> DataFrame:
-    """(doc_id, institution, degree, block_id): one school per document from its blocks, where extraction found none.
-
-    An education heading opens the scan and any other heading closes it; the first institution line counts, with the
-    first degree line of the scan.
-    """
-    from .sections import heading_kind
-
-    upto = Window.partitionBy("doc_id").orderBy("reading_order").rowsBetween(Window.unboundedPreceding, 0)
-    rows = blocks.withColumn("_k", heading_kind(F.col("text"))).withColumn("_s", F.last("_k", True).over(upto)).where("_s = 'education' AND _k IS NULL")
-    school, degree = F.regexp_like("text", F.lit(INSTITUTION)), F.regexp_like("text", F.lit(DEGREE))
-    out = rows.groupBy("doc_id").agg(
-        F.min_by(F.when(school, F.col("text")), F.when(school, F.col("reading_order"))).alias("institution"),
-        F.min_by(F.when(degree, F.col("text")), F.when(degree, F.col("reading_order"))).alias("degree"),
-        F.min_by(F.when(school, F.col("block_id")), F.when(school, F.col("reading_order"))).alias("block_id"),
-    )
-    return out.where("institution IS NOT NULL").withColumn("degree", F.when(F.col("degree") != F.col("institution"), F.col("degree")))

@@ -50,9 +50,10 @@ def test_sections_without_headings(spark):
 
 def test_mask_numbers_and_restores(spark):
     t = "Ann Lee ann@x.org, ann@x.org; b@y.org +1 (555) 123-4567 in 2019 - 2021 at www.z.org/a"
-    masked, mapping = privacy.mask_text(t, "ann lee")
+    named = privacy.mask(spark.createDataFrame([(t, "ann lee")], "text string, name string"), name="name")
+    masked, back = named.select("masked", privacy.restore(F.col("masked"), F.col("mapping")).alias("back")).first()
     assert masked == "[ANON_NAME] [ANON_EMAIL_1], [ANON_EMAIL_1]; [ANON_EMAIL_2] [ANON_PHONE_1] in 2019 - 2021 at [ANON_URL_1]"
-    assert privacy.restore_text(masked, mapping).lower() == t.lower()
+    assert back.lower() == t.lower()
     many = " ".join(f"u{i}@x.org" for i in range(15))
     docs = spark.createDataFrame([(1, many), (2, None), (3, "")], DOCS)
     out = privacy.mask(docs)
@@ -136,16 +137,13 @@ def test_files(spark, tmp_path):
     assert pages["a.docx"] == ("Hello\na | b", None) and pages["c.pdf"] == (None, "PARSER_PENDING")
 
 
-def test_artifacts_and_payloads(spark, tmp_path):
+def test_artifacts(spark, tmp_path):
     (tmp_path / "in" / "deep").mkdir(parents=True)
     (tmp_path / "in" / "deep" / "a.json").write_text('{"doc_id": 1, "name": "x"}')
     (tmp_path / "in" / "b.json").write_text("{broken")
     schema = spark.createDataFrame([], "doc_id long, name string").schema
     good, bad = artifacts.read_results(spark, str(tmp_path / "in"), schema)
     assert [(r.doc_id, r.name) for r in good.collect()] == [(1, "x")] and bad.count() == 1
-    rows = spark.createDataFrame([(1, ["a"], "t", "l", 5.0, [1.0]), (2, [], "t", None, 0.0, None)], "doc_id long, skills array<string>, titles string, location string, total_score double, vector array<double>")
-    got = artifacts.payloads(rows).orderBy("doc_id").collect()
-    assert json.loads(got[0].embedded)["status"] == "success" and json.loads(got[1].embedded)["status"] == "failed"
     results = spark.createDataFrame([(1, None), (2, "X")], "doc_id long, error_code string")
     artifacts.write_results(results, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out" / "errors")).count() == 1
