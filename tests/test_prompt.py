@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from folioforge.operators import evaluate, extract, identity, prompt
+from folioforge.operators import evaluate, identity, prompt
 
 
 def one(spark, value, f):
