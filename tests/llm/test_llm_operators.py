@@ -563,3 +563,28 @@ def test_written_tables_go(spark):
         held = set(Path(shared_dir(spark), "folioforge").iterdir())
     assert not any(p.exists() and not any(p.iterdir()) for p in held) and len(set(Path(shared_dir(spark), "folioforge").iterdir())) == len(held) - 1
     assert spare(spark.createDataFrame([(1, 2)], "_A int, b int"), "a", "c") == ["__a", "__c"]
+
+
+def test_similar_documents_of_the_table(spark):
+    """Recall and exactness on whole documents: components against those of all pairs by exact Jaccard similarity."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: frozenset(simhash.shingle_set(r.text, 5).tolist()) for r in docs.collect()}
+    holders, shared = defaultdict(list), Counter()
+    for k, s in sets.items():
+        for x in s:
+            shared.update((j, k) for j in holders[x])
+            holders[x].append(k)
+    close = [(a, b) for (a, b), n in shared.items() if n / (len(sets[a]) + len(sets[b]) - n) >= 0.8]
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    other = [(a, b) for a, b in close if sets[a] != sets[b]]
+    assert len(other) >= 10 and sum(found[a] == found[b] for a, b in other) >= 0.9 * len(other)
+    parent = {k: k for k in sets}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in close:
+        parent[top(a)] = top(b)
+    assert all(top(k) == top(c) for k, c in found.items() if sets[k])  # nothing is joined beyond these
