@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .fim import OP12_SQL, op12_fim
 from .licenses import op6_licenses
 from .packing import op8_packing
 from .quality import OP7_SQL, op7_quality
@@ -14,6 +15,6 @@ from .urlfilter import OP9_SQL, op9_urlfilter
 from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
-    f.__name__: f for f in (op1_toxicity, op2_simhash, op3_warc, op4_bpe, op5_topk, op6_licenses, op7_quality, op8_packing, op9_urlfilter, op10_sharding)
+    f.__name__: f for f in (op1_toxicity, op2_simhash, op3_warc, op4_bpe, op5_topk, op6_licenses, op7_quality, op8_packing, op9_urlfilter, op10_sharding, op12_fim)
 }
-ORACLES = {"op3_warc": OP3_SQL, "op5_topk": OP5_SQL, "op7_quality": OP7_SQL, "op9_urlfilter": OP9_SQL}
+ORACLES = {"op3_warc": OP3_SQL, "op5_topk": OP5_SQL, "op7_quality": OP7_SQL, "op9_urlfilter": OP9_SQL, "op12_fim": OP12_SQL}
