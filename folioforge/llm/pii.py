@@ -36,6 +36,7 @@ JAVA = {
 }
 #: Candidates: addresses with @ or a bracketed "at", colon-separated hexadecimal numbers, digits with separators.
 _AT, _DOT = r"\x20?[\[({]\x20?(?:at|AT|@)\x20?[\])}]\x20?", r"\x20?[\[({]\x20?(?:dot|DOT|\.)\x20?[\])}]\x20?"
+_ADDRESS = r"@|[\[({]\x20?(?:at|AT)"
 _HEX = r"[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){3,7}"
 CANDIDATE = rf"[A-Za-z0-9._%+-]+(?:@|{_AT})[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)*|{_HEX}|[+(]{{0,2}}[0-9](?:[\x20().-]{{0,2}}[0-9])+"
 JAVA_CANDIDATE = rf"{_RUN}[A-Za-z0-9._%+-]++(?:@|{_AT})[A-Za-z0-9-]++(?:(?:\.|{_DOT})[A-Za-z0-9-]++)*+|{_HEX}|[+(]{{0,2}}[0-9](?:[\x20().-]{{0,2}}[0-9])++"
@@ -104,7 +105,7 @@ def found(docs: DataFrame, row: str, text: str, keep: tuple[str, ...] = ()) -> D
 
 def _plausible(x: str) -> str:
     """No digits that go on as a word, and a shape of some kind."""
-    word = f"({x}.v RLIKE '@|[A-Za-z].*[\\\\[({{]') OR NOT ({x}.l RLIKE '[A-Za-z0-9]$' OR {x}.r RLIKE '^[A-Za-z0-9]')"
+    word = f"({x}.v RLIKE {_quoted(_ADDRESS)}) OR NOT ({x}.l RLIKE '[A-Za-z0-9]$' OR {x}.r RLIKE '^[A-Za-z0-9]')"
     return f"{x} -> ({word}) AND {_mask(f'{x}.v')} > 0"
 
 
@@ -118,8 +119,8 @@ def _mask(v: str) -> str:
     """Bits of the kinds whose shape a candidate has."""
     n = f"length({_digits(v)})"
     return (
-        f"CASE WHEN {v} RLIKE '@|[A-Za-z].*[\\\\[({{]' THEN CASE WHEN {_plain(v)} RLIKE r'^[^@]+@[a-z0-9-]+(?:\\.[a-z0-9-]+)+$' THEN 1 ELSE 0 END"
-        f" WHEN contains({v}, ':') THEN CASE WHEN {n} > 0 THEN 2 ELSE 0 END WHEN {v} RLIKE r'^[0-9]+(?:\\.[0-9]+){{3,}}$' THEN 0"
+        f"CASE WHEN {v} RLIKE {_quoted(_ADDRESS)} THEN CASE WHEN {_plain(v)} RLIKE r'^[^@]++@[a-z0-9-]++(?:\\.[a-z0-9-]++)++$' THEN 1 ELSE 0 END"
+        f" WHEN contains({v}, ':') THEN CASE WHEN {n} > 0 THEN 2 ELSE 0 END WHEN {v} RLIKE r'^[0-9]++(?:\\.[0-9]++){{3,}}+$' THEN 0"
         f" ELSE CASE WHEN {n} BETWEEN 12 AND 19 AND NOT {v} RLIKE '[+.]' THEN 4 ELSE 0 END + CASE WHEN {n} BETWEEN 7 AND 15 THEN 8 ELSE 0 END END"
     )
 
