@@ -48,8 +48,9 @@ def lines(c: Column) -> Column:
     return F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut)
 
 
-#: Labels of a domain that are joined: a domain name has no more than 127, and one with more broken ones than this is none.
-LABELS = 12
+_BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: A broken e-mail address: blanks around the @ and around the dots of its domain.
+BROKEN_EMAIL = rf"[A-Za-z0-9._%+-]++{_BLANK}*+@{_BLANK}*+[A-Za-z0-9-]++(?:{_BLANK}*+\.{_BLANK}*+[A-Za-z0-9-]++)++"
 
 
 def normalize_layout(c: Column) -> Column:
@@ -61,12 +62,9 @@ def normalize_layout(c: Column) -> Column:
     def where(v: Column, mark: str, then) -> Column:
         return bind(v, lambda x: F.when(F.contains(x, F.lit(mark)), then(x)).otherwise(x))
 
-    part = r"[A-Za-z0-9-]+"
-
-    def joined(v: Column) -> Column:
-        for _ in range(LABELS):  # each pass joins one more label of a domain
-            v = F.regexp_replace(v, rf"([A-Za-z0-9._%+-]+)\s*@\s*((?:{part}\.)*{part})\s*\.\s*({part})", "$1@$2.$3")
-        return v
+    def joined(v: Column) -> Column:  # whole addresses, however many labels they have
+        found = F.transform(F.regexp_extract_all(v, F.lit(BROKEN_EMAIL), F.lit(0)), lambda m: F.regexp_replace(m, _BLANK, ""))
+        return F.array_join(F.zip_with(F.split(v, BROKEN_EMAIL, -1), found, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
 
     v = F.translate(where(c, "\r", lambda x: F.regexp_replace(x, "\r\n?", "\n")), BULLETS, "-" * len(BULLETS))
     v = where(v, "@", joined)

@@ -9,9 +9,10 @@ from folioforge.functions.text import clean
 
 from .blocks import kept_lines
 
-GRAM, MOST_SIGNS = 5, 100
+GRAM = 5
 #: Keys of passages up to this number, 16 bytes each, go to every executor; more are joined by shuffles.
 SMALL = 200_000
+WORD, SIGNS = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
 
 
 def grounded(claims: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -35,8 +36,9 @@ def passages_in(docs: DataFrame, passages: DataFrame, *, doc: str = "doc_id", te
     A passage is keyed by a run of its inner words, which stand whole wherever it does: five from the second on, or all there
     are between the first and the last. Runs of those lengths of the documents, as hashes with the row's number alone, meet
     the keys in an equi-join, by broadcast if the keys are few, else on hash and salt, so a common run is dealt over tasks; the few rows that meet one go back to
-    their texts. Passages of one or two words have no inner word: their longest run of letters and digits stands within some
-    run of the document, so it is looked up among the different runs of all documents, by its first three letters.
+    their texts. Passages of one or two words have no inner word: their longest run of letters and digits (or all of a passage of
+    signs) stands within some such run of the document, so it is looked up among the different runs of all documents, by its
+    first three characters; runs travel with their row's number alone.
     """
     p = passages.select(F.col(passage_id).alias("passage_id"), F.col(passage).alias("_p")).where("_p <> ''").withColumn("_w", words_of(F.col("_p")))
     length = F.least(F.size("_w") - 2, F.lit(GRAM))
@@ -60,23 +62,22 @@ def passages_in(docs: DataFrame, passages: DataFrame, *, doc: str = "doc_id", te
         salted = keys.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         met = out.withColumn("_s", F.pmod("_id", F.lit(salts)).cast("int")).join(salted, ["_key", "_s"]).select("_id", "passage_id").distinct()
     found = d.withColumn("_id", ids).join(met, "_id").join(p.select("passage_id", "_p"), "passage_id").where(F.contains("_t", F.col("_p"))).select("passage_id", "doc_id")
-    parts = F.regexp_extract_all("_p", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    short = p.where("size(_w) < 3").withColumn("_k", F.array_max(F.transform(parts, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]).withColumn("_g", F.substring("_k", 1, 3))
-    lengths = [r["n"] for r in short.where("_g IS NOT NULL").select(F.length("_g").alias("n")).distinct().collect()]  # 1 to 3
-    if lengths:
-        words = d.select("doc_id", "_t", F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("_token"))
+    # shorter ones: a run of letters and digits, or one of signs and blanks, of the text holds their longest such run
+    few = p.where("size(_w) < 3").withColumn("_k", F.array_max(F.transform(F.regexp_extract_all("_p", F.lit(WORD), F.lit(0)), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"])
+    for kind, those in ((WORD, few.where("_k IS NOT NULL")), (SIGNS, few.where("_k IS NULL").withColumn("_k", F.col("_p")))):
+        short = those.withColumn("_g", F.substring("_k", 1, 3))
+        lengths = [r["n"] for r in short.select(F.length("_g").alias("n")).distinct().collect()]  # 1 to 3
+        if not lengths:
+            continue
 
         def pieces(n: int) -> Column:
             return F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length("_token"), F.lit(1))), lambda i: i + (n - 1) <= F.length("_token")), lambda i: F.substr("_token", i, F.lit(n)))
 
-        cut = words.select("_token").distinct().withColumn("_g", F.explode(F.array_distinct(F.concat(*map(pieces, lengths)))))
-        held = cut.join(short.select("passage_id", "_p", "_k", "_g"), "_g").where(F.contains("_token", F.col("_k"))).select("_token", "passage_id", "_p")
-        found = found.unionByName(words.join(held, "_token").where(F.contains("_t", F.col("_p"))).select("passage_id", "doc_id"))
-    signs = [r for r in short.where("_k IS NULL").select("passage_id", "_p").limit(MOST_SIGNS + 1).collect()]
-    if len(signs) > MOST_SIGNS:
-        raise ValueError(f"over {MOST_SIGNS} passages are signs alone")
-    for r in signs:  # passages without a letter or digit
-        found = found.unionByName(d.where(F.contains("_t", F.lit(r["_p"]))).select(F.lit(r["passage_id"]).alias("passage_id"), "doc_id"))
+        runs = d.select(ids.alias("_id"), F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(kind), F.lit(0)))).alias("_token"))
+        cut = runs.select("_token").distinct().withColumn("_g", F.explode(F.array_distinct(F.concat(*map(pieces, lengths)))))
+        held = cut.join(short.select("passage_id", "_k", "_g"), "_g").where(F.contains("_token", F.col("_k"))).select("_token", "passage_id").distinct()
+        met = runs.join(held, "_token").select("_id", "passage_id").distinct()
+        found = found.unionByName(d.withColumn("_id", ids).join(met, "_id").join(p.select("passage_id", "_p"), "passage_id").where(F.contains("_t", F.col("_p"))).select("passage_id", "doc_id"))
     return found.distinct()
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.functions.columns import spare
+
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 PHONE = r"\+?[0-9][0-9 ().-]{7,}[0-9]"
 URL = r"(?i)(?:https?://|www\.)[^\s<>{}\[\]]+"
@@ -52,41 +54,53 @@ MAPPING = "array<struct<token:string,original:string>>"
 HEADER_MODES = ("selective", "blanket-legacy")
 
 
-def _replaced(rows: DataFrame, column: str, kind: str, pattern: str, keep=None) -> DataFrame:
-    """`rows` with the matches of a pattern in `column` replaced by tokens numbered in order of first use, and _kind: those matches."""
-    found = matches(F.col(column), pattern)
-    good = F.filter(found, keep) if keep is not None else found
-    rows = rows.withColumn("_found", found).withColumn(f"_{kind}", F.array_distinct(good))
-    token = lambda m: F.concat(F.lit(f"[ANON_{kind}_"), F.array_position(f"_{kind}", m).cast("string"), F.lit("]"))
-    shown = F.transform("_found", lambda m: F.when(F.array_contains(f"_{kind}", m), token(m)).otherwise(m))
+def _replaced(rows: DataFrame, column: str, found: str, kept: str, kind: str, pattern: str, keep=None) -> DataFrame:
+    """`rows` with the matches of a pattern in `column` replaced by tokens numbered in order of first use, and `kept`: those
+    matches; `found` is a name for work in between."""
+    hits = matches(F.col(column), pattern)
+    good = F.filter(hits, keep) if keep is not None else hits
+    rows = rows.withColumn(found, hits).withColumn(kept, F.array_distinct(good))
+    token = lambda m: F.concat(F.lit(f"[ANON_{kind}_"), F.array_position(kept, m).cast("string"), F.lit("]"))
+    shown = F.transform(found, lambda m: F.when(F.array_contains(kept, m), token(m)).otherwise(m))
     flags, bare = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
     between = F.split(F.col(column), f"{flags}(?:{bare})", -1)
     joined = F.array_join(F.zip_with(between, shown, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-    return rows.withColumn(column, F.when(F.size("_found") > 0, joined).otherwise(F.col(column))).drop("_found")
+    return rows.withColumn(column, F.when(F.size(found) > 0, joined).otherwise(F.col(column))).drop(found)
+
+
+def quoted(c: Column) -> Column:
+    """A text as a pattern that matches it alone: a backslash before all that is neither letter, digit nor space."""
+    return F.regexp_replace(c, r"([^\p{L}\p{N}\s])", r"\\$1")
 
 
 def mask(docs: DataFrame, *, text: str = "text", name: str | None = None) -> DataFrame:
     """`docs` with masked and mapping (token, original): a known name in any case, then e-mails, phones and URLs.
 
     Tokens are numbered by kind in order of first use; all of it is expressions. What looks like a token already is masked
-    as well. Null text stays null, without a mapping. The mapping is personal data: keep it apart from what leaves the cluster.
+    as well. Null text stays null, without a mapping; a null or empty name masks nothing. Columns of `docs` named masked or
+    mapping are an error. The mapping is personal data: keep it apart from what leaves the cluster.
     """
-    rows = docs.withColumn("_m", F.col(text))
+    clash = {"masked", "mapping"} & {c.lower() for c in docs.columns}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} would be overwritten")
+    out, found, *kept = spare(docs, "m", "found", *(k.lower() for k in (*KINDS, "TOKEN")))
+    held = dict(zip((*KINDS, "TOKEN"), kept, strict=True))
+    rows = docs.withColumn(out, F.col(text))
     given = F.nullif(F.col(name), F.lit("")) if name else F.lit(None).cast("string")
-    rows = _replaced(rows, "_m", "TOKEN", TOKEN)
+    rows = _replaced(rows, out, found, held["TOKEN"], "TOKEN", TOKEN)
     if name:
-        quoted = F.concat(F.lit(r"(?iu)"), F.regexp_replace(given, r"([^\p{L}\p{N}\s])", r"\\\\$1"))
-        rows = rows.withColumn("_m", F.when(given.isNotNull(), F.call_function("regexp_replace", F.col("_m"), quoted, F.lit("[ANON_NAME]"))).otherwise(F.col("_m")))
+        pattern = F.concat(F.lit(r"(?iu)"), quoted(given))
+        rows = rows.withColumn(out, F.when(given.isNotNull(), F.call_function("regexp_replace", F.col(out), pattern, F.lit("[ANON_NAME]"))).otherwise(F.col(out)))
     for kind, pattern, keep in (("EMAIL", EMAIL, None), ("PHONE", PHONE, is_phone), ("URL", URL, None)):
-        rows = _replaced(rows, "_m", kind, pattern, keep)
-    own = F.when(given.isNotNull() & F.contains("_m", F.lit("[ANON_NAME]")), F.array(F.struct(F.lit("[ANON_NAME]").alias("token"), given.alias("original")))).otherwise(F.array().cast(MAPPING))
-    listed = map(_pairs, (*KINDS, "TOKEN"))  # literal tokens are put back last
+        rows = _replaced(rows, out, found, held[kind], kind, pattern, keep)
+    own = F.when(given.isNotNull() & F.contains(out, F.lit("[ANON_NAME]")), F.array(F.struct(F.lit("[ANON_NAME]").alias("token"), given.alias("original")))).otherwise(F.array().cast(MAPPING))
+    listed = (_pairs(k, held[k]) for k in (*KINDS, "TOKEN"))  # literal tokens are put back last
     mapping = F.coalesce(F.concat(own, *listed), F.array().cast(MAPPING)).cast(MAPPING)
-    return rows.select(*docs.columns, F.col("_m").alias("masked"), mapping.alias("mapping"))
+    return rows.select(*docs.columns, F.col(out).alias("masked"), mapping.alias("mapping"))
 
 
-def _pairs(kind: str) -> Column:
-    return F.transform(f"_{kind}", lambda m, i: F.struct(F.concat(F.lit(f"[ANON_{kind}_"), (i + 1).cast("string"), F.lit("]")).alias("token"), m.alias("original")))
+def _pairs(kind: str, held: str) -> Column:
+    return F.transform(held, lambda m, i: F.struct(F.concat(F.lit(f"[ANON_{kind}_"), (i + 1).cast("string"), F.lit("]")).alias("token"), m.alias("original")))
 
 
 def restore(text: Column, mapping: Column) -> Column:
@@ -161,8 +175,9 @@ def apply_contact(profiles: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def mask_counts(masked: DataFrame) -> DataFrame:
+    """(doc_id, n_email, n_phone, n_url): how many different originals each mapping holds; a null mapping holds none."""
     def of(kind: str) -> Column:
-        return F.size(F.filter("mapping", lambda m: F.startswith(m["token"], F.lit(f"[ANON_{kind}_"))))
+        return F.size(F.filter(F.coalesce("mapping", F.array().cast(MAPPING)), lambda m: F.startswith(m["token"], F.lit(f"[ANON_{kind}_"))))
 
     sizes = [of(k).cast("int").alias(f"n_{k.lower()}") for k in KINDS]
     return masked.select("doc_id", *sizes)

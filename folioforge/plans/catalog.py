@@ -96,10 +96,9 @@ def doc_profile(spark, sf):
     return rows.select("doc_id", "char_count", "block_count", "heading_count", "status", "issues", *(c.alias(n) for n, c in more.items()))
 
 
-_EMAILS = r"regexp_replace({}, '([A-Za-z0-9._%+-]+)\s*@\s*((?:[A-Za-z0-9-]+\.)*[A-Za-z0-9-]+)\s*\.\s*([A-Za-z0-9-]+)', '\1@\2.\3', 'g')"
-_JOINED = "nfc_normalize(translate(regexp_replace(text, '\r\n?', chr(10), 'g'), '•●▪◦‣∙', '------'))"
-for _ in range(T.LABELS):
-    _JOINED = _EMAILS.format(_JOINED)
+_BROKEN = r"[A-Za-z0-9._%+-]+\s*@\s*[A-Za-z0-9-]+(?:\s*\.\s*[A-Za-z0-9-]+)+"
+_PLAIN = "nfc_normalize(translate(regexp_replace(text, '\r\n?', chr(10), 'g'), '•●▪◦‣∙', '------'))"
+_JOINED = rf"array_to_string(list_transform(list_zip(string_split_regex({_PLAIN}, '{_BROKEN}'), regexp_extract_all({_PLAIN}, '{_BROKEN}')), lambda x: x[1] || coalesce(regexp_replace(x[2], '\s+', '', 'g'), '')), '')"
 _JOINED = rf"regexp_replace(regexp_replace(regexp_replace({_JOINED}, '\b[hH][tT][tT][pP][sS]\s*:\s*/\s*/\s*', 'https://', 'g'), '\b[hH][tT][tT][pP]\s*:\s*/\s*/\s*', 'http://', 'g'), '\b[wW][wW][wW]\s*\.\s*', 'www.', 'g')"
 _DOMAINS = r"regexp_replace(regexp_replace({}, '([A-Za-z0-9])\s*\.\s*([A-Za-z]{{2,}}(?:[^\p{{L}}\p{{N}}_]|$))', '\1.\2', 'g'), '([A-Za-z0-9])(?:\s+\.\s*|\.\s+)([A-Za-z]{{2,}}(?:[^\p{{L}}\p{{N}}_]|$))', '\1.\2', 'g')"
 
@@ -143,6 +142,21 @@ def pii_mask(spark, sf):
     return privacy.mask(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "masked", F.size("mapping").alias("n_tokens"))
 
 
+#: Names with every kind of mark, one a document, and the document with its name in three spellings.
+NAMED = ("O'Brien {}", "J. Doe-Lee {}", "A+B (Holding) {}", "Zoë Müller {}", "C$h | x^y {}", "[Robin] *Example* {}", "Nguyễn Văn {}", "back\\slash? {}")
+_NAME = "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN {quoted(n.split('{')[0])}" for k, n in enumerate(NAMED)) + " END || doc_id"
+
+
+@query(f"""WITH s AS (SELECT doc_id, 0 AS n, regexp_replace(nm || ' wrote: ' || coalesce(text, '') || ' (' || upper(nm) || '; ' || lower(nm) || 's)', regexp_escape(nm), '[ANON_NAME]', 'gi') AS t FROM (SELECT doc_id, text, {_NAME} AS nm FROM documents)),
+{_masked('s', 'a', 'EMAIL', _E)}, {_masked('a', 'b', 'PHONE', _P, _VALID)}, {_masked('b', 'c', 'URL', _U)} SELECT doc_id, t AS masked, true AS restored FROM c""")
+def pii_mask_names(spark, sf):
+    """Every document under a name of its own, which no spelling of leaves the cluster and restoring brings back."""
+    name = F.concat(F.element_at(F.array(*(F.lit(n.split("{")[0]) for n in NAMED)), (F.col("doc_id") % 8 + 1).cast("int")), F.col("doc_id").cast("string"))
+    rows = table(spark, sf, "documents").select("doc_id", name.alias("nm"), F.concat(name, F.lit(" wrote: "), F.coalesce("text", F.lit("")), F.lit(" ("), F.upper(name), F.lit("; "), F.lower(name), F.lit("s)")).alias("text"))
+    done = privacy.mask(rows, name="nm")
+    return done.select("doc_id", "masked", (F.lower(privacy.restore(F.col("masked"), F.col("mapping"))) == F.lower("text")).alias("restored"))
+
+
 @query(f"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_E}', '[ANON_EMAIL_0]', 'g') AS t, coalesce(text, '') AS o FROM documents)
 SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(o, '{_E}'))) AS INTEGER) AS n_email, CAST(len(list_distinct({_PHONES})) AS INTEGER) AS n_phone, CAST(len(list_distinct(regexp_extract_all(t, '{_U}'))) AS INTEGER) AS n_url FROM t""")
 def pii_mask_counts(spark, sf):

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,23 +31,24 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folioforge/{uuid.uuid4().hex}/{tag}"
     df.write.option("compression", "zstd").parquet(path)
-    for paths in _written:
+    for paths in _written.get():
         paths.append(path.rsplit("/", 1)[0])
     return spark.read.schema(df.schema).parquet(path)
 
 
-_written: list[list[str]] = []
+#: Lists of the blocks around, of this thread alone: another thread's tables are not ours to delete.
+_written: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
 
 
 @contextmanager
 def written_tables(spark: SparkSession) -> Iterator[None]:
     """Deletes, at its end, the tables that materialize() wrote within; results have to be stored by then."""
     paths: list[str] = []
-    _written.append(paths)
+    token = _written.set((*_written.get(), paths))
     try:
         yield
     finally:
-        _written.remove(paths)
+        _written.reset(token)
         for path in paths:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
