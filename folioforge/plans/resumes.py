@@ -17,10 +17,12 @@ from .catalog import query, table
 
 AS_OF = date(2024, 6, 1)
 
-#: Up to three jobs a customer.
-_JOBS = """j AS (SELECT * FROM (SELECT o_custkey AS doc_id, o_orderkey AS k, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS n,
+#: All of a customer's orders, as jobs.
+_JOBS = """j AS (SELECT o_custkey AS doc_id, o_orderkey AS k, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS n,
   CASE o_orderkey % 4 WHEN 0 THEN 'Data Engineer' WHEN 1 THEN 'Backend Developer' WHEN 2 THEN 'Senior Data Engineer' ELSE 'Pastry Chef' END AS title,
-  'Firm ' || (o_orderkey % 5) AS company, CAST(date_trunc('month', o_orderdate) AS DATE) AS started FROM orders) x WHERE n <= 3)"""
+  'Firm ' || (o_orderkey % 5) AS company, CAST(date_trunc('month', o_orderdate) AS DATE) AS started FROM orders)"""
+#: Where the projects' heading stands, behind all jobs.
+_LAST = 1_000_000
 #: A resume's lines: name, heading, then title and year, company, and result of each job, and a project.
 _BLOCKS = f"""{_JOBS}, d AS (SELECT DISTINCT doc_id FROM j), b AS (
   SELECT doc_id, 1 AS o, CASE WHEN doc_id % 9 = 0 THEN 'Resume 2024' ELSE 'Robin Example' END AS text FROM d
@@ -28,7 +30,7 @@ _BLOCKS = f"""{_JOBS}, d AS (SELECT DISTINCT doc_id FROM j), b AS (
   UNION ALL SELECT doc_id, 10 * n + 1, CASE WHEN k % 7 = 0 THEN 'Role withheld' ELSE title || ' | ' || year(started) || ' - present' END FROM j
   UNION ALL SELECT doc_id, 10 * n + 2, company || ', Example City' FROM j
   UNION ALL SELECT doc_id, 10 * n + 3, '- Reduced cost by ' || (k % 90 + 1) || '% with Python and Docker' FROM j
-  UNION ALL SELECT doc_id, 90, 'PROJECTS' FROM d UNION ALL SELECT doc_id, 91, 'Parser ' || doc_id || ', a tool in SQL' FROM d
+  UNION ALL SELECT doc_id, {_LAST}, 'PROJECTS' FROM d UNION ALL SELECT doc_id, {_LAST + 1}, 'Parser ' || doc_id || ', a tool in SQL' FROM d
 )"""
 #: References of a job: none, its title line, title and company, another text, its company alone.
 _EVIDENCE = """e AS (SELECT doc_id, n, 10 * n + 1 AS o, title AS quote FROM j WHERE k % 5 IN (1, 2) UNION ALL SELECT doc_id, n, 10 * n + 2, company FROM j WHERE k % 5 IN (2, 4)
@@ -57,7 +59,7 @@ def profiles_of(spark: SparkSession, sf: str, *, cite: bool = True) -> DataFrame
     entry = F.struct(F.col("title").alias("job_title"), "company", F.lit(None).cast("string").alias("location"), F.col("started").alias("start_date"), F.lit(None).cast("date").alias("end_date"), F.lit(True).alias("is_current"), lines.alias("description"), empty.alias("achievements"), empty.alias("skills"), F.coalesce("evidence", document.no_evidence()).alias("evidence"), F.lit(0.9).alias("confidence"))
     out = rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", entry.cast(document.EXPERIENCE).alias("e")))), lambda x: x["e"]).alias("experiences"))
     quote = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Parser "), F.col("doc_id").cast("string"))).when(F.col("doc_id") % 3 == 2, "Compiler")
-    held = F.when(quote.isNotNull() & F.lit(cite), F.array(F.struct(quote.alias("text"), F.lit(1).alias("page_number"), F.lit("p1-b91").alias("block_id")))).otherwise(document.no_evidence())
+    held = F.when(quote.isNotNull() & F.lit(cite), F.array(F.struct(quote.alias("text"), F.lit(1).alias("page_number"), F.lit(f"p1-b{_LAST + 1}").alias("block_id")))).otherwise(document.no_evidence())
     project = F.struct(F.concat(F.lit("Parser "), F.col("doc_id").cast("string")).alias("title"), F.lit(None).cast("string").alias("role"), empty.alias("description"), empty.alias("achievements"), empty.alias("skills"), F.lit(None).cast("date").alias("start_date"), F.lit(None).cast("date").alias("end_date"), held.alias("evidence"), F.lit(0.9).alias("confidence"))
     name = F.when(F.col("doc_id") % 4 == 0, "Robin Example").when(F.col("doc_id") % 4 == 1, "Hanoi, Vietnam").when(F.col("doc_id") % 4 == 3, "Alex Morgan")
     return document.as_profiles(out.withColumn("projects", F.array(project.cast(document.PROJECT))).withColumn("candidate_name", name))
@@ -75,7 +77,7 @@ s AS (SELECT x.doc_id, x.n, x.title, x.company, (SELECT count(*) FROM a WHERE a.
 SELECT doc_id, 'experience' AS kind, CAST(n - 1 AS INTEGER) AS entry, substr(sha256('experience' || chr(31) || title || chr(31) || company), 1, 16) AS fingerprint,
   CASE WHEN anchors = 0 THEN 'TITLE_NOT_FOUND_EXACT' WHEN cands = 0 THEN 'TITLE_WITHOUT_STRONG_CONTEXT' WHEN cands = 1 THEN 'BOUND_EXACT_CONTEXT' ELSE 'TITLE_AMBIGUOUS' END AS reason_code,
   CASE WHEN cands = 1 THEN list_reduce(list_concat([''], [CAST(z AS VARCHAR) FOR z IN list_sort(refs)]), lambda p, q: p || ',' || q) ELSE '' END AS refs FROM s
-UNION ALL SELECT doc_id, 'project', 0, substr(sha256('project' || chr(31) || 'Parser ' || doc_id || chr(31)), 1, 16), 'BOUND_EXACT_UNIQUE', ',91' FROM d"""
+UNION ALL SELECT doc_id, 'project', 0, substr(sha256('project' || chr(31) || 'Parser ' || doc_id || chr(31)), 1, 16), 'BOUND_EXACT_UNIQUE', ',{_LAST + 1}' FROM d"""
 
 
 @query(_BIND)
@@ -89,7 +91,7 @@ def evidence_binding(spark, sf):
 
 _VERDICTS = f"""WITH {_BLOCKS}, {_EVIDENCE}, g AS (SELECT e.doc_id, e.n, bool_and(contains(b.text, e.quote)) AS ok, bool_or(contains(lower(e.quote), lower(title))) AS role, bool_or(contains(lower(e.quote), lower(company))) AS firm,
   bool_or(contains(e.quote, '' || year(started))) AS dated, count(*) AS refs FROM e JOIN b ON e.doc_id = b.doc_id AND e.o = b.o JOIN j ON e.doc_id = j.doc_id AND e.n = j.n GROUP BY e.doc_id, e.n),
-i AS (SELECT j.doc_id, j.n, bool_or(b.o > 2 AND b.o < 90 AND j.doc_id % 10 <> 0 AND (contains(lower(b.text), lower(title)) OR contains(lower(b.text), lower(company)))) AS inferred FROM j JOIN b USING (doc_id) GROUP BY j.doc_id, j.n),
+i AS (SELECT j.doc_id, j.n, bool_or(b.o > 2 AND b.o < {_LAST} AND j.doc_id % 10 <> 0 AND (contains(lower(b.text), lower(title)) OR contains(lower(b.text), lower(company)))) AS inferred FROM j JOIN b USING (doc_id) GROUP BY j.doc_id, j.n),
 v AS (SELECT j.doc_id, CAST(j.n - 1 AS INTEGER) AS entry, coalesce(ok, false) AS ok, coalesce(role, false) AS role, coalesce(firm, false) AS firm, coalesce(dated, false) AS dated, CAST(coalesce(refs, 0) AS INTEGER) AS refs, inferred FROM j LEFT JOIN g ON j.doc_id = g.doc_id AND j.n = g.n JOIN i ON j.doc_id = i.doc_id AND j.n = i.n),
 t AS (SELECT *, CASE WHEN ok AND role THEN 1 WHEN inferred THEN 2 ELSE 0 END AS tier FROM v)"""
 
@@ -105,14 +107,16 @@ def experience_validation(spark, sf):
 _STATUS = _VERDICTS + """, w AS (SELECT doc_id, bool_or(tier = 0) AS dropped, bool_or(tier = 2) AS inferred, sum(refs) AS refs, bool_or(refs > 0 AND NOT ok) AS bad, count(*) FILTER (tier > 0) AS kept FROM t GROUP BY doc_id)"""
 
 
-@query(_STATUS + """ SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN NULL WHEN doc_id % 4 <> 0 AND doc_id % 9 = 0 THEN CASE WHEN doc_id % 10 = 0 THEN 'Parser' END ELSE 'Robin Example' END AS candidate_name,
-  CASE WHEN doc_id % 4 = 1 OR dropped OR inferred OR doc_id % 3 <> 0 THEN 'manual_review' WHEN bad THEN 'partial' ELSE 'validated' END AS validation_status, doc_id % 3 = 0 AS has_project FROM w WHERE doc_id % 9 <> 0""")
+#: A name that is a place is none; a placeholder or no name at all is replaced by the first line of two to five words of letters alone.
+@query(_STATUS + r""", f AS (SELECT doc_id, arg_min(text, o) FILTER (regexp_full_match(replace(replace(text, ' ', ''), ',', ''), '\p{L}+') AND len(string_split(text, ' ')) BETWEEN 2 AND 5) AS line FROM b GROUP BY doc_id)
+  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Robin Example' WHEN 1 THEN NULL ELSE line END AS candidate_name,
+  CASE WHEN doc_id % 4 = 1 OR dropped OR inferred OR doc_id % 3 <> 0 THEN 'manual_review' WHEN bad THEN 'partial' ELSE 'validated' END AS validation_status, doc_id % 3 = 0 AS has_project FROM w JOIN f USING (doc_id)""")
 def profile_reconciliation(spark, sf):
     done = reconciliation.reconcile(profiles_of(spark, sf), blocks_of(spark, sf), taxonomy.skill_table(spark), provider="remote", as_of=AS_OF)
-    return done.where("doc_id % 9 <> 0").select("doc_id", "candidate_name", "validation_status", (F.size("projects") > 0).alias("has_project"))
+    return done.select("doc_id", "candidate_name", "validation_status", (F.size("projects") > 0).alias("has_project"))
 
 
-@query(f"""WITH {_BLOCKS}, m AS (SELECT doc_id, o, text, CASE WHEN o >= 90 THEN 'project' WHEN o >= 2 AND doc_id % 10 <> 0 THEN 'work' END AS s FROM b),
+@query(f"""WITH {_BLOCKS}, m AS (SELECT doc_id, o, text, CASE WHEN o >= {_LAST} THEN 'project' WHEN o >= 2 AND doc_id % 10 <> 0 THEN 'work' END AS s FROM b),
 f AS (SELECT doc_id, avg(length(text)) FILTER (s IS NOT NULL) AS mean, count(DISTINCT CASE WHEN s IS NOT NULL AND contains(text, 'Reduced') THEN lower(text) END) AS achievements, CAST(count(DISTINCT s) AS INTEGER) AS n_sections, bool_or(text = 'Robin Example' OR text IN ('WORK EXPERIENCE', 'Role withheld')) AS has_identity, count(*) FILTER (contains(text, 'Python')) > 0 AS coded FROM m GROUP BY doc_id)
 SELECT doc_id, round(least(100.0, 40 + mean), 9) AS description_score, achievements, n_sections, has_identity, false AS has_contact, CAST(3 AS INTEGER) AS n_skills FROM f""")
 def document_features(spark, sf):
@@ -120,7 +124,7 @@ def document_features(spark, sf):
     return found.select("doc_id", F.round("description_score", 9).alias("description_score"), "achievements", "n_sections", "has_identity", "has_contact", "n_skills")
 
 
-@query(f"""WITH {_BLOCKS}, m AS (SELECT doc_id, text, CASE WHEN o >= 90 THEN 'project' WHEN o >= 2 AND doc_id % 10 <> 0 THEN 'work_experience' ELSE 'listed' END AS s FROM b), n(skill) AS (VALUES ('Python'), ('Docker'), ('SQL'))
+@query(f"""WITH {_BLOCKS}, m AS (SELECT doc_id, text, CASE WHEN o >= {_LAST} THEN 'project' WHEN o >= 2 AND doc_id % 10 <> 0 THEN 'work_experience' ELSE 'listed' END AS s FROM b), n(skill) AS (VALUES ('Python'), ('Docker'), ('SQL'))
 SELECT doc_id, skill AS canonical, array_to_string(list_sort(list(DISTINCT s)), ',') AS types FROM m JOIN n ON contains(text, skill) GROUP BY doc_id, skill""")
 def document_skills(spark, sf):
     return features.skill_types(blocks_of(spark, sf), taxonomy.skill_table(spark)).select("doc_id", "canonical", F.array_join("types", ",").alias("types"))
