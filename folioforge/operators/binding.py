@@ -63,12 +63,14 @@ def bind(profiles: DataFrame) -> DataFrame:
         key = lambda e, title=title: squeezed(e[title])
         company = (lambda e: squeezed(e["company"])) if kind == "experience" else (lambda e: F.lit(""))
         year = lambda e: F.coalesce(F.year(e["start_date"]).cast("string"), F.lit(""))
+        # what is asked of an entry is made once, not for each block
+        out = out.withColumn("_q", F.transform(column, lambda e: F.struct(key(e).alias("title"), company(e).alias("company"), year(e).alias("year"))))
         if kind == "experience":
-            anchors = F.transform(column, lambda e: F.filter("blocks", lambda b: (b["norm"] != "") & is_title(b["norm"], key(e), company(e))))
+            anchors = F.transform("_q", lambda q: F.filter("blocks", lambda b: (b["norm"] != "") & is_title(b["norm"], q["title"], q["company"])))
         else:
-            anchors = F.transform(column, lambda e: F.filter("blocks", lambda b: (F.length(key(e)) >= LEAST_NEEDLE) & F.contains(b["norm"], key(e))))
+            anchors = F.transform("_q", lambda q: F.filter("blocks", lambda b: (F.length(q["title"]) >= LEAST_NEEDLE) & F.contains(b["norm"], q["title"])))
         out = out.withColumn("_a", anchors)
-        out = out.withColumn("_c", F.zip_with(column, "_a", lambda e, a: F.filter(F.transform(a, lambda t: context(t, company(e), year(e))), lambda c: F.size(c) > 0)))
+        out = out.withColumn("_c", F.zip_with("_q", "_a", lambda q, a: F.filter(F.transform(a, lambda t: context(t, q["company"], q["year"])), lambda c: F.size(c) > 0)))
         out = out.withColumn("_r", F.transform("_c", lambda c: F.filter(c, same_row)))
         out = out.withColumn("_n", F.arrays_zip("_a", "_c", "_r"))
         one = (lambda n: F.when(F.size(n["_c"]) == 1, n["_c"][0]).when((F.size(n["_c"]) > 1) & (F.size(n["_r"]) == 1), n["_r"][0])) if kind == "experience" else (lambda n: F.when(F.size(n["_a"]) == 1, n["_a"]).when((F.size(n["_a"]) > 1) & (F.size(n["_c"]) == 1), n["_c"][0]))
@@ -83,5 +85,5 @@ def bind(profiles: DataFrame) -> DataFrame:
         ))
         bare = lambda e: F.size(F.coalesce(e["evidence"], F.expr("array()").cast(EVIDENCE))) == 0
         bound = F.zip_with(column, "_b", lambda e, b: e.withField("evidence", F.when(bare(e), b["evidence"]).otherwise(e["evidence"])))
-        out = out.withColumn(f"_{kind}", record).withColumn(column, bound).drop("_a", "_c", "_r", "_n", "_b")
+        out = out.withColumn(f"_{kind}", record).withColumn(column, bound).drop("_q", "_a", "_c", "_r", "_n", "_b")
     return out.withColumn("binding", F.concat("_experience", "_project")).drop("_experience", "_project")

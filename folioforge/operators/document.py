@@ -58,10 +58,10 @@ def squeezed(value: Column) -> Column:
 
 
 def annotate(blocks: DataFrame) -> DataFrame:
-    """Blocks with clean, norm, heading, page_section (the heading before, on this page), section (the heading before, over
+    """Blocks with clean, low (clean in lower case), norm, heading, page_section (the heading before, on this page), section (the heading before, over
     pages) and told (research or work_experience by the third rule)."""
     upto = Window.partitionBy("doc_id").orderBy("page_number", "reading_order").rowsBetween(Window.unboundedPreceding, 0)
-    rows = blocks.withColumn("clean", F.coalesce(clean(F.col("text")), F.lit(""))).withColumn("norm", squeezed(F.col("text"))).withColumn("heading", heading_kind(F.col("text")))
+    rows = blocks.withColumn("clean", F.coalesce(clean(F.col("text")), F.lit(""))).withColumn("low", F.lower("clean")).withColumn("norm", squeezed(F.col("text"))).withColumn("heading", heading_kind(F.col("text")))
     key = F.lower("clean")
     told = F.when(holds(key, RESEARCH_WORDS), "research").when(holds(key, WORK_WORDS), "work_experience")
     rows = rows.withColumn("_opened", F.when(F.col("heading").isNotNull(), F.struct("page_number", "heading"))).withColumn("_told", told)
@@ -73,7 +73,7 @@ def annotate(blocks: DataFrame) -> DataFrame:
 def bundle(annotated: DataFrame) -> DataFrame:
     """(doc_id, blocks): the annotated blocks of each document in order, as one array."""
     boxes = [F.col(c).cast("double").alias(c) if c in annotated.columns else F.lit(None).cast("double").alias(c) for c in ("y0", "y1")]
-    one = F.struct(F.col("page_number").cast("int").alias("page_number"), F.col("reading_order").cast("int").alias("reading_order"), "block_id", "block_type", "text", "clean", "norm", "heading", "page_section", "section", "told", *boxes)
+    one = F.struct(F.col("page_number").cast("int").alias("page_number"), F.col("reading_order").cast("int").alias("reading_order"), "block_id", "block_type", "text", "clean", "low", "norm", "heading", "page_section", "section", "told", *boxes)
     return annotated.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("blocks"))
 
 
@@ -109,11 +109,15 @@ def section_kinds(evidence: Column) -> Column:
     return F.array_distinct(F.transform(cited, lambda b: b["page_section"]))
 
 
-def in_experience_section(title: Column, company: Column) -> Column:
-    """Whether the title (5 letters at least) or the company (4) stands in a block of an experience section."""
-    t, c = F.lower(strip(F.coalesce(title, F.lit("")))), F.lower(strip(F.coalesce(company, F.lit(""))))
-    body = F.filter("blocks", lambda b: b["heading"].isNull() & (b["section"] == "experience"))
-    return F.exists(body, lambda b: ((F.length(t) >= 5) & F.contains(F.lower(b["clean"]), t)) | ((F.length(c) >= 4) & F.contains(F.lower(b["clean"]), c)))
+def asked(title: Column, company: Column) -> Column:
+    """Title and company as in_experience_section looks for them."""
+    return F.struct(*(F.lower(strip(F.coalesce(x, F.lit("")))).alias(n) for n, x in (("title", title), ("company", company))))
+
+
+def in_experience_section(q: Column) -> Column:
+    """Whether the title (5 letters at least) or the company (4), as asked() gives them, stands in a block of an experience section."""
+    here = lambda b: b["heading"].isNull() & (b["section"] == "experience")
+    return F.exists("blocks", lambda b: F.coalesce(here(b) & (((F.length(q["title"]) >= 5) & F.contains(b["low"], q["title"])) | ((F.length(q["company"]) >= 4) & F.contains(b["low"], q["company"]))), F.lit(False)))
 
 
 def has_section(kind: str) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from folioforge.functions.text import clean, fingerprint, strip
 from folioforge.storage import materialize
 
-from .document import EDUCATION, EVIDENCE, EXPERIENCE, SKILL, all_grounded, as_profiles, grounded, has_section, holds, in_experience_section, no_evidence, section_kinds, supports, with_blocks
+from .document import EDUCATION, EVIDENCE, EXPERIENCE, SKILL, all_grounded, as_profiles, asked, grounded, has_section, holds, in_experience_section, no_evidence, section_kinds, supports, with_blocks
 from .evidence import tiered
 from .reconcile import is_achievement, plain_title, same_role
 from .timeline import SECONDARY_ROLES, overlap_fraction
@@ -101,7 +101,8 @@ def validate_experiences(profiles: DataFrame) -> DataFrame:
     no reference holds are cleared, and a role is current only without an end. Tier 2: title or company in an experience section,
     kept as it is. Tier 0: dropped.
     """
-    seen = F.transform("experiences", lambda e: F.struct(all_grounded(e["evidence"]).alias("grounded"), supports(e["evidence"], e["job_title"]).alias("role_supported"), section_kinds(e["evidence"]).alias("kinds"), in_experience_section(e["job_title"], e["company"]).alias("inferred")))
+    seen = F.transform("experiences", lambda e: F.struct(all_grounded(e["evidence"]).alias("grounded"), supports(e["evidence"], e["job_title"]).alias("role_supported"), section_kinds(e["evidence"]).alias("kinds"), asked(e["job_title"], e["company"]).alias("asked")))
+    seen = F.transform(seen, lambda s: s.withField("inferred", in_experience_section(s["asked"])).dropFields("asked"))
     out = profiles.withColumn("_s", seen)
 
     def settled(e: Column) -> Column:

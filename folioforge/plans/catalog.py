@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
 from folioforge.functions import vectors as V
-from folioforge.operators import blocks, evaluate, evidence, extract, layout, privacy, reconcile, repair, reports, scoring, search, sections, summary, taxonomy, timeline
+from folioforge.operators import blocks, evaluate, evidence, extract, layout, privacy, reconcile, reports, scoring, search, sections, summary, taxonomy, timeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -308,19 +308,6 @@ def experience_dedup(spark, sf):
     return reconcile.merge_roles(rows, as_of=AS_OF).select("doc_id", "entry", "job_title", "merged")
 
 
-DATES = [(1, "July 2023", False), (2, "09/2018", False), (3, "2018 - 2022", False), (4, "2018 - 2022", True), (5, "2024-09-15", False), (6, "Present", True), (7, "tháng 3 năm 2020", False), (8, "soon", False), (9, "Jan 2020 – Mar 2021", True), (10, None, False)]
-
-
-@query("SELECT * FROM (VALUES (1, '2023-07-01'), (2, '2018-09-01'), (3, '2018-01-01'), (4, '2022-01-01'), (5, '2024-09-01'), (6, NULL), (7, '2020-03-01'), (8, 'soon'), (9, '2021-03-01'), (10, NULL)) v(id, repaired)")
-def json_repair_dates(spark, sf):
-    return repair.repaired_dates(fixture(spark, DATES, "id int, v string, is_end boolean"), "v", "is_end").select("id", "repaired")
-
-
-@query("SELECT id, CAST(gpa AS DOUBLE) AS gpa, CAST(scale AS DOUBLE) AS scale FROM (VALUES (1, 2.91, 4.0), (2, 3.5, NULL), (3, NULL, NULL), (4, 8.0, 10.0)) v(id, gpa, scale)")
-def gpa_parse(spark, sf):
-    return repair.grades(fixture(spark, [(1, "2.91/4"), (2, "GPA 3.5"), (3, "good"), (4, "8 of 10")], "id int, v string"), "v").select("id", "gpa", "scale")
-
-
 # ---- evidence and layout
 
 
@@ -480,22 +467,10 @@ def quality_scores(spark, sf):
     return features.quality(rows).select("id", F.round("quality_score", 6).alias("quality_score"), F.round("confidence", 6).alias("confidence"))
 
 
-RESPONSES = [
-    (1, '```json\n{"experiences": [{"role": "Cook", "employer": "Inn", "startDate": "May 2020", "endDate": "present", "responsibilities": "Grill", "evidence": {"quote": "Cook", "page": 1, "block": "p1-b1"}}], "extra": 1}\n```'),
-    (2, "not json"), (3, "null, " * 9), (4, None), (5, "[1]"),
-]
-REPAIRED = '{"experiences": [{"achievements": [], "company": "Inn", "description": ["Grill"], "endDate": null, "evidence": [{"blockId": "p1-b1", "pageNumber": 1, "text": "Cook"}], "isCurrent": true, "jobTitle": "Cook", "skills": [], "startDate": "2020-05-01"}], "extra": 1}'
-
-
-@query(f"SELECT * FROM (VALUES (1, {quoted(REPAIRED)}, NULL), (2, NULL, 'INVALID_JSON'), (3, NULL, 'DEGENERATE'), (4, NULL, 'EMPTY'), (5, NULL, 'NOT_AN_OBJECT')) v(id, repaired, repair_error)")
-def payload_repair(spark, sf):
-    return repair.repair(fixture(spark, RESPONSES, "id int, response string")).select("id", "repaired", "repair_error")
-
-
 @query(rf"WITH {_BLOCKS}, t AS (SELECT doc_id, sum(ceil(length(line) / 4.0)) AS a, sum(ceil(length(regexp_replace(line, '\s+', ' ', 'g')) / 4.0)) AS b FROM b GROUP BY doc_id) SELECT doc_id, CAST(round((a - b) / a * 100, 1) AS DOUBLE) AS saved_percent FROM t")
 def token_reduction(spark, sf):
     sums = blocks.prune(blocks.blocks(table(spark, sf, "documents"))).groupBy("doc_id").agg(F.sum("tokens_before").alias("a"), F.sum("tokens_after").alias("b"))
     return sums.select("doc_id", reports.reduction(F.col("a"), F.col("b")).alias("saved_percent"))
 
 
-from folioforge.plans import resumes  # noqa: E402, F401  (its queries register themselves)
+from folioforge.plans import answers, resumes  # noqa: E402, F401  (their queries register themselves)
