@@ -124,6 +124,32 @@ def purge(captures: DataFrame, *, now: str) -> DataFrame:
     return captures.where(F.col("expires_at") > F.lit(now).cast("timestamp"))
 
 
+def write_captures(captures: DataFrame, path: str) -> None:
+    """Adds captures (with_expiry) to `path`, laid out by the day on which they expire, in UTC."""
+    captures.withColumn("expires_on", F.to_date(F.date_trunc("DAY", F.to_utc_timestamp("expires_at", F.current_timezone())))).write.mode("append").partitionBy("expires_on").parquet(path)
+
+
+def read_captures(spark, path: str, *, now: str) -> DataFrame:
+    """Captures that have not expired at `now`; folders of days before are not opened."""
+    at = F.lit(now).cast("timestamp")
+    return spark.read.parquet(path).where((F.col("expires_on") >= F.to_date(F.date_trunc("DAY", F.to_utc_timestamp(at, F.current_timezone())))) & (F.col("expires_at") > at)).drop("expires_on")
+
+
+def drop_expired(spark, path: str, *, now: str) -> list[str]:
+    """Deletes the folders of days all of whose captures have expired at `now`; nothing is read or written again. The days."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    today = str(spark.range(1).select(F.to_date(F.to_utc_timestamp(F.lit(now).cast("timestamp"), F.current_timezone()))).first()[0])
+    gone = []
+    for entry in fs.listStatus(where):  # one folder a day
+        name = entry.getPath().getName()
+        if name.startswith("expires_on=") and name.split("=", 1)[1] < today:
+            fs.delete(entry.getPath(), True)
+            gone.append(name.split("=", 1)[1])
+    return sorted(gone)
+
+
 def interleaved(files: DataFrame, *, repeats: int, arms: tuple[str, ...]) -> DataFrame:
     """(seq, source, repeat, arm): runs of a comparison, the order of the arms reversed in every other repeat; seq from 1.
 
