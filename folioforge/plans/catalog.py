@@ -1,4 +1,4 @@
-"""Named queries over the driver's tables or small fixtures, each with the SQL that says the same."""
+"""Named queries over the driver's tables, each with the SQL that says the same."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
 from folioforge.functions import vectors as V
-from folioforge.operators import blocks, evaluate, evidence, extract, layout, privacy, reconcile, reports, scoring, search, sections, summary, taxonomy, timeline
+from folioforge.operators import blocks, evaluate, evidence, privacy, reports, scoring, search, sections, timeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,10 +31,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def fixture(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
 def quoted(v) -> str:
     if v is None:
         return "NULL"
@@ -176,100 +172,6 @@ def header_blank_zone(spark, sf):
 
 # ---- sections, taxonomy, extraction
 
-HEADINGS = [(1, "KỸ NĂNG", "skills"), (2, "Work Experience:", "experience"), (3, "## Education", "education"), (4, "3. Projects", "projects"), (5, "Experience in Python", "experience"), (6, "AWS certification", "certifications"), (7, "I like long walks", None), (8, "• Ngoại ngữ •", "languages"), (9, "Work Experience Contact", "experience"), (10, "Summary of " + "a very " * 10 + "long line", None), (11, "2) Học vấn", "education"), (12, "CAREER OBJECTIVE", "summary")]
-
-
-@query(f"SELECT id, kind FROM (VALUES {values([(i, k) for i, _, k in HEADINGS])}) v(id, kind)")
-def heading_kind(spark, sf):
-    return fixture(spark, [(i, t) for i, t, _ in HEADINGS], "id int, line string").select("id", sections.heading_kind(F.col("line")).alias("kind"))
-
-
-RESUME = """ROBIN EXAMPLE
-Email: robin@example.com | Phone: +84 912 000 111
-Address: 1 Sample Street, Ha Noi
-
-SUMMARY
-Builds data platforms. Likes tidy pipelines.
-
-SKILLS
-Python, SQL, Docker
-PostgreSQL; Go
-
-WORK EXPERIENCE
-Data Engineer | Sample Company
-01/2020 - 01/2024
-- Reduced cost by 30%
-- Moved jobs to Spark
-Backend Developer at Other Corp
-2018 - 12/2021
-- Built services
-
-EDUCATION
-Example University
-Bachelor of Computer Science
-09/2014 - 06/2018
-
-LANGUAGES
-English, Vietnamese"""
-SECTIONS = [(0, "header", 1, 4), (1, "summary", 5, 7), (2, "skills", 8, 11), (3, "experience", 12, 20), (4, "education", 21, 25), (5, "languages", 26, 27)]
-
-
-def dated(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("string") for c in ("start_date", "end_date")})
-
-
-def resume(spark):
-    return fixture(spark, [(1, RESUME)], "doc_id long, text string")
-
-
-@query(f"SELECT CAST(1 AS BIGINT) AS doc_id, id AS section_id, section, s AS start_line, e AS end_line FROM (VALUES {values(SECTIONS)}) v(id, section, s, e)")
-def section_ranges(spark, sf):
-    return sections.detect_sections(resume(spark)).select("doc_id", "section_id", "section", "start_line", "end_line")
-
-
-@query("SELECT * FROM (VALUES (1, 'Data Engineer', 'Sample Company', '2020-01-01', '2024-01-01', false, 'Reduced cost by 30%' || chr(10) || 'Moved jobs to Spark'), (2, 'Backend Developer', 'Other Corp', '2018-01-01', '2021-12-01', false, 'Built services')) v(entry, job_title, company, start_date, end_date, is_current, description)")
-def golden_experiences(spark, sf):
-    return dated(extract.experiences(resume(spark)).drop("doc_id"))
-
-
-@query("SELECT 'Example University' AS institution, 'Bachelor of Computer Science' AS degree, 'Computer Science' AS field_of_study, '2014-09-01' AS start_date, '2018-06-01' AS end_date")
-def golden_education(spark, sf):
-    return dated(extract.education(resume(spark)).drop("doc_id"))
-
-
-@query("SELECT 'ROBIN EXAMPLE' AS candidate_name, 'robin@example.com' AS email, '+84 912 000 111' AS phone, 'Docker, Go, PostgreSQL, Python, Spark, SQL' AS skills, 2 AS n_jobs, 1 AS n_schools, 6.0::DOUBLE AS years")
-def golden_profile(spark, sf):
-    p = extract.profiles(resume(spark), taxonomy.skill_table(spark), as_of=AS_OF)
-    return p.select("candidate_name", "email", "phone", "skills", "n_jobs", "n_schools", "years")
-
-
-MENTIONS = [(1, "Python and C++ with react.js; I go to work"), (2, "k8s, Amazon Web Services. Machine  learning"), (3, "pythonic, sqlite"), (4, "CV: computer vision, R"), (5, None)]
-
-
-@query("SELECT * FROM (VALUES (1, 'Python', 1), (1, 'C++', 1), (1, 'React', 1), (1, 'Go', 1), (2, 'Kubernetes', 1), (2, 'AWS', 1), (4, 'Computer Vision', 2), (4, 'R', 1)) v(doc_id, canonical, mentions)")
-def skill_mentions(spark, sf):
-    return taxonomy.skill_mentions(fixture(spark, MENTIONS, "doc_id long, text string"), taxonomy.skill_table(spark))
-
-
-NAMES = [(1, " PostGres "), (2, "k8s"), (3, "Fortran "), (4, "python")]
-
-
-@query("SELECT * FROM (VALUES (1, 'PostgreSQL'), (2, 'Kubernetes'), (3, 'Fortran'), (4, 'Python')) v(id, canonical)")
-def canonical_skills(spark, sf):
-    return taxonomy.canonical_skills(fixture(spark, NAMES, "id int, name string"), taxonomy.skill_table(spark)).select("id", "canonical")
-
-
-@query("SELECT * FROM (VALUES (1, 'Backend Developer,Software Engineer'), (2, 'DevOps Engineer'), (3, ''), (4, 'Data Engineer')) v(id, titles)")
-def job_titles(spark, sf):
-    rows = [(1, "Senior Backend Developer"), (2, "SRE at Example"), (3, "Chef"), (4, "Kỹ sư dữ liệu")]
-    return fixture(spark, rows, "id int, t string").select("id", F.array_join(taxonomy.job_titles(F.col("t")), ",").alias("titles"))
-
-
-@query("SELECT * FROM (VALUES (1, 'Hồ Chí Minh'), (2, 'Hà Nội'), (3, 'Berlin'), (4, NULL), (5, 'Thừa Thiên Huế')) v(id, place)")
-def locations(spark, sf):
-    rows = [(1, "Quận 1, TP.HCM"), (2, "12 Hà Nội street"), (3, " Berlin "), (4, ""), (5, "thành phố Huế")]
-    return fixture(spark, rows, "id int, t string").select("id", taxonomy.province(F.col("t")).alias("place"))
-
 
 # ---- intervals
 
@@ -294,20 +196,6 @@ def experience_overlap_pairs(spark, sf):
     return timeline.overlapping_pairs(jobs_of_orders(spark, sf), key="o_custkey", id_col="o_orderkey", start="s", end="e", least=0.5)
 
 
-ROLES = [
-    (1, 1, "Data Engineer", "Acme", date(2020, 1, 1), date(2022, 1, 1)), (1, 2, "Senior Data Scientist", "ACME ", date(2020, 1, 1), date(2022, 1, 1)),
-    (2, 1, "Chef", "Inn", date(2019, 1, 1), date(2020, 1, 1)), (2, 2, "Chef", "Inn", date(2021, 1, 1), date(2022, 1, 1)),
-    (3, 1, "Developer", "Acme", date(2020, 1, 1), date(2021, 1, 1)), (3, 2, "Senior Developer", "Acme", date(2020, 2, 1), date(2021, 2, 1)),
-    (4, 1, "Tester", "Acme", None, None), (4, 2, "Lead Tester", "Acme", date(2020, 1, 1), None), (5, 1, "A", None, None, None), (5, 2, "A", None, None, None),
-]
-
-
-@query("""SELECT CAST(d AS BIGINT) AS doc_id, e AS entry, t AS job_title, m AS merged FROM (VALUES (1, 1, 'Data Engineer / Senior Data Scientist', 2), (2, 1, 'Chef', 1), (2, 2, 'Chef', 1), (3, 1, 'Senior Developer', 2), (4, 1, 'Lead Tester', 2), (5, 1, 'A', 1), (5, 2, 'A', 1)) v(d, e, t, m)""")
-def experience_dedup(spark, sf):
-    rows = fixture(spark, ROLES, "doc_id long, entry int, job_title string, company string, start_date date, end_date date")
-    return reconcile.merge_roles(rows, as_of=AS_OF).select("doc_id", "entry", "job_title", "merged")
-
-
 # ---- evidence and layout
 
 
@@ -321,54 +209,6 @@ def evidence_band_join(spark, sf):
     return evidence.context_pairs(table(spark, sf, "documents"))
 
 
-CLAIMS = [(1, 1, "p1-b1", "Data Engineer", True), (1, 1, "p1-b1", "data engineer", False), (1, 1, "p1-b9", "Data", False), (1, 2, "p1-b1", "Data", False), (1, 1, "p1-b2", " Acme ", True), (1, 1, "p1-b1", "", False), (1, 1, "p1-b1", None, False), (1, 1, "p1-b3", "Senior Data", True), (1, 1, "p1-b3", "Senior  Data ", True)]
-
-
-@query(f"SELECT q AS quote, g AS grounded, block_id FROM (VALUES {values(CLAIMS)}) v(d, p, block_id, q, g)")
-def evidence_claims(spark, sf):
-    claims = fixture(spark, [c[:4] for c in CLAIMS], "doc_id long, page_number int, block_id string, quote string")
-    held = fixture(spark, [(1, 1, "p1-b1", "Senior Data Engineer"), (1, 1, "p1-b2", "at Acme"), (1, 1, "p1-b3", "Senior  Data\u200b  Chief")], "doc_id long, page_number int, block_id string, text string")
-    return evidence.grounded(claims, held).select("quote", "grounded", "block_id")
-
-
-@query("SELECT id, CAST(overlap AS DOUBLE) AS overlap FROM (VALUES (1, 1.0), (2, 0.0), (3, 0.0), (4, 0.5)) v(id, overlap)")
-def bbox_overlap(spark, sf):
-    rows = [(1, 0.0, 10.0, 0.0, 10.0), (2, 0.0, 10.0, 20.0, 30.0), (3, None, 1.0, 0.0, 1.0), (4, 0.0, 10.0, 5.0, 15.0)]
-    return fixture(spark, rows, "id int, a0 double, a1 double, b0 double, b1 double").select("id", evidence.box_overlap(*(F.col(c) for c in ("a0", "a1", "b0", "b1"))).alias("overlap"))
-
-
-BOXES = [(1, 1, f"p1-b{i}", x, y, x + 100, y + 10, i) for i, (x, y) in enumerate([(50.0, 700.0), (320.0, 705.0), (50.0, 650.0), (320.0, 640.0), (55.0, 600.0), (325.0, 596.0), (50.0, 500.0)], 1)]
-
-
-@query("SELECT * FROM (VALUES ('p1-b1', 'LEFT', 1), ('p1-b2', 'RIGHT', 1), ('p1-b3', 'LEFT', 2), ('p1-b4', 'RIGHT', 2), ('p1-b5', 'LEFT', 3), ('p1-b6', 'RIGHT', 3), ('p1-b7', 'LEFT', 4)) v(block_id, side, row)")
-def two_column_rows(spark, sf):
-    rows = fixture(spark, BOXES, "doc_id long, page_number int, block_id string, x0 double, y0 double, x1 double, y1 double, reading_order int")
-    return layout.place(rows).select("block_id", "side", "row")
-
-
-TIERS = [(1, True, True, False, False, 1, "VERIFIED"), (2, False, True, False, True, 2, "SECTION_INFERRED"), (3, True, False, False, False, 0, "ROLE_NOT_SUPPORTED_BY_EVIDENCE"), (4, True, True, True, False, 0, "PROJECT_ONLY_EVIDENCE"), (5, False, False, False, False, 0, "EVIDENCE_NOT_GROUNDED")]
-
-
-@query(f"SELECT id, tier, reason_code FROM (VALUES {values(TIERS)}) v(id, a, b, c, d, tier, reason_code)")
-def reconcile_tiers(spark, sf):
-    return evidence.tiers(fixture(spark, [t[:5] for t in TIERS], "id int, grounded boolean, role_supported boolean, project_only boolean, section_inferred boolean")).select("id", "tier", "reason_code")
-
-
-@query("SELECT * FROM (VALUES (1, 'validated'), (2, 'partial'), (3, 'manual_review'), (4, 'manual_review')) v(id, status)")
-def profile_status(spark, sf):
-    rows = [(1, True, False, False, False, False, False, False), (2, True, False, False, False, False, True, False), (3, True, True, False, False, False, True, False), (4, False, False, False, False, False, False, False)]
-    names = "usable name_is_place name_ungrounded dropped inferred local_provider partial_evidence".split()
-    return evidence.status(fixture(spark, rows, "id int, " + ", ".join(f"{n} boolean" for n in names))).select("id", "status")
-
-
-LINES = [(1, "Reduced cost by 30%", True), (2, "Reduced cost by 12.5%", False), (3, "Processed 1.2M events", True), (4, "Built in 2020", False), (5, "Managed 12 people", True), (6, "Likes tea", False)]
-
-
-@query(f"SELECT id, a AS achievement FROM (VALUES {values(LINES)}) v(id, t, a)")
-def achievement_split(spark, sf):
-    return fixture(spark, [x[:2] for x in LINES], "id int, line string").select("id", reconcile.is_achievement(F.col("line")).alias("achievement"))
-
-
 # ---- scores, summaries, search
 
 
@@ -380,31 +220,6 @@ def weighted_score(spark, sf):
     return rows.select("doc_id", F.round(scoring.weighted(parts, {"a": 0.6, "b": 0.4}), 6).alias("score"))
 
 
-RUBRIC = [(1, "Bách Khoa", "Bachelor", "Computer Science", 5.0, 2, ["Python", "AWS", "a", "b", "c", "d", "e", "f"], ["IELTS 7"]), (2, None, None, None, None, 0, [], []), (3, "Town College", "Master", None, 1.5, 1, ["a", "b", "c", "d"], ["Safety"]), (4, "Town College", None, None, 0.5, 1, ["x"], None)]
-
-
-@query("SELECT id, CAST(a AS DOUBLE) AS education_score, CAST(b AS DOUBLE) AS experience_score, CAST(c AS DOUBLE) AS skill_score, CAST(d AS DOUBLE) AS certificate_score, CAST(e AS DOUBLE) AS total_score FROM (VALUES (1, 14.0, 33.5, 27.5, 13.0, 88.0), (2, 5.0, 5.0, 5.0, 0.0, 15.0), (3, 14.0, 21.9, 20.0, 8.0, 63.9), (4, 11.5, 14.0, 12.0, 0.0, 37.5)) v(id, a, b, c, d, e)")
-def rubric_scores(spark, sf):
-    rows = fixture(spark, RUBRIC, "id int, institution string, degree string, field string, years double, n_jobs int, skills array<string>, certificates array<string>")
-    return scoring.rubric(rows).select("id", "education_score", "experience_score", "skill_score", "certificate_score", "total_score")
-
-
-SUMMARIES = [(1, "Robin", "Engineer", 6.0, ["Python", "SQL"], "Example University", 2, None), (2, None, None, None, [], None, 0, None), (3, "Kim", None, 2.5, [], None, 0, "Writes data services for hospitals. Enjoys careful reviews.")]
-
-
-@query("""SELECT * FROM (VALUES (1, 'Robin works as Engineer and has 6 years of recorded experience. The profile lists skills in Python, SQL and records education at Example University and includes 2 certification(s).', false),
-(2, 'The candidate is the candidate represented by the extracted profile. No structured skills, education, or certifications were extracted.', false), (3, 'Writes data services for hospitals. Enjoys careful reviews.', true)) v(id, summary_text, reused)""")
-def summary_template(spark, sf):
-    rows = fixture(spark, SUMMARIES, "id int, name string, headline string, years double, skills array<string>, institution string, n_certificates int, summary string")
-    return summary.summarize(rows).select("id", "summary_text", "reused")
-
-
-@query("SELECT 1 AS id, sha256('Headline: Engineer' || chr(10) || 'Skills: Python, SQL' || chr(10) || 'Experience: Data Engineer') AS hash")
-def profile_text_hash(spark, sf):
-    row = fixture(spark, [(1, "Engineer", ["Python", "SQL", "Python"], ["Data Engineer"], [])], "id int, h string, s array<string>, j array<string>, e array<string>")
-    return row.select("id", F.sha2(summary.profile_text(F.col("h"), F.col("s"), F.col("j"), F.col("e")), 256).alias("hash"))
-
-
 _N = "sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
 
 
@@ -448,24 +263,8 @@ def batch_report(spark, sf):
     return reports.batch_report(table(spark, sf, "documents"), ~F.coalesce(F.length("text") >= 80, F.lit(False)))
 
 
-@query("SELECT round(2.0 / 3, 9) AS entity_precision, 0.5::DOUBLE AS block_precision, 1.0::DOUBLE AS block_recall")
-def binding_metrics(spark, sf):
-    rows = fixture(spark, [("correct", ["a", "b"], ["a"]), ("wrong", ["c"], []), ("correct", ["d"], ["d"])], "verdict string, bound array<string>, correct array<string>")
-    return evaluate.block_metrics(rows).select(*(F.round(c, 9).alias(c) for c in ("entity_precision", "block_precision", "block_recall")))
-
-
 # ---- features, repair, reports
 
-QUALITY = [(1, 80.0, 100.0, True, 2, 5, "validated"), (2, None, None, None, 0, 1, "partial"), (3, 100.0, 100.0, True, 2, 5, "manual_review"), (4, 40.0, 40.0, False, 1, 3, "validated")]
-
-
-@query("SELECT id, CAST(q AS DOUBLE) AS quality_score, CAST(c AS DOUBLE) AS confidence FROM (VALUES (1, 94.0, 1.0), (2, 6.67, 0.28), (3, NULL, 0.25), (4, 38.0, 1.0)) v(id, q, c)")
-def quality_scores(spark, sf):
-    from folioforge.operators import features
-
-    rows = fixture(spark, QUALITY, "id int, description_score double, skill_evidence double, timeline_ok boolean, achievements long, n_sections int, status string")
-    return features.quality(rows).select("id", F.round("quality_score", 6).alias("quality_score"), F.round("confidence", 6).alias("confidence"))
-
 
 @query(rf"WITH {_BLOCKS}, t AS (SELECT doc_id, sum(ceil(length(line) / 4.0)) AS a, sum(ceil(length(regexp_replace(line, '\s+', ' ', 'g')) / 4.0)) AS b FROM b GROUP BY doc_id) SELECT doc_id, CAST(round((a - b) / a * 100, 1) AS DOUBLE) AS saved_percent FROM t")
 def token_reduction(spark, sf):
@@ -473,4 +272,4 @@ def token_reduction(spark, sf):
     return sums.select("doc_id", reports.reduction(F.col("a"), F.col("b")).alias("saved_percent"))
 
 
-from folioforge.plans import answers, deliveries, resumes  # noqa: E402, F401  (their queries register themselves)
+from folioforge.plans import answers, deliveries, golden, resumes  # noqa: E402, F401  (their queries register themselves)
