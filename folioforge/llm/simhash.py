@@ -426,15 +426,15 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Rows repeated under one id leave one row for each component among them. Rows with a null id stay: nothing names them.
     """
     prints, heads = _similar(docs, id_col, text_col, shingle, similarity, 256)
-    chosen = heads.where("head.node = node").select(F.col("head.rep").alias("_kept"), F.col("node").alias("_of"))
-    many = materialize(prints.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("_many")), "repeated")
-    alone = materialize(chosen.join(many, chosen["_kept"] == many["_many"], "left_anti").select("_kept"), "kept")
+    kept, of, repeated, node = spare(docs, "kept", "of", "many", "node")
+    chosen = heads.where("head.node = node").select(F.col("head.rep").alias(kept), F.col("node").alias(of))
+    many = materialize(prints.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias(repeated)), "repeated")
+    alone = materialize(chosen.join(many, chosen[kept] == many[repeated], "left_anti").select(kept), "kept")
     # one plan at every size: a join on ids that occur once
-    out = docs.join(alone.hint("merge"), docs[id_col] == F.col("_kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    out = docs.join(alone.hint("merge"), docs[id_col] == alone[kept], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
     if many.isEmpty():
         return out
-    (node,) = spare(docs, "node")
-    again = docs.join(many, docs[id_col] == F.col("_many"), "left_semi")
+    again = docs.join(many, docs[id_col] == many[repeated], "left_semi")
     fields, at = StructType([*docs.schema, StructField(node, LongType())]), docs.columns.index(text_col)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,7 +443,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.int64())], fields.names)
 
     rows = map_arrow(again, named, fields)
-    rows = rows.join(chosen, (rows[id_col] == chosen["_kept"]) & (rows[node] == chosen["_of"]), "left_semi")
+    rows = rows.join(chosen, (rows[id_col] == chosen[kept]) & (rows[node] == chosen[of]), "left_semi")
     return out.unionByName(rows.dropDuplicates([id_col, node]).drop(node))
 
 

@@ -14,12 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, spare, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Above this many rules, tokens fetch them by a join; below, from a map held in the expression. Rules without a token,
-#: which every URL tries, number no more than this either.
-INLINE_RULES = 200
+#: Above this many rules, tokens fetch them by a join; below, from a map held in the expression. Rules without a token, which
+#: every URL tries, stand in expressions of about so many; after so many expressions the rows are written.
+INLINE_RULES, WRITTEN_AFTER = 200, 8
 #: URLs that meet the rules of one token in one task, about.
 ROWS_PER_SALT = 1_000_000
 RULES = "name string, action string, pattern string, tokens array<string>, weight int, host boolean"
@@ -104,8 +104,17 @@ def _structs(rules: tuple[Rule, ...]) -> Column:
     return F.array(*(F.struct(*(F.lit(getattr(r, f)).alias(f) for f in fields)) for r in rules)).cast("array<struct<name:string,action:string,weight:int,host:boolean,pattern:string>>")
 
 
-def matched(urls: DataFrame, rules: tuple[Rule, ...], text_col: str) -> DataFrame:
-    """`urls` with _rule and _other, the deciding rules found in `text_col`; the rules stand in the expression."""
+def _free(urls: DataFrame, out: tuple[str, str]) -> None:
+    clash = {c.lower() for c in out} & {c.lower() for c in urls.columns}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} would be overwritten")
+
+
+def matched(urls: DataFrame, rules: tuple[Rule, ...], text_col: str, *, out: tuple[str, str] = ("_rule", "_other")) -> DataFrame:
+    """`urls` with two columns more, named by `out`: the deciding host rule and the deciding other one found in `text_col`, null
+    where there is none and for null texts. The rules stand in the expression. Names that are taken are an error."""
+    _free(urls, out)
+    (hits,) = spare(urls, "hits")
     known = sorted({t for r in rules for t in r.tokens})
     there = urls.select(F.explode(F.array_intersect(tokens_of(F.col(text_col)), F.array(*map(F.lit, known)))).alias("t")) if known else None
     counts = {r["t"]: r["n"] for r in there.groupBy("t").agg(F.count("*").alias("n")).collect()} if known else {}  # one row per token of a rule
@@ -115,38 +124,48 @@ def matched(urls: DataFrame, rules: tuple[Rule, ...], text_col: str) -> DataFram
     if filed:
         index = F.create_map(*(x for t, ns in filed.items() for x in (F.lit(t), _structs(tuple(rules[n] for n in ns)))))
         fetched = F.flatten(F.transform(F.array_intersect(tokens_of(F.col(text_col)), F.array(*map(F.lit, filed))), lambda t: F.element_at(index, t)))
-    rows = urls.withColumn("_hits", _tried(always, fetched, F.col(text_col)))
-    longest, first = _best(F.col("_hits"))
-    return rows.withColumn("_rule", longest).withColumn("_other", first).drop("_hits")
+    rows = urls.withColumn(hits, _tried(always, fetched, F.col(text_col)))
+    longest, first = _best(F.col(hits))
+    return rows.select(*urls.columns, longest.alias(out[0]), first.alias(out[1]))
 
 
-def matched_by_table(urls: DataFrame, rules: DataFrame, text_col: str) -> DataFrame:
-    """As matched(), with the rules a table of RULES that the driver never sees.
+def matched_by_table(urls: DataFrame, rules: DataFrame, text_col: str, *, out: tuple[str, str] = ("_rule", "_other")) -> DataFrame:
+    """As matched(), with the rules a table of RULES that the driver never sees whole.
 
-    A token of many URLs is dealt over salts, to each of which the rules filed under it go; hits come back to the
-    number of a URL's row, so repeated URLs are no hot key.
+    Tokens travel with the number of their URL's row alone, and what they fetch goes back to the text in one join. A token of many
+    URLs is dealt over salts, to each of which the rules filed under it go; repeated URLs are no hot key. Null tokens of a
+    rule count for nothing; rules without a token are tried on every URL, block by block. A null pattern matches nothing.
     """
-    few = rules.where("size(coalesce(tokens, array())) = 0").limit(INLINE_RULES + 1).collect()
-    if len(few) > INLINE_RULES:
-        raise ValueError(f"more than {INLINE_RULES} rules have no token: every URL would try them all")
-    always = tuple(Rule(r["name"], r["action"], r["pattern"], (), r["weight"] or 0, bool(r["host"])) for r in few)
-    rows = materialize(urls.withColumn("_n", F.monotonically_increasing_id()), "urls")
-    met = rows.where(F.col(text_col).isNotNull()).select("_n", F.col(text_col).alias("_text_"), F.explode(tokens_of(F.col(text_col))).alias("t"))
-    held = rules.where("size(tokens) > 0").select("name", "action", "pattern", F.coalesce("weight", F.lit(0)).alias("weight"), F.coalesce("host", F.lit(False)).alias("host"), "tokens")
-    names = held.select(F.explode("tokens").alias("t")).distinct()
+    _free(urls, out)
+    n, best_host, best_other = spare(urls, "n", "host", "other")
+    rows = materialize(urls.withColumn(n, F.monotonically_increasing_id()), "urls")
+    text = rows.select(F.col(n).alias("n"), F.col(text_col).alias("text"))
+    held = rules.where("pattern IS NOT NULL").select("name", "action", "pattern", F.coalesce("weight", F.lit(0)).alias("weight"), F.coalesce("host", F.lit(False)).alias("host"), F.filter(F.coalesce("tokens", F.array().cast("array<string>")), lambda t: t.isNotNull()).alias("tokens"))
+    met = text.select("n", F.explode(tokens_of(F.col("text"))).alias("t"))
+    filed = held.where("size(tokens) > 0")
+    names = filed.select(F.explode("tokens").alias("t")).distinct()
     counts = materialize(names.join(met.groupBy("t").agg(F.count("*").alias("k")), "t", "left").select("t", F.coalesce("k", F.lit(0)).alias("k")), "tokens")
-    one = held.select(F.struct("name", "action", "pattern", "weight", "host").alias("r"), F.explode("tokens").alias("t")).join(counts, "t")
+    one = filed.select(F.struct("name", "action", "pattern", "weight", "host").alias("r"), F.explode("tokens").alias("t")).join(counts, "t")
     filed = one.groupBy("r").agg(F.min(F.struct("k", "t")).alias("x")).select("x.t", "x.k", "r.*")
     salts = F.ceil((F.col("k") + 1) / ROWS_PER_SALT).cast("int")
     filed = materialize(filed.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))), "filed")
-    dealt = met.join(filed.select("t", salts.alias("_salts")).distinct(), "t").withColumn("salt", F.pmod(F.xxhash64("_n"), "_salts").cast("int"))
-    hits = dealt.join(filed, ["t", "salt"]).where(F.regexp_like("_text_", F.col("pattern")))
-    best = hits.groupBy("_n").agg(
-        F.max(F.when(F.col("host"), F.struct(F.col("weight").alias("w"), "name", "action"))).alias("_h"), F.min(F.when(~F.col("host"), F.struct("name", "action"))).alias("_o")
+    dealt = met.join(filed.select("t", salts.alias("salts")).distinct(), "t").select("n", "t", F.pmod(F.xxhash64("n"), "salts").cast("int").alias("salt"))
+    hits = dealt.join(filed, ["t", "salt"]).select("n", "name", "action", "pattern", "weight", "host").join(text, "n").where(F.regexp_like("text", F.col("pattern")))
+    best = hits.groupBy(F.col("n").alias(f"{n}_")).agg(
+        F.max(F.when(F.col("host"), F.struct(F.col("weight").alias("w"), "name", "action"))).alias(best_host), F.min(F.when(~F.col("host"), F.struct("name", "action"))).alias(best_other)
     )
-    longest, first = _best(_tried(always, _structs(()), F.col(text_col)))
-    out = rows.join(best.withColumnRenamed("_n", "_n2"), F.col("_n") == F.col("_n2"), "left")
-    return out.withColumn("_rule", F.greatest("_h", longest)).withColumn("_other", F.least("_o", first)).select(*urls.columns, "_rule", "_other")
+    done = rows.join(best, F.col(n) == F.col(f"{n}_"), "left").drop(f"{n}_", n)
+    free = materialize(held.where("size(tokens) = 0").drop("tokens"), "tokenless")
+    blocks = -(-free.count() // INLINE_RULES)
+    for k in range(blocks):
+        mine = free.where(F.pmod(F.xxhash64("name", "pattern"), F.lit(blocks)) == k).collect()  # INLINE_RULES, about
+        found = _tried(tuple(Rule(r["name"], r["action"], r["pattern"], (), r["weight"], r["host"]) for r in mine), _structs(()), F.col(text_col))
+        (tried,) = spare(done, "tried")
+        longest, first = _best(F.col(tried))
+        done = done.withColumn(tried, found).withColumns({best_host: F.greatest(best_host, longest), best_other: F.least(best_other, first)}).drop(tried)
+        if k % WRITTEN_AFTER == WRITTEN_AFTER - 1:
+            done = materialize(done, f"tried{k}")
+    return done.select(*urls.columns, F.col(best_host).alias(out[0]), F.col(best_other).alias(out[1]))
 
 
 def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] | DataFrame = HOST_RULES + WORD_RULES) -> DataFrame:
