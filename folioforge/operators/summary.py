@@ -61,3 +61,32 @@ def text_of_profile(profiles: DataFrame, *, plain: bool = False) -> Column:
     }
     text = F.concat_ws("\n", *(F.concat(F.lit(f"{n}: "), F.nullif(c, F.lit(""))) for n, c in parts.items()))
     return text if plain else sanitize_lines(text)
+
+
+def tagged_text_of_profile(profiles: DataFrame) -> Column:
+    """The second encoder's text of a whole profile (document.PROFILE): a heading in brackets before each part, lines of jobs and
+    projects with a hyphen, empty parts left out. Name and contact data are no part of it."""
+    texts = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: F.coalesce(x != "", F.lit(False)))
+    filled = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), F.trim(c)))
+    items = lambda c: F.transform(texts(c), lambda x: F.concat(F.lit("- "), x))
+    used = lambda c: F.when(F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0, F.concat(F.lit("- Skills: "), F.array_join(texts(c), "; ")))
+
+    def entry(*parts: Column) -> Column:
+        return F.array_compact(F.flatten(F.array(*parts)))
+
+    def part(name: str, lines: Column) -> Column:
+        return F.when(F.size(lines) > 0, F.concat(F.array(F.lit(""), F.lit(f"[{name}]")), lines)).otherwise(F.array().cast("array<string>"))
+
+    job = lambda e: entry(F.array(F.concat(e["job_title"], F.when(F.coalesce(e["company"], F.lit("")) != "", F.concat(F.lit(" at "), e["company"])).otherwise(""))), items(e["description"]), items(e["achievements"]), F.array(used(e["skills"])))
+    project = lambda p: entry(F.array(p["title"]), items(p["description"]), F.array(used(p["skills"])))
+    degree = lambda s: F.coalesce(F.nullif(s["degree"], F.lit("")), F.nullif(s["field_of_study"], F.lit("")), F.lit("Education"))
+    courses = lambda s: F.when(F.size(F.coalesce(s["coursework"], F.array().cast("array<string>"))) > 0, F.concat(F.lit("- Relevant coursework: "), F.array_join(texts(s["coursework"]), "; ")))
+    school = lambda s: entry(F.array(F.concat(degree(s), F.lit(" at "), s["institution"]), courses(s)))
+    spoken = lambda x: F.concat(x["language"], F.when(F.coalesce(x["proficiency"], F.lit("")) != "", F.concat(F.lit(" ("), x["proficiency"], F.lit(")"))).otherwise(""))
+    one = lambda c: F.when(F.size(c) > 0, F.array(F.array_join(c, "; "))).otherwise(F.array().cast("array<string>"))
+    head = F.array_compact(F.array(F.lit("[CANDIDATE_PROFILE]"), filled("Target roles: ", F.col("headline")), filled("Professional summary: ", F.col("summary"))))
+    return F.array_join(F.concat(
+        head, part("SKILLS", one(F.array_distinct(texts(F.transform("skills", lambda x: x["canonical_name"]))))),
+        part("WORK_EXPERIENCE", F.flatten(F.transform("experiences", job))), part("PROJECTS", F.flatten(F.transform("projects", project))), part("EDUCATION", F.flatten(F.transform("education", school))),
+        part("LANGUAGES", one(texts("languages"))), part("LANGUAGE_PROFICIENCY", one(F.transform("language_proficiencies", spoken))),
+    ), "\n")

@@ -11,7 +11,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.operators import binding, document, features, reconciliation, taxonomy
+from folioforge.operators import binding, document, features, reconciliation, summary, taxonomy
 
 from .catalog import query, table
 
@@ -141,3 +141,47 @@ def profile_years(spark, sf):
 @query(f"WITH {_JOBS} SELECT doc_id, CAST(count(*) - count(DISTINCT company) AS INTEGER) AS n_merged FROM j GROUP BY doc_id")
 def experience_merge_counts(spark, sf):
     return reconciliation.merge_experiences(profiles_of(spark, sf), as_of=AS_OF).select("doc_id", "n_merged")
+
+
+@query(f"""WITH {_JOBS}, e AS (SELECT doc_id, string_agg(title || ' at ' || company || chr(10) || '- Reduced cost by ' || (k % 90 + 1) || '%' || chr(10) || '- Kept things going', chr(10) ORDER BY n) AS jobs FROM j GROUP BY doc_id)
+SELECT doc_id, concat_ws(chr(10), '[CANDIDATE_PROFILE]', '', '[WORK_EXPERIENCE]', jobs, '', '[PROJECTS]', 'Parser ' || doc_id) AS text FROM e""")
+def profile_text_tagged(spark, sf):
+    """What the second encoder reads of each profile."""
+    p = profiles_of(spark, sf)
+    return p.select("doc_id", summary.tagged_text_of_profile(p).alias("text"))
+
+
+#: Of a customer's jobs those of one company, in order: the first takes the others in, the last of them first.
+_MERGED = f"""WITH {_JOBS}, f AS (SELECT *, CAST(min(n) OVER (PARTITION BY doc_id, company) AS INTEGER) AS head FROM j)"""
+
+
+@query(f"""{_MERGED}, g AS (SELECT doc_id, head, company, list(title ORDER BY n) AS titles, min(started) AS started, list('Reduced cost by ' || (k % 90 + 1) || '%' ORDER BY n) AS told, count(*) AS parts FROM f GROUP BY ALL)
+SELECT doc_id, company, CAST(started AS VARCHAR) AS started, true AS is_current, CAST(parts AS INTEGER) AS parts, CAST(len(list_distinct(told)) + 1 AS INTEGER) AS n_lines FROM g""")
+def experience_merge_entries(spark, sf):
+    """The merged entries themselves: one a company, from its first start, with all of their lines."""
+    done = reconciliation.merge_experiences(profiles_of(spark, sf), as_of=AS_OF).select("doc_id", F.explode("experiences").alias("e"))
+    parts = profiles_of(spark, sf).select("doc_id", F.explode("experiences").alias("x")).groupBy("doc_id", F.col("x.company").alias("c")).agg(F.count("*").cast("int").alias("parts"))
+    rows = done.join(parts, (done["doc_id"] == parts["doc_id"]) & (F.col("e.company") == parts["c"])).drop(parts["doc_id"])
+    return rows.select("doc_id", "e.company", F.col("e.start_date").cast("string").alias("started"), "e.is_current", "parts", F.size("e.description").alias("n_lines"))
+
+
+@query(f"""WITH {_JOBS} SELECT doc_id, CAST(n - 1 AS INTEGER) AS entry, 'Reduced cost by ' || (k % 90 + 1) || '%' AS achievements, 'Kept things going' AS description FROM j""")
+def entry_achievements(spark, sf):
+    """Lines of every job, measured results apart."""
+    tidy = reconciliation.tidy_entries(profiles_of(spark, sf)).select("doc_id", F.posexplode("experiences").alias("entry", "e"))
+    return tidy.select("doc_id", "entry", F.array_join("e.achievements", "|").alias("achievements"), F.array_join("e.description", "|").alias("description"))
+
+
+@query(f"""WITH {_JOBS}, d AS (SELECT DISTINCT doc_id FROM j) SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'VERIFIED' ELSE 'EVIDENCE_NOT_GROUNDED' END AS reason_code, doc_id % 3 = 0 AS kept, CASE WHEN doc_id % 3 = 1 THEN 0 ELSE 1 END AS "references" FROM d""")
+def project_validation(spark, sf):
+    """Projects with a good reference, with one that their block does not hold, and with none."""
+    seen = reconciliation.validate_projects(document.with_blocks(profiles_of(spark, sf), blocks_of(spark, sf)))
+    rows = seen.select("doc_id", F.explode("project_verdicts").alias("v"))
+    return rows.select("doc_id", "v.reason_code", (F.col("v.tier") > 0).alias("kept"), "v.references")
+
+
+@query(f"""WITH {_BLOCKS}, m AS (SELECT doc_id, o, text, CASE WHEN o >= {_LAST} THEN 'project' WHEN o >= 2 AND doc_id % 10 <> 0 THEN 'work' END AS s FROM b)
+SELECT doc_id, CAST(round((15 * CAST(bool_or(text = 'Robin Example' OR text IN ('WORK EXPERIENCE', 'Role withheld')) AS INTEGER) * 100 + 20 * 100 + 25 * CAST(bool_or(s IS NOT NULL) AS INTEGER) * 100 + 0) / (15 + 15 + 10 + 20 + 25 + 5), 2) AS DOUBLE) AS completeness_score FROM m GROUP BY doc_id""")
+def completeness_scores(spark, sf):
+    found = features.completeness(features.document_features(blocks_of(spark, sf), taxonomy.skill_table(spark)))
+    return found.select("doc_id", F.round("completeness_score", 6).alias("completeness_score"))

@@ -16,9 +16,7 @@ def plain(text):
     if text is None:
         return None
     v = re.sub("\r\n?", "\n", unicodedata.normalize("NFC", text)).translate({ord(c): "-" for c in T.BULLETS})
-    part = "[A-Za-z0-9-]+"
-    for _ in range(T.LABELS):
-        v = re.sub(rf"([A-Za-z0-9._%+-]+){S}*@{S}*((?:{part}\.)*{part}){S}*\.{S}*({part})", r"\1@\2.\3", v)
+    v = re.sub(r"([A-Za-z0-9._%+-]+)\s*@\s*([A-Za-z0-9-]+(?:\s*\.\s*[A-Za-z0-9-]+)+)", lambda m: f"{m[1]}@{re.sub(r'\s+', '', m[2])}", v)
     v = re.sub(rf"(?i)\bhttps{S}*:{S}*/{S}*/{S}*", "https://", v)
     v = re.sub(rf"(?i)\bhttp{S}*:{S}*/{S}*/{S}*", "http://", v)
     v = re.sub(rf"(?i)\bwww{S}*\.{S}*", "www.", v)
