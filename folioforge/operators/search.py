@@ -8,39 +8,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioforge.functions.vectors import cosine
+from folioforge.functions.vectors import dot, l2_normalize
 
-#: Queries that are asked in one pass over the vectors: a bounded broadcast.
+#: Queries that go out to every task as they are; more meet the vectors in cells.
 QUERIES_AT_ONCE = 256
+#: Cells that vectors are dealt to by hash when there are many queries; the queries are copied to each, the vectors to one.
+CELLS = 200
 
 
-def top_matches(query: DataFrame, vectors: DataFrame, *, id_col: str, vector_col: str, k: int, query_id: str | None = None) -> DataFrame:
+def top_matches(query: DataFrame, vectors: DataFrame, *, id_col: str, vector_col: str, k: int, query_id: str | None = None, cells: int = CELLS) -> DataFrame:
     """(id, similarity, rank): the k nearest of `vectors` by cosine; ties by id.
 
     Without `query_id` the query is one vector, and more are an error; with it every row of `query` is asked, and the result
-    has its id first. Queries of the same id are one, the smallest vector. Queries go out in groups of bounded size, chosen by a hash.
+    has its id first. Queries of the same id are one, the smallest vector; null and zero vectors match nothing. One plan and one
+    scan of the vectors, however many queries there are: a few are broadcast, many are joined on cells. Every task keeps
+    its k best of a query before anything is shuffled.
     """
     if k < 1:
         raise ValueError("k has to be 1 at least")
     if query_id is None:
         if len(query.limit(2).collect()) > 1:
             raise ValueError("several queries need query_id")
-        asked = query.select(F.lit(0).alias("_id"), F.col(vector_col).cast("array<double>").alias("_q"))
-        groups = 1
+        asked, few = query.select(F.lit(0).alias("_id"), l2_normalize(F.col(vector_col).cast("array<double>")).alias("_q")), True
     else:
-        asked = query.groupBy(F.col(query_id).alias("_id")).agg(F.min(F.col(vector_col).cast("array<double>")).alias("_q"))
-        groups = max(1, -(-asked.count() // QUERIES_AT_ONCE))
-    found = None
-    for g in range(groups):
-        some = asked.where(F.pmod(F.xxhash64("_id"), F.lit(groups)) == g) if groups > 1 else asked
-        scored = vectors.select(id_col, F.col(vector_col).cast("array<double>").alias("_v")).crossJoin(F.broadcast(some)).withColumn("similarity", cosine(F.col("_v"), F.col("_q"))).where("similarity IS NOT NULL").select("_id", id_col, "similarity")
-        found = scored if found is None else found.unionByName(scored)
-    rank = F.row_number().over(Window.partitionBy("_id").orderBy(F.desc("similarity"), id_col))
-    out = found.withColumn("rank", rank).where(F.col("rank") <= k)
-    return out.drop("_id") if query_id is None else out.select(F.col("_id").alias("query_id"), id_col, "similarity", "rank")
+        asked = query.groupBy(F.col(query_id).alias("_id")).agg(l2_normalize(F.min(F.col(vector_col).cast("array<double>"))).alias("_q"))
+        few = len(asked.select("_id").limit(QUERIES_AT_ONCE + 1).collect()) <= QUERIES_AT_ONCE
+    held = vectors.select(F.col(id_col).alias("_vid"), l2_normalize(F.col(vector_col).cast("array<double>")).alias("_v"))  # norms once, not for each pair
+    if few:
+        met = held.crossJoin(F.broadcast(asked))
+    else:
+        dealt = asked.withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+        met = held.withColumn("_cell", F.pmod(F.xxhash64("_vid"), F.lit(cells)).cast("int")).join(dealt.hint("merge"), "_cell")
+    scored = met.select("_id", "_vid", F.when(F.size("_v") == F.size("_q"), dot(F.col("_v"), F.col("_q"))).alias("similarity")).where("similarity IS NOT NULL")
+    rank = F.row_number().over(Window.partitionBy("_id").orderBy(F.desc("similarity"), "_vid"))
+    out = scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    best = (F.col("_vid").alias(id_col), "similarity", "rank")
+    return out.select(*best) if query_id is None else out.select(F.col("_id").alias("query_id"), *best)
 
 
 def without_embedding(docs: DataFrame, vectors: DataFrame, *, doc: str, vec: str) -> DataFrame:
+    """`docs` that no row of `vectors` names; a null name has no vector, repeated rows stay, an empty table leaves all."""
     return docs.join(vectors.select(F.col(vec).alias(doc)), doc, "left_anti")
 
 

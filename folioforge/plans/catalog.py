@@ -236,6 +236,15 @@ def embedding_topk(spark, sf):
     return search.top_matches(vectors.where("vec_id = 0"), vectors, id_col="vec_id", vector_col="embedding", k=10).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS sim FROM embeddings, q)
+SELECT query_id, vec_id, round(sim, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
+def embedding_topk_many(spark, sf):
+    """Every hundredth vector asks all of them at once."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = vectors.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    return search.top_matches(asked, vectors, id_col="vec_id", vector_col="embedding", k=5, query_id="query_id", cells=16).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def embedding_backfill(spark, sf):
     return search.without_embedding(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "embeddings"), doc="doc_id", vec="vec_id")
