@@ -281,4 +281,4 @@ def token_reduction(spark, sf):
     return sums.select("doc_id", reports.reduction(F.col("a"), F.col("b")).alias("saved_percent"))
 
 
-from folioforge.plans import answers, deliveries, golden, resumes  # noqa: E402, F401  (their queries register themselves)
+from folioforge.plans import answers, deliveries, golden, recovery, resumes  # noqa: E402, F401  (their queries register themselves)
