@@ -7,8 +7,6 @@ own rows at random and deals that many, rows go to their shards, and each shard
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,28 +17,38 @@ LOCAL = (1 << 33) - 1
 
 
 def _hypergeometric(g: np.random.Generator, good: int, bad: int, drawn: int) -> int:
-    """How many of `drawn` balls are good. Populations beyond numpy's limit: outward from the mode by the ratios of
-    neighbouring probabilities, which takes a few standard deviations' worth of steps."""
+    """How many of `drawn` balls are good. Populations beyond numpy's limit: by the weights of `_weights`."""
     if good < 10**9 and bad < 10**9:
         return int(g.hypergeometric(good, bad, drawn))
+    at, up, down = _weights(good, bad, drawn)
+    u = g.random() * (1 + up.sum() + down.sum()) - 1
+    if u < 0:
+        return at
+    if u < up.sum():
+        return at + 1 + int(np.searchsorted(np.cumsum(up), u, side="right"))
+    return at - 1 - min(int(np.searchsorted(np.cumsum(down), u - up.sum(), side="right")), len(down) - 1)
+
+
+def _weights(good: int, bad: int, drawn: int, step: int = 1 << 12) -> tuple[int, np.ndarray, np.ndarray]:
+    """The mode, and the weights above and below it, from ratios of neighbouring probabilities alone, the mode weighing 1.
+
+    No logarithm of a factorial takes part, whose rounding would grow with the population. Weights end where what is left is
+    less than rounding, some standard deviations out, and these are bounded by the number drawn.
+    """
     lo, hi = max(0, drawn - bad), min(drawn, good)
     at = min(hi, max(lo, (drawn + 1) * (good + 1) // (good + bad + 2)))
-    lg = math.lgamma
-    choose = lambda n, k: lg(n + 1) - lg(k + 1) - lg(n - k + 1)
-    up = down = math.exp(choose(good, at) + choose(bad, drawn - at) - choose(good + bad, drawn))
-    u, i, j = g.random() - up, at, at
-    while u > 0 and (i < hi or j > lo):
-        if i < hi:
-            up *= (good - i) / (i + 1) * (drawn - i) / (bad - drawn + i + 1)
-            i, u = i + 1, u - up
-            if u <= 0:
-                return i
-        if j > lo:
-            down *= j / (good - j + 1) * (bad - drawn + j) / (drawn - j + 1)
-            j, u = j - 1, u - down
-            if u <= 0:
-                return j
-    return at
+
+    def side(ratio, room: int) -> np.ndarray:
+        parts, last, start = [], 1.0, 0
+        while start < room and last > 1e-25:
+            i = np.arange(start, min(start + step, room), dtype=np.float64)
+            parts.append(last * np.cumprod(ratio(i)))
+            last, start = float(parts[-1][-1]), start + step
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    up = side(lambda i: (good - at - i) / (at + i + 1) * ((drawn - at - i) / (bad - drawn + at + i + 1)), hi - at)
+    down = side(lambda i: (at - i) / (good - at + i + 1) * ((bad - drawn + at - i) / (drawn - at + i + 1)), at - lo)
+    return at, up, down
 
 
 def communication_matrix(sizes: list[int], shards: int, seed: int) -> np.ndarray:
