@@ -55,3 +55,36 @@ def funnel(report: DataFrame, stages: list[str]) -> DataFrame:
     rows = one.withColumn("place", F.element_at(at, F.col("stage")))
     first = rows.where("place = 1").select(F.col("n_rows").alias("_first"))
     return rows.crossJoin(F.broadcast(first)).select("place", "stage", "n_rows", F.when(F.col("_first") > 0, F.col("n_rows") / F.col("_first")).otherwise(0.0).alias("share"))  # one row
+
+
+MANIFEST = "seq long, source string, repeat int, arm string, place int, stage string, seconds double, n_rows long, error string"
+
+
+def benchmark(spark: SparkSession, runs: DataFrame, arms: dict[str, Callable[[str, Meter], DataFrame]], write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Measured runs, one after the other: `runs` (seq, source, repeat, arm; see reports.interleaved) as a manifest with a row for
+    each stage of each run, and one without a stage for a run that failed.
+
+    An arm takes a source and a meter, whose `stage` it has to write its tables with. Runs stand in a row, so that none takes
+    machines from another; the plan of a benchmark is small.
+    """
+    rows = []
+    for r in runs.orderBy("seq").toLocalIterator():
+        meter = Meter(lambda df, name, r=r: write(df, f"run{r['seq']}/{name}"))
+        error = None
+        try:
+            meter.stage(arms[r["arm"]](r["source"], meter), "total")
+        except Exception as e:
+            error = type(e).__name__
+        head = (r["seq"], r["source"], r["repeat"], r["arm"])
+        rows += [(*head, k, name, took, n, None) for k, (name, took, n, _) in enumerate(meter.taken, 1)]
+        if error:
+            rows.append((*head, None, None, None, None, error))
+    return spark.createDataFrame(rows, MANIFEST)
+
+
+def compared(manifest: DataFrame) -> DataFrame:
+    """(arm, stage, runs, failed, median_seconds, most_seconds, rows) of a manifest; a stage that a run wrote twice counts as its sum."""
+    failed = manifest.groupBy("arm").agg(F.count("error").alias("failed"))
+    one = manifest.where("stage IS NOT NULL").groupBy("arm", "stage", "seq").agg(F.sum("seconds").alias("seconds"), F.max("n_rows").alias("n_rows"))
+    out = one.groupBy("arm", "stage").agg(F.count("*").alias("runs"), F.median("seconds").alias("median_seconds"), F.max("seconds").alias("most_seconds"), F.sum("n_rows").alias("rows"))
+    return out.join(failed, "arm").select("arm", "stage", "runs", "failed", "median_seconds", "most_seconds", "rows")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,9 +54,15 @@ def send(rows: DataFrame, make: Callable[[], Sender], *, parallel: int = 4) -> D
 
 
 def call_back(stream: DataFrame, process: Callable[[DataFrame], DataFrame], make: Callable[[], Sender], *, log: str, checkpoint: str) -> StreamingQuery:
-    """Run `process` (documents to (doc_id, step, body)) on each micro-batch, send what it gives, and keep what became of it under log/batch=<number>."""
+    """Run `process` (documents to (doc_id, step, body)) on each micro-batch and send what it gives through an outbox at `log`.
+
+    A batch that is repeated after a failure puts nothing again and sends only what is not confirmed; what failed is tried again
+    with a later batch, once its wait is over. What became of each attempt is in `log`/log (see outbox).
+    """
+    from . import outbox
 
     def each(batch: DataFrame, number: int) -> None:
-        send(process(batch), make).write.mode("overwrite").parquet(f"{log}/batch={number}")
+        outbox.put(process(batch), log)
+        outbox.deliver(batch.sparkSession, log, make, now=datetime.now(UTC))
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable, Iterator
-from datetime import datetime
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +51,11 @@ def due(messages_: DataFrame, log: DataFrame, now: Column, *, most: int = MOST,
     return rows.where(ready).select(*messages_.columns, (F.coalesce("tries", F.lit(0)) + 1).cast("int").alias("attempt"))
 
 
+def moment(now: datetime) -> Column:
+    """A point in time, whatever zones the driver and the session are in; one without a zone is in UTC."""
+    return F.timestamp_micros(F.lit(int((now if now.tzinfo else now.replace(tzinfo=UTC)).timestamp() * 1_000_000)))
+
+
 def put(rows: DataFrame, box: str) -> None:
     """Adds the messages of `rows` that the box does not hold yet."""
     spark, new = rows.sparkSession, messages(rows)
@@ -68,7 +73,7 @@ def log_of(spark: SparkSession, box: str) -> DataFrame:
     return _read(spark, f"{box}/log", LOG)
 
 
-def _sent(rows: DataFrame, make: Callable[[], Sender], now: datetime) -> DataFrame:
+def _sent(rows: DataFrame, make: Callable[[], Sender], now: Column) -> DataFrame:
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,9 +86,9 @@ def _sent(rows: DataFrame, make: Callable[[], Sender], now: datetime) -> DataFra
                     errors.append(None)
                 except Exception as e:
                     errors.append(type(e).__name__)
-            yield pd.DataFrame({"message_id": b["message_id"], "attempt": b["attempt"], "sent": [e is None for e in errors], "error": errors, "at": now})
+            yield pd.DataFrame({"message_id": b["message_id"], "attempt": b["attempt"], "sent": [e is None for e in errors], "error": errors})
 
-    return rows.mapInPandas(run, LOG)
+    return rows.mapInPandas(run, LOG.rsplit(",", 1)[0]).withColumn("at", now)
 
 
 def deliver(spark: SparkSession, box: str, make: Callable[[], Sender], *, now: datetime, per_round: int = ROUND, per_task: int = TASK, most: int = MOST, wait: int = WAIT, longest: int = LONGEST) -> int:
@@ -94,14 +99,14 @@ def deliver(spark: SparkSession, box: str, make: Callable[[], Sender], *, now: d
     """
     held = _read(spark, f"{box}/messages", "message_id string, doc_id string, step string, body string")
     path = f"{box}/due/{uuid.uuid4().hex}"
-    due(held, log_of(spark, box), F.lit(now), most=most, wait=wait, longest=longest).write.parquet(path)
+    due(held, log_of(spark, box), moment(now), most=most, wait=wait, longest=longest).write.parquet(path)
     rows = spark.read.parquet(path)
     total = rows.count()
     rounds = max(1, math.ceil(total / per_round))
     for k in range(rounds if total else 0):
         mine = rows.where(F.pmod(F.xxhash64("message_id"), F.lit(rounds)) == k)
         tasks = max(1, math.ceil(min(total, per_round) / per_task))
-        _sent(mine.repartition(tasks, F.xxhash64(F.lit("task"), "message_id")), make, now).write.mode("append").parquet(f"{box}/log")
+        _sent(mine.repartition(tasks, F.xxhash64(F.lit("task"), "message_id")), make, moment(now)).write.mode("append").parquet(f"{box}/log")
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     return total

@@ -334,7 +334,7 @@ def test_callbacks(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "land"))
     stream = ingest.read_landing(spark, str(tmp_path / "land"), docs.schema)
     callbacks.call_back(stream, lambda d: d.select("doc_id", F.lit("extracted").alias("step"), F.col("text").alias("body")), make, log=str(tmp_path / "log"), checkpoint=str(tmp_path / "ck")).awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "log")).where("sent").count() == 4
+    assert spark.read.parquet(str(tmp_path / "log" / "log")).where("sent").count() == 4
 
 
 def docx(text):

@@ -68,6 +68,23 @@ def test_stages_are_counted_while_they_are_written(spark):
     assert [(r.stage, r.n_rows, r.share) for r in measure.funnel(meter.report(spark), ["all", "even", "none"]).orderBy("place").collect()] == [("all", 40, 1.0), ("even", 20, 0.5), ("none", 0, 0.0)]
 
 
+def test_a_benchmark_is_measured(spark):
+    def good(source, meter):
+        rows = meter.stage(spark.range(int(source)), "read")
+        return meter.stage(rows.where("id % 2 = 0"), "kept")
+
+    def bad(source, meter):
+        meter.stage(spark.range(3), "read")
+        raise KeyError(source)
+
+    plan = reports.interleaved(spark.createDataFrame([("10",), ("20",)], "source string"), repeats=2, arms=("good", "bad"))
+    manifest = measure.benchmark(spark, plan, {"good": good, "bad": bad}, materialize)
+    assert manifest.groupBy("seq").count().count() == 8 and [r.seq for r in manifest.where("arm = 'good' AND stage = 'read'").orderBy("seq").collect()] == [1, 4, 5, 8]
+    got = {(r.arm, r.stage): (r.runs, r.failed, r.rows) for r in measure.compared(manifest).collect()}
+    assert got == {("good", "read"): (4, 0, 60), ("good", "kept"): (4, 0, 30), ("good", "total"): (4, 0, 30), ("bad", "read"): (4, 4, 12)}
+    assert all(r.median_seconds > 0 and r.most_seconds >= r.median_seconds for r in measure.compared(manifest).collect())
+
+
 def test_captures_are_dropped_by_the_day(spark, tmp_path):
     path = str(tmp_path / "captures")
     for day, n in (("2024-01-01 10:00:00", 3), ("2024-01-02 10:00:00", 4)):
