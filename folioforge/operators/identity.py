@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioforge.functions.text import decomposed, strip
+from folioforge.functions.text import bind, decomposed, strip
 
 from .reconciliation import NO_NAME
 
@@ -33,9 +33,8 @@ def plain(text: Column) -> Column:
 def as_name(text: Column) -> Column:
     """Two to five words of letters, "Last, First" turned round; null for anything else."""
     v = F.regexp_replace(strip(text), r"(?U)\s+", " ")
-    parts = F.split(v, ",")
-    v = F.when(F.size(parts) == 2, strip(F.concat(strip(parts[1]), F.lit(" "), strip(parts[0])))).otherwise(v)
-    return F.when(F.regexp_like(v, F.lit(NAME)), v)
+    turned = bind(F.split(v, ","), lambda parts: F.when(F.size(parts) == 2, strip(F.concat(strip(parts[1]), F.lit(" "), strip(parts[0])))).otherwise(F.array_join(parts, ",")))
+    return bind(turned, lambda x: F.when(F.regexp_like(x, F.lit(NAME)), x))
 
 
 def from_file_name(path: Column) -> Column:
@@ -49,15 +48,16 @@ def from_file_name(path: Column) -> Column:
     after = lambda ws, bad: F.coalesce(F.array_min(F.filter(F.transform(ws, lambda w, i: F.when(~bad(w), i + 1)), lambda i: i.isNotNull())), F.size(ws) + 1)
 
     def dropped(ws: Column, bad) -> Column:
-        return F.when(F.size(ws) > 0, F.slice(ws, after(ws, bad), F.size(ws))).otherwise(ws)
+        return bind(ws, lambda x: F.when(F.size(x) > 0, F.slice(x, after(x, bad), F.size(x))).otherwise(x))
 
-    kept = dropped(words, noise)
-    kept = F.reverse(dropped(F.reverse(kept), lambda w: noise(w) | F.regexp_like(w, F.lit(VERSION))))
-    role = F.array_position(F.transform(kept, lambda w: F.regexp_like(F.lower(w), F.lit(rf"^(?:{ROLES})$"))), True)
     trade = lambda w: F.regexp_like(F.lower(w), F.lit(rf"^(?:{MODIFIERS})$"))
-    cut = F.reverse(dropped(F.reverse(F.slice(kept, F.lit(1), F.greatest(role - 1, F.lit(0)).cast("int"))), trade))
-    name = as_name(F.array_join(F.when(role > 0, cut).otherwise(kept), " "))
-    return F.when(~F.regexp_like(stem, F.lit("(?i)^[0-9a-f]{12,}$")) & ~F.regexp_like(name, F.lit(NO_NAME)), name)
+
+    def before_role(kept: Column) -> Column:
+        role = F.array_position(F.transform(kept, lambda w: F.regexp_like(F.lower(w), F.lit(rf"^(?:{ROLES})$"))), True)
+        return bind(role, lambda r: F.when(r > 0, F.reverse(dropped(F.reverse(F.slice(kept, F.lit(1), F.greatest(r - 1, F.lit(0)).cast("int"))), trade))).otherwise(kept))
+
+    kept = F.reverse(dropped(F.reverse(dropped(words, noise)), lambda w: noise(w) | F.regexp_like(w, F.lit(VERSION))))
+    return bind(F.array_join(bind(kept, before_role), " "), lambda told: bind(as_name(told), lambda name: F.when(~F.regexp_like(stem, F.lit("(?i)^[0-9a-f]{12,}$")) & ~F.regexp_like(name, F.lit(NO_NAME)), name)))
 
 
 def flip(name: Column) -> Column:
