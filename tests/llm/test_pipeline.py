@@ -62,7 +62,7 @@ def test_stages(spark):
 def test_run_and_registry(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_duplicates", "packing"]
-    assert sorted(registry.QUERIES) == sorted(f"op{n}_{x}" for n, x in enumerate("toxicity simhash warc bpe topk licenses quality packing urlfilter sharding".split(), 1))
+    assert sorted(registry.QUERIES) == sorted(f"op{n}_{x}" for n, x in enumerate("toxicity simhash warc bpe topk licenses quality packing urlfilter sharding pii fim trie".split(), 1))
 
 
 def test_similar_pairs_by_their_shingles(spark):
