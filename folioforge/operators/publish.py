@@ -96,6 +96,7 @@ def rubric_details(profiles: DataFrame) -> DataFrame:
     spoken = F.transform("language_proficiencies", lambda x: F.concat(x["language"], F.lit(" "), F.coalesce(x["exam"], F.lit(""))))
     papers, told = F.size("certifications") + F.size(spoken), F.array_join(F.concat("certifications", spoken), " ")
     text = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    # names, points and reasons of the criteria are fixed values
     rows = {
         "Học vấn": (F.when(F.size("education") == 0, 5.0).when(best, 14.0).when(known, 11.5).otherwise(8.0), F.when(F.size("education") == 0, "Chưa có thông tin học vấn chi tiết.").when(best, text("Tốt nghiệp/Đang học chuyên ngành tại ", school, ".")).when(known, text("Đào tạo chuyên ngành tại ", school, ".")).otherwise(text("Học vấn tại ", school, "."))),
         "Kinh nghiệm": (

@@ -68,7 +68,7 @@ def test_reconcile(spark):
     e = r.experiences[0]
     assert (e.company, e.location, e.description, e.achievements) == ("Acme", None, ["kept calm"], ["Reduced cost by 30%"]) and r.issues == ["AMBIGUOUS_ENTRY_ATTACHMENT"]
     assert r.projects[0].start_date is None and [(s.institution, s.field_of_study) for s in r.education] == [("Town University", "Applied Physics")]
-    assert {s.canonical_name: s.evidence_types for s in r.skills} == {"Python": ["work_experience"], "Rust": ["project"]} or "Python" in {s.canonical_name for s in r.skills}
+    assert {s.canonical_name: s.evidence_types for s in r.skills} == {"Python": ["work_experience"]}
     assert [(d.kind, d.tier, d.reason_code) for d in r.dispositions] == [("experience", 1, "VERIFIED"), ("project", 1, "VERIFIED")]
     bad = reconciled(spark, LINES, experiences=[job("Astronaut", "Nasa")], projects=[tracer])
     assert bad.validation_status == "manual_review" and {"UNSUPPORTED_EXPERIENCE_CLAIM", "MISSING_EXPECTED_SECTION_ENTITIES"} <= set(bad.issues)
