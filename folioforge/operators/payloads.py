@@ -132,7 +132,7 @@ def one_text(v: Column) -> Column:
         texts = F.filter(F.transform(F.map_values(m), told), lambda t: t != "")
         return F.coalesce(*(F.nullif(told(field(m, k)), F.lit("")) for k in TEXT_KEYS), F.get(texts, F.lit(0)))
 
-    return F.when(kind(v) == "STRING", told(v)).when(kind(v) != "VOID", F.coalesce(bind(fields(v), of), F.to_json(v)))
+    return F.when(kind(v) == "STRING", told(v)).when(~F.is_variant_null(v), F.coalesce(bind(fields(v), of), F.to_json(v)))
 
 
 def strings(v: Column) -> Column:
@@ -193,7 +193,7 @@ def entity(of: str, v: Column) -> Column:
         if of == "projects":
             url = field(r, "url")
             first = F.try_variant_get(F.get(items(url), F.lit(0)), "$", "string")
-            empty = (kind(url) == "VOID") | (told(url) == "") | (F.size(items(url)) == 0)
+            empty = F.is_variant_null(url) | (told(url) == "") | (F.size(items(url)) == 0)
             new["url"] = F.when(F.coalesce(empty, F.lit(False)), url).otherwise(F.when(items(url).isNotNull(), first).otherwise(one_text(url)).cast("variant"))
         new["gpa"] = F.when(F.map_contains_key(r, F.lit("gpa")), F.coalesce(F.to_variant_object(grade(field(r, "gpa"))), F.when(items(field(r, "gpa")).isNotNull(), field(r, "gpa")), none()))
         new["evidence"] = F.when(F.map_contains_key(r, F.lit("evidence")), F.to_variant_object(evidence(field(r, "evidence"))))
@@ -220,7 +220,7 @@ def skill(v: Column) -> Column:
 
 def payload(m: Column) -> Column:
     """A payload's fields repaired; collections that are no lists stay as they are."""
-    whole = lambda n, then: F.when(items(field(m, n)).isNotNull(), F.to_variant_object(F.filter(F.transform(items(field(m, n)), then), lambda x: x.isNotNull() & (kind(x) != "VOID"))))
+    whole = lambda n, then: F.when(items(field(m, n)).isNotNull(), F.to_variant_object(F.filter(F.transform(items(field(m, n)), then), lambda x: x.isNotNull() & ~F.is_variant_null(x))))
     new = {n: whole(n, _entity_of(n)) for n in NAMES}
     new["skills"] = whole("skills", lambda x: skill(x))
     for n in ("languages", "certifications", "urls"):
@@ -289,7 +289,7 @@ def counts(payload_: Column) -> Column:
     m = fields(payload_)
 
     def of(n: str) -> Column:
-        kept = F.filter(F.coalesce(items(field(m, n)), F.array().cast(LIST)), lambda e: kind(e) != "VOID")
+        kept = F.filter(F.coalesce(items(field(m, n)), F.array().cast(LIST)), lambda e: ~F.is_variant_null(e))
         held = F.transform(kept, lambda e: F.coalesce(F.size(evidence(field(fields(e), "evidence"))), F.lit(0)))
         return F.struct(F.size(held).alias("entities"), F.size(F.filter(held, lambda n: n > 0)).alias("with_evidence"), F.aggregate(held, F.lit(0), lambda a, n: a + n).alias("references"))
 
