@@ -152,8 +152,8 @@ def evidence(v: Column) -> Column:
 # ---- entries
 
 
-def _dates(r: Column) -> dict[str, Column]:
-    """startDate, endDate and isCurrent of an entry's fields; null for a field that it does not get."""
+def _dates(r: Column) -> Column:
+    """startDate, endDate and isCurrent of an entry's fields, as a struct; null for a field that it does not get."""
     start, end = field(r, "startDate"), field(r, "endDate")
     says = lambda v: F.coalesce(F.regexp_like(told(v), F.lit(PRESENT)), F.lit(False))
     yes = F.lit(True).cast("variant")
@@ -169,8 +169,7 @@ def _dates(r: Column) -> dict[str, Column]:
         turned = truly(x["start"]) & truly(ends) & F.coalesce(b < a, F.lit(False))
         return F.struct(F.when(turned, ends).otherwise(x["start"]).alias("startDate"), F.when(turned, x["start"]).otherwise(ends).alias("endDate"), x["current"].alias("isCurrent"))
 
-    done = bind(F.struct(day(start, False).alias("start"), day(end, True).alias("end"), current.alias("current")), settled)
-    return {n: done[n] for n in ("startDate", "endDate", "isCurrent")}
+    return bind(F.struct(day(start, False).alias("start"), day(end, True).alias("end"), current.alias("current")), settled)
 
 
 def entity(of: str, v: Column) -> Column:
@@ -197,10 +196,14 @@ def entity(of: str, v: Column) -> Column:
             new["url"] = F.when(F.coalesce(empty, F.lit(False)), url).otherwise(F.when(items(url).isNotNull(), first).otherwise(one_text(url)).cast("variant"))
         new["gpa"] = F.when(F.map_contains_key(r, F.lit("gpa")), F.coalesce(F.to_variant_object(grade(field(r, "gpa"))), F.when(items(field(r, "gpa")).isNotNull(), field(r, "gpa")), none()))
         new["evidence"] = F.when(F.map_contains_key(r, F.lit("evidence")), F.to_variant_object(evidence(field(r, "evidence"))))
-        new |= _dates(r)
-        entries = F.filter(F.array(*(F.struct(F.lit(n).alias("key"), c.alias("value")) for n, c in new.items())), lambda e: e["value"].isNotNull())
-        gone = [*DROPPED[of], *new, *FLAGS]
-        return F.to_variant_object(F.map_concat(F.map_filter(r, lambda k, _: ~k.isin(gone)), F.map_from_entries(entries)))
+        dated = ("startDate", "endDate", "isCurrent")
+
+        def joined(d: Column) -> Column:
+            every = new | {n: d[n] for n in dated}
+            entries = F.filter(F.array(*(F.struct(F.lit(n).alias("key"), c.alias("value")) for n, c in every.items())), lambda e: e["value"].isNotNull())
+            return F.to_variant_object(F.map_concat(F.map_filter(r, lambda k, _: ~k.isin([*DROPPED[of], *every, *FLAGS])), F.map_from_entries(entries)))
+
+        return bind(_dates(r), joined)
 
     return F.coalesce(bind(fields(v), lambda o: bind(renamed(o, NAMES[of]), lambda r: F.when(o.isNotNull(), rebuilt(o, r)))), v)
 
