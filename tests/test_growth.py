@@ -28,3 +28,11 @@ def test_all_ways_to_meet_spellings_agree(spark, monkeypatch):
         monkeypatch.setattr(taxonomy, "IN_PLAN", in_plan)
         monkeypatch.setattr(taxonomy, "SMALL", small)
         assert found() == first
+
+
+def test_equal_intervals_are_one_island(spark):
+    from folioforge.operators import timeline
+
+    rows = spark.sql("SELECT id % 500 AS k, date_add(DATE '2000-01-01', cast(id div 500 div 3 * 100 AS int)) AS s, date_add(DATE '2000-01-01', cast(id div 500 div 3 * 100 + 30 AS int)) AS e FROM range(0, 6000, 1, 8)")
+    done = timeline.merged_years(rows, key="k", start="s", end="e").drop("years").distinct()
+    assert sorted(tuple(r)[1:] for r in done.collect()) == [(12, 4, 120)] * 500
