@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioforge.functions.text import lines, strip
+from folioforge.functions.text import bind, lines, strip
 
 #: Section headings in English and Vietnamese. Fixed values.
 HEADINGS = {
@@ -33,15 +33,19 @@ def heading_key(line: Column) -> Column:
 
 def heading_kind(line: Column) -> Column:
     """The section that a line opens, or null: a whole alias, else the first alias of four letters or more that begins or ends it."""
-    key = heading_key(line)
-    exact = F.element_at(F.create_map(*(F.lit(x) for pair in ALIASES for x in pair)), key)
     long = [(a, k) for a, k in ALIASES if len(a) >= 4]
     table = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(k).alias("k")) for a, k in long))
-    partly = F.element_at(F.filter(table, lambda t: F.startswith(key, F.concat(t["a"], F.lit(" "))) | F.endswith(key, F.concat(F.lit(" "), t["a"]))), 1)["k"]
-    some = F.regexp_like(key, F.lit("|".join(re.escape(a).replace("\\ ", " ") for a in dict.fromkeys(a for a, _ in long))))  # most lines hold no alias at all
-    # what can be no heading is told by counting its letters, before any pattern runs
+    some = "|".join(re.escape(a).replace("\\ ", " ") for a in dict.fromkeys(a for a, _ in long))
+
+    def opened(key: Column) -> Column:
+        exact = F.element_at(F.create_map(*(F.lit(x) for pair in ALIASES for x in pair)), key)
+        partly = F.element_at(F.filter(table, lambda t: F.startswith(key, F.concat(t["a"], F.lit(" "))) | F.endswith(key, F.concat(F.lit(" "), t["a"]))), 1)["k"]
+        partly = F.when(F.regexp_like(key, F.lit(f"^(?:{some}) | (?:{some})$")), partly)  # most lines hold no alias at all
+        return F.when(F.length(key) <= LONGEST_HEADING, F.coalesce(exact, partly))
+
+    # what can be no heading is told by counting its letters, before any pattern runs; the key is made once
     letters = F.length(F.translate(line, " \t#-–—•|:.)0123456789", ""))
-    return F.when(letters <= LONGEST_HEADING, F.when(F.length(key) <= LONGEST_HEADING, F.coalesce(exact, F.when(some, partly))))
+    return F.when(letters <= LONGEST_HEADING, bind(heading_key(line), opened))
 
 
 def section_lines(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
