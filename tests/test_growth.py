@@ -36,3 +36,17 @@ def test_equal_intervals_are_one_island(spark):
     rows = spark.sql("SELECT id % 500 AS k, date_add(DATE '2000-01-01', cast(id div 500 div 3 * 100 AS int)) AS s, date_add(DATE '2000-01-01', cast(id div 500 div 3 * 100 + 30 AS int)) AS e FROM range(0, 6000, 1, 8)")
     done = timeline.merged_years(rows, key="k", start="s", end="e").drop("years").distinct()
     assert sorted(tuple(r)[1:] for r in done.collect()) == [(12, 4, 120)] * 500
+
+
+def test_many_queries_are_multiplied_in_cells(spark, monkeypatch):
+    from folioforge.operators import search
+
+    monkeypatch.setattr(search, "QUERIES_AT_ONCE", 5)
+    monkeypatch.setattr(search, "BLOCK", 4)
+    vectors = spark.range(60).selectExpr("id", "transform(sequence(0, 4), i -> double((id % 20 * 7 + i * i * 3) % 11 - 5)) AS v")  # each three times
+    found = search.top_matches(vectors.where("id < 9").withColumnRenamed("id", "q"), vectors, id_col="id", vector_col="v", k=3, query_id="q", cells=4)
+    assert "FlatMapCoGroupsInArrow" in plan_of(found)  # not one row for each pair
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {q: [i for i in range(60) if i % 20 % 11 == q][:3] for q in range(9)}
