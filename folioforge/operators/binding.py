@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.functions.text import bind as bind_value
 from folioforge.functions.text import fingerprint
 
 from .document import EVIDENCE, squeezed
@@ -13,14 +14,18 @@ from .evidence import box_overlap
 LEAST_NEEDLE, REACH, SAME_ROW = 5, 4, 0.3
 
 
-def is_title(norm: Column, title: Column, company: Column) -> Column:
-    """Whether a block is the anchor of a role: the title alone, with a digit behind it, or before or behind the company.
+def title_blocks(q: Column) -> Column:
+    """The anchors of a role: blocks that hold the title alone, with a digit behind it, or before or behind the company.
 
     A block that begins with a digit counts too, whatever follows: what is left of it once the title is taken off does.
     """
-    rest = F.when(F.startswith(norm, title), F.substr(norm, F.length(title) + 1)).otherwise(norm)
-    named = (company != "") & (F.startswith(norm, F.concat(company, title)) | F.startswith(norm, F.concat(title, company)))
-    return (F.length(title) >= LEAST_NEEDLE) & ((norm == title) | F.regexp_like(rest, F.lit(r"(?U)^\d")) | named)
+
+    def anchor(b: Column) -> Column:
+        begun = (b["norm"] == q["title"]) | F.regexp_like(F.substr(b["norm"], F.length(q["title"]) + 1), F.lit(r"(?U)^\d"))
+        named = (q["company"] != "") & (F.startswith(b["norm"], q["before"]) | F.startswith(b["norm"], q["behind"]))
+        return F.when(F.startswith(b["norm"], q["title"]), begun).otherwise(b["digit"]) | named
+
+    return F.when(F.length(q["title"]) >= LEAST_NEEDLE, F.filter("_near", anchor)).otherwise(F.slice("_near", 1, 0))
 
 
 def context(t: Column, company: Column, year: Column) -> Column:
@@ -28,17 +33,20 @@ def context(t: Column, company: Column, year: Column) -> Column:
 
     Near is within REACH places on the same page. A signal that the entry does not have counts as given.
     """
-    near = F.filter("blocks", lambda b: (b["norm"] != "") & (b["page_number"] == t["page_number"]) & (F.abs(b["reading_order"] - t["reading_order"]) <= REACH))
-    none = F.slice(near, 1, 0)
+    near = F.filter("_near", lambda b: (F.abs(b["reading_order"] - t["reading_order"]) <= REACH) & (b["page_number"] == t["page_number"]))
+
+    def settled(n: Column) -> Column:
+        none = F.slice(n, 1, 0)
+        more = lambda value: F.when(F.contains(t["norm"], value), none).otherwise(F.filter(n, lambda b: F.contains(b["norm"], value)))
 
-    def found(value: Column) -> Column:
-        return F.when(value == "", none).when(F.contains(t["norm"], value), F.array(t)).otherwise(F.filter(near, lambda b: F.contains(b["norm"], value)))
+        def joined(x: Column) -> Column:
+            ok = F.contains(t["norm"], company) | F.contains(t["norm"], year) | (F.size(x["c"]) > 0) | (F.size(x["y"]) > 0)
+            return F.when(ok, F.concat(F.array(t), x["c"], x["y"])).otherwise(none)
 
-    def more(value: Column) -> Column:
-        return F.when(F.contains(t["norm"], value), none).otherwise(found(value))
+        return bind_value(F.struct(more(company).alias("c"), more(year).alias("y")), joined)
 
-    ok = ((company != "") | (year != "")) & ((company == "") | (F.size(found(company)) > 0) | (year == "") | (F.size(found(year)) > 0))
-    return F.when(ok, F.concat(F.array(t), more(company), more(year))).otherwise(none)
+    # the blocks near are found once, and none are looked for if nothing is known
+    return F.when((company != "") | (year != ""), bind_value(near, settled)).otherwise(F.slice("_near", 1, 0))
 
 
 def same_row(candidate: Column) -> Column:
@@ -58,17 +66,17 @@ def bind(profiles: DataFrame) -> DataFrame:
     with the company or the year near it, and only one such anchor, or only one in whose row they stand. A project needs
     a title that occurs once, or once with its year near it.
     """
-    out = profiles
+    out = profiles.withColumn("_near", F.transform(F.filter("blocks", lambda b: b["norm"] != ""), lambda b: F.struct(*(b[n].alias(n) for n in ("norm", "page_number", "reading_order", "block_id", "text", "y0", "y1")), F.regexp_like(b["norm"], F.lit(r"(?U)^\d")).alias("digit"))))
     for kind, column, title, other in (("experience", "experiences", "job_title", "company"), ("project", "projects", "title", "role")):
         key = lambda e, title=title: squeezed(e[title])
         company = (lambda e: squeezed(e["company"])) if kind == "experience" else (lambda e: F.lit(""))
         year = lambda e: F.coalesce(F.year(e["start_date"]).cast("string"), F.lit(""))
         # what is asked of an entry is made once, not for each block
-        out = out.withColumn("_q", F.transform(column, lambda e: F.struct(key(e).alias("title"), company(e).alias("company"), year(e).alias("year"))))
+        out = out.withColumn("_q", F.transform(F.transform(column, lambda e: F.struct(key(e).alias("title"), company(e).alias("company"), year(e).alias("year"))), lambda q: F.struct(q["title"].alias("title"), q["company"].alias("company"), q["year"].alias("year"), F.concat(q["company"], q["title"]).alias("before"), F.concat(q["title"], q["company"]).alias("behind"))))
         if kind == "experience":
-            anchors = F.transform("_q", lambda q: F.filter("blocks", lambda b: (b["norm"] != "") & is_title(b["norm"], q["title"], q["company"])))
+            anchors = F.transform("_q", title_blocks)
         else:
-            anchors = F.transform("_q", lambda q: F.filter("blocks", lambda b: (F.length(q["title"]) >= LEAST_NEEDLE) & F.contains(b["norm"], q["title"])))
+            anchors = F.transform("_q", lambda q: F.when(F.length(q["title"]) >= LEAST_NEEDLE, F.filter("_near", lambda b: F.contains(b["norm"], q["title"]))).otherwise(F.slice("_near", 1, 0)))
         out = out.withColumn("_a", anchors)
         out = out.withColumn("_c", F.zip_with("_q", "_a", lambda q, a: F.filter(F.transform(a, lambda t: context(t, q["company"], q["year"])), lambda c: F.size(c) > 0)))
         out = out.withColumn("_r", F.transform("_c", lambda c: F.filter(c, same_row)))
@@ -86,4 +94,4 @@ def bind(profiles: DataFrame) -> DataFrame:
         bare = lambda e: F.size(F.coalesce(e["evidence"], F.expr("array()").cast(EVIDENCE))) == 0
         bound = F.zip_with(column, "_b", lambda e, b: e.withField("evidence", F.when(bare(e), b["evidence"]).otherwise(e["evidence"])))
         out = out.withColumn(f"_{kind}", record).withColumn(column, bound).drop("_q", "_a", "_c", "_r", "_n", "_b")
-    return out.withColumn("binding", F.concat("_experience", "_project")).drop("_experience", "_project")
+    return out.withColumn("binding", F.concat("_experience", "_project")).drop("_experience", "_project", "_near")

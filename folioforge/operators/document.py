@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioforge.functions.text import clean, strip
+from folioforge.functions.text import bind, clean, strip
 
 from .sections import heading_kind
 
@@ -70,17 +70,52 @@ def annotate(blocks: DataFrame) -> DataFrame:
     return rows.drop("_opened", "_told", "_last")
 
 
-def bundle(annotated: DataFrame) -> DataFrame:
-    """(doc_id, blocks): the annotated blocks of each document in order, as one array."""
-    boxes = [F.col(c).cast("double").alias(c) if c in annotated.columns else F.lit(None).cast("double").alias(c) for c in ("y0", "y1")]
-    one = F.struct(F.col("page_number").cast("int").alias("page_number"), F.col("reading_order").cast("int").alias("reading_order"), "block_id", "block_type", "text", "clean", "low", "norm", "heading", "page_section", "section", "told", *boxes)
-    return annotated.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("blocks"))
+def gathered(blocks: DataFrame) -> DataFrame:
+    """(doc_id, blocks): the blocks of each document in order, as one array, as they are.
+
+    They are dealt to tasks by document before anything is made of them: a small file of many rows is few tasks.
+    """
+    boxes = [F.col(c).cast("double").alias(c) if c in blocks.columns else F.lit(None).cast("double").alias(c) for c in ("y0", "y1")]
+    one = F.struct(F.col("page_number").cast("int").alias("page_number"), F.col("reading_order").cast("int").alias("reading_order"), "block_id", "block_type", "text", *boxes)
+    return blocks.select("doc_id", one.alias("b")).repartition("doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list("b")).alias("blocks"))
+
+
+def annotated(blocks: Column) -> Column:
+    """gathered() blocks with what annotate() adds, in step with the blocks and the headings among them, without a window."""
+
+    def read(b: Column) -> Column:
+        made = lambda c, low: F.struct(*(b[n].alias(n) for n in ("page_number", "reading_order", "block_id", "block_type", "text")), c.alias("clean"), low.alias("low"), squeezed(b["text"]).alias("norm"), heading_kind(b["text"]).alias("heading"), *(b[n].alias(n) for n in ("y0", "y1")))
+        return bind(F.coalesce(clean(b["text"]), F.lit("")), lambda c: bind(F.lower(c), lambda low: made(c, low)))
+
+    def marks(a: Column) -> Column:
+        said = lambda b: F.when(holds(b["low"], RESEARCH_WORDS), "research").when(holds(b["low"], WORK_WORDS), "work_experience")
+        opened = F.transform(a, lambda b, i: F.struct(i.alias("i"), b["page_number"].alias("page_number"), b["heading"].alias("kind")))
+        told = F.transform(a, lambda b, i: F.struct(i.alias("i"), said(b).alias("kind")))
+        return F.struct(a.alias("a"), F.filter(opened, lambda x: x["kind"].isNotNull()).alias("opened"), F.filter(told, lambda x: x["kind"].isNotNull()).alias("told"))
+
+    def placed(m: Column) -> Column:
+        last = lambda found, i: bind(F.filter(found, lambda x: x["i"] <= i), lambda f: F.get(f, F.size(f) - 1))
+
+        def one(b: Column, i: Column) -> Column:
+            return bind(F.struct(last(m["opened"], i).alias("o"), last(m["told"], i).alias("t")), lambda x: F.struct(
+                *(b[n].alias(n) for n in ("page_number", "reading_order", "block_id", "block_type", "text", "clean", "low", "norm", "heading")),
+                F.when(x["o"]["page_number"] == b["page_number"], x["o"]["kind"]).alias("page_section"), x["o"]["kind"].alias("section"), x["t"]["kind"].alias("told"), *(b[n].alias(n) for n in ("y0", "y1")),
+            ))
+
+        return F.transform(m["a"], one)
+
+    return bind(bind(F.transform(blocks, read), marks), placed)
 
 
 def with_blocks(profiles: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Profiles with the blocks of their document; an empty array where there are none."""
-    held = bundle(annotate(blocks))
-    return profiles.join(held, "doc_id", "left").withColumn("blocks", F.coalesce("blocks", F.array().cast(held.schema["blocks"].dataType)))
+    """Profiles with the blocks of their document; an empty array where there are none.
+
+    Blocks meet profiles as they are and are read after that, so that what is shuffled and sorted is small. They are not broadcast,
+    however small: the work that follows would then be done in as many tasks as files of profiles are read in.
+    """
+    held = gathered(blocks)
+    rows = profiles.join(held.hint("merge"), "doc_id", "left")
+    return rows.withColumn("blocks", annotated(F.coalesce("blocks", F.array().cast(held.schema["blocks"].dataType))))
 
 
 def no_evidence() -> Column:

@@ -24,6 +24,11 @@ ALIASES = tuple((a, k) for k, names in HEADINGS.items() for a in names)
 LONGEST_HEADING = 60
 
 
+_WORDS = "|".join(re.escape(a).replace("\\ ", r"\s+") for a in sorted({a for a, _ in ALIASES if a.isascii()}))
+#: What every heading holds: a letter beyond ASCII, or an alias at its beginning or end, but for signs, blanks and numbers.
+_MAY_OPEN = rf"[^\x00-\x7f]|(?i:\A[\s#|:0-9.)-]*+(?:{_WORDS})|\s(?:{_WORDS})[\s#|:-]*+\z)"
+
+
 def heading_key(line: Column) -> Column:
     v = strip(F.lower(line))
     v = strip(F.regexp_replace(v, r"^[#\-–—•|:]+|[#\-–—•|:]+$", ""))
@@ -43,9 +48,9 @@ def heading_kind(line: Column) -> Column:
         partly = F.when(F.regexp_like(key, F.lit(f"^(?:{some}) | (?:{some})$")), partly)  # most lines hold no alias at all
         return F.when(F.length(key) <= LONGEST_HEADING, F.coalesce(exact, partly))
 
-    # what can be no heading is told by counting its letters, before any pattern runs; the key is made once
+    # most lines are told to be no heading by one pattern, others by counting their letters; the key is made once
     letters = F.length(F.translate(line, " \t#-–—•|:.)0123456789", ""))
-    return F.when(letters <= LONGEST_HEADING, bind(heading_key(line), opened))
+    return F.when(F.regexp_like(line, F.lit(_MAY_OPEN)), F.when(letters <= LONGEST_HEADING, bind(heading_key(line), opened)))
 
 
 def section_lines(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from folioforge.storage import materialize
 
 from . import golden
 from .catalog import query, table
-from .resumes import _JOBS, blocks_of, profiles_of
+from .resumes import _JOBS, blocks_of, profiles_of, split
 
 #: A document's education: its heading, then school and study in either order, and what comes after it.
 _LINES = """stack(6, 1, 'Robin Example', 2, CASE WHEN o_orderkey % 4 < 3 THEN 'EDUCATION' ELSE 'Hobbies' END, 3, CASE WHEN o_orderkey % 2 = 0 THEN concat('Example University ', o_custkey) ELSE concat('Graduated in Art ', o_custkey) END,
@@ -36,7 +36,7 @@ def experience_recovery(spark, sf):
     docs = materialize(golden.resumes(spark, sf), "resumes")
     given = document.as_profiles(docs.select("doc_id"))
     done = reconciliation.recover_experiences(document.with_blocks(given, blocks.blocks(docs)))
-    rows = done.select("doc_id", F.posexplode("experiences").alias("entry", "e"))
+    rows = done.select("doc_id", F.posexplode_outer("experiences").alias("entry", "e")).where("e IS NOT NULL")  # see split()
     return rows.select("doc_id", "entry", "e.job_title", "e.company", F.col("e.start_date").cast("string").alias("started"), F.col("e.end_date").cast("string").alias("ended"))
 
 
@@ -48,7 +48,7 @@ def skill_enrichment(spark, sf):
     skill = lambda n: F.struct(F.lit(n).alias("name"), F.lit(n).alias("canonical_name"), F.lit(None).cast("double").alias("years"), F.lit(None).cast("string").alias("level"), F.array().cast("array<string>").alias("evidence"), F.array().cast("array<string>").alias("evidence_types"), F.lit(0.9).alias("confidence"))
     given = profiles_of(spark, sf).withColumn("skills", F.array(skill("python3"), skill("Juggling"), skill("PYTHON")))
     done = reconciliation.enrich_skills(given, blocks_of(spark, sf), taxonomy.skill_table(spark))
-    return done.select("doc_id", F.explode("skills").alias("s")).select("doc_id", F.col("s.canonical_name").alias("canonical"), F.array_join("s.evidence_types", ",").alias("types"))
+    return split(done, "skills", "s").select("doc_id", F.col("s.canonical_name").alias("canonical"), F.array_join("s.evidence_types", ",").alias("types"))
 
 
 #: Two blocks with the title and its year, and the company beside the first, beside the second, between them, nowhere on the sheet, or

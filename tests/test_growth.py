@@ -50,3 +50,29 @@ def test_many_queries_are_multiplied_in_cells(spark, monkeypatch):
     for r in sorted(found.collect(), key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append(r.id)
     assert got == {q: [i for i in range(60) if i % 20 % 11 == q][:3] for q in range(9)}
+
+
+def test_arrays_are_not_made_twice_to_be_split(spark):
+    for name in ("evidence_binding", "experience_validation", "project_validation"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("Filter (size(" in line for line in plan.splitlines()), name
+
+
+def test_blocks_are_read_after_they_are_dealt_to_tasks(spark):
+    for name in ("binding_by_row", "education_recovery"):
+        plan = plan_of(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "Window" not in plan and "Broadcast" not in plan, name
+        assert plan.index("regexp_replace") < plan.index("Exchange") and "regexp" not in plan[plan.index("Exchange") :], name  # the plan is printed from its end
+
+
+def test_blocks_read_in_arrays_are_blocks_read_in_rows(spark):
+    from pyspark.sql import functions as F
+
+    from folioforge.operators import document
+
+    texts = ["Robin", "WORK EXPERIENCE", " Data​  Engineer ", "2. Skills:", "a paper", None, "", "## Học vấn", "kỹ  năng", "x " * 50 + "experience", "My work\texperience --", "12)Projects", "Skillset", "experiences of", "İ skills", "naïve - Languages |"]
+    rows = spark.createDataFrame([(d, 1 + i // 9, f"b{i}", i, "text", texts[(i * d) % len(texts)]) for d in (1, 3, 5) for i in range(16)], "doc_id int, page_number int, block_id string, reading_order int, block_type string, text string")
+    columns = ["page_number", "reading_order", "block_id", "text", "clean", "low", "norm", "heading", "page_section", "section", "told"]
+    a = document.annotate(rows).select("doc_id", *columns)
+    b = document.with_blocks(rows.select("doc_id").distinct(), rows).select("doc_id", F.explode("blocks").alias("b")).select("doc_id", *(f"b.{c}" for c in columns))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and a.where("heading IS NOT NULL").count() == 24
