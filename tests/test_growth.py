@@ -76,3 +76,13 @@ def test_blocks_read_in_arrays_are_blocks_read_in_rows(spark):
     a = document.annotate(rows).select("doc_id", *columns)
     b = document.with_blocks(rows.select("doc_id").distinct(), rows).select("doc_id", F.explode("blocks").alias("b")).select("doc_id", *(f"b.{c}" for c in columns))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and a.where("heading IS NOT NULL").count() == 24
+
+
+def test_skills_of_documents_need_no_sets_and_one_shuffle(spark):
+    from folioforge.operators import features
+
+    rows = spark.sql("SELECT id % 50 AS doc_id, 1 AS page_number, concat('b', id) AS block_id, cast(id AS int) AS reading_order, 'text' AS block_type, CASE id div 50 WHEN 1 THEN 'WORK EXPERIENCE' WHEN 4 THEN 'PROJECTS' ELSE 'Go, Python' END AS text FROM range(300)")
+    found = features.skill_types(rows, taxonomy.skill_table(spark))
+    plan = plan_of(found)
+    assert "collect_set" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert {(r.canonical, tuple(r.types)) for r in found.collect()} == {(c, ("listed", "project", "work_experience")) for c in ("Go", "Python")}
