@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioforge.functions.text import lines, strip
+from folioforge.functions.text import bind, lines, strip
 
-from .sections import section_lines
+from .sections import heading_kind
 
 #: Patterns of dates, schools, degrees, titles and companies. Fixed values.
 PRESENT = "present|current|now|hiện tại"
@@ -33,18 +33,64 @@ def month(value: Column) -> Column:
     return F.try_to_date(F.concat(year, F.lit("-"), F.lpad(F.when(number == "", "1").otherwise(number), 2, "0"), F.lit("-01")))
 
 
-def period(line: Column) -> tuple[Column, Column, Column]:
-    """Start, end (null if current) and whether it is current, of the first range of dates in `line`."""
-    start, end = F.regexp_extract(line, DATE_RANGE, 1), F.regexp_extract(line, DATE_RANGE, 2)
+def period(start: Column, end: Column) -> tuple[Column, Column, Column]:
+    """Start, end (null if current) and whether it is current, of the two sides of a range of dates."""
     current = F.regexp_like(end, F.lit(rf"^(?iu)(?:{PRESENT})$"))
     return month(start), F.when(~current, month(end)), current
 
 
-def _body(docs: DataFrame, section: str) -> DataFrame:
-    """Lines of a section that are not blank, trimmed and numbered anew."""
-    rows = section_lines(docs).where((F.col("section") == section) & F.col("heading").isNull())
-    rows = rows.withColumn("line", strip(F.col("line"), "•-")).where("line <> ''")
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_number")))
+def _bodies(docs: DataFrame, section: str) -> DataFrame:
+    """(doc_id, body): the lines of a section that are not blank and no headings, trimmed, in order; one row per text."""
+
+    def opened(a: Column) -> Column:
+        return F.struct(a.alias("a"), F.filter(F.transform(a, lambda x, i: F.struct(i.alias("i"), heading_kind(x).alias("k"))), lambda h: h["k"].isNotNull()).alias("h"))
+
+    def held(m: Column) -> Column:
+        upto = lambda j: F.coalesce(F.get(m["h"], j + 1)["i"], F.size(m["a"]))
+        parts = F.transform(m["h"], lambda h, j: F.when(h["k"] == section, F.slice(m["a"], h["i"] + 2, upto(j) - h["i"] - 1)))
+        return F.filter(F.transform(F.flatten(F.array_compact(parts)), lambda x: strip(x, "•-")), lambda x: x != "")
+
+    return docs.select("doc_id", bind(bind(lines(F.col("text")), opened), held).alias("body"))
+
+
+#: What roles_of gives for each role.
+ROLE = "struct<entry:int,job_title:string,company:string,start_date:date,end_date:date,is_current:boolean,description:array<string>>"
+
+
+def roles_of(body: Column) -> Column:
+    """An array of ROLE: the roles that the lines of an experience section tell, see roles()."""
+
+    def told(a: Column) -> Column:
+        """One role for each line of dates, from the places of these lines, in the order of the body."""
+
+        def one(at: Column, j: Column) -> Column:
+            following = F.get(a, j + 1)
+            ahead = F.coalesce(F.regexp_like(F.get(body, following - 2), F.lit(TITLE)), F.lit(False)).cast("int")  # two lines are the next role's
+            last = F.when(following.isNull(), F.size(body) - 1).otherwise(following - 2 - ahead)
+            own = F.slice(body, at + 2, F.greatest(last - at, F.lit(0)))
+            return role(F.get(body, at), F.when(at > 0, F.get(body, at - 1)), F.when(at > 1, F.get(body, at - 2)), j + 1, own)
+
+        return F.transform(a, one)
+
+    def role(line: Column, up1: Column, up2: Column, entry: Column, own: Column) -> Column:
+        descriptor = F.coalesce(up1, F.lit("Unknown role"))
+        split, alone = F.regexp_like(descriptor, F.lit(SPLIT)), F.regexp_like(descriptor, F.lit(COMPANY))
+        two = up2.isNotNull() & (F.regexp_like(up2, F.lit(TITLE)) | alone)
+        beside = F.nullif(strip(F.regexp_replace(strip(F.regexp_replace(line, DATE_RANGE, ""), "|•-"), r"(?i)^(?:email|phone|address|contact|github|linkedin)\s*", ""), "|•-"), F.lit(""))
+        pair = lambda title, company: F.struct(title.alias("title"), company.alias("company"))
+        named = F.when(split, pair(F.regexp_extract(descriptor, SPLIT, 1), F.regexp_extract(descriptor, SPLIT, 2))).when(two, pair(up2, descriptor))
+        named = named.when(alone, pair(F.lit("Intern / Developer"), descriptor)).otherwise(pair(descriptor, F.lit(None).cast("string")))
+        # a company on the line of dates counts only where no other is
+        named = bind(named, lambda x: F.when(x["company"].isNull() & F.regexp_like(line, F.lit(COMPANY)) & beside.isNotNull(), pair(F.lit("Intern / Developer"), beside)).otherwise(x))
+        dates = bind(F.struct(F.regexp_extract(line, DATE_RANGE, 1).alias("start"), F.regexp_extract(line, DATE_RANGE, 2).alias("end")), lambda d: F.struct(*(c.alias(n) for n, c in zip(("start", "end", "current"), period(d["start"], d["end"]), strict=True))))
+        return bind(F.struct(named.alias("named"), dates.alias("dates")), lambda x: F.struct(entry.alias("entry"), x["named"]["title"].alias("job_title"), x["named"]["company"].alias("company"), x["dates"]["start"].alias("start_date"), x["dates"]["end"].alias("end_date"), x["dates"]["current"].alias("is_current"), unique(own).alias("description")))
+
+    anchors = F.array_compact(F.transform(body, lambda x, i: F.when(F.regexp_like(x, F.lit(DATE_RANGE)), i)))
+    return bind(anchors, told).cast(f"array<{ROLE}>")
+
+
+def _good(r: Column) -> Column:
+    return F.coalesce(r["start_date"].isNotNull() & (r["is_current"] | (r["end_date"] >= r["start_date"])), F.lit(False))
 
 
 def roles(docs: DataFrame) -> DataFrame:
@@ -53,37 +99,11 @@ def roles(docs: DataFrame) -> DataFrame:
     One row per line with a range of dates. The line before it describes the role ("title | company", "title at company");
     failing that the two lines before are title and company; a company may also stand on the line of dates itself. What follows up to
     the next role is description, its lines with a number achievements. warning: INVALID_TIMELINE for reversed and impossible ranges.
+    A text is read once, within its row: no window, no join, no sort.
     """
-    rows = _body(docs, "experience")
-    by = Window.partitionBy("doc_id").orderBy("n")
-    start, end, current = period(F.col("line"))
-    rows = rows.select("doc_id", "n", "line", F.regexp_like("line", F.lit(DATE_RANGE)).alias("anchor"), F.lag("line", 1).over(by).alias("up1"), F.lag("line", 2).over(by).alias("up2"), F.count("*").over(Window.partitionBy("doc_id")).alias("total"))
-    anchors = rows.where("anchor").withColumn("next", F.lead("n").over(by))
-    descriptor = F.coalesce("up1", F.lit("Unknown role"))
-    split = F.regexp_like(descriptor, F.lit(SPLIT))
-    two = F.col("up2").isNotNull() & (F.regexp_like("up2", F.lit(TITLE)) | F.regexp_like(descriptor, F.lit(COMPANY)))
-    alone = F.regexp_like(descriptor, F.lit(COMPANY))
-    beside = F.nullif(strip(F.regexp_replace(strip(F.regexp_replace("line", DATE_RANGE, ""), "|•-"), r"(?i)^(?:email|phone|address|contact|github|linkedin)\s*", ""), "|•-"), F.lit(""))
-    title = F.when(split, F.regexp_extract(descriptor, SPLIT, 1)).when(two, F.col("up2")).when(alone, F.lit("Intern / Developer")).otherwise(descriptor)
-    company = F.when(split, F.regexp_extract(descriptor, SPLIT, 2)).when(two | alone, descriptor)
-    there = company.isNull() & F.regexp_like("line", F.lit(COMPANY)) & beside.isNotNull()
-    anchors = anchors.select(
-        "doc_id", "n", "next", "total", F.row_number().over(by).alias("entry"),
-        F.when(there, "Intern / Developer").otherwise(title).alias("job_title"), F.when(there, beside).otherwise(company).alias("company"),
-        start.alias("start_date"), end.alias("end_date"), current.alias("is_current"),
-    )
-    ends = rows.select("doc_id", (F.col("n") + 1).alias("before"), F.regexp_like("line", F.lit(TITLE)).alias("titled"))
-    anchors = anchors.join(ends.select("doc_id", (F.col("before") + 1).alias("next"), "titled"), ["doc_id", "next"], "left")
-    last = F.when(F.col("next").isNull(), F.col("total")).otherwise(F.col("next") - 2 - F.coalesce(F.col("titled"), F.lit(False)).cast("int"))
-    anchors = anchors.withColumn("last", last)
-    body = rows.select(F.col("doc_id").alias("_d"), F.col("n").alias("_n"), "line")
-    told = anchors.join(body, (F.col("doc_id") == F.col("_d")) & (F.col("_n") > F.col("n")) & (F.col("_n") <= F.col("last")), "left")
-    keys = ("doc_id", "entry", "job_title", "company", "start_date", "end_date", "is_current")
-    told = told.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("_n", "line")))).alias("_l"))
-    told = told.withColumn("description", unique(F.transform("_l", lambda x: x["line"])))
-    good = F.col("start_date").isNotNull() & (F.col("is_current") | (F.col("end_date") >= F.col("start_date")))
-    measured = F.filter("description", lambda x: F.regexp_like(x, F.lit(MEASURED)))
-    return told.select(*keys, "description", measured.alias("achievements"), F.when(F.col("company").isNotNull(), 0.85).otherwise(0.7).alias("confidence"), F.when(~F.coalesce(good, F.lit(False)), "INVALID_TIMELINE").alias("warning"))
+    rows = _bodies(docs, "experience").select("doc_id", F.explode_outer(bind(F.col("body"), roles_of)).alias("r")).where("r IS NOT NULL")
+    measured = F.filter("r.description", lambda x: F.regexp_like(x, F.lit(MEASURED)))
+    return rows.select("doc_id", "r.*", measured.alias("achievements"), F.when(F.col("r.company").isNotNull(), 0.85).otherwise(0.7).alias("confidence"), F.when(~_good(F.col("r")), "INVALID_TIMELINE").alias("warning"))
 
 
 def unique(values: Column) -> Column:
@@ -96,19 +116,25 @@ def unique(values: Column) -> Column:
 def experiences(docs: DataFrame) -> DataFrame:
     """(doc_id, entry, job_title, company, start_date, end_date, is_current, description): the roles() without a warning, each
     title, company and period once."""
-    same = Window.partitionBy("doc_id", F.lower("job_title"), F.lower(F.coalesce("company", F.lit(""))), "start_date", "end_date").orderBy("entry")
-    rows = roles(docs).where("warning IS NULL").withColumn("_r", F.row_number().over(same)).where("_r = 1")
-    return rows.select("doc_id", "entry", "job_title", "company", "start_date", "end_date", "is_current", F.array_join("description", "\n").alias("description"))
+
+    def once(a: Column) -> Column:
+        same = F.transform(a, lambda r: F.struct(F.lower(r["job_title"]).alias("t"), F.lower(F.coalesce(r["company"], F.lit(""))).alias("c"), r["start_date"].alias("s"), r["end_date"].alias("e")))
+        first = lambda k: F.filter(a, lambda r, i: F.array_position(k, F.get(k, i)) == i + 1)
+        return bind(same, lambda k: F.when(F.size(F.array_distinct(k)) == F.size(a), a).otherwise(first(k)))  # most texts repeat nothing
+
+    kept = bind(bind(F.col("body"), lambda b: F.filter(roles_of(b), _good)), once)
+    rows = _bodies(docs, "experience").select("doc_id", F.explode_outer(kept).alias("r")).where("r IS NOT NULL")
+    return rows.select("doc_id", "r.*").withColumn("description", F.array_join("description", "\n"))
 
 
 def education(docs: DataFrame) -> DataFrame:
     """(doc_id, institution, degree, field_of_study, start_date, end_date): institution lines with what stands from one line before to two after."""
-    rows = _body(docs, "education")
-    near = F.collect_list("line").over(Window.partitionBy("doc_id").orderBy("n").rowsBetween(-1, 2))
-    rows = rows.withColumn("near", near).where(F.regexp_like("line", F.lit(INSTITUTION)))
+    near = lambda b: F.transform(b, lambda x, i: F.struct((i + 1).alias("n"), x.alias("line"), F.slice(b, F.greatest(i, F.lit(1)), F.when(i > 0, 4).otherwise(3)).alias("near")))
+    named = bind(F.col("body"), lambda b: F.filter(near(b), lambda x: F.regexp_like(x["line"], F.lit(INSTITUTION))))
+    rows = _bodies(docs, "education").select("doc_id", F.explode_outer(named).alias("x")).where("x IS NOT NULL").select("doc_id", "x.*")
     degree = F.get(F.filter("near", lambda x: F.regexp_like(x, F.lit(DEGREE))), F.lit(0))
     dated = F.get(F.filter("near", lambda x: F.regexp_like(x, F.lit(DATE_RANGE))), F.lit(0))
-    start, end, _ = period(F.col("dated"))
+    start, end, _ = period(*(F.regexp_extract("dated", DATE_RANGE, k) for k in (1, 2)))
     rows = rows.withColumn("deg", degree).withColumn("dated", dated)
     rows = rows.select("doc_id", "n", F.col("line").alias("institution"), F.when(F.col("deg") != F.col("line"), F.col("deg")).alias("degree"), F.nullif(strip(F.regexp_extract("deg", FIELD, 1)), F.lit("")).alias("field_of_study"), start.alias("start_date"), end.alias("end_date"))
     first = F.row_number().over(Window.partitionBy("doc_id", F.lower("institution"), F.lower(F.coalesce("degree", F.lit("")))).orderBy("n"))

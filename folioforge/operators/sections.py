@@ -55,7 +55,7 @@ def heading_kind(line: Column) -> Column:
 
 def section_lines(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, line_number from 1, line, heading, section_id, section): each line with the section that it stands in."""
-    rows = docs.select(F.col(doc).alias("doc_id"), F.posexplode(lines(F.col(text))).alias("_n", "line"))
+    rows = docs.select(F.col(doc).alias("doc_id"), F.posexplode_outer(lines(F.col(text))).alias("_n", "line")).where("_n IS NOT NULL")  # outer: else lines are made twice
     rows = rows.select("doc_id", (F.col("_n") + 1).alias("line_number"), "line", heading_kind(F.col("line")).alias("heading"))
     upto = Window.partitionBy("doc_id").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("section_id", F.sum(F.col("heading").isNotNull().cast("int")).over(upto).cast("int"))

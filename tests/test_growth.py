@@ -86,3 +86,16 @@ def test_skills_of_documents_need_no_sets_and_one_shuffle(spark):
     plan = plan_of(found)
     assert "collect_set" not in plan and plan.count("Exchange hashpartitioning") == 1
     assert {(r.canonical, tuple(r.types)) for r in found.collect()} == {(c, ("listed", "project", "work_experience")) for c in ("Go", "Python")}
+
+
+def test_roles_are_read_within_the_row_of_their_text(spark):
+    from folioforge.operators import extract
+
+    plan = plan_of(catalog.QUERIES["golden_experiences"](spark, "/root/testdata/sf0.001"))
+    assert "Window" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    text = "Robin\nWORK EXPERIENCE\nData Engineer | Firm 1\n2019 - 2020\n- Built it\nSenior Engineer\nFirm Ltd\n01/2020 - present\n2021 - 2019\nrun\nData Engineer | firm 1\n2019 - 2020\nRan it\nEDUCATION\n2001 - 2005\nExperience:\nCook\n03/2022 - 04/2022"
+    found = {(r.entry, r.job_title, r.company, str(r.start_date), r.is_current, "|".join(r.description), r.warning) for r in extract.roles(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string")).collect()}
+    assert found == {
+        (1, "Data Engineer", "Firm 1", "2019-01-01", False, "Built it", None), (2, "Senior Engineer", "Firm Ltd", "2020-01-01", True, "", None), (3, "01/2020 - present", None, "2021-01-01", False, "run", "INVALID_TIMELINE"),
+        (4, "Data Engineer", "firm 1", "2019-01-01", False, "Ran it", None), (5, "Cook", None, "2022-03-01", False, "", None),
+    }
