@@ -35,6 +35,8 @@ def entity_recall(gold: DataFrame, found: DataFrame) -> DataFrame:
 
 #: Levels of entity_report: an entity kind of a document, a document, a kind, everything.
 LEVELS = ("document_kind", "document", "kind", "all")
+#: Rows of entity_report for one task, about.
+ROWS_AT_ONCE = 250_000
 
 
 def entity_report(gold: DataFrame, found: DataFrame) -> DataFrame:
@@ -45,15 +47,15 @@ def entity_report(gold: DataFrame, found: DataFrame) -> DataFrame:
     without a document or kind pair with their like.
     """
     key = F.lower(F.trim(F.coalesce("title", F.lit(""))))
-    same = ["doc_id", "kind", "k"]
 
-    def counted(d: DataFrame, side: str) -> DataFrame:
-        # repeats are counts, so that pairs are the lesser of two numbers and a hot title is summed before it is shuffled
-        return d.select("doc_id", "kind", key.alias("k")).groupBy(*same).agg(F.count("*").alias(side))
+    def side(d: DataFrame, g: int) -> DataFrame:
+        return d.select("doc_id", "kind", key.alias("k"), F.lit(g).alias("g"), F.lit(1 - g).alias("f"))
 
-    g, f = counted(gold, "g"), counted(found, "f")
-    on = [g[c].eqNullSafe(f[c]) for c in same]
-    both = g.join(f, on, "full").select(*(F.coalesce(g[c], f[c]).alias(c) for c in same), F.coalesce("g", F.lit(0)).alias("g"), F.coalesce("f", F.lit(0)).alias("f"))
+    # both sides are counted in one table, without a join; documents are dealt to as many tasks as there are rows for, before
+    # anything is counted, so that a task holds as many titles in a large table as in a small one
+    tasks = -(-(gold.count() + found.count()) // ROWS_AT_ONCE) or 1
+    dealt = side(gold, 1).unionByName(side(found, 0)).repartition(tasks, "doc_id")
+    both = dealt.groupBy("doc_id", "kind", "k").agg(F.sum("g").alias("g"), F.sum("f").alias("f"))
     n = both.groupingSets([["doc_id", "kind"], ["doc_id"], ["kind"], []], "doc_id", "kind").agg(
         F.grouping_id().alias("gid"), F.sum(F.least("g", "f")).alias("true_positive"), F.sum(F.greatest(F.col("f") - F.col("g"), F.lit(0))).alias("false_positive"), F.sum(F.greatest(F.col("g") - F.col("f"), F.lit(0))).alias("false_negative"),
     )

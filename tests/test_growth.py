@@ -99,3 +99,17 @@ def test_roles_are_read_within_the_row_of_their_text(spark):
         (1, "Data Engineer", "Firm 1", "2019-01-01", False, "Built it", None), (2, "Senior Engineer", "Firm Ltd", "2020-01-01", True, "", None), (3, "01/2020 - present", None, "2021-01-01", False, "run", "INVALID_TIMELINE"),
         (4, "Data Engineer", "firm 1", "2019-01-01", False, "Ran it", None), (5, "Cook", None, "2022-03-01", False, "", None),
     }
+
+
+def test_entities_are_dealt_to_more_tasks_in_larger_tables(spark, monkeypatch):
+    from folioforge.operators import evaluate
+
+    gold = spark.sql("SELECT id % 40 AS doc_id, 'job' AS kind, concat('T', id % 3) AS title FROM range(120)")
+    found = spark.sql("SELECT nullif(id % 40, 1) AS doc_id, 'job' AS kind, concat(' t', id % 2) AS title FROM range(80)")
+    for rows, tasks in ((30, 7), (10, 20)):
+        monkeypatch.setattr(evaluate, "ROWS_AT_ONCE", rows)
+        done = evaluate.entity_report(gold, found)
+        plan = plan_of(done)
+        assert "Join" not in plan and f", {tasks}), REPARTITION_BY_NUM" in plan
+        every = {(r.doc_id, r.kind): (r.true_positive, r.false_positive, r.false_negative) for r in done.where("level = 'all'").collect()}
+        assert every == {(None, None): (39, 41, 81)}
