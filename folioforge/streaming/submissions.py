@@ -9,8 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -20,6 +19,7 @@ from folioforge.cluster import ship
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: What became of a submission: it is answered, it repeats one that was, or (without one) its memory ran out.
 FRESH, REPEATED, EXPIRED = "fresh", "repeated", "expired"
+Answer = Row("sha256", "doc_id", "first_doc_id", "us", "state")
 
 
 class Memory(StatefulProcessor):
@@ -32,28 +32,26 @@ class Memory(StatefulProcessor):
         self.handle = handle
         self.first = handle.getValueState("first", f"doc_id {self.kind}, until long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        at = batch["at"].to_numpy().astype("datetime64[ms]").astype("int64")
-        batch = batch.assign(ms=at).sort_values(["ms", "doc_id"], kind="stable")
-        held, out = self.first.get() if self.first.exists() else None, []
-        for doc, ms, when in zip(batch["doc_id"], batch["ms"], batch["at"], strict=True):
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        batch = sorted((r["us"] // 1000, r["doc_id"], r["us"]) for r in rows)
+        held = before = self.first.get()
+        for ms, doc, us in batch:
             if held is None or ms >= held[1]:
                 if held is not None:
                     self.handle.deleteTimer(held[1])
-                held = (doc, int(ms) + self.keep_ms)
+                held = (doc, ms + self.keep_ms)
                 self.handle.registerTimer(held[1])
-                out.append((key[0], doc, doc, when, FRESH))
+                yield Answer(key[0], doc, doc, us, FRESH)
             else:
-                out.append((key[0], doc, held[0], when, REPEATED))
-        self.first.update(held)
-        yield pd.DataFrame(out, columns=["sha256", "doc_id", "first_doc_id", "at", "state"])
+                yield Answer(key[0], doc, held[0], us, REPEATED)
+        if held is not before:
+            self.first.update(held)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.first.get() if self.first.exists() else None
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.first.get()
         if held is not None and held[1] <= expiredTimerInfo.getExpiryTimeInMs():
             self.first.clear()
-            yield pd.DataFrame({"sha256": [key[0]], "doc_id": [held[0]], "first_doc_id": [held[0]], "at": [pd.Timestamp(held[1], unit="ms")], "state": [EXPIRED]})
+            yield Answer(key[0], held[0], held[0], held[1] * 1000, EXPIRED)
 
     def close(self) -> None:
         pass
@@ -71,9 +69,11 @@ def once(stream: DataFrame, *, keep: timedelta = timedelta(days=30), late: str =
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     keep_ms = int(keep.total_seconds() * 1000)
     kind = stream.schema["doc_id"].dataType.simpleString()
-    rows = stream.select("sha256", "doc_id", "at").where("sha256 IS NOT NULL AND at IS NOT NULL AND doc_id IS NOT NULL").withWatermark("at", late)
-    schema = f"sha256 string, doc_id {kind}, first_doc_id {kind}, at timestamp, state string"
-    return rows.groupBy("sha256").transformWithStateInPandas(Memory(keep_ms, kind), schema, "append", "eventTime")
+    rows = stream.select("sha256", "doc_id", "at", F.unix_micros("at").alias("us")).where("sha256 IS NOT NULL AND at IS NOT NULL AND doc_id IS NOT NULL").withWatermark("at", late)
+    schema = f"sha256 string, doc_id {kind}, first_doc_id {kind}, us long, state string"
+    # rows, not data frames: most contents come once, and a data frame for each of them costs more than all the rest
+    told = rows.groupBy("sha256").transformWithState(Memory(keep_ms, kind), schema, "append", "eventTime")
+    return told.select("sha256", "doc_id", "first_doc_id", F.timestamp_micros("us").alias("at"), "state")
 
 
 def answer_once(stream: DataFrame, *, target: str, checkpoint: str, keep: timedelta = timedelta(days=30), late: str = "1 hour") -> StreamingQuery:

@@ -113,3 +113,11 @@ def test_entities_are_dealt_to_more_tasks_in_larger_tables(spark, monkeypatch):
         assert "Join" not in plan and f", {tasks}), REPARTITION_BY_NUM" in plan
         every = {(r.doc_id, r.kind): (r.true_positive, r.false_positive, r.false_negative) for r in done.where("level = 'all'").collect()}
         assert every == {(None, None): (39, 41, 81)}
+
+
+def test_contents_are_answered_without_a_data_frame_each(spark, tmp_path):
+    from folioforge.streaming import submissions
+
+    spark.sql("SELECT cast(id % 30 AS string) AS sha256, id AS doc_id, timestamp_seconds(id) AS at FROM range(60)").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("sha256 string, doc_id long, at timestamp").parquet(f"{tmp_path}/in")
+    assert "InPandas" not in submissions.once(stream)._jdf.queryExecution().analyzed().toString()
