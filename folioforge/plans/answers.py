@@ -47,7 +47,9 @@ _ANSWER = f"""CASE o_orderkey % 13 WHEN 12 THEN CASE o_orderkey % 6 WHEN 0 THEN
 
 
 def answers(spark, sf):
-    return table(spark, sf, "orders").selectExpr("o_orderkey AS id", f"{_ANSWER} AS response")
+    # orders are few bytes and repairing an answer is much work: they are dealt to tasks first, a number that is not joined to fewer
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return table(spark, sf, "orders").select("o_orderkey", "o_orderdate").repartition(tasks, "o_orderkey").selectExpr("o_orderkey AS id", f"{_ANSWER} AS response")
 
 
 _EXPECTED = f"""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 5 AS k, o_orderkey % 4 AS g, {_TITLE} AS title, {_D} AS d, {_X} AS x, CASE WHEN o_orderkey % 13 = 12 THEN CASE o_orderkey % 6 WHEN 0 THEN 'INVALID_JSON' WHEN 1 THEN 'DEGENERATE' WHEN 2 THEN 'NOT_AN_OBJECT' WHEN 5 THEN 'INVALID_JSON' ELSE 'EMPTY' END END AS repair_error FROM orders)"""

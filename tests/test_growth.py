@@ -121,3 +121,9 @@ def test_contents_are_answered_without_a_data_frame_each(spark, tmp_path):
     spark.sql("SELECT cast(id % 30 AS string) AS sha256, id AS doc_id, timestamp_seconds(id) AS at FROM range(60)").write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("sha256 string, doc_id long, at timestamp").parquet(f"{tmp_path}/in")
     assert "InPandas" not in submissions.once(stream)._jdf.queryExecution().analyzed().toString()
+
+
+def test_answers_are_dealt_to_tasks_before_they_are_repaired(spark):
+    from folioforge.plans import answers
+
+    assert "REPARTITION_BY_NUM" in plan_of(answers.answers(spark, "/root/testdata/sf0.001"))  # a file may be one task
