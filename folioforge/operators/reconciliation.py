@@ -288,33 +288,60 @@ def recover_experiences(profiles: DataFrame, stage: Callable[[DataFrame, str], D
     return out.join(found, "doc_id", "left").withColumn("experiences", F.when(F.col("_m"), F.coalesce("_x", "experiences")).otherwise(F.col("experiences"))).drop("_m", "_x")
 
 
+#: Blocks and profiles of enrich_skills for one task, about.
+ROWS_AT_ONCE = 100_000
+
+
 def enrich_skills(profiles: DataFrame, blocks: DataFrame, table: DataFrame) -> DataFrame:
     """skills joined, by canonical name, with those that the document spells out: all their kinds of evidence, listed if none.
 
     `table` is a skill table (taxonomy.skill_table). A skill of the profile that the table's mentions do not find takes its
-    kinds from the blocks that hold its name.
+    kinds from the blocks that hold its name. Documents are dealt to as many tasks as there are rows for, once, so that a task
+    holds as many blocks in a large table as in a small one.
     """
+    from . import taxonomy
     from .document import annotate
-    from .features import with_section
-    from .taxonomy import skill_mentions
-
-    keyed = blocks.withColumn("_at", F.struct("doc_id", "page_number", "block_id"))
-    found = skill_mentions(keyed, table, doc="_at").select("doc_id.*", "canonical")
-    marked = with_section(blocks).select("doc_id", "page_number", "block_id", "text", F.coalesce("evidence_type", F.lit("listed")).alias("type"))
-    told = annotate(blocks).where("told IS NOT NULL").select("doc_id", "page_number", "block_id", F.col("told").alias("type"), F.col("clean").alias("line"))
-    on = ["doc_id", "page_number", "block_id"]
-    kinds = found.join(marked, on).select("doc_id", "canonical", "type", F.lit(None).cast("string").alias("line")).unionByName(found.join(told, on).select("doc_id", "canonical", "type", "line"))
-    kinds = kinds.groupBy("doc_id", "canonical").agg(F.sort_array(F.collect_set("type")).alias("types"), F.sort_array(F.collect_set("line")).alias("lines"))
-    own = profiles.select("doc_id", F.posexplode("skills").alias("n", "s")).withColumn("k", F.lower(strip(F.coalesce("s.canonical_name", "s.name"))))
-    own = own.join(table.select(F.col("alias").alias("k"), F.col("canonical").alias("_c")), "k", "left").withColumn("canonical", F.coalesce("_c", strip(F.coalesce("s.canonical_name", "s.name"))))
-    own = own.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", F.lower("canonical")).orderBy("n"))).where("_r = 1").select("doc_id", F.lower("canonical").alias("k"), "canonical", "n", "s")
-    named = own.join(marked, "doc_id").where(F.contains(F.lower("text"), F.col("k"))).groupBy("doc_id", "k").agg(F.sort_array(F.collect_set("type")).alias("by_name"))
-    both = own.join(named, ["doc_id", "k"], "left").join(kinds.withColumn("k", F.lower("canonical")).withColumnRenamed("canonical", "_f"), ["doc_id", "k"], "full_outer")
-    types = F.coalesce("types", "by_name", F.array(F.lit("listed")))
-    lines = F.array_distinct(F.concat(F.coalesce("s.evidence", F.array().cast("array<string>")), F.coalesce("lines", F.array().cast("array<string>"))))
-    one = F.struct(F.coalesce("n", F.lit(1 << 30)).alias("n"), F.coalesce("_f", "canonical").alias("c"), F.struct(F.coalesce("s.name", "_f").alias("name"), F.coalesce("_f", "canonical").alias("canonical_name"), F.col("s.years").alias("years"), F.col("s.level").alias("level"), lines.alias("evidence"), types.alias("evidence_types"), F.coalesce("s.confidence", F.lit(1.0)).alias("confidence")).cast(SKILL).alias("s"))
-    rows = both.select("doc_id", one.alias("x")).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]).alias("_skills"))
-    return profiles.join(rows, "doc_id", "left").withColumn("skills", F.coalesce("_skills", "skills")).drop("_skills")
+    from .features import kinds_among, with_section
+
+    tasks = max(-(-(blocks.count() + profiles.count()) // ROWS_AT_ONCE), profiles.sparkSession.sparkContext.defaultParallelism)
+    rows = annotate(with_section(blocks, tasks))
+    line = F.when(F.col("told").isNotNull(), F.coalesce(clean(F.col("text")), F.lit("")))
+    found = taxonomy.alias_hits(rows, table, ("doc_id", "text", "evidence_type", "told")).groupBy("doc_id", "canonical").agg(kinds_among(F.col("evidence_type"), F.col("told")).alias("types"), F.sort_array(F.collect_set(line)).alias("lines"))
+    dealt = profiles.repartition(tasks, "doc_id")
+    own = dealt.select("doc_id", F.posexplode("skills").alias("n", "s")).withColumn("k", F.lower(strip(F.coalesce("s.canonical_name", "s.name"))))
+    spelled = table.select(F.col("alias").alias("k"), F.col("canonical").alias("_c"))
+    spelled = F.broadcast(spelled) if table.count() <= taxonomy.SMALL else spelled  # dealt by spelling, a common skill would gather in one task
+    own = own.join(spelled, "k", "left").withColumn("canonical", F.coalesce("_c", strip(F.coalesce("s.canonical_name", "s.name"))))
+    own = own.select("doc_id", F.lower("canonical").alias("k"), "canonical", "n", "s")
+    named = own.select("doc_id", "k").join(rows.select("doc_id", F.lower("text").alias("_t"), "evidence_type"), "doc_id").where(F.contains("_t", "k")).groupBy("doc_id", "k").agg(kinds_among(F.col("evidence_type")).alias("types"))
+    own = own.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", "k").orderBy("n"))).where("_r = 1")
+    # all parts are dealt alike by now, so they meet in one row for each document without a shuffle by skill or block
+    parts = own.select("doc_id", F.struct("n", "k", "canonical", "s").alias("_own"))
+    parts = parts.unionByName(named.select("doc_id", F.struct("k", "types").alias("_named")), True)
+    parts = parts.unionByName(found.select("doc_id", F.struct(F.lower("canonical").alias("k"), "canonical", "types", "lines").alias("_found")), True)
+    names = ("_own", "_named", "_found")
+    parts = parts.repartition(tasks, "doc_id").groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in names))
+    out = dealt.join(parts.hint("merge"), "doc_id", "left")
+    out = out.withColumns({c: F.coalesce(c, F.array().cast(parts.schema[c].dataType)) for c in names})
+
+    def one(n: Column, s: Column, told: Column, canonical: Column, types: Column, lines: Column) -> Column:
+        evidence = F.array_distinct(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in (s["evidence"], lines))))
+        c = F.coalesce(told, canonical)
+        skill = F.struct(F.coalesce(s["name"], told).alias("name"), c.alias("canonical_name"), s["years"].alias("years"), s["level"].alias("level"), evidence.alias("evidence"), types.alias("evidence_types"), F.coalesce(s["confidence"], F.lit(1.0)).alias("confidence"))
+        return F.struct(n.alias("n"), c.alias("c"), skill.cast(SKILL).alias("s"))
+
+    def known(o: Column) -> Column:
+        none = F.lit(None).cast("string")
+        by_name = F.get(F.filter("_named", lambda x: x["k"] == o["k"]), F.lit(0))["types"]
+        bare = F.array(one(o["n"], o["s"], none, o["canonical"], F.coalesce(by_name, F.array(F.lit("listed"))), F.lit(None).cast("array<string>")))
+        told = F.transform(F.filter("_found", lambda f: f["k"] == o["k"]), lambda f: one(o["n"], o["s"], f["canonical"], o["canonical"], f["types"], f["lines"]))
+        return F.when(F.exists("_found", lambda f: f["k"] == o["k"]), told).otherwise(bare)
+
+    new = F.filter("_found", lambda f: ~F.coalesce(F.exists("_own", lambda o: o["k"] == f["k"]), F.lit(False)))
+    new = F.transform(new, lambda f: one(F.lit(1 << 30), F.lit(None).cast(SKILL), f["canonical"], f["canonical"], f["types"], f["lines"]))
+    every = F.array_sort(F.concat(F.flatten(F.transform("_own", known)), new))
+    out = out.withColumn("_skills", F.transform(every, lambda x: x["s"]))
+    return out.withColumn("skills", F.when(F.size("_skills") > 0, F.col("_skills")).otherwise(F.col("skills"))).drop("_skills", "_own", "_named", "_found")
 
 
 def years_of(experiences: Column, as_of: date) -> Column:

@@ -127,3 +127,21 @@ def test_answers_are_dealt_to_tasks_before_they_are_repaired(spark):
     from folioforge.plans import answers
 
     assert "REPARTITION_BY_NUM" in plan_of(answers.answers(spark, "/root/testdata/sf0.001"))  # a file may be one task
+
+
+def test_skills_are_enriched_in_more_tasks_for_larger_tables(spark, monkeypatch):
+    from folioforge.operators import document, reconciliation
+
+    skill = lambda n: (n, n, None, None, ["said"] if n == "python3" else [], [], 0.5)
+    given = [(1, [*map(skill, ("python3", "Juggling", "PYTHON", None))]), (2, []), (3, [skill("Go")]), *((i, []) for i in range(4, 24))]
+    profiles = spark.createDataFrame(given, f"doc_id int, skills array<{document.SKILL}>")
+    told = [(1, "WORK EXPERIENCE"), (1, "Python  here"), (1, " "), (1, "PROJECTS"), (1, "juggling and sql"), (2, "Python"), (99, "Docker"), *((i, "SQL") for i in range(4, 24))]
+    blocks = spark.createDataFrame([(d, 1, f"b{i}", i, "text", t) for i, (d, t) in enumerate(told)], "doc_id int, page_number int, block_id string, reading_order int, block_type string, text string")
+    monkeypatch.setattr(reconciliation, "ROWS_AT_ONCE", 4, raising=False)
+    done = reconciliation.enrich_skills(profiles, blocks, taxonomy.skill_table(spark))
+    plan = plan_of(done)
+    assert plan.count(", 13), REPARTITION_BY_NUM") == plan.count("Exchange hashpartitioning") and "FullOuter" not in plan  # 27 blocks and 23 profiles; dealt once, never by block or skill
+    every = {r.doc_id: [(s.name, s.canonical_name, s.evidence, s.evidence_types, s.confidence) for s in r.skills] for r in done.collect()}
+    assert every.pop(1) == [("python3", "Python", ["said", "Python here"], ["work_experience"], 0.5), ("Juggling", "Juggling", [], ["project"], 0.5), (None, None, [], ["listed"], 0.5), ("SQL", "SQL", ["juggling and sql"], ["project", "work_experience"], 1.0)]
+    assert every.pop(2) == [("Python", "Python", [], ["listed"], 1.0)] and every.pop(3) == [("Go", "Go", [], ["listed"], 0.5)]
+    assert every == {i: [("SQL", "SQL", [], ["listed"], 1.0)] for i in range(4, 24)}
