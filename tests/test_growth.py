@@ -145,3 +145,11 @@ def test_skills_are_enriched_in_more_tasks_for_larger_tables(spark, monkeypatch)
     assert every.pop(1) == [("python3", "Python", ["said", "Python here"], ["work_experience"], 0.5), ("Juggling", "Juggling", [], ["project"], 0.5), (None, None, [], ["listed"], 0.5), ("SQL", "SQL", ["juggling and sql"], ["project", "work_experience"], 1.0)]
     assert every.pop(2) == [("Python", "Python", [], ["listed"], 1.0)] and every.pop(3) == [("Go", "Go", [], ["listed"], 0.5)]
     assert every == {i: [("SQL", "SQL", [], ["listed"], 1.0)] for i in range(4, 24)}
+
+
+def test_orders_are_dealt_to_more_tasks_before_resumes_are_made_of_them(spark, monkeypatch):
+    from folioforge.plans import resumes
+
+    monkeypatch.setattr(resumes, "ORDERS_AT_ONCE", 100, raising=False)
+    plan = plan_of(resumes.blocks_of(spark, "/root/testdata/sf0.001"))  # of 1,500 orders
+    assert plan.count(", 15), REPARTITION_BY_NUM") == plan.count("Exchange hashpartitioning") > 0
