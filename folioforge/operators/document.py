@@ -70,13 +70,14 @@ def annotate(blocks: DataFrame) -> DataFrame:
     return rows.drop("_opened", "_told", "_last")
 
 
-def gathered(blocks: DataFrame) -> DataFrame:
+def gathered(blocks: DataFrame, *, kinds: bool = True) -> DataFrame:
     """(doc_id, blocks): the blocks of each document in order, as one array, as they are.
 
-    They are dealt to tasks by document before anything is made of them: a small file of many rows is few tasks.
+    They are dealt to tasks by document before anything is made of them: a small file of many rows is few tasks. Without `kinds` they
+    have no type and no place on the page.
     """
     boxes = [F.col(c).cast("double").alias(c) if c in blocks.columns else F.lit(None).cast("double").alias(c) for c in ("y0", "y1")]
-    one = F.struct(F.col("page_number").cast("int").alias("page_number"), F.col("reading_order").cast("int").alias("reading_order"), "block_id", "block_type", "text", *boxes)
+    one = F.struct(F.col("page_number").cast("int").alias("page_number"), F.col("reading_order").cast("int").alias("reading_order"), "block_id", *(["block_type", "text", *boxes] if kinds else ["text"]))
     return blocks.select("doc_id", one.alias("b")).repartition("doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list("b")).alias("blocks"))
 
 
@@ -118,6 +119,14 @@ def with_blocks(profiles: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.withColumn("blocks", annotated(F.coalesce("blocks", F.array().cast(held.schema["blocks"].dataType))))
 
 
+def with_headings(profiles: DataFrame, blocks: DataFrame) -> DataFrame:
+    """with_blocks() for what asks for texts and headings alone: of annotate()'s columns only the heading is made."""
+    held = gathered(blocks, kinds=False)
+    rows = profiles.join(held.hint("merge"), "doc_id", "left")
+    read = lambda b: F.struct(*(b[n].alias(n) for n in ("page_number", "reading_order", "block_id", "text")), heading_kind(b["text"]).alias("heading"))
+    return rows.withColumn("blocks", F.transform(F.coalesce("blocks", F.array().cast(held.schema["blocks"].dataType)), read))
+
+
 def no_evidence() -> Column:
     return F.expr("array()").cast(EVIDENCE)
 

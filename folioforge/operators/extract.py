@@ -39,8 +39,8 @@ def period(start: Column, end: Column) -> tuple[Column, Column, Column]:
     return month(start), F.when(~current, month(end)), current
 
 
-def _bodies(docs: DataFrame, section: str) -> DataFrame:
-    """(doc_id, body): the lines of a section that are not blank and no headings, trimmed, in order; one row per text."""
+def body_of(every: Column, section: str) -> Column:
+    """The lines of a section, among all lines of a text, that are not blank and no headings, trimmed, in order."""
 
     def opened(a: Column) -> Column:
         return F.struct(a.alias("a"), F.filter(F.transform(a, lambda x, i: F.struct(i.alias("i"), heading_kind(x).alias("k"))), lambda h: h["k"].isNotNull()).alias("h"))
@@ -50,7 +50,12 @@ def _bodies(docs: DataFrame, section: str) -> DataFrame:
         parts = F.transform(m["h"], lambda h, j: F.when(h["k"] == section, F.slice(m["a"], h["i"] + 2, upto(j) - h["i"] - 1)))
         return F.filter(F.transform(F.flatten(F.array_compact(parts)), lambda x: strip(x, "•-")), lambda x: x != "")
 
-    return docs.select("doc_id", bind(bind(lines(F.col("text")), opened), held).alias("body"))
+    return bind(bind(every, opened), held)
+
+
+def _bodies(docs: DataFrame, section: str) -> DataFrame:
+    """(doc_id, body): see body_of; one row per text."""
+    return docs.select("doc_id", body_of(lines(F.col("text")), section).alias("body"))
 
 
 #: What roles_of gives for each role.
@@ -113,17 +118,20 @@ def unique(values: Column) -> Column:
     return F.filter(bare, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
 
 
-def experiences(docs: DataFrame) -> DataFrame:
-    """(doc_id, entry, job_title, company, start_date, end_date, is_current, description): the roles() without a warning, each
-    title, company and period once."""
+def experiences_of(body: Column) -> Column:
+    """An array of ROLE: the roles that roles() gives no warning, each title, company and period once."""
 
     def once(a: Column) -> Column:
         same = F.transform(a, lambda r: F.struct(F.lower(r["job_title"]).alias("t"), F.lower(F.coalesce(r["company"], F.lit(""))).alias("c"), r["start_date"].alias("s"), r["end_date"].alias("e")))
         first = lambda k: F.filter(a, lambda r, i: F.array_position(k, F.get(k, i)) == i + 1)
         return bind(same, lambda k: F.when(F.size(F.array_distinct(k)) == F.size(a), a).otherwise(first(k)))  # most texts repeat nothing
 
-    kept = bind(bind(F.col("body"), lambda b: F.filter(roles_of(b), _good)), once)
-    rows = _bodies(docs, "experience").select("doc_id", F.explode_outer(kept).alias("r")).where("r IS NOT NULL")
+    return bind(bind(body, lambda b: F.filter(roles_of(b), _good)), once)
+
+
+def experiences(docs: DataFrame) -> DataFrame:
+    """(doc_id, entry, job_title, company, start_date, end_date, is_current, description): see experiences_of."""
+    rows = _bodies(docs, "experience").select("doc_id", F.explode_outer(experiences_of(F.col("body"))).alias("r")).where("r IS NOT NULL")
     return rows.select("doc_id", "r.*").withColumn("description", F.array_join("description", "\n"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioforge.functions.text import clean, fingerprint, strip
+from folioforge.functions.text import bind, clean, fingerprint, lines, strip
 from folioforge.storage import materialize
 
 from .document import EDUCATION, EVIDENCE, EXPERIENCE, SKILL, all_grounded, as_profiles, asked, grounded, has_section, holds, in_experience_section, no_evidence, section_kinds, supports, with_blocks
@@ -274,18 +274,20 @@ def recover_education(profiles: DataFrame) -> DataFrame:
     return out.withColumn("education", F.when(found, F.array(one)).otherwise(F.col("education"))).drop("_f", "_i", "_s", "_e")
 
 
-def recover_experiences(profiles: DataFrame, stage: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
+def recover_experiences(profiles: DataFrame) -> DataFrame:
     """experiences of profiles that have none though their document has such a section: those that the rules of
-    extract.experiences find in it; and missing_expected: a section of experiences or projects gave no entry."""
-    from .extract import experiences
+    extract.experiences find in it; and missing_expected: a section of experiences or projects gave no entry. A document is
+    read within its row: no shuffle, no join."""
+    from .extract import body_of, experiences_of
 
-    missing = (has_section("experience") & (F.size("experiences") == 0)) | (has_section("projects") & (F.size("projects") == 0))
-    out = profiles.withColumn("_m", has_section("experience") & (F.size("experiences") == 0)).withColumn("missing_expected", missing)
-    texts = stage(out.where("_m").select("doc_id", F.array_join(F.transform("blocks", lambda b: b["text"]), "\n").alias("text")), "recovered_texts")
-    empty = F.array().cast("array<string>")
-    one = F.struct("entry", F.struct("job_title", "company", F.lit(None).cast("string").alias("location"), "start_date", "end_date", "is_current", F.split("description", "\n").alias("description"), empty.alias("achievements"), empty.alias("skills"), no_evidence().alias("evidence"), F.when(F.col("company").isNotNull(), 0.85).otherwise(0.7).alias("confidence")).cast(EXPERIENCE).alias("e"))
-    found = experiences(texts).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["e"]).alias("_x"))
-    return out.join(found, "doc_id", "left").withColumn("experiences", F.when(F.col("_m"), F.coalesce("_x", "experiences")).otherwise(F.col("experiences"))).drop("_m", "_x")
+    bare = has_section("experience") & (F.size("experiences") == 0)
+    text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
+    empty, none = F.array().cast("array<string>"), F.lit(None).cast("string")
+    one = lambda r: F.struct(r["job_title"].alias("job_title"), r["company"].alias("company"), none.alias("location"), *(r[c].alias(c) for c in ("start_date", "end_date", "is_current")), F.split(F.array_join(r["description"], "\n"), "\n").alias("description"), empty.alias("achievements"), empty.alias("skills"), no_evidence().alias("evidence"), F.when(r["company"].isNotNull(), 0.85).otherwise(0.7).alias("confidence")).cast(EXPERIENCE)
+    found = F.transform(bind(body_of(lines(text), "experience"), experiences_of), one)
+    given = F.when(bare, bind(found, lambda x: F.when(F.size(x) > 0, x)))
+    missing = bare | (has_section("projects") & (F.size("projects") == 0))
+    return profiles.withColumns({"missing_expected": missing, "experiences": F.coalesce(given, "experiences")})
 
 
 #: Blocks and profiles of enrich_skills for one task, about.
@@ -374,7 +376,7 @@ def reconcile(profiles: DataFrame, blocks: DataFrame, table: DataFrame, *, provi
     p = with_blocks(as_profiles(profiles), blocks)
     for step in (lambda x: settle_name(x, fallback=fallback), settle_headline, count_ungrounded, validate_experiences, lambda x: merge_experiences(x, as_of=as_of), validate_projects, tidy_entries, recover_education, keep_grounded):
         p = step(p)
-    p = stage(recover_experiences(stage(p, "validated"), stage), "recovered")
+    p = stage(recover_experiences(stage(p, "validated")), "recovered")
     p = enrich_skills(p, blocks, table)
     tiers = F.transform("experience_verdicts", lambda v: v["tier"])
     inferred, dropped = F.array_contains(tiers, 2), F.array_contains(tiers, 0)

@@ -35,7 +35,7 @@ def experience_recovery(spark, sf):
     """Jobs of answers without any, read from their documents' experience sections by rules."""
     docs = materialize(golden.resumes(spark, sf), "resumes")
     given = document.as_profiles(docs.select("doc_id"))
-    done = reconciliation.recover_experiences(document.with_blocks(given, blocks.blocks(docs)))
+    done = reconciliation.recover_experiences(document.with_headings(given, blocks.blocks(docs)))
     rows = done.select("doc_id", F.posexplode_outer("experiences").alias("entry", "e")).where("e IS NOT NULL")  # see split()
     return rows.select("doc_id", "entry", "e.job_title", "e.company", F.col("e.start_date").cast("string").alias("started"), F.col("e.end_date").cast("string").alias("ended"))
 

@@ -153,3 +153,17 @@ def test_orders_are_dealt_to_more_tasks_before_resumes_are_made_of_them(spark, m
     monkeypatch.setattr(resumes, "ORDERS_AT_ONCE", 100, raising=False)
     plan = plan_of(resumes.blocks_of(spark, "/root/testdata/sf0.001"))  # of 1,500 orders
     assert plan.count(", 15), REPARTITION_BY_NUM") == plan.count("Exchange hashpartitioning") > 0
+
+
+def test_missing_jobs_are_recovered_within_the_row_of_their_document(spark):
+    from folioforge.operators import document, reconciliation
+
+    told = ["Robin", "WORK EXPERIENCE", "Data Engineer | Firm 1", "2019 - 2020", "- Built it", "Cook at Inn", "03/2022 - 04/2022"]
+    rows = spark.createDataFrame([(d, 1, f"b{i}", i, "text", t) for d in (1, 3, None) for i, t in enumerate(told) if d != 3 or i < 2], "doc_id int, page_number int, block_id string, reading_order int, block_type string, text string")
+    given = document.as_profiles(spark.createDataFrame([(1,), (2,), (3,)], "doc_id int"))
+    held = document.with_blocks(given, rows)
+    done = reconciliation.recover_experiences(held)
+    assert plan_of(done).count("Exchange") == plan_of(held).count("Exchange") and plan_of(done).count("Join") == plan_of(held).count("Join")
+    for out in (done, reconciliation.recover_experiences(document.with_headings(given, rows))):
+        got = {r.doc_id: ([(e.job_title, e.company, str(e.start_date), e.description) for e in r.experiences], r.missing_expected) for r in out.collect()}
+        assert got == {1: ([("Data Engineer", "Firm 1", "2019-01-01", ["Built it"]), ("Cook", "Inn", "2022-03-01", [""])], True), 2: ([], False), 3: ([], True)}
