@@ -82,9 +82,9 @@ def answer_signatures(spark, sf):
     """What an answer holds, and what a correction that forgets every other job has lost."""
     done = payloads.repair(answers(spark, sf)).where("id IS NOT NULL")
     after = F.when(F.col("id") % 2 == 1, F.to_variant_object(F.map_filter(payloads.fields(F.col("repaired")), lambda k, _: k != "experiences"))).otherwise(F.col("repaired"))
-    rows = done.withColumn("c", payloads.counts(F.col("repaired"))).withColumn("after", after)
+    rows = done.withColumn("c", payloads.counts(F.col("repaired"))).withColumn("marks", payloads.signatures(F.col("repaired"))).withColumn("after", after)
     known = F.col("repaired").isNotNull()
     return rows.select(
         "id", F.when(known, F.col("c.experiences.entities")).alias("jobs"), F.when(known, F.col("c.experiences.with_evidence")).alias("jobs_with_evidence"), F.when(known, F.col("c.education.entities")).alias("schools"),
-        F.when(known, F.array_join(payloads.signatures(F.col("repaired")), ",")).alias("signature"), F.when(known, F.size(payloads.lost(F.col("repaired"), F.col("after")))).alias("lost"),
+        F.when(known, F.array_join("marks", ",")).alias("signature"), F.when(known, F.size(payloads.lost(F.col("repaired"), F.col("after"), marks=F.col("marks")))).alias("lost"),
     )

@@ -78,3 +78,15 @@ def test_entries_and_what_is_lost(spark):
     assert got[1] == 0 and got[2] == 1 and got[3] in (0, -1)
     listed = payloads.entries(payloads.repair(rows, column="a"), "experiences", "id").select("id", "entry", F.to_json("value").alias("j")).collect()
     assert [(r.id, r.entry, "Cook" in r.j) for r in listed] == [(1, 0, True), (1, 1, False)]
+
+
+def test_fields_of_entries_are_not_looked_up_by_name(spark):
+    rows = spark.createDataFrame([(1, "{}")], "id int, response string")
+    plan = payloads.repair(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains(map_keys(" not in plan and "regexp_replace(response" not in plan
+
+
+def test_fences_go_as_by_their_pattern(spark):
+    texts = ["", "x", "```", "``````", " ```json\n{}\n``` ", "```json{}```\n\n", "json```", "```json", "{} ``` ```", "a ``` b", '{"a": "```"}', "```\n[1]", "\x0b```\f1```\r", "``` json 1", "é```", "```é"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", payloads.unfenced(F.col("t")).alias("u"), F.regexp_replace("t", r"^\s*```(?:json)?\s*|\s*```\s*$", "").alias("w")).collect()
+    assert [r.u.strip() for r in got] == [r.w.strip() for r in got]
